@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import shutil
 import tempfile
 from pathlib import Path
@@ -12,12 +14,12 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application."""
+    """Send this package to the executors, once for each application. The driver serves the archive as long as it lives."""
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         _shipped.add(sc.applicationId)
         root = Path(__file__).resolve().parent
-        with tempfile.TemporaryDirectory() as top:
-            copy = shutil.copytree(root, Path(top) / "tree" / root.name, ignore=shutil.ignore_patterns("__pycache__"))
-            sc.addPyFile(shutil.make_archive(f"{top}/{root.name}", "zip", copy.parent))
-            sc.parallelize([0], 1).count()  # the driver serves the archive from its own copy afterwards
+        top = os.path.realpath(tempfile.mkdtemp(prefix="shipped-"))
+        atexit.register(shutil.rmtree, top, ignore_errors=True)
+        shutil.copytree(root, f"{top}/tree/{root.name}", ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(f"{top}/{root.name}", "zip", f"{top}/tree"))
