@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import audio, chat, mixing, sharding, simhash, substrings, tokens
+from lectern.llm import audio, chat, decontam, html_extract, mixing, sharding, simhash, substrings, tokens, toxicity
 from lectern.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_features(audio.store_texts(read(spark, sf_dir, "documents")))
 
@@ -41,9 +45,18 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.drop_repeats(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op4_audio, op5_chat, op6_sharding, op7_tokens, op9_substrings)}
-ORACLES: dict[str, str] = {}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_html, op4_audio, op5_chat, op6_sharding, op7_tokens, op8_toxicity, op9_substrings, op10_decontamination)}
+ORACLES: dict[str, str] = {"op10_decontamination": decontam.ORACLE}
