@@ -4,10 +4,10 @@ Two 64-bit fingerprints that differ in at most three bits, cut into two segments
 segment that differs in at most one. So each fingerprint is indexed under both whole segments and under
 every segment with one bit deleted (66 keys); fingerprints under a common key are compared exactly.
 
-A key with many fingerprints is never paired out as a whole. Its members are indexed again by the
+Under a key, fingerprints are linked into trees rather than into all pairs, which keeps the components. A key with
+many fingerprints isn't compared as a whole. Its members are indexed again by the
 halves of the other segment: that one must then differ in at most one bit in one half. Such a second
-key leaves at most 18 of the 64 bits open, which bounds a bucket by the code, not by the data; there,
-fingerprints are linked into trees rather than into all pairs, which keeps the components.
+key leaves at most 18 of the 64 bits open, which bounds a bucket by the code, not by the data.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from lectern.llm.components import components
 SHINGLE = 3
 SEED = 42
 MOST_BITS = 3
-#: Buckets up to this size are paired out; larger ones are indexed again.
-PAIRED = 32
+#: Buckets up to this size are linked at once; larger ones are indexed again.
+PAIRED = 64
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLOCK = 1 << 15
 
@@ -76,17 +76,11 @@ def _sized(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("n", F.count("*").over(W.partitionBy(*keys))).filter("n > 1")
 
 
-def _pairs(rows: DataFrame, *keys: str) -> DataFrame:
-    """Verified pairs a < b within buckets of at most PAIRED fingerprints."""
-    near = lambda a, b: (a["fp"] < b["fp"]) & (a["side"].isNull() | (a["side"] != b["side"])) & (F.bit_count(a["fp"].bitwiseXOR(b["fp"])) <= MOST_BITS)
-    members = rows.groupBy(*keys).agg(F.collect_list(F.struct("fp", "side")).alias("m"))
-    found = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: near(a, b)), lambda b: F.struct(a["fp"].alias("a"), b["fp"].alias("b")))))
-    return members.select(F.explode(found).alias("p")).select("p.a", "p.b")
-
-
-def _trees(members: pd.DataFrame) -> pd.DataFrame:
-    """Edges that connect what links of a bucket connect: at most one less than its fingerprints."""
-    fp = np.unique(members["fp"].to_numpy(np.int64))
+def _forest(fp: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what all links among different fingerprints connect: fewer than there are fingerprints."""
+    if len(fp) == 2:
+        a, b = fp.tolist()
+        return [(a, b)] if ((a ^ b) & (1 << 64) - 1).bit_count() <= MOST_BITS else []
     bits, loose, out = fp.view(np.uint64), np.arange(len(fp)), []
     while len(loose):
         reached, loose = loose[:1], loose[1:]
@@ -94,13 +88,25 @@ def _trees(members: pd.DataFrame) -> pd.DataFrame:
             grown = []
             for i in reached:
                 near = np.bitwise_count(bits[loose] ^ bits[i]) <= MOST_BITS
-                out += [(fp[i], fp[j]) for j in loose[near]]
+                out += [(int(fp[i]), int(fp[j])) for j in loose[near]]
                 grown.append(loose[near])
                 loose = loose[~near]
                 if not len(loose):
                     break
             reached = np.concatenate(grown)
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    return out
+
+
+def _links_in(rows: DataFrame, *keys: str) -> DataFrame:
+    """A forest of links for each bucket of at most PAIRED fingerprints. A bucket in which the deleted bit is the same for
+    all holds what the whole segment's bucket holds, and is left to that."""
+    members = rows.groupBy(*keys).agg(F.collect_list("fp").alias("m"), F.min("side").alias("low"), F.max("side").alias("high"))
+    forest = F.pandas_udf(lambda found: pd.Series([[{"a": a, "b": b} for a, b in _forest(np.asarray(m, np.int64))] for m in found]), "array<struct<a:long,b:long>>")
+    return members.filter("low IS NULL OR low <> high").select(F.explode(forest("m")).alias("p")).select("p.a", "p.b")
+
+
+def _trees(members: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame(_forest(np.unique(members["fp"].to_numpy(np.int64))), columns=["a", "b"], dtype="int64")
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -108,14 +114,14 @@ def links(fps: DataFrame) -> DataFrame:
     components as all such pairs."""
     segments = F.concat(*[_variants(_segment(F.col("fp"), low, 32), 32, F.lit(k).cast("long")) for k, low in enumerate((0, 32))])
     rows = _sized(fps.select("fp", F.explode(segments).alias("v")).select("v.key", "v.side", "fp"), "key")
-    small = _pairs(rows.filter(f"n <= {PAIRED}"), "key")
+    small = _links_in(rows.filter(f"n <= {PAIRED}"), "key")
     hot = rows.filter(f"n > {PAIRED}")
     other = F.when(F.shiftrightunsigned("key", 40) == 0, _segment(F.col("fp"), 32, 32)).otherwise(_segment(F.col("fp"), 0, 32))
     halves = F.concat(*[_variants(_segment(other, low, 16), 16, F.lit(k).cast("long")) for k, low in enumerate((0, 16))])
     again = hot.select("key", "fp", F.explode(halves).alias("h")).select("key", F.col("h.key").alias("key2"), "fp", F.lit(None).cast("boolean").alias("side"))
     again = _sized(again, "key", "key2")
     trees = again.filter(f"n > {PAIRED}").select("key", "key2", "fp").groupBy("key", "key2").applyInPandas(lambda k: _trees(k), "a long, b long")
-    return small.union(_pairs(again.filter(f"n <= {PAIRED}"), "key", "key2")).union(trees).distinct()
+    return small.union(_links_in(again.filter(f"n <= {PAIRED}"), "key", "key2")).union(trees).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
