@@ -58,6 +58,8 @@ TABLE = (
     (22, 0.0, 35, 0.0, 12, 0.0, 0, 0, 0, 0, 0, 1), (16, 0.0, 60, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 1), (7, 0.0, 2, 1.0, 60, 0.0, 0, 0, 0, 1, 0, 1),
     (5, 0.0, 50, 0.0, 48, 0.0, 0, 0, 0, 0, 0, 1), (3, 0.0, 40, 0.0, 30, 0.0, 0, 0, 0, 0, 0, 1), (6, 0.0, 38, 0.0, 44, 0.0, 0, 0, 0, 1, 0, 1),
     (9, 0.0, 30, 0.0, 10, 0.0, 0, 0, 0, 0, 1, 1), (28, 0.0, 4, 1.0, 5, 1.0, 0, 0, 0, 0, 0, 1), (100, 0.02, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1),
+    (2, 0.0, 1, 1.0, 60, 0.0, 0, 0, 0, 1, 0, 1), (4, 0.0, 0, 0.0, 90, 0.0, 0, 0, 0, 1, 0, 1), (3, 0.0, 1, 1.0, 45, 0.0, 0, 0, 0, 1, 0, 1),
+    (2, 0.0, 2, 1.0, 60, 0.0, 0, 0, 0, 1, 0, 1), (5, 0.0, 6, 1.0, 70, 0.0, 0, 0, 0, 1, 0, 1), (3, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 1, 0, 0), (2, 0.0, 5, 0.0, 3, 1.0, 0, 0, 0, 1, 0, 0),
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 1, 0), (2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0, 0), (4, 0.75, 3, 1.0, 50, 0.0, 0, 0, 0, 0, 0, 0),
     (6, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0, 0), (3, 0.0, 1, 1.0, 4, 0.5, 0, 0, 0, 1, 0, 0), (12, 0.9, 4, 0.0, 12, 0.9, 0, 0, 0, 0, 0, 0),
     (20, 0.7, 5, 0.5, 18, 0.8, 0, 0, 0, 0, 1, 0), (4, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0), (30, 0.6, 60, 0.0, 25, 0.7, 0, 0, 0, 0, 0, 0),

@@ -1,9 +1,10 @@
 """Sharding with balanced bytes by Karmarkar-Karp differencing over indivisible groups.
 
-Groups (rows with equal texts) are dealt by hash into leaves of bounded expected size. In each leaf, partial
-partitions start with one group each; the two with the largest spread are combined, the largest part of one
-with the smallest of the other, until one is left. The leaves' partitions are themselves combined in that way,
-FAN at a time, level by level, so no task or driver sees more than a leaf or FAN partitions.
+Partial partitions start with one group each; the two with the largest spread are combined, the largest part of one with
+the smallest of the other, until one is left. That is done in two steps, each of bounded size. Groups above a
+fixed share of all bytes, of which there can only be so many, are partitioned first. All others are dealt by hash into
+leaves; each leaf's differencing includes, as one more partial partition, its share of what the large groups have put
+into the shards. So the leaves fill up what the large groups left uneven, and no task or driver sees more than a leaf.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 from lectern.llm.common import checkpointed, lookup
 
 SHARDS = 8
-#: Expected groups in a leaf, and partitions combined at once.
-LEAF = 4096
-FAN = 512
+#: Expected groups in a leaf.
+LEAF = 2048
+#: A group is large if it holds more than one in LARGE of all bytes; so there are fewer than LARGE of them.
+LARGE = 8192
 #: Rows of a shard that are numbered together.
 RUN = 4096
 
@@ -58,20 +60,27 @@ def differencing(parts: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _leaf(shards: int):
+def _share(sums: list[int], leaf: int, leaves: int) -> list[int]:
+    """A leaf's part of the sums; the leaves' parts add up to them."""
+    return [x * (leaf + 1) // leaves - x * leaf // leaves for x in sums]
+
+
+def _leaf(shards: int, sums: list[int], leaves: int):
+    """Partitions a leaf's groups on top of its share of `sums`. Where that is even, shards are turned by the leaf's number, so that
+    small remainders don't add up."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["bytes", "key", "crc", "size"], ascending=[False, True, True, True], kind="stable")
-        parts = differencing([[b] + [0] * (shards - 1) for b in rows["bytes"].tolist()])
-        return rows.assign(part=np.array([p[0] for p in parts], np.int32))
+        leaf = int(rows["leaf"].iloc[0])
+        share = _share(sums, leaf, leaves)
+        places = differencing([share] + [[b] + [0] * (shards - 1) for b in rows["bytes"].tolist()])
+        turned = leaf % shards if max(share) == min(share) else 0
+        shard = {place: (k + turned) % shards for k, place in enumerate(places[0])}
+        return rows.assign(shard=np.array([shard[p[0]] for p in places[1:]], np.int32))[["key", "crc", "size", "shard"]]
 
     return run
 
 
-def _combine(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("node")
-    return pd.DataFrame({"node": rows["node"], "parent": rows["parent"], "sums": rows["sums"], "places": differencing([list(map(int, x)) for x in rows["sums"]])})
-
-
 def _keys(text: Column) -> list[Column]:
     text = F.coalesce(text, F.lit(""))
     return [F.xxhash64(text).alias("key"), F.crc32(text).alias("crc"), (F.octet_length(text).cast("long") + 1).alias("size")]
@@ -81,29 +90,18 @@ def group_shards(slim: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Rows with key, crc, size -> a row per group: key, crc, size, shard."""
     groups = slim.groupBy("key", "crc", "size").agg((F.count("*") * F.col("size")).alias("bytes"))
     groups = checkpointed(groups)
-    nodes = max(1, -(-groups.count() // LEAF))
-    groups = groups.withColumn("leaf", F.pmod(F.xxhash64("key", "crc"), F.lit(nodes)).cast("long"))
-    groups = checkpointed(groups.groupBy("leaf").applyInPandas(_leaf(shards), "key long, crc long, size long, bytes long, leaf long, part int"))
-    sums = F.array(*[F.sum(F.when(F.col("part") == k, F.col("bytes")).otherwise(0)) for k in range(shards)])
-    level = groups.groupBy(F.col("leaf").alias("node")).agg(sums.alias("sums"))
-    placed = None
-    while True:
-        nodes = -(-nodes // FAN)
-        step = level.withColumn("parent", F.floor(F.col("node") / FAN)).groupBy("parent")
-        step = checkpointed(step.applyInPandas(_combine, "node long, parent long, sums array<long>, places array<int>"))
-        if placed is None:
-            placed = step.select(F.col("node").alias("leaf"), "parent", "places")
-        else:
-            up = step.select(F.col("node").alias("parent"), F.col("parent").alias("above"), F.col("places").alias("then"))
-            placed = lookup(placed, up, ["parent"], F.col("leaf")).select(
-                "leaf", F.col("above").alias("parent"), F.transform("places", lambda p: F.element_at("then", p + 1)).alias("places")
-            )
-        if nodes == 1:
-            break
-        moved = step.select(F.col("parent").alias("node"), F.posexplode("sums").alias("i", "s"), "places").withColumn("part", F.element_at("places", F.col("i") + 1))
-        level = moved.groupBy("node").agg(F.array(*[F.sum(F.when(F.col("part") == k, F.col("s")).otherwise(0)) for k in range(shards)]).alias("sums"))
-    placed = checkpointed(placed.select("leaf", "places"))
-    return lookup(groups, placed, ["leaf"], F.col("key")).select("key", "crc", "size", F.element_at("places", F.col("part") + 1).alias("shard"))
+    n, total = groups.agg(F.count("*"), F.sum("bytes")).first()
+    large = F.col("bytes") * LARGE > F.lit(total)
+    first = sorted(groups.filter(large).collect(), key=lambda r: (-r["bytes"], r["key"], r["crc"], r["size"]))  # fewer than LARGE rows
+    places = differencing([[r["bytes"]] + [0] * (shards - 1) for r in first]) if first else []
+    sums = [0] * shards
+    for r, p in zip(first, places, strict=True):
+        sums[p[0]] += r["bytes"]
+    placed = [(r["key"], r["crc"], r["size"], p[0]) for r, p in zip(first, places, strict=True)]
+    placed = groups.sparkSession.createDataFrame(placed, "key long, crc long, size long, shard int")
+    leaves = max(1, -(-(n - len(first)) // LEAF))
+    rest = groups.filter(~large).withColumn("leaf", F.pmod(F.xxhash64("key", "crc"), F.lit(leaves)).cast("long"))
+    return rest.groupBy("leaf").applyInPandas(_leaf(shards, sums, leaves), "key long, crc long, size long, shard int").union(placed)
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
