@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import audio, chat, decontam, html_extract, mixing, sharding, simhash, substrings, tokens, toxicity
 from lectern.llm.common import read
+from lectern.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +60,3 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_html, op4_audio, op5_chat, op6_sharding, op7_tokens, op8_toxicity, op9_substrings, op10_decontamination)}
-ORACLES: dict[str, str] = {"op10_decontamination": decontam.ORACLE}
