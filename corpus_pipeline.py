@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import decontam, mixing, sharding, simhash, toxicity
-from lectern.llm.common import checkpointed, read
+from lectern.llm.common import read, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,5 +50,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of all stages over documents."""
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = checkpointed(stage(spark, docs, sf_dir))
+        docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
