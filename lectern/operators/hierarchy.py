@@ -36,7 +36,7 @@ def earliest(rows: DataFrame, keys: list[str], *order: str | Column) -> DataFram
 
 def lookup_ci(rows: DataFrame, name: str, wanted: DataFrame, *order: str) -> DataFrame:
     """J-02, P-09, P-10: for each wanted name, the first row of that name in any case."""
-    keyed = rows.withColumn("lookup", F.lower(name)).join(F.broadcast(wanted.select(F.lower("wanted").alias("lookup")).distinct()), "lookup")
+    keyed = rows.withColumn("lookup", F.lower(name)).join(wanted.select(F.lower("wanted").alias("lookup")).distinct(), "lookup")
     return earliest(keyed, ["lookup"], *order)
 
 
@@ -119,7 +119,7 @@ def reading_block(lines: DataFrame, books: DataFrame, most: int = 60) -> DataFra
         F.regexp_extract("part", r"(\d+)\s*(?:[-–]\s*(\d+))?\s*$", 1).try_cast("int").alias("first"), F.regexp_extract("part", r"(\d+)\s*(?:[-–]\s*(\d+))?\s*$", 2).try_cast("int").alias("last"),
     )
     carried = part.withColumn("named", F.last("named", ignorenulls=True).over(W.partitionBy("id").orderBy("pos"))).filter("first IS NOT NULL AND named IS NOT NULL")
-    names = carried.select("named").distinct().join(F.broadcast(books.select(F.col("name").alias("book"))), F.startswith(F.lower("book"), F.lower(F.regexp_replace("named", r"\.$", ""))))
+    names = carried.select("named").distinct().join(books.select(F.col("name").alias("book")), F.startswith(F.lower("book"), F.lower(F.regexp_replace("named", r"\.$", ""))))
     names = earliest(names, ["named"], F.length("book"), "book")
     chapters = F.explode(F.sequence("first", F.least(F.greatest(F.coalesce("last", "first"), F.col("first")), F.col("first") + most)))
     return carried.join(names, "named").select("id", "pos", "book", chapters.alias("chapter"))

@@ -31,7 +31,7 @@ def with_quotas(ranked: DataFrame, kind: str, quotas: DataFrame | int, limit: in
     if isinstance(quotas, int):
         rows = capped(ranked, ["query", kind], quotas, F.col("rank"))
     else:
-        rows = ranked.join(F.broadcast(quotas.withColumnRenamed("kind", "__kind")), F.col(kind) == F.col("__kind"), "left")
+        rows = ranked.join(quotas.withColumnRenamed("kind", "__kind"), F.col(kind) == F.col("__kind"), "left")
         rows = capped(rows, ["query", kind], F.coalesce("quota", F.lit(2**31 - 1)), F.col("rank")).drop("__kind", "quota")
     place = F.row_number().over(W.partitionBy("query").orderBy("rank")).cast("long")
     return rows.withColumn("place", place).filter(F.col("place") <= limit)
@@ -102,9 +102,9 @@ def resolved(asked: DataFrame, verses: DataFrame, aliases: DataFrame, cap: int =
     """H-20, H-22, U-03: owner, rank, text -> the text of each reference that exists, in order, up to cap. verses: volume_sort, book_name, chapter_number,
     verse_number, text; aliases: alias, book. Holes in a range are allowed; whole chapters too; of equal names the earliest volume."""
     parsed = asked.withColumn("p", reference_parts(F.col("text"))).filter("p IS NOT NULL").select("owner", "rank", "text", "p.*")
-    named = parsed.withColumn("alias", book_key(F.col("book"))).join(F.broadcast(aliases), "alias", "left").withColumn("key", F.coalesce(aliases[aliases.columns[1]], F.col("alias")))
+    named = parsed.withColumn("alias", book_key(F.col("book"))).join(aliases, "alias", "left").withColumn("key", F.coalesce(aliases[aliases.columns[1]], F.col("alias")))
     body = verses.select(book_key(F.col("book_name")).alias("key"), F.col("chapter_number").alias("chapter"), "verse_number", F.col("text").alias("verse"), "volume_sort")
-    hit = body.join(F.broadcast(named.select("owner", "rank", F.col("text").alias("label"), "key", "chapter", "first", "last")), ["key", "chapter"])
+    hit = body.join(named.select("owner", "rank", F.col("text").alias("label"), "key", "chapter", "first", "last"), ["key", "chapter"])
     hit = hit.filter(F.col("first").isNull() | F.col("verse_number").between(F.col("first"), F.coalesce("last", "first")))
     hit = hit.withColumn("v", F.min("volume_sort").over(W.partitionBy("owner", "rank"))).filter("volume_sort = v")
     texts = hit.groupBy("owner", "rank", "label").agg(F.array_sort(F.collect_list(F.struct("verse_number", "verse"))).alias("l"))

@@ -35,20 +35,26 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(usable, dot(a, b) / (norm(a) * norm(b))).otherwise(F.lit(0.0))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = 256, digits: int = 6) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = 256, at_once: int = 8192, digits: int = 6) -> DataFrame:
     """V-08: exact cosine top-k. rows: id, v; queries: query, q. Rows equal to the query's own id are left out.
 
-    The stated queries go out in blocks of bounded size as one array each, and every row is compared within its own task; each partition of
-    rows keeps its best k a query before anything is shuffled. Ties go by id."""
-    numbered = queries.withColumn("block", F.floor((F.row_number().over(W.orderBy("query")) - 1) / block)).withColumn("q", normalized(F.col("q")))
-    blocks = numbered.groupBy("block").agg(F.collect_list(F.struct("query", "q")).alias("qs"))
-    unit = rows.select("id", normalized(F.col("v")).alias("v"), F.spark_partition_id().alias("__part"))
-    scored = unit.crossJoin(F.broadcast(blocks)).select("id", "__part", F.explode(F.transform("qs", lambda q: F.struct(q["query"].alias("query"), F.when(F.size(q["q"]) == F.size("v"), F.round(dot(q["q"], F.col("v")), digits)).alias("score")))).alias("s"))
-    scored = scored.select("id", "__part", "s.query", "s.score").filter("score IS NOT NULL AND id <> query")
-    best = F.row_number().over(W.partitionBy("query", "__part").orderBy(F.col("score").desc(), "id"))
-    local = scored.withColumn("r", best).filter(F.col("r") <= k)
-    place = F.row_number().over(W.partitionBy("query").orderBy(F.col("score").desc(), "id")).cast("long")
-    return local.withColumn("rank", place).filter(F.col("rank") <= k).select("query", "id", "score", "rank")
+    The stated queries are dealt by hash into blocks, one array each, and `at_once` of them at a time are sent to all tasks, however many there are; every
+    row is compared within its own task. The limit on ranks lets each task keep its best k a query before anything is shuffled. Ties go by id."""
+    n = queries.count()
+    passes = max(1, -(-n // at_once))
+    unit = rows.select("id", normalized(F.col("v")).alias("v"))
+    dealt = queries.select("query", normalized(F.col("q")).alias("q"), F.pmod(F.xxhash64("query"), F.lit(max(1, -(-n // block)))).alias("block"))
+    blocks = dealt.groupBy("block").agg(F.collect_list(F.struct("query", "q")).alias("qs"))
+    out = None
+    for p in range(passes):
+        some = blocks.filter(F.pmod("block", F.lit(passes)) == p)
+        score = lambda q: F.when(F.size(q["q"]) == F.size("v"), F.round(dot(q["q"], F.col("v")), digits))
+        scored = unit.crossJoin(F.broadcast(some)).select("id", F.explode(F.transform("qs", lambda q: F.struct(q["query"].alias("query"), score(q).alias("score")))).alias("s"))
+        scored = scored.select("id", "s.query", "s.score").filter("score IS NOT NULL AND id <> query")
+        place = F.row_number().over(W.partitionBy("query").orderBy(F.col("score").desc(), "id"))
+        best = scored.withColumn("rank", place).filter(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out.select("query", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def best_per_group(rows: DataFrame, group: str, query: Column) -> DataFrame:

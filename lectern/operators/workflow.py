@@ -107,7 +107,7 @@ def synced(local: DataFrame, devices: DataFrame, targets: DataFrame, at: str = "
 
 def day_notes(days: DataFrame, holy: DataFrame) -> DataFrame:
     """F-02: id, month, day and month, place, name, first, last (nullable) -> id and a sentence for each holy day of the month that is there or still to come."""
-    rows = days.join(F.broadcast(holy.filter("first IS NOT NULL")), "month").withColumn("end", F.coalesce("last", "first"))
+    rows = days.join(holy.filter("first IS NOT NULL"), "month").withColumn("end", F.coalesce("last", "first"))
     gap = F.col("first") - F.col("day")
     text = (
         F.when((F.col("first") == F.col("day")) & (F.col("end") == F.col("day")), F.concat(F.lit("This is the day of "), F.col("name"), F.lit(".")))

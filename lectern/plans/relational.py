@@ -17,7 +17,7 @@ from lectern.plans.registry import query, table
 FROM nation JOIN customer ON c_nationkey = n_nationkey""")
 def hier_children(spark, d):
     """P-05: customers of each nation in order."""
-    rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return H.children(rows, "n_nationkey", "c_acctbal", "c_custkey").select("n_nationkey", "c_custkey", "position")
 
 
@@ -26,7 +26,7 @@ LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey =
 def hier_location(spark, d):
     """J-01, J-04: the path of every line; the upper levels may be missing."""
     nations = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", "n_name", "r_name")
-    books = table(spark, d, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "c_name", "n_name", "r_name")
+    books = table(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "c_name", "n_name", "r_name")
     chapters = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(books, F.col("o_custkey") == F.col("c_custkey"))
     verses = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"))
     return verses.join(chapters, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "c_name", "n_name", "r_name")
@@ -52,7 +52,7 @@ def chapter_search(spark, d):
 def anti_hidden(spark, d):
     """P-01 to P-03: documents outside hidden languages, by an anti join."""
     hidden = spark.range(2).select(F.element_at(F.array(F.lit("de"), F.lit("fr")), (F.col("id") + 1).cast("int")).alias("slug"))
-    return H.visible(table(spark, d, "documents").select("doc_id", "lang"), F.broadcast(hidden), "lang")
+    return H.visible(table(spark, d, "documents").select("doc_id", "lang"), hidden, "lang")
 
 
 @query("SELECT o_orderkey, coalesce(max(l_linenumber), 0)::BIGINT AS verses FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
@@ -107,7 +107,7 @@ def coalesce_label(spark, d):
     """J-09, J-12, J-13: the first label that exists over two left joins."""
     rows = table(spark, d, "events").select("event_id", "user_id")
     rows = rows.join(table(spark, d, "customer").select("c_custkey", "c_name"), F.col("user_id") == F.col("c_custkey"), "left")
-    rows = rows.join(F.broadcast(table(spark, d, "nation").select("n_nationkey", "n_name")), F.col("user_id") == F.col("n_nationkey"), "left")
+    rows = rows.join(table(spark, d, "nation").select("n_nationkey", "n_name"), F.col("user_id") == F.col("n_nationkey"), "left")
     return rows.select("event_id", F.coalesce("c_name", "n_name", F.lit("")).alias("label"))
 
 
@@ -294,7 +294,7 @@ def date_phrases(spark, d):
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
 def reference_parse(spark, d):
     """F-15, F-17, H-19: references written from keys and read again."""
-    books = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    books = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
     chapters = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(books, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "n_name")
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").join(chapters, F.col("l_orderkey") == F.col("o_orderkey"))
     label = X.range_label(F.col("n_name"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_linenumber") + 2)

@@ -32,8 +32,8 @@ def verse_lines(lines: DataFrame, books: DataFrame, aliases: DataFrame | None =
     part = lambda i: F.nullif(F.regexp_extract("value", VERSE_LINE, i), F.lit(""))
     rows = lines.filter(F.trim("value") != "").select("value", part(1).alias("named"), part(2).try_cast("int").alias("chapter"), part(3).try_cast("int").alias("verse"), part(4).alias("text"))
     if aliases is not None:
-        rows = rows.join(F.broadcast(aliases), rows["named"] == aliases["alias"], "left").withColumn("named", F.coalesce("book", "named")).drop("alias", "book")
-    known = rows.join(F.broadcast(books.select(F.col("name").alias("book"))), F.col("named") == F.col("book"), "left")
+        rows = rows.join(aliases, rows["named"] == aliases["alias"], "left").withColumn("named", F.coalesce("book", "named")).drop("alias", "book")
+    known = rows.join(books.select(F.col("name").alias("book")), F.col("named") == F.col("book"), "left")
     bad = known.filter("book IS NULL").select("value", F.when(F.col("named").isNull(), "unreadable").otherwise("unknown book").alias("reason"))
     return known.filter("book IS NOT NULL").select("book", "chapter", "verse", "text"), bad
 
@@ -188,7 +188,7 @@ def section_starts(paragraphs: DataFrame, titles: DataFrame) -> DataFrame:
     short = paragraphs.filter(F.length("text") <= 80).withColumn("low", F.lower(F.regexp_replace("text", r"[^\p{L} ]", ""))).withColumn("n", F.length("low"))
     lens = titles.withColumn("t", F.lower("title")).withColumn("slack", F.greatest(F.lit(1), F.floor(F.length("title") / 6)).cast("int"))
     sized = lens.withColumn("n", F.explode(F.sequence(F.length("t") - F.col("slack"), F.length("t") + F.col("slack"))))
-    hit = short.join(F.broadcast(sized), "n").filter(F.levenshtein("low", "t") <= F.col("slack"))
+    hit = short.join(sized, "n").filter(F.levenshtein("low", "t") <= F.col("slack"))
     return hit.groupBy("doc", "place", "title").agg(F.min("pos").alias("pos"))
 
 
@@ -262,7 +262,7 @@ def citing_works(citations: DataFrame) -> DataFrame:
 def book_ids(books: DataFrame, overrides: DataFrame) -> DataFrame:
     """S-18: ids by place in the list, but for irregular ones (name, id)."""
     numbered = books.withColumn("n", F.row_number().over(W.orderBy("place")))
-    return numbered.join(F.broadcast(overrides.select(F.col("name").alias("o"), "id")), F.col("name") == F.col("o"), "left").select("name", F.coalesce("id", "n").alias("id"))
+    return numbered.join(overrides.select(F.col("name").alias("o"), "id"), F.col("name") == F.col("o"), "left").select("name", F.coalesce("id", "n").alias("id"))
 
 
 def device_files(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
