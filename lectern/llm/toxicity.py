@@ -124,19 +124,26 @@ def _features(p: np.ndarray) -> np.ndarray:
     return np.array([1.0, p.max(), np.log1p(p[p > 0.2].sum())]) if len(p) else np.array([1.0, 0.0, 0.0])
 
 
-def lexicon(toxic: list[list[str]], clean: list[list[str]]) -> list[str]:
-    """Words and beginnings far more frequent in toxic documents than in clean ones, by document counts."""
-    counts = []
-    for docs in (toxic, clean):
-        own: dict[str, int] = {}
-        for d in docs:
-            words = set(d)
-            for w in words | {w[:n] + "*" for n in BEGINNINGS for w in words if len(w) >= n}:
-                own[w] = own.get(w, 0) + 1
-        counts.append(own)
+def _entries(text: str) -> set[str]:
+    words = set(tokens_of(text))
+    return words | {w[:n] + "*" for n in BEGINNINGS for w in words if len(w) >= n}
+
+
+def lexicon(toxic: list[str], clean: list[str]) -> list[str]:
+    """Words and beginnings far more frequent in toxic texts than in clean ones, by document counts."""
+    counts: dict[str, int] = {}
+    for text in toxic:
+        for w in _entries(text):
+            counts[w] = counts.get(w, 0) + 1
     least = max(MIN_DOCS, MIN_SHARE * len(toxic))
-    lift = lambda w: (counts[0][w] / len(toxic)) / ((counts[1].get(w, 0) + 0.5) / (len(clean) + 1))
-    found = {w for w, n in counts[0].items() if n >= least and lift(w) >= (MIN_LIFT_BEGINNING if w[-1] == "*" else MIN_LIFT)}
+    counts = {w: n for w, n in counts.items() if n >= least}
+    other = dict.fromkeys(counts, 0)
+    for text in clean:
+        for w in _entries(text):
+            if w in other:
+                other[w] += 1
+    lift = lambda w: (counts[w] / len(toxic)) / ((other[w] + 0.5) / (len(clean) + 1))
+    found = {w for w in counts if lift(w) >= (MIN_LIFT_BEGINNING if w[-1] == "*" else MIN_LIFT)}
     return sorted(w for w in found if not (w[-1] == "*" and any(w[:n] + "*" in found for n in BEGINNINGS if n < len(w) - 1)))
 
 
@@ -209,18 +216,17 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
-    """A model from whole texts and their labels. Without both kinds of labels it never says toxic."""
+    """A model from whole texts and their labels. Without both kinds of labels it never says toxic. Tokens of one text at a time are held."""
     y = np.array(labels)
-    docs = [tokens_of(t) for t in texts]
-    toxic, clean = ([d for d, k in zip(docs, labels, strict=True) if k == want] for want in (1, 0))
+    toxic, clean = ([t for t, k in zip(texts, labels, strict=True) if k == want] for want in (1, 0))
     words = lexicon(toxic, clean) if toxic and clean else []
     if not words:
         return Model({}, frozenset(), -5.0, 0.0, ((0.0, 0.0), (0.0, 0.0)), (-3.0, 0.0, 0.0))
     number = {w: i + 1 for i, w in enumerate(words)}
     marked: list[tuple[list[int], bool]] = []
     plain: list[tuple[list[int], bool]] = []
-    for d, k in zip(docs, labels, strict=True):
-        own = [number.get(entry_of(t, number), 0) for t in d]
+    for text, k in zip(texts, labels, strict=True):
+        own = [number.get(entry_of(t, number), 0) for t in tokens_of(text)]
         for i in range(0, len(own), SEQUENCE):
             piece = own[i : i + SEQUENCE]
             kind = marked if any(piece) else plain
@@ -236,7 +242,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     emissions = {x: float(w[5] + w[5 + i]) for x, i in number.items()}
     model = Model(emissions, frozenset(x.rstrip("*")[:HEAD] for x in words), float(w[0]), float(w[1]), ((0.0, float(w[2])), (float(w[4]), float(w[3]))), (0.0, 0.0, 0.0))
     quiet: dict = {}
-    model.weights = _fit_logistic(np.array([_features(model.score(d, quiet)[1]) for d in docs]), y)
+    model.weights = _fit_logistic(np.array([_features(model.score(tokens_of(t), quiet)[1]) for t in texts]), y)
     return model
 
 
