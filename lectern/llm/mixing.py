@@ -24,7 +24,7 @@ WEIGHTS = (1, 2, 3)
 #: No source is taken more often than this.
 MOST_REPEATS = 3
 #: Bits of the hash that a histogram adds to those before.
-BITS = 10
+BITS = 8
 HASH_BITS = 60
 ROUNDS = 4
 SEED = 20_240_901
