@@ -45,14 +45,22 @@ TABLE = (
     (25, 0.5, 40, 0.0, 20, 0.0, 0, 1, 1, 0, 0, 1), (3, 1.0, 30, 0.0, 50, 0.0, 0, 1, 1, 0, 0, 1), (12, 0.0, 1, 1.0, 1, 0.0, 0, 1, 1, 1, 0, 1),
     (7, 0.0, 20, 0.0, 9, 0.0, 0, 1, 1, 0, 1, 1), (9, 0.0, 7, 0.0, 40, 0.0, 0, 1, 1, 0, 1, 1), (120, 0.01, 2, 0.0, 12, 0.3, 0, 1, 1, 0, 0, 1),
     (30, 0.0, 25, 0.0, 14, 0.1, 0, 1, 1, 0, 0, 1), (4, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1, 0, 0, 1), (15, 0.0, 9, 0.0, 0, 0.0, 0, 1, 1, 0, 0, 1),
+    # in it too: short lines before and after links, and lines that are links
+    (3, 0.0, 10, 0.0, 5, 1.0, 0, 1, 1, 0, 0, 1), (1, 0.0, 2, 0.0, 2, 1.0, 0, 1, 1, 0, 0, 1), (10, 0.0, 3, 0.0, 1, 1.0, 0, 1, 1, 0, 0, 1),
+    (14, 0.0, 20, 0.0, 3, 0.9, 0, 1, 1, 0, 0, 1), (2, 1.0, 4, 0.0, 2, 1.0, 0, 1, 1, 0, 1, 1), (5, 1.0, 1, 1.0, 1, 1.0, 0, 1, 1, 0, 1, 1),
+    (40, 0.9, 6, 0.0, 80, 0.0, 0, 1, 1, 0, 0, 1), (6, 0.0, 2, 1.0, 4, 1.0, 0, 1, 1, 1, 0, 1), (1, 1.0, 0, 0.0, 0, 0.0, 0, 1, 1, 0, 0, 1),
+    (22, 0.0, 1, 1.0, 9, 0.8, 0, 1, 1, 0, 0, 1), (70, 0.0, 3, 1.0, 2, 1.0, 0, 1, 1, 0, 0, 1), (4, 0.6, 15, 0.0, 6, 0.7, 0, 1, 1, 0, 0, 1),
+    (9, 0.0, 40, 0.5, 40, 0.5, 0, 1, 1, 0, 0, 1), (55, 0.7, 5, 1.0, 3, 1.0, 0, 1, 1, 0, 0, 1), (3, 0.0, 7, 0.9, 60, 0.0, 0, 1, 1, 1, 0, 1),
     # beside the article, or marked as beside it inside
     (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 1, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1, 0, 1, 0), (2, 1.0, 1, 1.0, 14, 0.0, 1, 0, 1, 0, 1, 0),
     (11, 0.0, 1, 1.0, 9, 0.0, 1, 0, 1, 0, 0, 0), (40, 0.0, 1, 1.0, 9, 0.0, 1, 0, 1, 0, 0, 0), (14, 0.0, 50, 0.0, 0, 0.0, 1, 0, 1, 0, 0, 0),
     (30, 0.0, 12, 0.0, 45, 0.0, 1, 1, 1, 0, 0, 0), (6, 0.0, 80, 0.0, 20, 0.0, 1, 1, 1, 1, 0, 0), (55, 0.0, 30, 0.0, 60, 0.0, 1, 1, 1, 0, 0, 0),
     (5, 0.0, 0, 0.0, 3, 1.0, 1, 0, 1, 1, 0, 0), (18, 0.1, 22, 0.0, 0, 0.0, 1, 0, 1, 0, 0, 0), (3, 0.0, 4, 0.0, 2, 0.0, 1, 1, 1, 0, 1, 0),
+    (90, 0.0, 70, 0.0, 60, 0.0, 1, 1, 1, 0, 0, 0), (12, 1.0, 30, 0.0, 5, 0.5, 1, 1, 1, 0, 1, 0), (25, 0.0, 3, 1.0, 2, 1.0, 1, 1, 1, 0, 0, 0),
     # unmarked blocks outside the article
     (10, 0.0, 0, 0.0, 50, 0.0, 0, 0, 1, 0, 0, 0), (35, 0.0, 60, 0.0, 8, 0.9, 0, 0, 1, 0, 0, 0), (3, 1.0, 2, 1.0, 70, 0.0, 0, 0, 1, 0, 0, 0),
     (6, 0.0, 10, 0.0, 50, 0.0, 0, 0, 1, 1, 0, 0), (80, 0.0, 55, 0.0, 9, 0.0, 0, 0, 1, 0, 0, 0),
+    (50, 0.0, 2, 1.0, 3, 1.0, 0, 0, 1, 0, 0, 0), (16, 0.0, 30, 0.0, 30, 0.0, 0, 0, 1, 1, 0, 0), (1, 0.0, 90, 0.0, 0, 0.0, 0, 0, 1, 0, 0, 0),
     # pages without one: long text, and what stands between
     (60, 0.0, 8, 0.0, 45, 0.0, 0, 0, 0, 0, 0, 1), (45, 0.05, 60, 0.0, 30, 0.0, 0, 0, 0, 0, 0, 1), (30, 0.1, 45, 0.0, 25, 0.0, 0, 0, 0, 0, 0, 1),
     (22, 0.0, 35, 0.0, 12, 0.0, 0, 0, 0, 0, 0, 1), (16, 0.0, 60, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 1), (7, 0.0, 2, 1.0, 60, 0.0, 0, 0, 0, 1, 0, 1),

@@ -34,6 +34,16 @@ def test_tree_fits_its_table():
     assert all(H.decide(tree, r[:-1]) == bool(r[-1]) for r in H.TABLE)
 
 
+def test_containers_decide_where_there_are_any():
+    import random
+
+    rng, tree = random.Random(1), H.default_tree()
+    for _ in range(3000):
+        around = [v for _ in range(3) for v in (rng.randint(0, 120), rng.choice([0.0, 0.1, 0.5, 0.8, 1.0]))]
+        beside, inside, heading, items = (rng.randint(0, 1) for _ in range(4))
+        assert H.decide(tree, (*around, beside, inside, 1, heading, items)) == bool(inside and not beside)
+
+
 def test_rows(spark):
     rows = [(1, "u", PAGE, "t", 5), (2, None, None, "t", 5), (1, "u", PAGE, "t", 5), (None, "v", "<article>é</article>", "t", 5)]
     got = H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int"))
