@@ -10,6 +10,11 @@ from lectern.functions.alignment import seq_ratio
 from lectern.functions.text import tokens
 from lectern.operators.analytics import capped
 
+#: Rows up to which a word is joined in the first step of `candidates`, and words of its first side that may be broadcast.
+STEP, BROADCAST_WORDS = 2000, 100_000
+#: What sums of the same weights may differ by.
+SLACK = 1e-9
+
 
 def last_write_wins(records: DataFrame, keys: list[str], at: str, *ties: str) -> DataFrame:
     """D-01 (Q-7): of each key the latest record; equal times go to the later source, then to the later place in it.
@@ -66,14 +71,29 @@ def cleared(ranges: DataFrame, owner: str, at: str) -> DataFrame:
     return ranges.join(marked.select(owner, "id", (F.col("last") > F.col("own")).alias("deleted")), [owner, "id"])
 
 
-def candidates(a: DataFrame, b: DataFrame, most: int = 10, common: int = 2000) -> DataFrame:
+def candidates(a: DataFrame, b: DataFrame, most: int = 10, step: int = STEP) -> DataFrame:
     """J-16, D-14: a: id_a, text_a; b: id_b, text_b -> for each a the b with the highest sum of 1 / document frequency over shared words, up to `most`.
 
-    Words that more than `common` rows of b have don't make candidates, which bounds what one word joins; nothing else is cut."""
+    Words that a quarter of b's rows or more have don't count, as in the reference, unless one row alone has them. `step` cuts nothing: words that more
+    rows have are joined later. If the `most`-th best sum of an a over its rarer words is above what its other words can add, only b within that of it
+    are completed; every other a is joined by all of its words."""
     words_b = b.select("id_b", F.explode(F.array_distinct(tokens(F.col("text_b")))).alias("w"))
-    rare = words_b.groupBy("w").agg(F.count("*").alias("df")).filter(F.col("df") <= common)
     words_a = a.select("id_a", F.explode(F.array_distinct(tokens(F.col("text_a")))).alias("w"))
-    shared = words_a.join(rare, "w").join(words_b, "w").groupBy("id_a", "id_b").agg(F.sum(1 / F.col("df")).alias("weight"))
+    hint = F.broadcast if words_a.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS else lambda small: small
+    df = words_b.join(hint(words_a.select("w").distinct()), "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))
+    df = df.crossJoin(F.broadcast(b.agg(F.count("*").alias("n")))).filter((4 * F.col("df") < F.col("n")) | (F.col("df") == 1)).drop("n")
+    terms, common = words_a.join(df, "w"), F.col("df") > step
+    parts = words_b.join(hint(terms.filter(~common)), "w").groupBy("id_a", "id_b").agg(F.sum(1 / F.col("df")).alias("part"))
+    best = capped(parts, "id_a", most, F.col("part").desc()).groupBy("id_a").agg(F.when(F.count("*") == most, F.min("part")).alias("least"))
+    ahead = terms.groupBy("id_a").agg(F.collect_list(F.when(common, F.struct("w", "df"))).alias("others"), F.coalesce(F.sum(F.when(common, 1 / F.col("df"))), F.lit(0.0)).alias("more"))
+    ahead = ahead.join(best, "id_a", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+    known = (F.col("more") == 0) | (F.col("least") > F.col("more") + SLACK)
+    near = parts.join(ahead.filter(known), "id_a").filter(F.col("part") >= F.col("least") - F.col("more") - SLACK).join(b, "id_b").withColumn("words", tokens(F.col("text_b")))
+    added = F.aggregate("others", F.lit(0.0), lambda total, x: total + F.when(F.array_contains(F.col("words"), x["w"]), 1 / x["df"]).otherwise(0.0))
+    near = near.select("id_a", "id_b", (F.col("part") + added).alias("weight"))
+    rest = terms.join(ahead.filter(~known).select("id_a"), "id_a", "left_semi")
+    whole = words_b.join(hint(rest), "w").groupBy("id_a", "id_b").agg(F.sum(1 / F.col("df")).alias("weight"))
+    shared = near.unionByName(whole).withColumn("weight", F.round("weight", 12))
     return capped(shared, "id_a", most, F.col("weight").desc(), F.col("id_b"))
 
 

@@ -1,6 +1,7 @@
 """Operators on tiny tables."""
 
 import random
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -359,6 +360,28 @@ def test_nearest_text_finds_the_moved_verse(spark):
     assert rows(M.rehomed(marks, M.nearest_text(a, b, 0.7)), "id", "target", "unplaced") == [(7, 10, False), (8, 2, True)]
 
 
+def test_candidates_by_words_of_thousands_of_rows(spark):
+    a = spark.createDataFrame([(1, "alpha beta gamma")], "id_a int, text_a string")
+    b = spark.range(9000).select(F.col("id").alias("id_b"), F.when(F.col("id") < 2100, "alpha beta gamma").otherwise(F.concat(F.lit("w"), "id")).alias("text_b"))
+    assert rows(M.nearest_text(a, b, 0.5), "id_a", "id_b", "ratio") == [(1, 0, 1.0)]
+
+
+@pytest.mark.parametrize("step", [1, 3, 8, 2000])
+def test_candidates_against_brute_force(spark, step):
+    rng = random.Random(5)
+    text = lambda: " ".join(f"w{min(int(rng.expovariate(0.08)), 60)}" for _ in range(rng.randint(1, 9)))
+    a, b = [(i, text()) for i in range(25)], [(i, text()) for i in range(120)]
+    b += [(200 + i, b[i % 3][1]) for i in range(30)]
+    words = {i: set(t.split()) for i, t in b}
+    df = Counter(w for ws in words.values() for w in ws)
+    want = []
+    for i, t in a:
+        sums = {k: round(sum(1 / df[w] for w in ws & set(t.split()) if df[w] < len(b) / 4), 12) for k, ws in words.items()}
+        want += [(i, k) for k in sorted((k for k in sums if sums[k]), key=lambda k: (-sums[k], k))[:4]]
+    got = M.candidates(spark.createDataFrame(a, "id_a int, text_a string"), spark.createDataFrame(b, "id_b int, text_b string"), 4, step)
+    assert rows(got, "id_a", "id_b") == sorted(want)
+
+
 def test_word_repairs():
     known = {"together", "the", "house", "to"}
     assert L.rejoined(["to", "get", "her"], known) == ["together"]
