@@ -14,6 +14,8 @@ from lectern.operators.analytics import capped
 from lectern.operators.hierarchy import earliest
 
 RRF = 60
+#: Owners whose accepted themes may be broadcast.
+FEW_OWNERS = 1000
 
 
 def fused(a: DataFrame, b: DataFrame, k: int = RRF) -> DataFrame:
@@ -112,14 +114,24 @@ def resolved(asked: DataFrame, verses: DataFrame, aliases: DataFrame, cap: int =
     return texts.filter(F.col("place") <= cap).select("owner", "place", "label", F.array_join(F.transform("l", lambda x: x["verse"]), " ").alias("text"))
 
 
-def themes(titles: DataFrame, stop: list[str], most: int = 16) -> DataFrame:
+def themes(titles: DataFrame, stop: list[str], most: int = 16, step: int = 200) -> DataFrame:
     """H-15: owner, rank, title -> titles in order, without those that add no word to the topic words (stop) or share half of their words (of the smaller set)
-    with an accepted one."""
+    with an accepted one.
+
+    Only the first of titles with the same words can be accepted. An owner's first `step` of these are folded first; of all that follow only those that
+    aren't close to a title accepted there go on, and none if there are `most`. No title is left out."""
     words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("title"), F.lit(r"[\p{L}]+"), F.lit(0)), lambda w: (F.length(w) > 3) & ~w.isin([*stop, ""])))
-    listed = titles.withColumn("words", words).filter(F.size("words") > 0).groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "words"))).alias("l"))
+    listed = titles.withColumn("words", F.array_sort(words)).filter(F.size("words") > 0).groupBy("owner", "words").agg(F.min(F.struct("rank", "title")).alias("t"))
+    listed = listed.select("owner", F.struct("t.rank", "t.title", "words").alias("x"))
     close = lambda k, x: F.size(F.array_intersect(k["words"], x["words"])) * 2 >= F.least(F.size(k["words"]), F.size(x["words"]))
-    fold = F.aggregate("l", F.slice("l", 1, 0), lambda kept, x: F.when((F.size(kept) >= most) | F.exists(kept, lambda k: close(k, x)), kept).otherwise(F.concat(kept, F.array(x))))
-    return listed.select("owner", F.posexplode(fold).alias("place", "x")).select("owner", (F.col("place") + 1).cast("long").alias("place"), F.col("x.title").alias("title"))
+    fold = lambda l, start: F.aggregate(l, start, lambda kept, x: F.when((F.size(kept) >= most) | F.exists(kept, lambda k: close(k, x)), kept).otherwise(F.concat(kept, F.array(x))))
+    in_order = F.array_sort(F.collect_list("x")).alias("l")
+    first = capped(listed, "owner", step, F.col("x")).groupBy("owner").agg(in_order).select(F.col("owner").alias("o"), fold("l", F.slice("l", 1, 0)).alias("kept"))
+    few = titles.select("owner").distinct().limit(FEW_OWNERS + 1).count() <= FEW_OWNERS
+    later = listed.join(F.broadcast(first) if few else first, F.col("owner").eqNullSafe(F.col("o"))).filter(F.size("kept") < most)
+    later = later.filter(~F.exists("kept", lambda k: close(k, F.col("x")))).groupBy("owner").agg(in_order)
+    both = first.join(later, F.col("owner").eqNullSafe(F.col("o")), "left").select(F.col("o").alias("owner"), fold(F.coalesce("l", F.slice("kept", 1, 0)), F.col("kept")).alias("kept"))
+    return both.select("owner", F.posexplode("kept").alias("place", "x")).select("owner", (F.col("place") + 1).cast("long").alias("place"), F.col("x.title").alias("title"))
 
 
 def related_words(rows: DataFrame, topic: list[str], text: str) -> DataFrame:

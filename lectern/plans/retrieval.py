@@ -243,11 +243,9 @@ def selection_parse(spark, d):
 @query()
 def themes(spark, d):
     """H-15: different titles of each source's pages, here the documents' first lines."""
-    from pyspark.sql import Window as W
-
-    rank = F.row_number().over(W.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id"))
-    docs = table(spark, d, "documents").select(F.col("source").alias("owner"), rank.alias("rank"), F.substring(F.element_at(F.split("text", "\n"), 1), 1, 80).alias("title"))
-    return R.themes(docs.filter("rank <= 200"), ["this", "that", "with"])
+    rank = F.struct(F.col("n_chars").isNull(), -F.col("n_chars"), "doc_id")
+    docs = table(spark, d, "documents").select(F.col("source").alias("owner"), rank.alias("rank"), F.substring_index("text", "\n", 1).alias("title"))
+    return R.themes(docs, ["this", "that", "with"])
 
 
 @query(f"""{_OR}, rel AS (SELECT query, min(rank) AS rank FROM rk JOIN labels ON labels.doc_id = rk.doc // 100000 AND quality = 1 WHERE rank <= 10 GROUP BY query), q AS (SELECT item_id AS query, rank FROM benchmark LEFT JOIN rel ON query = item_id)

@@ -297,6 +297,35 @@ def test_themes_drop_near_repeats(spark):
     assert [r["title"] for r in R.themes(t, ["hope"]).orderBy("place").collect()] == ["Faith and Works", "Charity"]
 
 
+def greedy(titles, stop, most=16):
+    kept = []
+    for t in titles:
+        words = {w for w in t.lower().split() if len(w) > 3} - set(stop)
+        if len(kept) < most and words and not any(len(words & k) * 2 >= min(len(words), len(k)) for _, k in kept):
+            kept.append((t, words))
+    return [t for t, _ in kept]
+
+
+@pytest.mark.parametrize("step", [1, 4, 200])
+def test_themes_against_brute_force(spark, step):
+    rng = random.Random(8)
+    listed = {o: [" ".join("word" + rng.choice("abcdefghijklmnopqrst"[:n]) for _ in range(rng.randint(1, 4))) for _ in range(90)] for o, n in ((None, 20), ("few", 4), ("x", 12))}
+    t = spark.createDataFrame([(o, i, x) for o, l in listed.items() for i, x in enumerate(l)], "owner string, rank int, title string")
+    got = R.themes(t, ["worda"], 5, step).orderBy("place").collect()
+    assert {o: [r["title"] for r in got if r["owner"] == o] for o in listed} == {o: greedy(l, ["worda"], 5) for o, l in listed.items()}
+
+
+def test_themes_query_reads_all_documents_and_whole_titles(spark, tmp_path):
+    from lectern.plans import retrieval
+
+    ends = ["".join(chr(97 + c) for c in (i // 26, i % 26)) for i in range(5)]
+    titles = ["same text again"] * 300 + [f"{'of ' * 30}{e}alpha {e}beta" for e in ends]
+    docs = [(i, f"{t}\nbody", "s", 9000 - i) for i, t in enumerate(titles)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = retrieval.themes(spark, str(tmp_path)).orderBy("place").collect()
+    assert [r["title"] for r in got] == greedy(titles, ["this", "that", "with"]) and len(got) == 6
+
+
 def test_balanced_mixes_merges_and_drops_reprints(spark):
     d = [("q", "a", 0, 0, 1, 1.0, 1.0, 2.0, None), ("q", "b", 0, 0, 2, 1.0, 4.0, 5.0, None), ("q", "c", 1, 0, 3, 2.0, 1.0, 1.0, None), ("q", "t1", 2, 1, 4, None, None, None, "w"), ("q", "t2", 2, 1, 5, None, None, None, "w"), ("q", "t3", 2, 2, 6, None, None, None, "v")]
     rows_ = spark.createDataFrame(d, "query string, doc string, trust int, tier int, rank int, chapter double, first double, last double, work string")
