@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import re
 import sys
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +41,7 @@ class Counter:
         self.splits = not inner and not any("\n" in p for p in pieces) and "".join(plain) == f"{SPACE * 2}a{SPACE * 2}b{SPACE}"
         self.known: dict[str, int] = {" ": 1}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.within: dict[str, list[int]] = {}
 
     def parts(self, text: str) -> list[str]:
         """The text, with the sign before its first word that the library adds, cut where no merge can reach."""
@@ -53,11 +56,13 @@ class Counter:
         codes = self.sp.encode([p[1:] if p[0] == " " else p for p in new], num_threads=1)
         self.known.update((p, len(c) - (p[0] == "\n")) for p, c in zip(new, codes, strict=True))
 
-    def totals(self, texts: list[str]) -> list[int]:
+    def tables(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Of each text the exact counts of the prefixes that end with a part, in order; the last is that of the whole text."""
         if not self.splits:
-            return [len(c) for c in self.sp.encode(texts, num_threads=1)]
+            yield from (np.array([len(c)]) for c in self.sp.encode(texts, num_threads=1))
+            return
         cut = [self.parts(t) for t in texts]
-        out, i = [], 0
+        i = 0
         while i < len(cut):  # as many texts as keep the new parts within what is remembered
             j, some = i, set()
             while j < len(cut) and (j == i or len(some) < REMEMBERED // 4):
@@ -65,9 +70,11 @@ class Counter:
                 j += 1
             self.learn(some)
             known = self.known
-            out += [sum(map(known.__getitem__, c)) for c in cut[i:j]]
+            yield from (np.cumsum(np.fromiter(map(known.__getitem__, c), np.int64, len(c))) for c in cut[i:j])
             i = j
-        return out
+
+    def totals(self, texts: list[str]) -> list[int]:
+        return [int(t[-1]) if len(t) else 0 for t in self.tables(texts)]
 
     def prefixes(self, text: str) -> tuple[list[int], list[int]]:
         """Ends of prefixes (characters) that end with a part, and their exact counts; the last is the whole text."""
@@ -82,6 +89,22 @@ class Counter:
             counts.append(n)
         return ends, counts
 
+    def every(self, text: str) -> list[int]:
+        """Exact counts of all prefixes (of 1, 2, ... characters). A vocabulary without the property costs an encoding for each."""
+        if not self.splits:
+            return [len(c) for c in self.sp.encode([text[:i] for i in range(1, len(text) + 1)], num_threads=1)]
+        counts, n = [], 0
+        parts = self.parts(text)
+        self.learn(set(parts))
+        for p in parts:
+            if p not in self.within:
+                if len(self.within) >= REMEMBERED // 8:
+                    self.within = {}
+                self.within[p] = self.inside(p)
+            counts += [n + c for c in self.within[p]]
+            n += self.known[p]
+        return counts[1:]  # the first is that of the sign which the library adds
+
     def _follows(self, last: int, token: int) -> bool:
         """Whether the encoder cuts the two tokens' joint text into just these."""
         key = (last, token)
@@ -140,34 +163,31 @@ def counter(path: str) -> Counter:
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for each row.
+    """doc_id, n_bytes, n_tokens, over_limit for each row, both read off the text's table of prefix counts.
 
     Null texts are empty and have no tokens; texts are whole, however long. Ids may repeat or be null. `path` is the
     vocabulary's file, which every executor has. Extra columns aren't read.
     """
 
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(counter(path).totals([x or "" for x in texts]), dtype="int64")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = [(int(t[-1]) if len(t) else 0, int(np.searchsorted(t, limit, "right")) < len(t)) for t in counter(path).tables([x or "" for x in texts])]
+        return pd.DataFrame(found, columns=["n_tokens", "over_limit"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.pandas_udf(run, "long")(text).alias("n_tokens"))
-    return rows.withColumn("over_limit", F.col("n_tokens") > limit)
+    found = F.pandas_udf(run, "n_tokens long, over_limit boolean")(text).alias("t")
+    return docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), found).select("doc_id", "n_bytes", "t.n_tokens", "t.over_limit")
 
 
 def prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ends, counts: the stored table of each text. The tokens of a prefix that ends at ends[i] are counts[i],
+    """doc_id, counts: the stored table of each text. The tokens of its first i characters are counts[i - 1],
     so truncation and budgets are answered by a search in it."""
-
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([counter(path).prefixes(x or "") for x in texts], columns=["ends", "counts"])
-
-    found = F.pandas_udf(run, "ends array<int>, counts array<int>")
-    return docs.select(F.col(id_col).alias("doc_id"), found(F.col(text_col)).alias("p")).select("doc_id", "p.*")
+    found = F.pandas_udf(lambda texts: pd.Series([counter(path).every(x or "") for x in texts]), "array<int>")
+    return docs.select(F.col(id_col).alias("doc_id"), found(F.col(text_col)).alias("counts"))
 
 
 def fitting(table: DataFrame, budget: int) -> DataFrame:
-    """Rows of prefix_counts -> doc_id, fits, cut, tokens: whether the text fits, and the longest stored prefix that does."""
-    n = F.size(F.filter("counts", lambda c: c <= budget))
-    return table.select(
-        "doc_id", (n == F.size("counts")).alias("fits"), F.when(n > 0, F.element_at("ends", n)).otherwise(0).alias("cut"), F.when(n > 0, F.element_at("counts", n)).otherwise(0).alias("tokens")
-    )
+    """Rows of prefix_counts -> doc_id, fits, cut, tokens: whether the text fits, and the longest prefix that does. A longer prefix
+    may have fewer tokens, so the last that fits is looked for."""
+    cut = F.coalesce(F.array_max(F.transform("counts", lambda c, i: F.when(c <= budget, i + 1))), F.lit(0))
+    rows = table.withColumn("cut", cut)
+    return rows.select("doc_id", (F.col("cut") == F.size("counts")).alias("fits"), "cut", F.when(F.col("cut") > 0, F.get("counts", F.col("cut") - 1)).otherwise(0).alias("tokens"))

@@ -66,3 +66,23 @@ def test_rows(spark, sp):
     fit = {r["doc_id"]: r for r in tokens.fitting(tokens.prefix_counts(df, PATH), 3).collect()}
     assert fit[4]["fits"] and not fit[3]["fits"] and len(sp.encode(some[3][: fit[3]["cut"]])) == fit[3]["tokens"] <= 3
     assert tokens.token_counts(df.limit(0), PATH).count() == 0
+
+
+UNSPACED = ["日本語の長い文章はここで切れます。", "aGVsbG8gd29ybGQhIQ==" * 6, "x\n\nantidisestablishmentarianism", "\nabc", "é" * 20 + "ａ😀b龘c" * 3]
+
+
+def test_budgets_inside_unspaced_text(spark, sp):
+    some = UNSPACED + texts(40, 9)
+    table = tokens.prefix_counts(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), PATH).cache()
+    for budget in (0, 1, 2, 5, 9):
+        for r in tokens.fitting(table, budget).collect():
+            t = some[r["doc_id"]]
+            counts = [len(sp.encode(t[:i])) for i in range(len(t) + 1)]
+            cut = max(i for i, n in enumerate(counts) if n <= budget)
+            assert (r["fits"], r["cut"], r["tokens"]) == (counts[-1] <= budget, cut, counts[cut]), (t, budget)
+
+
+def test_tables_are_those_of_single_texts():
+    own = tokens.Counter(PATH)
+    some = ["", "a b", "日本語" * 40, " x\n"]
+    assert [t.tolist() for t in own.tables(some)] == [own.prefixes(t)[1] for t in some]
