@@ -124,30 +124,36 @@ def links(fps: DataFrame) -> DataFrame:
     return small.union(_links_in(again.filter(f"n <= {PAIRED}"), "key", "key2")).union(trees).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per row of `docs`: doc_id, text_hash, fp and component_id, the smallest doc_id reachable over links.
-
-    Null and empty texts have fingerprint 0 and are linked like others. Equal texts share a fingerprint.
-    Null ids are kept and count as larger than any other; a component of null ids has a null id.
-    An empty table gives an empty result. Extra columns aren't read.
-    """
+def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of near_duplicates, and root: a fingerprint that names the component, never null."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), fingerprints(F.col(text_col)).alias("fp"))
     slim = checkpointed(slim)
     fps = checkpointed(slim.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = checkpointed(components(links(fps.select("fp"))))
     linked = roots.join(fps, roots["node"] == fps["fp"]).select("node", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component")).withColumnRenamed("root", "r")
-    linked = linked.join(least, linked["root"] == least["r"]).select("node", "component")
-    labels = fps.join(linked, fps["fp"] == linked["node"], "left").select(F.col("fp").alias("label_fp"), F.coalesce("component", "least").alias("component_id"))
+    linked = linked.join(least, linked["root"] == least["r"]).select("node", "root", "component")
+    labels = fps.join(linked, fps["fp"] == linked["node"], "left")
+    labels = labels.select(F.col("fp").alias("label_fp"), F.coalesce("component", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
     labels = checkpointed(labels)
-    return slim.join(labels, slim["fp"] == labels["label_fp"]).select("doc_id", "text_hash", "fp", "component_id")
+    return slim.join(labels, slim["fp"] == labels["label_fp"]).select("doc_id", "text_hash", "fp", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per row of `docs`: doc_id, text_hash, fp and component_id, the smallest doc_id reachable over links.
+
+    Null and empty texts have fingerprint 0 and are linked like others. Equal texts share a fingerprint.
+    Null ids are kept and count as larger than any other; a component of null ids has a null id.
+    An empty table gives an empty result. Extra columns aren't read.
+    """
+    return _labelled(docs, id_col, text_col).drop("root")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of `docs` for each component: that with the smallest id (of repeated rows, one)."""
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy(F.col("doc_id").alias("__id")).agg(F.min("text_hash").alias("__hash"))
+    """One row of `docs` for each component: that with the smallest id, nulls last (of repeated rows, one). Ids may repeat across components."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k")
+    kept = _labelled(docs, id_col, text_col).groupBy("root").agg(first).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
     on = [docs[id_col].eqNullSafe(F.col("__id")), F.xxhash64(docs[text_col]) == F.col("__hash")]
-    rows = docs.join(kept, on, "left_semi").withColumn("__row", F.row_number().over(W.partitionBy(id_col).orderBy(F.xxhash64(text_col))))
-    return rows.filter("__row = 1").drop("__row")
+    rows = docs.join(kept, on, "left_semi").withColumn("__hash", F.xxhash64(text_col))
+    rows = rows.withColumn("__row", F.row_number().over(W.partitionBy(id_col, "__hash").orderBy("__hash")))
+    return rows.filter("__row = 1").drop("__row", "__hash")

@@ -92,3 +92,11 @@ def test_drop_keeps_one_of_each(spark):
     kept = [r["doc_id"] for r in got.collect()]
     assert sorted(kept, key=str) == sorted([3, 4, None], key=str)
     assert simhash.drop_near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_drop_keeps_components_without_ids_of_their_own(spark):
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(300)) for _ in range(5)]
+    rows = [(None, texts[0], "", ""), (None, texts[1], "", ""), (None, texts[1], "", ""), (7, texts[2], "", ""), (7, texts[3], "", ""), (None, texts[4], "", ""), (8, texts[4], "", "")]
+    got = [(r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(got, key=str) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4])], key=str)
