@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,8 @@ MIN_LIFT_BEGINNING = 60.0
 #: Lengths of beginnings, which are entries like words, marked with a trailing "*". A beginning longer than
 #: another entry's is only listed if that one isn't.
 BEGINNINGS = (4, 5, 6)
-#: Tokens of a training sequence, and sequences with and without lexicon words.
+#: Tokens of a training sequence, and at most so many sequences each with and without lexicon words, the first by a hash of
+#: their place, so that all texts of the sample are drawn from.
 SEQUENCE, SEQUENCES = 48, 3000
 STEPS, RATE, PENALTY = 200, 0.2, 1e-3
 THRESHOLD = 0.5
@@ -223,16 +225,17 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     if not words:
         return Model({}, frozenset(), -5.0, 0.0, ((0.0, 0.0), (0.0, 0.0)), (-3.0, 0.0, 0.0))
     number = {w: i + 1 for i, w in enumerate(words)}
-    marked: list[tuple[list[int], bool]] = []
-    plain: list[tuple[list[int], bool]] = []
-    for text, k in zip(texts, labels, strict=True):
+    marked: list[tuple[int, int, int, list[int], bool]] = []
+    plain: list[tuple[int, int, int, list[int], bool]] = []
+    for n, (text, k) in enumerate(zip(texts, labels, strict=True)):
         own = [number.get(entry_of(t, number), 0) for t in tokens_of(text)]
         for i in range(0, len(own), SEQUENCE):
             piece = own[i : i + SEQUENCE]
             kind = marked if any(piece) else plain
-            if len(kind) < SEQUENCES:
-                kind.append((piece, k == 1))
-    pieces = marked + plain
+            kind.append((xxhash.xxh64_intdigest(f"{n}:{i}"), n, i, piece, k == 1))
+            if len(kind) >= 2 * SEQUENCES:
+                kind[:] = sorted(kind)[:SEQUENCES]
+    pieces = [x[3:] for kind in (marked, plain) for x in sorted(kind)[:SEQUENCES]]
     seen, labs, mask = (np.zeros((len(pieces), SEQUENCE), kind) for kind in (np.int64, np.int8, bool))
     for i, (piece, bad) in enumerate(pieces):
         seen[i, : len(piece)] = piece

@@ -68,3 +68,15 @@ def test_odd_tables(spark):
     assert len(got) == 4 and all(r["predicted"] == 0 and 0 <= r["score"] <= 1 for r in got)
     only = spark.createDataFrame([(1, 1), (1, None), (2, 1), (None, 0)], "doc_id long, toxic int")
     assert toxicity.score(docs.limit(0), toxicity.train(docs, only)).count() == 0
+
+
+def test_pieces_are_drawn_from_all_texts(monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "SEQUENCES", 40)
+    chain = toxicity._fit_chain
+    monkeypatch.setattr(toxicity, "_fit_chain", lambda *a: (seen.append(a), chain(*a))[1])
+    monkeypatch.setattr(toxicity, "STEPS", 2)
+    toxicity.fit(["vile words " * 24] * 100 + ["foul words " * 24] * 100 + ["nice words " * 24] * 200, [1] * 200 + [0] * 200)
+    rows = seen[0][0]
+    marked = [set(r[r > 0].tolist()) for r in rows if r.any()]
+    assert len(marked) == 40 and len(set().union(*marked)) >= 2
