@@ -9,8 +9,24 @@ ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 TOKEN = r"[\p{L}\p{N}]+"
 
-#: Words that carry no topic.
-STOPWORDS = tuple("the and for are was with that this from you not but have has had his her its they them their what which who whom how why when where does did can will would should about into than then".split())
+# Words that carry no topic in a question; in a title; in a printed heading.
+STOPWORDS = tuple(
+    """
+    a an the is was were are be been being when where who whom what
+    which why how did does do first term used use to of in on at by
+    for with about and or but that this these those it its i you he
+    she we they his her their our your my me him them
+    """.split()
+)
+THEME_STOPWORDS = tuple(
+    "a an and the of to in on for our your my his her their is are be we you i it with "
+    "by from as at that this how why what who when not no can will".split()
+)
+HEADING_STOPWORDS = (
+    "THE", "AND", "OF", "A", "IN", "TO", "ETC", "ON", "BY", "FOR", "WITH",
+    "HIS", "HER", "THEIR", "IS", "ARE", "AS", "AT", "OR", "AN", "BE", "IT",
+    "ITS", "FROM", "THAT", "THIS", "WE", "OUR", "US", "ALL", "NOT", "BUT",
+)
 
 
 def folded(text: Column) -> Column:
@@ -24,12 +40,10 @@ def tokens(text: Column) -> Column:
 
 
 def keywords(text: Column, limit: int = 6, possessive: bool = False) -> Column:
-    """X-07, X-08: the first different words that are longer than two letters and no stopwords."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}']+"), F.lit(0))
-    if possessive:
-        words = F.transform(words, lambda w: F.regexp_replace(w, r"'s$", ""))
-    kept = F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(list(STOPWORDS)))
-    return F.slice(F.array_distinct(kept), 1, limit)
+    """X-07, X-08: the first different words that are longer than two letters and no stopwords; `possessive` then takes the 's off them."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z']+"), F.lit(0))
+    kept = F.slice(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(list(STOPWORDS)))), 1, limit)
+    return F.transform(kept, lambda w: F.regexp_replace(w, "'s$", "")) if possessive else kept
 
 
 def snippet(text: Column, words: list[str], limit: int = 220, lead: int = 80) -> Column:
@@ -61,10 +75,11 @@ REFERENCE = r"^\s*((?:\d\s+)?[\p{L}][\p{L}\p{N}_.&' -]*?)\s+(\d+)(?::(\d+)(?:\s*
 
 
 def reference_parts(text: Column) -> Column:
-    """H-19, F-17: book, chapter, first, last of "Book c", "Book c:v" or "Book c:v-w"; null if it is none."""
-    part = lambda i: F.nullif(F.regexp_extract(text, REFERENCE, i), F.lit(""))
-    found = F.struct(part(1).alias("book"), part(2).try_cast("int").alias("chapter"), part(3).try_cast("int").alias("first"), part(4).try_cast("int").alias("last"))
-    return F.when(F.regexp_like(text, F.lit(REFERENCE)), found)
+    """H-19, F-17: book, chapter, first, last of "Book c", "Book c:v" or "Book c:v-w"; null if it is none. The text is matched once."""
+    found = F.split(F.regexp_replace(text, REFERENCE, "$1\u0001$2\u0001$3\u0001$4"), "\u0001")
+    number = lambda p, i: F.get(p, F.lit(i)).try_cast("int")
+    read = lambda p: F.when(F.size(p) == 4, F.struct(F.get(p, F.lit(0)).alias("book"), number(p, 1).alias("chapter"), number(p, 2).alias("first"), number(p, 3).alias("last")))
+    return F.get(F.transform(F.array(found), read), F.lit(0))
 
 
 def book_key(name: Column) -> Column:
@@ -154,9 +169,15 @@ def tagged_text(tags: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(tags)), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), F.array_join(e["value"], ","))), " ")
 
 
-def title_words(text: Column, stop: tuple[str, ...] = ("THE", "AND", "FOR", "WITH")) -> Column:
-    """F-20: different upper-case words of three letters and more."""
-    return F.array_distinct(F.filter(F.split(F.upper(text), r"[^A-Z]+"), lambda w: (F.length(w) >= 3) & ~w.isin(list(stop))))
+def title_words(text: Column, stop: tuple[str, ...] = HEADING_STOPWORDS) -> Column:
+    """F-20: different upper-case words of three letters or digits and more."""
+    return F.array_distinct(F.filter(F.split(F.upper(text), r"[^A-Z0-9]+"), lambda w: (F.length(w) >= 3) & ~w.isin(list(stop))))
+
+
+def theme_words(text: Column) -> Column:
+    """H-15: different words of a title that aren't stopwords, without 's or s at the end."""
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z']+"), F.lit(0)), lambda w: ~w.isin(list(THEME_STOPWORDS)))
+    return F.array_distinct(F.transform(words, lambda w: F.regexp_replace(w, "(?:'s|s)$", "")))
 
 
 def is_page_number(text: Column) -> Column:

@@ -39,23 +39,32 @@ def borrowed_labels(verses: DataFrame, tagged: DataFrame, band: int = 4, least:
     return best.select("id", F.explode(found("b.mine", "b.text", "b.tags")).alias("l")).select("id", "l.position", "l.numbers")
 
 
+def speaker_marks(speaker: str | None) -> list[str]:
+    """J-17: what names a speaker in a byline: the first name or initial if there is more than one name, and the surname."""
+    names = [n for n in re.sub("[.,]", "", (speaker or "").upper()).split() if n not in ("JUN", "SEN", "JR", "SR")]
+    return list(dict.fromkeys([*names[:1], *names[-1:]]))
+
+
 def in_step(candidates: list[tuple[int, set[str], str]], entries: list[tuple[int, set[str], str]], ahead: int = 8, least: int = 2) -> dict[int, int]:
-    """J-17 for one volume: candidates (place, title words, text nearby) and entries (number, title words, speaker mark), both in the
-    order of the book -> place by number. A candidate takes the entry, among the next few that are free, with which it shares most words; without
-    a usable title, the first whose speaker stands nearby. What is skipped stays unmatched."""
-    out: dict[int, int] = {}
-    free = 0
+    """J-17 for one volume: candidates (place, title words, text nearby) and entries (number, title words, speaker), both in the order of the
+    book -> place by number. Each candidate takes, of the next `ahead` entries behind the last one taken, the one with most shared title words
+    (two, or all of a shorter title, at least); if there is none, the first whose speaker is named nearby. Entries passed over stay unmatched."""
+    matched: dict[int, int] = {}
+    waiting = list(enumerate(entries))
+
+    def claim(words: set[str], nearby: str, title: set[str], speaker: str) -> tuple[int, int] | None:
+        shared = len(words & title)
+        if title and shared >= min(least, len(title)):
+            return 0, -shared
+        return (1, 0) if any(m in nearby.upper() for m in speaker_marks(speaker)) else None
+
     for place, words, nearby in candidates:
-        window = entries[free : free + ahead]
-        shared = [(len(words & w), -k) for k, (_, w, _) in enumerate(window) if w and len(words & w) >= min(least, len(w))]
-        if shared:
-            k = -max(shared)[1]
-        else:
-            k = next((k for k, (_, _, speaker) in enumerate(window) if speaker and speaker in nearby), None)
-        if k is not None:
-            out[window[k][0]] = place
-            free += k + 1
-    return out
+        claims = [(*c, at) for at, (_, title, speaker) in waiting[:ahead] if (c := claim(words, nearby, title, speaker))]
+        if claims:
+            at = min(claims)[-1]
+            matched[entries[at][0]] = place
+            waiting = list(enumerate(entries))[at + 1 :]
+    return matched
 
 
 def aligned_titles(candidates: DataFrame, entries: DataFrame, ahead: int = 8) -> DataFrame:

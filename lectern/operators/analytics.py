@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Groups (kinds, languages) whose figures may be sent to all tasks.
+FEW_GROUPS = 10_000
+
 
 def recent_distinct(rows: DataFrame, owner: str, item: str, at: str, k: int) -> DataFrame:
     """A-01: the k most recently seen different items of each owner."""
@@ -13,6 +16,23 @@ def recent_distinct(rows: DataFrame, owner: str, item: str, at: str, k: int) ->
     return last.withColumn("rank", F.row_number().over(W.partitionBy(owner).orderBy(F.col("last_at").desc(), item)).cast("long")).filter(F.col("rank") <= k)
 
 
+def verse_counts(chapters: DataFrame, verses: DataFrame, key: str, number: str) -> DataFrame:
+    """A-02: the highest verse number of each chapter, 0 without verses. Aggregated before the join."""
+    most = verses.groupBy(key).agg(F.max(number).alias("verses"))
+    return chapters.select(key).join(most, key, "left").select(key, F.coalesce("verses", F.lit(0)).cast("long").alias("verses"))
+
+
+def relative_cutoff(scores: DataFrame, share: float = 0.35) -> DataFrame:
+    """T-04: results (query, score) that score at least `share` of their query's best."""
+    return scores.withColumn("__best", F.max("score").over(W.partitionBy("query"))).filter(F.col("score") >= share * F.col("__best")).drop("__best")
+
+
+def close_names(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """F-12, S-14: names a and b under the same keys that differ in one letter of six at most: keys, a, b, distance."""
+    pairs = a.join(b, keys).withColumn("distance", F.levenshtein("a", "b").cast("long"))
+    return pairs.filter(F.col("distance") <= F.greatest(F.lit(1), F.floor(F.length("a") / 6)))
+
+
 def islands(days: DataFrame, owner: str, day: str) -> DataFrame:
     """W-01, W-02: runs of consecutive days of each owner: first_day, last_day, length. Days may repeat."""
     numbered = days.select(owner, F.col(day).alias("d")).distinct().withColumn("n", F.row_number().over(W.partitionBy(owner).orderBy("d")))
@@ -37,7 +57,8 @@ def round_robin(rows: DataFrame, group: str, *order: Column) -> DataFrame:
     """W-11: interleaves groups: everyone's first, then everyone's second; groups by their best row. Adds turn and place."""
     ranked = rows.withColumn("turn", F.row_number().over(W.partitionBy(group).orderBy(*order)).cast("long"))
     best = ranked.filter("turn = 1").select(group, F.row_number().over(W.orderBy(*order)).alias("group_rank"))
-    return ranked.join(F.broadcast(best), group).orderBy("turn", "group_rank")
+    few = rows.select(group).distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    return ranked.join(F.broadcast(best) if few else best, group).orderBy("turn", "group_rank")
 
 
 def capped(rows: DataFrame, group: str | list[str], cap: int | Column, *order: Column) -> DataFrame:
@@ -52,6 +73,8 @@ def rank_fraction(rows: DataFrame, score: str, groups: str) -> DataFrame:
     Groups are kinds, so few: their bests go along as one sorted array. Each row counts for the bests below it; rows are summed
     by that number, and only these sums are ordered."""
     best = rows.groupBy(groups).agg(F.max(score).alias("best"))
+    if (found := best.limit(FEW_GROUPS + 1).count()) > FEW_GROUPS:
+        raise ValueError(f"more than {found - 1} groups: their bests can't be sent along with the rows")
     ladder = best.agg(F.array_sort(F.collect_set("best")).alias("bests"))
     beaten = rows.crossJoin(F.broadcast(ladder)).groupBy(F.size(F.filter("bests", lambda b: b < F.col(score))).alias("k")).agg(F.count("*").alias("n"))
     down = W.orderBy(F.col("k").desc()).rowsBetween(W.unboundedPreceding, 0)
@@ -82,16 +105,18 @@ def fit_tiers(counts: DataFrame, limit: int) -> DataFrame:
     return kept.withColumn("turn", turn).select("tier", "n", (F.col("base") + F.when(F.col("open") & (F.col("turn") <= F.col("free")), 1).otherwise(0)).cast("long").alias("kept"))
 
 
-def document_frequency(rows: DataFrame, doc: str, tokens: Column) -> DataFrame:
-    """A-07: different documents for each token."""
-    return rows.select(F.col(doc).alias("d"), F.explode(F.array_distinct(tokens)).alias("token")).groupBy("token").agg(F.count_distinct("d").alias("df"))
+def document_frequency(rows: DataFrame, doc: str, tokens: Column, one_row_each: bool = False) -> DataFrame:
+    """A-07: different documents for each token. Documents that have one row each needn't be told apart, so tokens are counted before anything is shuffled."""
+    found = rows.select(F.col(doc).alias("d"), F.explode(F.array_distinct(tokens)).alias("token")).groupBy("token")
+    return found.agg((F.count("*") if one_row_each else F.count_distinct("d")).alias("df"))
 
 
 def bigrams(rows: DataFrame, tokens: Column, least: int) -> DataFrame:
-    """A-10: neighbouring token pairs found at least so often."""
-    pairs = F.arrays_zip(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))).alias("a"), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))).alias("b"))
-    found = rows.select(tokens.alias("t")).filter(F.size("t") > 1).select(F.explode(pairs).alias("p")).select(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-    return found.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    """A-10: neighbouring token pairs found at least so often. Pairs are counted as one text each."""
+    listed = rows.select(tokens.alias("t")).filter(F.size("t") > 1)
+    pairs = F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    found = listed.select(F.explode(pairs).alias("p")).groupBy("p").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return found.select(F.split_part("p", F.lit(" "), F.lit(1)).alias("a"), F.split_part("p", F.lit(" "), F.lit(2)).alias("b"), "n")
 
 
 def proper_names(rows: DataFrame, doc: str, text: str, word: str) -> DataFrame:
@@ -119,7 +144,7 @@ def pending(pieces: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def checksum(rows: DataFrame, text: str) -> DataFrame:
-    """A-08: rows and characters, and an order-free hash, to tell whether a rewrite is needed."""
+    """A-08: rows and characters, to tell cheaply whether a rewrite is needed."""
     return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(text)), F.lit(0)).cast("long").alias("chars"))
 
 

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.functions.alignment import seq_ratio
-from lectern.functions.text import tokens
+from lectern.functions.alignment import WORD, seq_ratio
 from lectern.operators.analytics import capped
 
 #: Rows up to which a word is joined in the first step of `candidates`, and words of its first side that may be broadcast.
@@ -63,50 +62,77 @@ def refreshed(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame
 def cleared(ranges: DataFrame, owner: str, at: str) -> DataFrame:
     """D-08: half-open ranges (owner, id, start, end, at): a later one tombstones all earlier ones that it overlaps, even if it is itself tombstoned later.
 
-    Not pairs: ranges are ordered by start, and a segment of equal owner is folded; a range is gone if any later-made range overlaps it, that is, if the
-    latest time among ranges that start before its end and end after its start is later. Both are window maxima over positions on the line."""
-    points = ranges.select(owner, F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("x"), at, "id")
-    top = points.groupBy(owner, "x").agg(F.max(F.struct(at, "id")).alias("top"))
-    marked = points.join(top, [owner, "x"]).groupBy(owner, "id").agg(F.max(F.struct(F.col(f"top.{at}"), F.col("top.id"))).alias("last"), F.max(F.struct(F.col(at), F.col("id"))).alias("own"))
-    return ranges.join(marked.select(owner, "id", (F.col("last") > F.col("own")).alias("deleted")), [owner, "id"])
-
-
-def candidates(a: DataFrame, b: DataFrame, most: int = 10, step: int = STEP) -> DataFrame:
-    """J-16, D-14: a: id_a, text_a; b: id_b, text_b -> for each a the b with the highest sum of 1 / document frequency over shared words, up to `most`.
-
-    Words that a quarter of b's rows or more have don't count, as in the reference, unless one row alone has them. `step` cuts nothing: words that more
-    rows have are joined later. If the `most`-th best sum of an a over its rarer words is above what its other words can add, only b within that of it
-    are completed; every other a is joined by all of its words."""
-    words_b = b.select("id_b", F.explode(F.array_distinct(tokens(F.col("text_b")))).alias("w"))
-    words_a = a.select("id_a", F.explode(F.array_distinct(tokens(F.col("text_a")))).alias("w"))
+    No pairs of ranges: an owner's endpoints cut its line into segments, numbered in order, and each segment keeps the latest range on it. A range is
+    gone if a later one is the latest on any of its segments. Rows grow with the segments a range spans, not with the length of the line."""
+    ends = ranges.select(owner, F.explode(F.array("start", "end")).alias("x")).distinct()
+    ends = ends.withColumn("n", F.row_number().over(W.partitionBy(owner).orderBy("x")))
+    place = lambda c: ends.select(owner, F.col("x").alias(c), F.col("n").alias(f"{c}_n"))
+    spans = ranges.filter("start < end").join(place("start"), [owner, "start"]).join(place("end"), [owner, "end"])
+    points = spans.select(owner, "id", F.struct(F.col(at).alias("at"), "id").alias("own"), F.explode(F.sequence("start_n", F.col("end_n") - 1)).alias("n"))
+    top = points.groupBy(owner, "n").agg(F.max("own").alias("top"))
+    last = points.join(top, [owner, "n"]).groupBy(owner, "id").agg(F.max("top").alias("last"), F.max("own").alias("own"))
+    marked = last.select(owner, "id", (F.col("last") > F.col("own")).alias("deleted"))
+    return ranges.join(marked, [owner, "id"], "left").withColumn("deleted", F.coalesce("deleted", F.lit(False)))
+
+
+def candidates(a: DataFrame, b: DataFrame, most: int = 5, step: int = STEP, book: list[str] | None = None) -> DataFrame:
+    """J-16: a: id_a, text_a; b: id_b, text_b, both with the columns of `book` -> for each a the b of the same book with the highest sum of
+    1 / document frequency over shared words, up to `most`; equal sums go by id.
+
+    Words that a quarter of a book's rows or more have don't count. `step` cuts nothing: words that more rows have are joined later. If the
+    `most`-th best sum of an a over its rarer words is above what its other words can add, only b within that of it are completed; every other
+    a is joined by all of its words."""
+    book, own = book or [], [*(book or []), "w"]
+    found = lambda text: F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD.pattern), F.lit(0)), F.lower))
+    words_b, words_a = b.select("id_b", *book, F.explode(found("text_b")).alias("w")), a.select("id_a", *book, F.explode(found("text_a")).alias("w"))
     hint = F.broadcast if words_a.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS else lambda small: small
-    df = words_b.join(hint(words_a.select("w").distinct()), "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))
-    df = df.crossJoin(F.broadcast(b.agg(F.count("*").alias("n")))).filter((4 * F.col("df") < F.col("n")) | (F.col("df") == 1)).drop("n")
-    terms, common = words_a.join(df, "w"), F.col("df") > step
-    parts = words_b.join(hint(terms.filter(~common)), "w").groupBy("id_a", "id_b").agg(F.sum(1 / F.col("df")).alias("part"))
+    df = words_b.join(hint(words_a.select(*own).distinct()), own, "left_semi").groupBy(*own).agg(F.count("*").alias("df"))
+    sizes = b.groupBy(*book).agg(F.count("*").alias("n"))
+    df = (df.join(sizes, book) if book else df.crossJoin(F.broadcast(sizes))).filter(4 * F.col("df") < F.col("n")).drop("n")
+    terms, common = words_a.join(df, own), F.col("df") > step
+    parts = words_b.join(hint(terms.filter(~common)), own).groupBy("id_a", "id_b").agg(F.sum(1 / F.col("df")).alias("part"))
     best = capped(parts, "id_a", most, F.col("part").desc()).groupBy("id_a").agg(F.when(F.count("*") == most, F.min("part")).alias("least"))
     ahead = terms.groupBy("id_a").agg(F.collect_list(F.when(common, F.struct("w", "df"))).alias("others"), F.coalesce(F.sum(F.when(common, 1 / F.col("df"))), F.lit(0.0)).alias("more"))
     ahead = ahead.join(best, "id_a", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
     known = (F.col("more") == 0) | (F.col("least") > F.col("more") + SLACK)
-    near = parts.join(ahead.filter(known), "id_a").filter(F.col("part") >= F.col("least") - F.col("more") - SLACK).join(b, "id_b").withColumn("words", tokens(F.col("text_b")))
+    near = parts.join(ahead.filter(known), "id_a").filter(F.col("part") >= F.col("least") - F.col("more") - SLACK)
+    near = near.join(b.select("id_b", found("text_b").alias("words")), "id_b")
     added = F.aggregate("others", F.lit(0.0), lambda total, x: total + F.when(F.array_contains(F.col("words"), x["w"]), 1 / x["df"]).otherwise(0.0))
     near = near.select("id_a", "id_b", (F.col("part") + added).alias("weight"))
     rest = terms.join(ahead.filter(~known).select("id_a"), "id_a", "left_semi")
-    whole = words_b.join(hint(rest), "w").groupBy("id_a", "id_b").agg(F.sum(1 / F.col("df")).alias("weight"))
+    whole = words_b.join(hint(rest), own).groupBy("id_a", "id_b").agg(F.sum(1 / F.col("df")).alias("weight"))
     shared = near.unionByName(whole).withColumn("weight", F.round("weight", 12))
-    return capped(shared, "id_a", most, F.col("weight").desc(), F.col("id_b"))
+    place = F.row_number().over(W.partitionBy("id_a").orderBy(F.col("weight").desc(), "id_b")).cast("long")
+    return shared.withColumn("place", place).filter(F.col("place") <= most).select("id_a", "id_b", "weight", "place")
+
+
+def _most_alike(pairs: DataFrame, least: float, *first: Column) -> DataFrame:
+    """pairs (id_a, id_b, ratio) -> of each a the b with the highest ratio that is `least` at least; equal ones go by `first`, then by id."""
+    order = F.struct("ratio", *[-f for f in first], -F.col("id_b"))
+    return pairs.filter(F.col("ratio") >= least).groupBy("id_a").agg(F.max_by(F.struct("id_b", "ratio"), order).alias("r")).select("id_a", "r.*")
+
+
+def parallels(a: DataFrame, b: DataFrame, least: float = 0.5, most: int = 5, book: list[str] | None = None) -> DataFrame:
+    """J-16: for each a the b of the same book whose list of words is most alike, among the first by rare words, if it is alike enough: id_a, id_b, ratio."""
+    pairs = candidates(a, b, most, book=book).join(a.select("id_a", "text_a"), "id_a").join(b.select("id_b", "text_b"), "id_b")
+    return _most_alike(pairs.select("id_a", "id_b", "place", seq_ratio("text_a", "text_b", least, words=True).alias("ratio")), least, F.col("place"))
 
 
-def nearest_text(a: DataFrame, b: DataFrame, least: float, most: int = 10) -> DataFrame:
-    """J-15, J-16, J-18, D-14: for each a the most similar b among its candidates, if similar enough: id_a, id_b, ratio."""
-    pairs = candidates(a, b, most).select("id_a", "id_b").join(a, "id_a").join(b, "id_b")
-    scored = pairs.withColumn("ratio", seq_ratio("text_a", "text_b")).filter(F.col("ratio") >= least)
-    return scored.groupBy("id_a").agg(F.max_by(F.struct("id_b", "ratio"), F.struct("ratio", -F.col("id_b"))).alias("r")).select("id_a", "r.*")
+def nearest_text(a: DataFrame, b: DataFrame, least: float = 0.7, most: int = 10, book: list[str] | None = None) -> DataFrame:
+    """J-18, D-14: for each a the b of the same book that is most alike by letters among those that share most words, if alike enough: id_a, id_b, ratio.
+    Words stand between spaces; equal numbers go by id."""
+    words = lambda text: F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
+    book = book or []
+    words_a, words_b = a.select("id_a", *book, F.explode(words("text_a")).alias("w")), b.select("id_b", *book, F.explode(words("text_b")).alias("w"))
+    shared = words_a.join(words_b, [*book, "w"]).groupBy("id_a", "id_b").agg(F.count("*").alias("shared"))
+    pairs = capped(shared, "id_a", most, F.col("shared").desc(), F.col("id_b")).join(a.select("id_a", "text_a"), "id_a").join(b.select("id_b", "text_b"), "id_b")
+    return _most_alike(pairs.select("id_a", "id_b", seq_ratio("text_a", "text_b", least).alias("ratio")), least)
 
 
 def rehomed(marks: DataFrame, moved: DataFrame) -> DataFrame:
-    """D-14: marks (id, target) of displaced texts follow them: moved has id_a, id_b. All is decided before anything is changed; what has no new place is
-    tombstoned."""
+    """D-14: marks (id, target) of displaced texts follow them: moved has id_a, id_b. All is decided before anything is changed; what has no new place, or
+    its old one, is marked as unplaced."""
+    moved = moved.filter("id_a <> id_b")
     return marks.join(moved, marks["target"] == moved["id_a"], "left").select(*[c for c in marks.columns if c != "target"], F.coalesce("id_b", "target").alias("target"), F.col("id_b").isNull().alias("unplaced"))
 
 

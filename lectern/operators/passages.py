@@ -40,31 +40,36 @@ def windows(rows: DataFrame, chapter: str, number: str, text: str, most: int = 3
     return folded.select(chapter, F.col("window").cast("long").alias("window"), F.col("w.first").alias("first"), F.col("w.last").alias("last"), F.col("w.size").alias("n_chars"))
 
 
-def packed(text: str, target: int = 1200, most: int = 2000) -> list[str]:
-    """W-04: paragraphs packed up to about target characters; long ones cut at sentence ends, at worst anywhere."""
-    pieces: list[str] = []
-    for paragraph in (p.strip() for p in re.split(r"\n\s*\n|\n", text or "")):
-        if len(paragraph) <= most:
-            pieces += [paragraph] if paragraph else []
-            continue
-        now = ""
-        for sentence in re.split(r"(?<=[.!?])\s+", paragraph):
-            for part in (sentence[i : i + most] for i in range(0, max(len(sentence), 1), most)):
-                if now and len(now) + 1 + len(part) > most:
-                    pieces.append(now)
-                    now = part
-                else:
-                    now = f"{now} {part}".strip()
-        pieces += [now] if now else []
+def _gathered(units: list[str], sep: str, most: int, enough: int) -> list[str]:
+    """Neighbours joined while the whole is at most `most`; what has reached `enough` takes nothing more."""
     out: list[str] = []
-    for p in pieces:
-        if out and len(out[-1]) < target and len(out[-1]) + 2 + len(p) <= most:
-            out[-1] += "\n\n" + p
+    for unit in units:
+        if out and len(out[-1]) < enough and len(out[-1]) + len(sep) + len(unit) <= most:
+            out[-1] += sep + unit
         else:
-            out.append(p)
+            out.append(unit)
     return out
 
 
+def _sentences(paragraph: str, most: int) -> list[str]:
+    """A paragraph's sentences; one of more than `most` characters is cut there, and what is left of it goes on."""
+    out: list[str] = []
+    for sentence in re.split(r"(?<=[.!?])\s+", paragraph):
+        whole = (len(sentence) - 1) // most * most
+        out += [sentence[i : i + most] for i in range(0, whole, most)]
+        out += filter(None, [sentence[whole:].strip() if whole else sentence])
+    return out
+
+
+def packed(text: str | None, target: int = 1200, most: int = 2000) -> list[str]:
+    """W-04: paragraphs packed until a passage has `target` characters, never above `most`. A longer paragraph is first cut at sentence
+    ends into units of at most `target`, at worst anywhere."""
+    units: list[str] = []
+    for paragraph in filter(None, (line.strip() for line in (text or "").split("\n"))):
+        units += [paragraph] if len(paragraph) <= most else _gathered(_sentences(paragraph, most), " ", target, most)
+    return _gathered(units, "\n\n", most, target)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def packed_passages(texts: pd.Series) -> pd.Series:
     return pd.Series([packed(t) for t in texts])

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.functions.text import book_key, reference_parts
+from lectern.functions.text import book_key, reference_parts, theme_words
 from lectern.operators.analytics import capped
-from lectern.operators.hierarchy import earliest
+from lectern.operators.hierarchy import earliest, located
 
 RRF = 60
 #: Owners whose accepted themes may be broadcast.
@@ -67,22 +67,38 @@ def retrieval_query(turns: DataFrame, filters: str) -> DataFrame:
     return kept.groupBy("conv_id").agg(F.array_join(F.transform(listed, lambda x: x["rest"]), " ").alias("query"))
 
 
-def consensus(citations: DataFrame, works: DataFrame, top: int = 25, least: int = 2, limit: int = 10) -> DataFrame:
-    """H-08: passages that several of a query's best works cite. citations: work, reference (all works); works: query, work, rank.
+def consensus(citations: DataFrame, works: DataFrame, top: int = 25, least: int = 2) -> DataFrame:
+    """H-08: parts that several of a query's best works cite: query, reference, works, score. citations: work, reference (all works); works: query, work,
+    rank from 0, and identity (optional): of works with the same identity, reprints, only the best one counts.
 
-    A work weighs 1 / max(1, sqrt(references / 15)) / sqrt(rank + 1), ranks from 0; a reference's weight is the sum over its works times
-    ln(all works / works that cite it)."""
+    A work weighs 1 / max(1, sqrt(references / 15)) / sqrt(rank + 1); a reference's score is the sum over its works times ln(all works / works that cite it)."""
     pairs = citations.select("work", "reference").distinct()
     size = pairs.groupBy("work").agg(F.count("*").alias("refs"))
     total = size.agg(F.count("*").alias("total"))
     df = pairs.groupBy("reference").agg(F.count("*").alias("df"))
     chosen = works.filter(F.col("rank") < top).join(size, "work")
+    if "identity" in works.columns:
+        chosen = earliest(chosen, ["query", "identity"], "rank")
     chosen = chosen.withColumn("w", 1 / F.greatest(F.lit(1.0), F.sqrt(F.col("refs") / 15)) / F.sqrt(F.col("rank") + 1))
-    cited = F.broadcast(chosen) if chosen.count() <= 50_000 else chosen
+    cited = F.broadcast(chosen) if chosen.limit(50_001).count() <= 50_000 else chosen
     votes = pairs.join(cited.select("query", "work", "w"), "work").groupBy("query", "reference").agg(F.sum("w").alias("w"), F.count("*").alias("works")).filter(F.col("works") >= least)
-    scored = votes.join(df, "reference").crossJoin(F.broadcast(total)).withColumn("score", F.round(F.col("w") * F.ln(F.col("total") / F.col("df")), 6))
-    place = F.row_number().over(W.partitionBy("query").orderBy(F.col("score").desc(), "reference")).cast("long")
-    return scored.withColumn("rank", place).filter(F.col("rank") <= limit).select("query", "reference", "works", "score", "rank")
+    scored = votes.join(df, "reference").crossJoin(F.broadcast(total))
+    return scored.select("query", "reference", "works", F.round(F.col("w") * F.ln(F.col("total") / F.col("df")), 6).alias("score"))
+
+
+def consensus_passages(votes: DataFrame, verses: DataFrame, volumes: list[str] | None = None, chapters: DataFrame | None = None, without: tuple[str, ...] = (), longest: int = 6, limit: int = 10) -> DataFrame:
+    """H-08: what consensus found as passages: references at their place in the earliest volume (not in `without`), kept if in `volumes` and `chapters`
+    (chapter_id), neighbouring verses joined up to `longest`; a passage has its best verse's score and works. The best of each query."""
+    hit = located(votes, verses, without)
+    hit = hit.filter(F.col("volume_slug").isin(volumes)) if volumes is not None else hit
+    hit = hit.join(chapters.select("chapter_id"), "chapter_id", "left_semi") if chapters is not None else hit
+    own = ["query", "chapter_id"]
+    hit = hit.groupBy(*own, "verse").agg(F.max("score").alias("score"), F.max("works").alias("works"))
+    hit = hit.withColumn("run", F.col("verse") - F.row_number().over(W.partitionBy(*own).orderBy("verse")))
+    hit = hit.withColumn("piece", F.floor((F.row_number().over(W.partitionBy(*own, "run").orderBy("verse")) - 1) / longest))
+    spans = hit.groupBy(*own, "run", "piece").agg(F.min("verse").alias("first"), F.max("verse").alias("last"), F.max("score").alias("score"), F.max("works").alias("works"))
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.col("score").desc(), "chapter_id", "first")).cast("long")
+    return spans.withColumn("rank", rank).filter(F.col("rank") <= limit).select("query", "rank", "chapter_id", "first", "last", "score", "works")
 
 
 def parsed_selection(replies: DataFrame, limit: int = 12) -> DataFrame:
@@ -114,30 +130,33 @@ def resolved(asked: DataFrame, verses: DataFrame, aliases: DataFrame, cap: int =
     return texts.filter(F.col("place") <= cap).select("owner", "place", "label", F.array_join(F.transform("l", lambda x: x["verse"]), " ").alias("text"))
 
 
-def themes(titles: DataFrame, stop: list[str], most: int = 16, step: int = 200) -> DataFrame:
-    """H-15: owner, rank, title -> titles in order, without those that add no word to the topic words (stop) or share half of their words (of the smaller set)
-    with an accepted one.
+def themes(titles: DataFrame, topic: str = "", step: int = 200) -> DataFrame:
+    """H-15: owner, rank, title -> titles in order, each text once, without those that add no word to the topic's or share half of their words (of the
+    smaller set) with an accepted one. Spaces and quotation marks around a title don't count.
 
     Only the first of titles with the same words can be accepted. An owner's first `step` of these are folded first; of all that follow only those that
-    aren't close to a title accepted there go on, and none if there are `most`. No title is left out."""
-    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("title"), F.lit(r"[\p{L}]+"), F.lit(0)), lambda w: (F.length(w) > 3) & ~w.isin([*stop, ""])))
-    listed = titles.withColumn("words", F.array_sort(words)).filter(F.size("words") > 0).groupBy("owner", "words").agg(F.min(F.struct("rank", "title")).alias("t"))
+    aren't close to a title accepted there go on. No title is left out."""
+    own = F.array_except(theme_words(F.col("title")), theme_words(F.lit(topic)))
+    bare = titles.withColumn("title", F.trim(F.regexp_replace(F.trim("title"), '^["“”]+|["“”]+$', "")))
+    listed = bare.withColumn("words", F.array_sort(own)).filter(F.size("words") > 0).groupBy("owner", "words").agg(F.min(F.struct("rank", "title")).alias("t"))
     listed = listed.select("owner", F.struct("t.rank", "t.title", "words").alias("x"))
     close = lambda k, x: F.size(F.array_intersect(k["words"], x["words"])) * 2 >= F.least(F.size(k["words"]), F.size(x["words"]))
-    fold = lambda l, start: F.aggregate(l, start, lambda kept, x: F.when((F.size(kept) >= most) | F.exists(kept, lambda k: close(k, x)), kept).otherwise(F.concat(kept, F.array(x))))
+    fold = lambda l, start: F.aggregate(l, start, lambda kept, x: F.when(F.exists(kept, lambda k: close(k, x)), kept).otherwise(F.concat(kept, F.array(x))))
     in_order = F.array_sort(F.collect_list("x")).alias("l")
     first = capped(listed, "owner", step, F.col("x")).groupBy("owner").agg(in_order).select(F.col("owner").alias("o"), fold("l", F.slice("l", 1, 0)).alias("kept"))
     few = titles.select("owner").distinct().limit(FEW_OWNERS + 1).count() <= FEW_OWNERS
-    later = listed.join(F.broadcast(first) if few else first, F.col("owner").eqNullSafe(F.col("o"))).filter(F.size("kept") < most)
+    later = listed.join(F.broadcast(first) if few else first, F.col("owner").eqNullSafe(F.col("o")))
     later = later.filter(~F.exists("kept", lambda k: close(k, F.col("x")))).groupBy("owner").agg(in_order)
     both = first.join(later, F.col("owner").eqNullSafe(F.col("o")), "left").select(F.col("o").alias("owner"), fold(F.coalesce("l", F.slice("kept", 1, 0)), F.col("kept")).alias("kept"))
     return both.select("owner", F.posexplode("kept").alias("place", "x")).select("owner", (F.col("place") + 1).cast("long").alias("place"), F.col("x.title").alias("title"))
 
 
-def related_words(rows: DataFrame, topic: list[str], text: str) -> DataFrame:
-    """H-16: rows that share a word or the first six letters of one with the topic."""
-    stems = [w.lower()[:6] for w in topic]
-    return rows.filter(F.arrays_overlap(F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0)), lambda w: F.substring(w, 1, 6)), F.array(*[F.lit(s) for s in stems])))
+def related_words(rows: DataFrame, topic: list[str], text: str, only: Column | None = None) -> DataFrame:
+    """H-16: rows (of those that `only` names, others stay) that share the first six letters of a word with the topic; without topic words all."""
+    stems = F.array(*[F.lit(w.lower()[:6]) for w in topic]).cast("array<string>")
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z']+"), F.lit(0))
+    shared = F.arrays_overlap(F.transform(words, lambda w: F.substring(w, 1, 6)), stems) if topic else F.lit(True)
+    return rows.filter(F.coalesce(shared, F.lit(False)) | ~(F.lit(True) if only is None else only))
 
 
 def topped_up(chosen: DataFrame, candidates: DataFrame, least: dict[int, int], words: list[str]) -> DataFrame:

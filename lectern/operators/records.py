@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern import schemas
+from lectern.functions import cleaning
 from lectern.functions.text import tokens
 from lectern.operators import search as S
 from lectern.operators.analytics import capped
@@ -39,6 +41,18 @@ def unknown_words(texts: DataFrame, text: str, vocabulary: DataFrame) -> DataFra
     return words.join(vocabulary.select("word"), "word", "left_anti").groupBy("word").agg(F.count("*").alias("n"))
 
 
+def cleaned_verses(verses: DataFrame, words: DataFrame, pairs: DataFrame, title: bool = False) -> DataFrame:
+    """C-02 to C-07: verses (id, text, parallel) cleaned by the counts of a clean corpus: words (word, n) and pairs (a, b, n), in lower case.
+
+    Each row is joined with the counts of the words and pairs that its rules can ask for; these are as many as its text is long."""
+    names = F.pandas_udf(lambda texts, theirs: pd.Series([cleaning.lookups(t or "", p or "") for t, p in zip(texts, theirs, strict=True)]), "array<string>")
+    run = cleaning.with_counts((lambda t, known, _: cleaning.clean_title(t, known)) if title else cleaning.clean_verse)
+    known = words.select(F.col("word").alias("key"), "n").unionByName(pairs.select(F.concat_ws(" ", "a", "b").alias("key"), "n"))
+    asked = verses.select("id", F.explode(names("text", "parallel")).alias("key")).join(known, "key")
+    counts = asked.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", F.col("n").cast("long")))).alias("counts"))
+    return verses.join(counts, "id", "left").select("id", F.pandas_udf(run, "string")("text", "parallel", "counts").alias("text"))
+
+
 def word_parts(word: Column) -> Column:
     """C-07: what stands before, in and after the letters of a token."""
     part = lambda i: F.regexp_extract(word, r"^([^\p{L}]*)(.*?)([^\p{L}]*)$", i)

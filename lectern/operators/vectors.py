@@ -8,6 +8,7 @@ import re
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -35,26 +36,48 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(usable, dot(a, b) / (norm(a) * norm(b))).otherwise(F.lit(0.0))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = 256, at_once: int = 8192, digits: int = 6) -> DataFrame:
-    """V-08: exact cosine top-k. rows: id, v; queries: query, q. Rows equal to the query's own id are left out.
-
-    The stated queries are dealt by hash into blocks, one array each, and `at_once` of them at a time are sent to all tasks, however many there are; every
-    row is compared within its own task. The limit on ranks lets each task keep its best k a query before anything is shuffled. Ties go by id."""
-    n = queries.count()
-    passes = max(1, -(-n // at_once))
-    unit = rows.select("id", normalized(F.col("v")).alias("v"))
-    dealt = queries.select("query", normalized(F.col("q")).alias("q"), F.pmod(F.xxhash64("query"), F.lit(max(1, -(-n // block)))).alias("block"))
-    blocks = dealt.groupBy("block").agg(F.collect_list(F.struct("query", "q")).alias("qs"))
-    out = None
-    for p in range(passes):
-        some = blocks.filter(F.pmod("block", F.lit(passes)) == p)
-        score = lambda q: F.when(F.size(q["q"]) == F.size("v"), F.round(dot(q["q"], F.col("v")), digits))
-        scored = unit.crossJoin(F.broadcast(some)).select("id", F.explode(F.transform("qs", lambda q: F.struct(q["query"].alias("query"), score(q).alias("score")))).alias("s"))
-        scored = scored.select("id", "s.query", "s.score").filter("score IS NOT NULL AND id <> query")
-        place = F.row_number().over(W.partitionBy("query").orderBy(F.col("score").desc(), "id"))
-        best = scored.withColumn("rank", place).filter(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
-    return out.select("query", "id", "score", F.col("rank").cast("long").alias("rank"))
+def nearest(rows: DataFrame, queries: DataFrame, k: int, at_once: int = 4096, digits: int = 6) -> DataFrame:
+    """V-08: exact cosine top-k. rows: id, v; queries: query, q (ids are whole numbers). Rows equal to the query's own id, and those of another size than the
+    query, are left out; a vector of length zero scores 0.
+
+    The stated queries are compared `at_once` at a time, however many there are: this many go to every task, which multiplies its batches of rows with
+    them and keeps each batch's best k a query, with all that tie with the last. Ties go by id."""
+    numbered = queries.select("query", F.col("q").cast("array<double>").alias("q"), F.size("q").alias("n")).filter("n > 0")
+    sizes, out = [(r["n"], r["c"]) for r in numbered.groupBy("n").agg(F.count("*").alias("c")).collect()], None
+    for n, count in sizes:
+        parts = -(-count // at_once)
+        for part in range(parts):
+            some = numbered.filter((F.col("n") == n) & (F.pmod(F.xxhash64("query"), F.lit(parts)) == part)).select("query", "q")
+            fitting = rows.filter(F.size("v") == n).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<float>").alias("v"))
+            best = fitting.mapInPandas(_closest(some.toPandas(), k, digits), "query long, id long, score double")
+            out = best if out is None else out.unionByName(best)
+    if out is None:
+        out = queries.select(F.col("query").cast("long"), F.col("query").cast("long").alias("id"), F.lit(0.0).alias("score")).filter("false")
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.col("score").desc(), "id"))
+    return out.withColumn("rank", place).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    m = np.stack(vectors.to_list()).astype(np.float64)
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+
+def _closest(queries: pd.DataFrame, k: int, digits: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    names, units = queries["query"].to_numpy(np.int64), _unit(queries["q"]) if len(queries) else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches if units is not None else ():
+            if not len(rows):
+                continue
+            ids = rows["id"].to_numpy(np.int64)
+            scores = np.round(units @ _unit(rows["v"]).T, digits) + 0.0
+            scores[names[:, None] == ids[None, :]] = -np.inf
+            last = np.partition(scores, -k, axis=1)[:, -k] if k < len(ids) else np.full(len(names), -2.0)
+            q, r = np.nonzero((scores >= last[:, None]) & (scores > -2))
+            yield pd.DataFrame({"query": names[q], "id": ids[r], "score": scores[q, r]})
+
+    return run
 
 
 def best_per_group(rows: DataFrame, group: str, query: Column) -> DataFrame:
@@ -127,5 +150,7 @@ def model_print(model: Column, dimensions: Column, template_version: Column) ->
 
 def formatted(templates: DataFrame, models: DataFrame) -> DataFrame:
     """V-05: each model's template: that of the first pattern, in order, which its name contains. templates: place, pattern, document, query."""
+    if (n := templates.limit(1001).count()) > 1000:
+        raise ValueError(f"{n} templates or more: a model's name is compared with each of them")
     hit = models.crossJoin(F.broadcast(templates)).filter(F.contains(F.lower("model"), F.col("pattern")))
     return hit.groupBy("model").agg(F.min_by(F.struct("document", "query"), "place").alias("t")).select("model", "t.*")

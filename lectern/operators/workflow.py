@@ -1,4 +1,4 @@
-"""Compositions: from a question to results (H-04, H-14, H-17, H-18, H-23 to H-26), device sync (D-02, D-03), calendar texts (F-02, F-03)."""
+"""Compositions: from a question to results (H-01, H-04, H-14, H-17, H-18, H-23 to H-26, E-04), device sync (D-02, D-03), calendar texts (F-02, F-03)."""
 
 from __future__ import annotations
 
@@ -19,9 +19,9 @@ from lectern.operators.analytics import capped, merge_lists
 OVERFETCH = 5
 
 
-def hybrid(pieces: DataFrame, queries: DataFrame, quotas: DataFrame, limit: int, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None) -> DataFrame:
+def hybrid(pieces: DataFrame, queries: DataFrame, quotas: DataFrame, limit: int, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, windows: DataFrame | None = None) -> DataFrame:
     """H-01: pieces (doc, kind, heading, body) for queries (query, text): keyword and, if there are vectors (id, v; query, q), semantic rankings of five times the
-    limit, fused, capped by kind. Without vectors it is keyword search alone."""
+    limit, fused; with `windows` (doc, book, chapter, first, last) overlapping or touching ones are one result; capped by kind. Without vectors it is keyword search alone."""
     terms = queries.select("query", F.explode(keywords(F.col("text"), 12, possessive=True)).alias("w")).select("query", F.explode(tokens(F.col("w"))).alias("term")).distinct()
     words = S.ranked(S.search_any(S.indexed(pieces, "doc", {"heading": 0.2, "body": 1.0}), terms), OVERFETCH * limit)
     if vectors is None:
@@ -29,7 +29,52 @@ def hybrid(pieces: DataFrame, queries: DataFrame, quotas: DataFrame, limit: int,
     else:
         near = V.nearest(vectors, query_vectors, OVERFETCH * limit).withColumnRenamed("id", "doc")
         both = R.fused(near, words)
-    return R.with_quotas(both.join(pieces.select("doc", "kind"), "doc"), "kind", quotas, limit)
+    both = both.join(pieces.select("doc", "kind"), "doc")
+    return R.with_quotas(both, "kind", quotas, limit) if windows is None else consolidated(both.join(windows, "doc", "left"), quotas, limit)
+
+
+def consolidated(ranked: DataFrame, quotas: DataFrame, limit: int) -> DataFrame:
+    """H-01, W-05: ranked hits (query, rank, doc, kind, book, chapter, first, last; a null first: no window) -> query, place, doc, kind, first, last.
+
+    In rank order: a window that overlaps or touches an accepted one of its (book, chapter) widens the first such and takes no place; what is
+    left is accepted while its kind's quota (kind, quota; others are free) and the limit allow. A query's candidates are at most ten times the limit,
+    so they are folded as one array."""
+    quota = quotas.select("kind", F.col("quota").cast("long").alias("quota"))
+    rows = ranked.join(F.broadcast(quota) if quota.limit(1001).count() <= 1000 else quota, "kind", "left")
+    fields = ["rank", "doc", "kind", F.coalesce("quota", F.lit(2**31)).alias("quota"), "book", "chapter", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last")]
+    listed = rows.groupBy("query").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("l"))
+    touches = lambda k, x: F.coalesce((k["book"] == x["book"]) & (k["chapter"] == x["chapter"]) & (x["first"] <= k["last"] + 1) & (x["last"] >= k["first"] - 1), F.lit(False))
+
+    def step(kept, x):
+        at = F.array_position(F.transform(kept, lambda k: touches(k, x)), True)
+        wider = F.transform(kept, lambda k, i: F.when(i + 1 == at, k.withField("first", F.least(k["first"], x["first"])).withField("last", F.greatest(k["last"], x["last"]))).otherwise(k))
+        full = F.size(F.filter(kept, lambda k: k["kind"] == x["kind"])) >= x["quota"]
+        return F.when(F.size(kept) >= limit, kept).when(at > 0, wider).when(full, kept).otherwise(F.concat(kept, F.array(x)))
+
+    fold = F.aggregate("l", F.slice("l", 1, 0), step)
+    return listed.select("query", F.posexplode(fold).alias("place", "x")).select("query", (F.col("place") + 1).cast("long").alias("place"), "x.doc", "x.kind", "x.first", "x.last")
+
+
+def prepared_talk(pinned: DataFrame, found: DataFrame, works: DataFrame, topic: list[str], marks: dict[str, str], limit: int) -> DataFrame:
+    """H-26: pinned and then found hits (query, rank, kind, title, speaker, url, text, volume) up to the limit, reprints replaced by originals, words of the
+    lexicon that the topic doesn't touch left out, volumes marked in the title."""
+    both = pinned.withColumn("block", F.lit(0)).unionByName(found.withColumn("block", F.lit(1)))
+    order = W.partitionBy("query").orderBy("block", "rank")
+    rows = both.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= limit).drop("block")
+    rows = R.related_words(R.originals(rows, works), topic, "text", F.col("kind") == "lexicon")
+    return rows.withColumn("title", labelled(F.col("title"), F.col("volume"), marks))
+
+
+def evaluated(rankings: dict[str, DataFrame], wanted: DataFrame, queries: DataFrame) -> DataFrame:
+    """E-04: several rankings (query, rank, book, chapter, first, last) of the same queries, each scored by whether its hits cover a wanted verse."""
+    from lectern.operators import quality as Q
+
+    out = None
+    for name, hits in rankings.items():
+        first = Q.covers(hits, wanted).groupBy("query").agg(F.min("rank").alias("rank"))
+        scores = Q.retrieval_scores(queries.select("query").join(first, "query", "left")).withColumn("ranking", F.lit(name))
+        out = scores if out is None else out.unionByName(scores)
+    return out
 
 
 def key_passages(topics: DataFrame, passages: DataFrame, found: DataFrame, topics_each: int = 3, passages_each: int = 3) -> DataFrame:
@@ -82,9 +127,9 @@ class Request:
         return [q for q in [first, *rest] if q]
 
 
-def directions(found: DataFrame, topic_words: list[str], select_fn: Callable[[str], str], picks: int = 4) -> DataFrame:
+def directions(found: DataFrame, topic: str, select_fn: Callable[[str], str], picks: int = 4) -> DataFrame:
     """H-25: query, rank, title of a broad search -> different themes of which the selector picks some; else the first ones."""
-    shown = R.themes(found.select(F.col("query").alias("owner"), "rank", "title"), topic_words).withColumnsRenamed({"owner": "query", "place": "rank"})
+    shown = R.themes(found.select(F.col("query").alias("owner"), "rank", "title"), topic).withColumnsRenamed({"owner": "query", "place": "rank"})
     hits = shown.select("query", F.col("rank").alias("doc"), "rank", F.lit(0).alias("tier"), F.col("title").alias("label"), F.lit("").alias("text"))
     return capped(R.selected(hits, select_fn, picks), "query", picks, F.col("place")).select("query", "place", F.col("label").alias("title"))
 

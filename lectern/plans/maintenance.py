@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.operators import analytics as A
 from lectern.operators import merge as M
 from lectern.operators import quality as Q
-from lectern.plans.registry import query, table
+from lectern.plans.registry import query, table, texts
 from lectern.sources import readers as S
 
 _KEYED = "SELECT event_id, user_id, ts, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"
@@ -92,19 +93,19 @@ def json_props(spark, d):
 @query("""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[|~^_*#$%&\\\\<>{}=]+', ' ', 'g'), '[ \\t]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ') AS text FROM documents""")
 def noise_clean(spark, d):
     """C-01: noise signs and empty lines removed."""
-    return table(spark, d, "documents").select("doc_id", X.without_noise(F.col("text")).alias("text"))
+    return texts(spark, d).select("doc_id", X.without_noise(F.col("text")).alias("text"))
 
 
 @query("""SELECT doc_id, round(length(regexp_replace(text, '[^\\p{Lu}]', '', 'g'))::DOUBLE / nullif(length(regexp_replace(text, '[^\\p{L}]', '', 'g')), 0), 6) AS share FROM documents""")
 def junk_ratio(spark, d):
     """C-08: upper-case share of letters."""
-    return table(spark, d, "documents").select("doc_id", F.round(X.uppercase_share(F.col("text")), 6).alias("share"))
+    return texts(spark, d).select("doc_id", F.round(X.uppercase_share(F.col("text")), 6).alias("share"))
 
 
 @query("""SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)[a-z]:\\\\Users\\\\[^\\\\\\s]+', '~', 'g'), '/(home|Users)/[^/\\s]+', '~', 'g') AS text FROM documents""")
 def pii_scrub(spark, d):
     """C-12: home folders replaced."""
-    return table(spark, d, "documents").select("doc_id", X.scrubbed(F.col("text")).alias("text"))
+    return texts(spark, d).select("doc_id", X.scrubbed(F.col("text")).alias("text"))
 
 
 @query("""SELECT substr(sha1(event_type || '|user' || user_id), 1, 12) AS print, count(*) AS n FROM events GROUP BY 1""")
@@ -141,18 +142,33 @@ def levenshtein_match(spark, d):
     """F-12, S-14: different names of a brand that are one letter in six apart."""
     names = table(spark, d, "part").select("p_brand", "p_name").distinct()
     a, b = names.select("p_brand", F.col("p_name").alias("a")), names.select("p_brand", F.col("p_name").alias("b"))
-    distance = F.levenshtein("a", "b")
-    return a.join(b, "p_brand").filter("a < b").withColumn("distance", distance.cast("long")).filter(F.col("distance") <= F.greatest(F.lit(1), F.floor(F.length("a") / 6)))
+    return A.close_names(a, b, ["p_brand"]).filter("a < b")
 
 
-@query()
-def seq_ratio_nearest(spark, d):
-    """J-16, D-14, D-17: for each benchmark item the most similar paragraph of the documents, by shared rare words and then by matching blocks."""
+_RARE = r"""SELECT {0} AS id, unnest(list_distinct(list_transform(regexp_extract_all(t, '[A-Za-z]+(?:''[a-z]+)?'), lambda w: lower(w)))) AS w FROM {1}"""
+
+
+def _items_and_paragraphs(spark, d):
     from lectern.operators.passages import passages
 
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("id_a"), F.col("text").alias("text_a"))
-    texts = passages(table(spark, d, "documents")).select((F.col("doc_id") * 100000 + F.col("pos")).alias("id_b"), F.col("text").alias("text_b"))
-    return M.nearest_text(items, texts, 0.5, 5).select(F.col("id_a").alias("item_id"), F.col("id_b").alias("passage"), F.round("ratio", 6).alias("ratio"))
+    return items, passages(texts(spark, d)).select((F.col("doc_id") * 100000 + F.col("pos")).alias("id_b"), F.col("text").alias("text_b"))
+
+
+@query(f"""WITH pp AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS t FROM documents),
+b AS (SELECT doc_id * 100000 + pos AS id, t FROM pp WHERE trim(t) <> ''), wb AS ({_RARE.format('id', 'b')}), wa AS ({_RARE.format('item_id', '(SELECT item_id, text AS t FROM benchmark)')}),
+df AS (SELECT w, count(*) AS df FROM wb GROUP BY w HAVING 4 * count(*) < (SELECT count(*) FROM b)), s AS (SELECT wa.id AS item_id, wb.id AS passage, round(sum(1.0::DOUBLE / df), 6) AS weight, round(sum(1.0::DOUBLE / df), 12) AS exact FROM wa JOIN df USING (w) JOIN wb USING (w) GROUP BY 1, 2)
+SELECT item_id, passage, weight, row_number() OVER (PARTITION BY item_id ORDER BY exact DESC, passage) AS place FROM s QUALIFY place <= 5""")
+def rare_word_candidates(spark, d):
+    """J-16: for each benchmark item the paragraphs that share most rare words with it."""
+    found = M.candidates(*_items_and_paragraphs(spark, d), 5)
+    return found.select(F.col("id_a").alias("item_id"), F.col("id_b").alias("passage"), F.round("weight", 6).alias("weight"), "place")
+
+
+@query()
+def seq_ratio_nearest(spark, d):
+    """J-16, D-17: for each benchmark item the most similar paragraph of the documents, by shared rare words and then by matching blocks of words."""
+    return M.parallels(*_items_and_paragraphs(spark, d)).select(F.col("id_a").alias("item_id"), F.col("id_b").alias("passage"), F.round("ratio", 6).alias("ratio"))
 
 
 @query("""WITH m AS (SELECT o_custkey AS query, l_partkey AS item, bool_or(l_returnflag = 'R') AS avoid FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag <> 'N' GROUP BY 1, 2),

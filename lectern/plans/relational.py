@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.operators import analytics as A
 from lectern.operators import hierarchy as H
-from lectern.plans.registry import query, table
+from lectern.plans.registry import query, table, texts
 
 
 @query("""SELECT n_nationkey, c_custkey, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_acctbal, c_custkey) AS position
@@ -40,12 +40,11 @@ def lookup_ci(spark, d):
     return H.lookup_ci(part, "p_type", part.select(F.upper("p_type").alias("wanted")).distinct(), "p_partkey").select("lookup", "p_partkey")
 
 
-@query("""SELECT p_partkey, p_name, CASE WHEN p_name = 'red widget' THEN 0 WHEN p_name ILIKE 'red w%' THEN 1 ELSE 2 END::BIGINT AS level FROM part WHERE p_name ILIKE '%d w%'
+@query("""SELECT p_partkey, p_name, CASE WHEN p_name = 'red w' THEN 0 WHEN p_name ILIKE 'red w%' THEN 1 ELSE 2 END::BIGINT AS level FROM part WHERE p_name ILIKE '%red w%'
 ORDER BY level, p_partkey LIMIT 20""")
 def chapter_search(spark, d):
     """T-01 (Q-8, Q-15): exact (case counts), then beginning, then part of the name; top 20."""
-    level = F.when(F.col("p_name") == "red widget", 0).when(F.startswith(F.lower("p_name"), F.lit("red w")), 1).otherwise(2).cast("long")
-    return table(spark, d, "part").filter(H.contains_literal("p_name", "d w")).select("p_partkey", "p_name", level.alias("level")).orderBy("level", "p_partkey").limit(20)
+    return H.chapter_search(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", "red w", 20, "p_partkey")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE lang NOT IN ('de', 'fr')")
@@ -58,8 +57,8 @@ def anti_hidden(spark, d):
 @query("SELECT o_orderkey, coalesce(max(l_linenumber), 0)::BIGINT AS verses FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def verse_count(spark, d):
     """A-02: lines of each order; those without lines are kept."""
-    most = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("m"))
-    return table(spark, d, "orders").join(most, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce("m", F.lit(0)).cast("long").alias("verses"))
+    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
+    return A.verse_counts(orders, lines.withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", "l_linenumber")
 
 
 @query("""WITH p AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS t FROM documents),
@@ -192,7 +191,7 @@ def tier_fit(spark, d):
 SELECT token, count(*) AS df FROM t GROUP BY token""")
 def doc_frequency(spark, d):
     """A-07: documents of each token."""
-    return A.document_frequency(table(spark, d, "documents"), "doc_id", X.tokens(F.col("text")))
+    return A.document_frequency(texts(spark, d), "doc_id", X.tokens(F.col("text")), one_row_each=True)
 
 
 @query("""WITH w AS (SELECT regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS t FROM documents),
@@ -200,14 +199,14 @@ p AS (SELECT t, unnest(range(1, len(t))) AS i FROM w WHERE len(t) > 1)
 SELECT t[i] AS a, t[i + 1] AS b, count(*) AS n FROM p GROUP BY 1, 2 HAVING count(*) >= 5""")
 def bigrams(spark, d):
     """A-10: neighbouring tokens found at least five times."""
-    return A.bigrams(table(spark, d, "documents"), X.tokens(F.col("text")), 5)
+    return A.bigrams(texts(spark, d), X.tokens(F.col("text")), 5)
 
 
 @query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents WHERE lang = 'en'), seen AS (SELECT DISTINCT w FROM w WHERE w = lower(w))
 SELECT w AS name, count(*) AS n, min(doc_id) AS first_doc FROM w WHERE w <> lower(w) AND lower(w) NOT IN (SELECT w FROM seen) GROUP BY w""")
 def proper_names(spark, d):
     """A-09: words of English documents that never stand in lower case."""
-    return A.proper_names(table(spark, d, "documents").filter("lang = 'en'"), "doc_id", "text", "[A-Za-z]+")
+    return A.proper_names(texts(spark, d).filter("lang = 'en'"), "doc_id", "text", "[A-Za-z]+")
 
 
 _HASH = "sha256(text)"
@@ -274,7 +273,12 @@ def sync_diff(spark, d):
     return A.diff(old, new, "doc_id", "h")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT l_orderkey AS o, l_linenumber AS a, least(l_linenumber + 1, 7) AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY -l_quantity, l_linenumber, l_linenumber, least(l_linenumber + 1, 7)) AS i FROM lineitem),
+f AS (SELECT o, i, [{'a': a, 'b': b}] AS kept FROM r WHERE i = 1 UNION ALL
+ SELECT r.o, r.i, CASE WHEN len(f.kept) >= 3 THEN f.kept WHEN p.at > 0 THEN list_transform(f.kept, lambda k, j: CASE WHEN j = p.at THEN {'a': least(k.a, r.a), 'b': greatest(k.b, r.b)} ELSE k END) ELSE f.kept || [{'a': r.a, 'b': r.b}] END
+ FROM f JOIN r ON r.o = f.o AND r.i = f.i + 1, LATERAL (SELECT coalesce(list_position(list_transform(f.kept, lambda k: k.a <= r.b AND r.a <= k.b), true), 0) AS at) p),
+l AS (SELECT o, kept FROM f QUALIFY row_number() OVER (PARTITION BY o ORDER BY i DESC) = 1), u AS (SELECT o, unnest(range(1, len(kept) + 1)) AS place, unnest(kept) AS k FROM l)
+SELECT o AS l_orderkey, place::BIGINT AS place, k.a::BIGINT AS first, k.b::BIGINT AS last FROM u""")
 def interval_merge(spark, d):
     """W-05: windows around an order's lines, by quantity, widened into each other; up to three an order."""
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("owner"), F.struct(-F.col("l_quantity"), F.col("l_linenumber")).alias("rank"), F.col("l_linenumber").alias("first"), F.least(F.col("l_linenumber") + 1, F.lit(7)).alias("last"))

@@ -13,7 +13,7 @@ from lectern.operators import passages as P
 from lectern.operators import ranking as R
 from lectern.operators import search as S
 from lectern.operators import vectors as V
-from lectern.plans.registry import query, table
+from lectern.plans.registry import query, table, texts
 
 TOK = "regexp_extract_all(strip_accents(lower({0})), '[\\p{{L}}\\p{{N}}]+')"
 _STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
@@ -25,7 +25,7 @@ st AS (SELECT count(*) AS total, avg(len(tok)) AS avglen FROM pas)"""
 
 _BM25 = "greatest(ln((total - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * len / avglen))"
 
-_KEYWORDS = f"""kw AS (SELECT item_id AS query, list_filter(list_transform(regexp_extract_all(lower(text), '[\\p{{L}}'']+'), lambda w: w), lambda w: length(w) > 2 AND w NOT IN ({_STOP})) AS l FROM benchmark),
+_KEYWORDS = f"""kw AS (SELECT item_id AS query, list_filter(list_transform(regexp_extract_all(lower(text), '[a-z'']+'), lambda w: w), lambda w: length(w) > 2 AND w NOT IN ({_STOP})) AS l FROM benchmark),
 terms AS (SELECT DISTINCT query, strip_accents(l[i]) AS term FROM (SELECT query, list_transform(list_filter(range(1, len(l) + 1), lambda i: list_position(l, l[i]) = i), lambda i: l[i])[1:12] AS l FROM kw), range(1, 13) r(i) WHERE i <= len(l) AND NOT contains(l[i], ''''))"""
 
 _OR = f"""WITH {_PASSAGES}, {_KEYWORDS},
@@ -36,7 +36,7 @@ rk AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY
 
 
 def _passages(spark, d):
-    return P.passages(table(spark, d, "documents")).select((F.col("doc_id") * 100000 + F.col("pos")).alias("doc"), "text")
+    return P.passages(texts(spark, d)).select((F.col("doc_id") * 100000 + F.col("pos")).alias("doc"), "text")
 
 
 def _terms(spark, d):
@@ -55,7 +55,7 @@ def bm25_or(spark, d):
     return bm25(spark, d, 10)
 
 
-@query(f"""WITH k AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}'']+'), lambda w: length(w) > 2 AND w NOT IN ({_STOP})) AS l FROM benchmark)
+@query(f"""WITH k AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z'']+'), lambda w: length(w) > 2 AND w NOT IN ({_STOP})) AS l FROM benchmark)
 SELECT item_id, array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: list_position(l, l[i]) = i), lambda i: l[i])[1:12], ' ') AS words FROM k""")
 def keywords(spark, d):
     """X-07: the first twelve different words worth searching for."""
@@ -71,7 +71,7 @@ SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score D
 def bm25_weighted(spark, d):
     """X-02, X-06: first lines as headings of weight 0.2, the rest as bodies."""
     lines = F.split("text", "\n")
-    docs = table(spark, d, "documents").select("doc_id", F.element_at(lines, 1).alias("heading"), F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "\n").alias("body"))
+    docs = texts(spark, d).select("doc_id", F.element_at(lines, 1).alias("heading"), F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "\n").alias("body"))
     return S.ranked(S.search_any(S.indexed(docs, "doc_id", {"heading": 0.2, "body": 1.0}), _terms(spark, d)), 10)
 
 
@@ -102,11 +102,9 @@ one AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY query, text OR
 SELECT query, doc, score FROM one QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) <= 20""")
 def relative_cutoff(spark, d):
     """T-04: results that score at least 0.35 of the best, each text once, the best twenty."""
-    from pyspark.sql import Window as W
-
     rows = _passages(spark, d)
     scores = S.search_any(S.indexed(rows, "doc", {"text": 1.0}), _terms(spark, d)).withColumn("score", F.round("score", 6))
-    kept = scores.withColumn("best", F.max("score").over(W.partitionBy("query"))).filter(F.col("score") >= 0.35 * F.col("best")).drop("best").join(rows, "doc")
+    kept = A.relative_cutoff(scores, 0.35).join(rows, "doc")
     order = (F.col("score").desc(), F.col("doc"))
     return A.capped(A.capped(kept, ["query", "text"], 1, *order), "query", 20, *order).select("query", "doc", "score")
 
@@ -114,14 +112,14 @@ def relative_cutoff(spark, d):
 @query()
 def snippets(spark, d):
     """X-09: an excerpt of each document around the first hidden one of two words."""
-    return table(spark, d, "documents").select("doc_id", X.snippet(F.col("text"), ["haha", "than"]).alias("snippet"))
+    return texts(spark, d).select("doc_id", X.snippet(F.col("text"), ["haha", "than"]).alias("snippet"))
 
 
 @query("""SELECT doc_id, sha256(string_split(text, chr(10))[1] || chr(0) || array_to_string(string_split(text, chr(10))[2:], chr(10))) AS content_hash FROM documents""")
 def content_hash(spark, d):
     """V-11: one digest for heading and body."""
     lines = F.split("text", "\n")
-    return table(spark, d, "documents").select("doc_id", X.content_hash(F.element_at(lines, 1), F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "\n")).alias("content_hash"))
+    return texts(spark, d).select("doc_id", X.content_hash(F.element_at(lines, 1), F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "\n")).alias("content_hash"))
 
 
 @query("""WITH RECURSIVE pp AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS t FROM documents),
@@ -134,13 +132,29 @@ f AS (SELECT doc_id, i, 0 AS "window", pos AS first, pos AS last, n AS size, n A
 SELECT doc_id, "window"::BIGINT AS "window", first::BIGINT AS first, last::BIGINT AS last, size::BIGINT AS n_chars FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, "window" ORDER BY i DESC) = 1""")
 def chunk_windows(spark, d):
     """W-03: overlapping windows of paragraphs."""
-    return P.windows(P.passages(table(spark, d, "documents")), "doc_id", "pos", "text")
-
-
-@query()
+    return P.windows(P.passages(texts(spark, d)), "doc_id", "pos", "text")
+
+
+_UNPACKED = """pp AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS t FROM documents),
+para AS (SELECT doc_id, pos, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS t FROM pp WHERE regexp_matches(t, '\\S')),
+sen AS (SELECT doc_id, pos, unnest(range(0, len(l))) AS k, unnest(l) AS t FROM (SELECT doc_id, pos, string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS l FROM para WHERE length(t) > 2000)),
+cut AS (SELECT doc_id, pos, k, j, CASE WHEN j > 0 AND j = (length(t) - 1) // 2000 THEN trim(substr(t, 2000 * j + 1, 2000)) ELSE substr(t, 2000 * j + 1, 2000) END AS t FROM (SELECT *, unnest(range(0, (length(t) - 1) // 2000 + 1)) AS j FROM sen)),
+atom AS (SELECT doc_id, pos, t, row_number() OVER (PARTITION BY doc_id, pos ORDER BY k, j) AS i FROM cut WHERE t <> ''),
+su AS (SELECT doc_id, pos, i, 1 AS unit, t, length(t) AS n FROM atom WHERE i = 1 UNION ALL
+ SELECT a.doc_id, a.pos, a.i, CASE WHEN su.n < 2000 AND su.n + 1 + length(a.t) <= 1200 THEN unit ELSE unit + 1 END, CASE WHEN su.n < 2000 AND su.n + 1 + length(a.t) <= 1200 THEN su.t || ' ' || a.t ELSE a.t END,
+  CASE WHEN su.n < 2000 AND su.n + 1 + length(a.t) <= 1200 THEN su.n + 1 + length(a.t) ELSE length(a.t) END FROM su JOIN atom a ON a.doc_id = su.doc_id AND a.pos = su.pos AND a.i = su.i + 1),
+un AS (SELECT doc_id, pos, 0 AS unit, t FROM para WHERE length(t) <= 2000 UNION ALL SELECT doc_id, pos, unit, t FROM su QUALIFY row_number() OVER (PARTITION BY doc_id, pos, unit ORDER BY i DESC) = 1),
+u AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY pos, unit) AS i FROM un)"""
+
+
+@query(f"""WITH RECURSIVE {_UNPACKED},
+f AS (SELECT doc_id, i, 0 AS passage, t, length(t) AS n FROM u WHERE i = 1 UNION ALL
+ SELECT u.doc_id, u.i, CASE WHEN f.n < 1200 AND f.n + 2 + length(u.t) <= 2000 THEN passage ELSE passage + 1 END, CASE WHEN f.n < 1200 AND f.n + 2 + length(u.t) <= 2000 THEN f.t || chr(10) || chr(10) || u.t ELSE u.t END,
+  CASE WHEN f.n < 1200 AND f.n + 2 + length(u.t) <= 2000 THEN f.n + 2 + length(u.t) ELSE length(u.t) END FROM f JOIN u ON u.doc_id = f.doc_id AND u.i = f.i + 1)
+SELECT doc_id, passage::BIGINT AS passage, n::BIGINT AS n_chars, sha256(t) AS text_sha256 FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, passage ORDER BY i DESC) = 1""")
 def passage_pack(spark, d):
     """W-04: paragraphs packed into passages."""
-    return P.pack(table(spark, d, "documents")).select("doc_id", F.col("passage").cast("long"), F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+    return P.pack(texts(spark, d)).select("doc_id", F.col("passage").cast("long"), F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
 @query("""SELECT q.vec_id AS query, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 4) AS score FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id
@@ -204,9 +218,16 @@ def consensus(spark, d):
     """H-08: parts that several of a customer's orders have, weighted by rank and rarity."""
     from pyspark.sql import Window as W
 
+    votes = R.consensus(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("work"), F.col("l_partkey").alias("reference")), _ranked_orders(spark, d))
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.col("score").desc(), "reference")).cast("long")
+    return votes.withColumn("rank", rank).filter("rank <= 10")
+
+
+def _ranked_orders(spark, d):
+    from pyspark.sql import Window as W
+
     order = W.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey")
-    works = table(spark, d, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("work"), (F.row_number().over(order) - 1).alias("rank"))
-    return R.consensus(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("work"), F.col("l_partkey").alias("reference")), works)
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("work"), (F.row_number().over(order) - 1).alias("rank"))
 
 
 @query("""WITH q AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), f AS (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first FROM q),
@@ -240,12 +261,23 @@ def selection_parse(spark, d):
     return found.select("id", F.col("picks").isNull().alias("missing"), total.alias("total"), F.coalesce(F.size("picks"), F.lit(-1)).cast("long").alias("n"))
 
 
-@query()
+_THEME_STOP = ", ".join(f"'{w}'" for w in X.THEME_STOPWORDS)
+
+
+@query(f"""WITH RECURSIVE b AS (SELECT o_custkey AS owner, l_orderkey * 10 + l_linenumber AS rank, p_name || ' ' || p_type AS title FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+w AS (SELECT owner, rank, title, list_sort(list_distinct(list_filter(list_transform(list_filter(regexp_extract_all(lower(title), '[a-z'']+'), lambda x: x NOT IN ({_THEME_STOP})), lambda x: regexp_replace(x, '(''s|s)$', '')), lambda x: x <> 'red'))) AS words FROM b),
+one AS (SELECT owner, min((rank, title)) AS t, words FROM w WHERE len(words) > 0 GROUP BY owner, words), n AS (SELECT owner, words, t[2] AS title, row_number() OVER (PARTITION BY owner ORDER BY t, words) AS i FROM one),
+f AS (SELECT owner, i, [words] AS kept, [title] AS titles FROM n WHERE i = 1 UNION ALL
+ SELECT n.owner, n.i, CASE WHEN c.hit THEN f.kept ELSE f.kept || [n.words] END, CASE WHEN c.hit THEN f.titles ELSE f.titles || [n.title] END FROM f JOIN n ON n.owner = f.owner AND n.i = f.i + 1,
+ LATERAL (SELECT len(list_filter(f.kept, lambda k: len(list_intersect(k, n.words)) * 2 >= least(len(k), len(n.words)))) > 0 AS hit) c),
+l AS (SELECT owner, titles FROM f QUALIFY row_number() OVER (PARTITION BY owner ORDER BY i DESC) = 1)
+SELECT owner, unnest(range(1, len(titles) + 1))::BIGINT AS place, unnest(titles) AS title FROM l""")
 def themes(spark, d):
-    """H-15: different titles of each source's pages, here the documents' first lines."""
-    rank = F.struct(F.col("n_chars").isNull(), -F.col("n_chars"), "doc_id")
-    docs = table(spark, d, "documents").select(F.col("source").alias("owner"), rank.alias("rank"), F.substring_index("text", "\n", 1).alias("title"))
-    return R.themes(docs, ["this", "that", "with"])
+    """H-15: different titles of what each customer bought, in order of purchase."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rank"))
+    parts = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("title"))
+    rows = lines.join(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("owner")), F.col("l_orderkey") == F.col("o_orderkey"))
+    return R.themes(rows.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("owner", "rank", "title"), "red")
 
 
 @query(f"""{_OR}, rel AS (SELECT query, min(rank) AS rank FROM rk JOIN labels ON labels.doc_id = rk.doc // 100000 AND quality = 1 WHERE rank <= 10 GROUP BY query), q AS (SELECT item_id AS query, rank FROM benchmark LEFT JOIN rel ON query = item_id)

@@ -64,38 +64,53 @@ def discourses(spark: SparkSession, path: str, volumes: tuple[int, int] = (1, 26
     return rows.filter(F.col("error").isNull() & (F.size("paragraphs") > 0) & F.col("volume").between(*volumes)).drop("error")
 
 
-_VERSE = "struct<chapter:int,verse:int,text:string,heading:string>"
+_VERSE = "struct<chapter:int,verse:int,text:string,title:string>"
+_QUOTES = str.maketrans({"’": "'", "‘": "'", "“": '"', "”": '"'})
+
+
+def _plain(marked: str) -> str:
+    """Text of the marker language without notes, markers and typographic quotes."""
+    bare = re.sub(r"\\(f|x)\s.*?\\\1\*", "", marked, flags=re.S)
+    return " ".join(re.sub(r"\\\+?[a-z0-9]+\*?\s?", "", bare).translate(_QUOTES).split())
+
+
+def _heading(marked: str) -> str:
+    """A heading without brackets; one all in capitals in ordinary case, but for the names of languages."""
+    text = _plain(marked).strip("[] ")
+    return re.sub(r"\b(?:greek|hebrew|chaldee)\b", lambda m: m[0].capitalize(), text.capitalize()) if text.isupper() else text
 
 
 def parse_usfm(text: str) -> list[dict]:
-    """S-06: the marker language's chapters and verses. What stands before the first chapter is chapter 0; headings between verses
-    go, joined, to the verse that follows."""
-    out: list[dict] = []
-    chapter, verse, headings, now = 0, 0, [], None
-    text = re.sub(r"\\(f|x)\s.*?\\\1\*", "", text or "", flags=re.S)
-    for marker, body in re.findall(r"\\([a-z]+\d?\*?)\s?([^\\]*)", text):
-        body = body.strip()
-        if marker == "c":
-            chapter, verse, now = int(re.match(r"\d+", body)[0]) if re.match(r"\d+", body) else chapter, 0, None
-            continue
-        if marker == "v":
-            m = re.match(r"(\d+)(?:[-,]\d+)?\s*(.*)", body, re.S)
-            if m:
-                verse = int(m[1])
-                now = {"chapter": chapter, "verse": verse, "text": m[2], "heading": " · ".join(headings) or None}
-                headings = []
-                out.append(now)
-            continue
-        if re.fullmatch(r"(?:s|ms|mt|d|qa)\d?", marker):
-            headings += [body] if body else []
-        elif now is not None and body:
-            now["text"] = f"{now['text']} {body}".strip()
-        elif body and chapter == 0 and marker in ("p", "ip", "m", "q"):
-            verse += 1
-            out.append({"chapter": 0, "verse": verse, "text": body, "heading": None})
-    for v in out:
-        v["text"] = " ".join(v["text"].split())
-    return out
+    """S-06: verses of the marker language, each with its chapter's title. A line without a marker goes on with the verse before. Paragraphs
+    before the first chapter's first verse are chapter 0, one verse each. Section headings, and paragraphs before a later chapter's first
+    verse, make the chapter's title, joined by " · ", but for those that repeat the beginning of the verse they precede."""
+    verses: list[dict] = []
+    titles: dict[int, list[str]] = {}
+    chapters, waiting, prologue, open_verse = [], [], [], None
+    for line in map(str.strip, (text or "").splitlines()):
+        m = re.match(r"\\(\w+)\s?(.*)", line)
+        tag, rest = m.groups() if m else (None, line)
+        unstarted = bool(chapters) and not any(v["chapter"] == chapters[-1] for v in verses)
+        if tag is None:
+            if open_verse is not None and rest:
+                open_verse["text"] += " " + rest
+        elif tag == "c" and (number := re.match(r"\d+", rest)):
+            chapters.append(int(number[0]))
+            open_verse = None
+        elif tag in ("s1", "ms1") and chapters:
+            waiting.append(_heading(rest))
+        elif tag == "p" and rest and unstarted:
+            (prologue if len(chapters) == 1 else waiting).append(_plain(rest))
+        elif tag == "v" and chapters and (number := re.match(r"(\d+)\s*(.*)", rest)):
+            if prologue:
+                verses += [{"chapter": 0, "verse": i, "text": p} for i, p in enumerate(prologue, 1)]
+                titles[0], waiting, prologue = waiting, [], []
+            begins = _plain(number[2])[:40].lower()
+            titles.setdefault(chapters[-1], []).extend(h for h in waiting if h[:40].lower() != begins)
+            waiting = []
+            open_verse = {"chapter": chapters[-1], "verse": int(number[1]), "text": number[2]}
+            verses.append(open_verse)
+    return [v | {"text": _plain(v["text"]), "title": " · ".join(titles.get(v["chapter"], ())) or None} for v in verses]
 
 
 def usfm_verses(spark: SparkSession, path: str) -> DataFrame:
@@ -185,7 +200,7 @@ def marked_verses(text: str, tolerance: int = 2) -> list[dict]:
 
 def section_starts(paragraphs: DataFrame, titles: DataFrame) -> DataFrame:
     """S-14: doc, pos, text and titles (place, title): for each title the first paragraph that is it but for one in six letters."""
-    short = paragraphs.filter(F.length("text") <= 80).withColumn("low", F.lower(F.regexp_replace("text", r"[^\p{L} ]", ""))).withColumn("n", F.length("low"))
+    short = paragraphs.withColumn("low", F.lower(F.regexp_replace("text", r"[^\p{L} ]", ""))).withColumn("n", F.length("low"))
     lens = titles.withColumn("t", F.lower("title")).withColumn("slack", F.greatest(F.lit(1), F.floor(F.length("title") / 6)).cast("int"))
     sized = lens.withColumn("n", F.explode(F.sequence(F.length("t") - F.col("slack"), F.length("t") + F.col("slack"))))
     hit = short.join(sized, "n").filter(F.levenshtein("low", "t") <= F.col("slack"))
@@ -290,13 +305,18 @@ def current_week(lessons: DataFrame, today: Column) -> DataFrame:
     return rows.filter(today.between(F.col("first"), F.col("last")))
 
 
-def page_section(pages: DataFrame, html: str, start: str, base: str) -> DataFrame:
-    """S-31: title, text and absolute link of the section that begins with `start`; incomplete ones are left out."""
-    body = F.regexp_extract(html, rf"(?is)({start}.{{0,4000}})", 1)
-    field = lambda p: F.nullif(F.trim(unescaped(F.regexp_replace(F.regexp_extract(body, p, 1), "<[^>]+>", ""))), F.lit(""))
-    link = F.nullif(F.regexp_extract(body, LINK, 1), F.lit(""))
+def page_section(pages: DataFrame, html: str, base: str, section: str = "blockquote") -> DataFrame:
+    """S-31: quote, author, byline (may be empty) and absolute link of a page's first section of that class; pages without a section, or whose section lacks
+    a quote, a link or an author, are left out. A section ends with its own tag, however far."""
+    body = F.regexp_extract(html, rf'(?s)<section class="{section}">(.*?)</section>', 1)
+    field = lambda p: F.regexp_extract(body, p, 1)
+    quote, link = field(rf'(?s)<p class="{section}Text">(.*?)</p>'), field(rf'<a href="([^"]+)"[^>]*class="{section}Attribution"')
+    author, byline = field(rf'<div class="{section}Author">([^<]+)</div>'), field(rf'<div class="{section}Byline">([^<]+)</div>')
+    rows = pages.filter((quote != "") & (link != "") & (author != ""))
     whole = F.when(F.startswith(link, F.lit("/")), F.concat(F.lit(base), link)).otherwise(link)
-    return pages.select(*[c for c in pages.columns if c != html], field(r"(?is)<h[1-4][^>]*>(.*?)</h[1-4]>").alias("title"), field(r"(?is)<p[^>]*>(.*?)</p>").alias("text"), whole.alias("link")).filter("title IS NOT NULL AND text IS NOT NULL AND link IS NOT NULL")
+    return rows.select(
+        *[c for c in pages.columns if c != html], F.regexp_replace(F.trim(quote), "^[“”]+|[“”]+$", "").alias("quote"), F.trim(author).alias("author"), F.trim(byline).alias("byline"), whole.alias("link")
+    )
 
 
 def event_days(pages: DataFrame, html: str, name: str) -> DataFrame:
