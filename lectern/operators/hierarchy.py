@@ -140,9 +140,9 @@ def named_list(rows: DataFrame, id_col: str, name: str) -> DataFrame:
 def recent_sessions(sessions: DataFrame, fields: str, limit: int = 20) -> DataFrame:
     """P-20: of sessions (id, data as JSON, updated_at, deleted_at) the newest that aren't deleted, with their fields; of these, damaged ones are left out."""
     order = (F.col("updated_at").desc(), F.col("id").desc())
-    newest = sessions.filter("deleted_at IS NULL").orderBy(*order).limit(limit).withColumn("s", F.from_json("data", f"struct<{fields}>"))
-    whole = newest.withColumn("place", F.row_number().over(W.orderBy(*order)).cast("long")).filter("s IS NOT NULL")
-    return whole.select("id", "place", "updated_at", "s.*")
+    newest = sessions.filter("deleted_at IS NULL").orderBy(*order).limit(limit).withColumn("s", F.from_json("data", f"struct<{fields},_bad:string>", {"columnNameOfCorruptRecord": "_bad"}))
+    whole = newest.withColumn("place", F.row_number().over(W.orderBy(*order)).cast("long")).filter("s IS NOT NULL AND s._bad IS NULL")
+    return whole.select("id", "place", "updated_at", "s.*").drop("_bad")
 
 
 def volume_of(rows: DataFrame, chapters: DataFrame, slugs: list[str] | None = None) -> DataFrame:

@@ -181,10 +181,12 @@ def same_work(title: str, speaker: str) -> Column:
 
 
 def originals(results: DataFrame, works: DataFrame) -> DataFrame:
-    """T-08: reprints replaced by the original (query, rank, kind, title, speaker, url; works: title, speaker, url), then one row for each url, talks first."""
+    """T-08: reprints replaced by the original (query, rank, kind, title, speaker, url; works: title, speaker, url), then one row for each url, talks first.
+    Results without a url are no works and all stay."""
     w = works.select(same_work("title", "speaker").alias("key"), F.col("url").alias("original"))
-    rows = results.withColumn("key", same_work("title", "speaker")).join(earliest(w, ["key"], "original"), "key", "left").withColumn("url", F.coalesce("original", "url"))
-    rows = earliest(rows.drop("key", "original"), ["query", "url"], "rank")
+    rows = results.withColumn("key", same_work("title", "speaker")).join(earliest(w, ["key"], "original"), "key", "left").withColumn("url", F.when(F.col("url").isNotNull(), F.coalesce("original", "url")))
+    rows = rows.drop("key", "original")
+    rows = earliest(rows.filter("url IS NOT NULL"), ["query", "url"], "rank").unionByName(rows.filter("url IS NULL"))
     return rows.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.when(F.col("kind") == "talk", 0).otherwise(1), "rank")))
 
 
