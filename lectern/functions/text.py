@@ -115,9 +115,9 @@ def date_range_text(first: Column, last: Column) -> Column:
     return F.concat(F.date_format(first, "MMMM d"), F.lit("–"), F.when(same, F.date_format(last, "d")).otherwise(F.date_format(last, "MMMM d")), F.lit(", "), F.date_format(last, "yyyy"))
 
 
-def jittered(day: Column, seed: int, least: int = 4, most: int = 14) -> Column:
-    """F-08: least to most days later, all as likely; the same for the same seed and row order."""
-    return F.date_add(day, (F.lit(least) + F.floor(F.rand(seed) * (most - least + 1))).cast("int"))
+def jittered(day: Column, key: Column, seed: int, least: int = 4, most: int = 14) -> Column:
+    """F-08: least to most days later, all as likely; the same for the same key and seed."""
+    return F.date_add(day, (F.lit(least) + F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(most - least + 1))).cast("int"))
 
 
 def due_text(due: Column, today: Column) -> Column:

@@ -109,7 +109,9 @@ def relative_cutoff(spark, d):
     return A.capped(A.capped(kept, ["query", "text"], 1, *order), "query", 20, *order).select("query", "doc", "score")
 
 
-@query()
+@query("""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS t FROM documents), p AS (SELECT doc_id, t, least(nullif(instr(lower(t), 'haha'), 0), nullif(instr(lower(t), 'than'), 0)) AS w FROM f),
+s AS (SELECT doc_id, t, CASE WHEN w > 220 THEN greatest(w - 80, 1) ELSE 1 END AS a FROM p), n AS (SELECT doc_id, t, CASE WHEN a > 1 THEN a + instr(substr(t, a, 80), ' ') ELSE a END AS a FROM s)
+SELECT doc_id, CASE WHEN a > 1 THEN '… ' ELSE '' END || rtrim(substr(t, a, 220), ' ') || CASE WHEN length(t) > a - 1 + 220 THEN ' …' ELSE '' END AS snippet FROM n""")
 def snippets(spark, d):
     """X-09: an excerpt of each document around the first hidden one of two words."""
     return texts(spark, d).select("doc_id", X.snippet(F.col("text"), ["haha", "than"]).alias("snippet"))
