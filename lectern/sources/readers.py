@@ -130,8 +130,8 @@ def tagged_words(verses: DataFrame, text: str) -> DataFrame:
     return verses.withColumn("words", words)
 
 
-def zip_members(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """S-08: text members of archives whose name matches."""
+def members_of(archives: DataFrame, pattern: str) -> DataFrame:
+    """S-08: archives (path, content) -> their text members whose name matches: path, member, value."""
     name = re.compile(pattern)
 
     def members(found: pd.Series) -> pd.Series:
@@ -141,8 +141,12 @@ def zip_members(spark: SparkSession, path: str, pattern: str) -> DataFrame:
                 out.append([{"member": n, "value": z.read(n).decode("utf-8", "replace")} for n in sorted(z.namelist()) if name.search(n)])
         return pd.Series(out)
 
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.explode(F.pandas_udf(members, "array<struct<member:string,value:string>>")("content")).alias("m")).select("path", "m.*")
+    return archives.select("path", F.explode(F.pandas_udf(members, "array<struct<member:string,value:string>>")("content")).alias("m")).select("path", "m.*")
+
+
+def zip_members(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """S-08: text members of the archives below path."""
+    return members_of(spark.read.format("binaryFile").load(path).select("path", "content"), pattern)
 
 
 def blank_line_paragraphs(spark: SparkSession, path: str) -> DataFrame:
@@ -198,6 +202,12 @@ def marked_verses(text: str, tolerance: int = 2) -> list[dict]:
     return out
 
 
+def marked_books(books: DataFrame) -> DataFrame:
+    """S-12, S-13: book, text -> book, chapter, verse, text."""
+    parse = F.pandas_udf(lambda found: pd.Series([marked_verses(x) for x in found]), "array<struct<chapter:int,verse:int,text:string>>")
+    return books.select("book", F.explode(parse("text")).alias("v")).select("book", "v.*")
+
+
 def section_starts(paragraphs: DataFrame, titles: DataFrame) -> DataFrame:
     """S-14: doc, pos, text and titles (place, title): for each title the first paragraph that is it but for one in six letters."""
     short = paragraphs.withColumn("low", F.lower(F.regexp_replace("text", r"[^\p{L} ]", ""))).withColumn("n", F.length("low"))
@@ -216,6 +226,12 @@ def boundaries(candidates: list[int], window: int = 4) -> list[int]:
     return kept
 
 
+def kept_boundaries(rows: DataFrame, volume: str, places: str, window: int = 4) -> DataFrame:
+    """S-16: each volume's candidate places (an array) without those near the last one kept."""
+    kept = F.pandas_udf(lambda found: pd.Series([boundaries([int(p) for p in x], window) for x in found]), "array<long>")
+    return rows.select(volume, F.explode(kept(places)).alias("place"))
+
+
 LINK = r"""(?i)<a\b[^>]*?href\s*=\s*["']([^"'#]+)[^>]*>"""
 
 
@@ -280,10 +296,10 @@ def book_ids(books: DataFrame, overrides: DataFrame) -> DataFrame:
     return numbered.join(overrides.select(F.col("name").alias("o"), "id"), F.col("name") == F.col("o"), "left").select("name", F.coalesce("id", "n").alias("id"))
 
 
-def device_files(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+def device_files(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "device-*.json") -> DataFrame:
     """S-25: one JSON file for each device, by name; files that can't be read are left out."""
     with_bad = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(with_bad).json(f"{folder}/device-*.json", multiLine=True, columnNameOfCorruptRecord="_bad")
+    rows = spark.read.schema(with_bad).json(f"{folder}/{pattern}", multiLine=True, columnNameOfCorruptRecord="_bad")
     return rows.select("*", F.col("_metadata.file_name").alias("file")).filter("_bad IS NULL").drop("_bad")
 
 
