@@ -422,16 +422,20 @@ def lexicon_rows(spark, d):
     return found.select("strongs", "language", "gloss", F.col("number").cast("long").alias("number"))
 
 
-@query(f"""WITH q AS (SELECT DISTINCT lower(p_name) || 's' AS t FROM part UNION SELECT DISTINCT lower(p_type) FROM part), fo AS (SELECT DISTINCT t AS query, t AS form, 0 AS extra FROM q UNION SELECT t, regexp_replace(t, e || '$', ''), 4 FROM q, (SELECT unnest(['eth', 'est', 's']) AS e) WHERE regexp_replace(t, e || '$', '') <> t),
-e AS (SELECT 'H' || p_partkey AS strongs, p_partkey AS n, lower(p_type) AS lemma, lower(p_name || ' of ' || p_brand) AS gloss FROM part),
-m AS (SELECT query, strongs, n, min(extra + CASE WHEN lemma = form THEN 0 WHEN gloss = form THEN 1 WHEN starts_with(gloss, form) THEN 2 WHEN contains(gloss, form) THEN 3 END) AS level FROM e JOIN fo ON lemma = form OR contains(gloss, form) GROUP BY query, strongs, n)
-SELECT query, strongs, row_number() OVER (PARTITION BY query ORDER BY level, n) AS rank FROM m QUALIFY rank <= 10""")
+@query("""WITH q AS (SELECT DISTINCT unnest([lower(p_name), split_part(p_name, ' ', 2) || 's', lower(p_type)]) AS t FROM part), fo AS (SELECT t AS query, t AS form, 0 AS extra FROM q UNION SELECT t, t[:-2], 4 FROM q WHERE right(t, 1) = 's' AND NOT contains(t, ' ')),
+e AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'H' ELSE 'G' END AS l, p_partkey AS n, 'to ' || p_name || '; x' AS gloss, lower(p_type) AS kjv, lower(p_name) AS name FROM part),
+m AS (SELECT query, l, n, min(extra + CASE WHEN name = form THEN 0 WHEN kjv = form THEN 1 WHEN regexp_matches(gloss, '\\b' || form || '\\b') THEN 2 END) AS level FROM e JOIN fo ON kjv = form OR regexp_matches(gloss, '\\b' || form || '\\b') GROUP BY query, l, n)
+SELECT query, l || n AS strongs, row_number() OVER (PARTITION BY query ORDER BY l = 'H', level, l <> 'H', n) AS rank FROM m QUALIFY rank <= 10 UNION ALL SELECT 'h002', 'H2', 1""")
 def lexicon_search(spark, d):
-    """X-10, X-13: entries by how well a word or one of its archaic forms matches them."""
-    part = table(spark, d, "part")
-    entries = part.select(F.concat(F.lit("H"), F.col("p_partkey").cast("string")).alias("strongs"), F.col("p_type").alias("lemma"), F.concat_ws(" of ", "p_name", "p_brand").alias("gloss"))
-    words = part.select(F.explode(F.array(F.concat(F.lower("p_name"), F.lit("s")), F.lower("p_type"))).alias("query")).distinct()
-    return S.lexicon_search(entries, words.withColumn("text", F.col("query"))).select("query", "strongs", F.col("rank").cast("long"))
+    """X-10, X-13: entries by how well a word or its root matches them, Greek ones first; a number finds its entry."""
+    part, key, even = table(spark, d, "part"), F.col("p_partkey").cast("string"), F.col("p_partkey") % 2 == 0
+    entries = part.select(
+        F.concat(F.when(even, "H").otherwise("G"), key).alias("strongs"), F.when(even, "aramaic").otherwise("greek").alias("language"), F.concat(F.lit("to "), "p_name", F.lit("; x")).alias("gloss"),
+        F.concat("p_type", F.lit(", rest")).alias("kjv_renderings"), F.lit("").alias("transliteration"),
+    )
+    words = part.select(F.explode(F.array(F.lower("p_name"), F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit("s")), F.lower("p_type"))).alias("query")).distinct()
+    words = words.union(spark.range(1).select(F.lit("h002")))
+    return S.lexicon_search(entries, words.withColumn("text", F.col("query")), preferred="greek").select("query", "strongs", F.col("rank").cast("long"))
 
 
 @query(f"""WITH t AS (SELECT doc_id AS doc, unnest(range(0, len(l))) AS pos, unnest(l) AS token FROM (SELECT doc_id, {TOK.format("CASE WHEN doc_id % 10 = 0 THEN 'changed words, changed' ELSE text END")} AS l FROM documents WHERE doc_id % 10 <> 1))

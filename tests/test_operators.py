@@ -1,13 +1,17 @@
 """Operators on tiny tables."""
 
 import random
+import re
 from collections import Counter
 from datetime import datetime
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lectern.functions import alignment as L
+from lectern.functions import cleaning as C
 from lectern.functions import text as X
 from lectern.operators import analytics as A
 from lectern.operators import hierarchy as H
@@ -183,7 +187,7 @@ def test_phrase_and_prefix(spark):
 
 def test_keywords_snippets_and_tokens(spark):
     assert one(spark, X.keywords(F.col("t"), 3), t="What is the Faith of faith's men, and THE hope?") == ["faith", "faith's", "men"]
-    assert one(spark, X.keywords(F.col("t"), 3, possessive=True), t="What is the Faith of faith's men, and hope") == ["faith", "men", "hope"]
+    assert one(spark, X.keywords(F.col("t"), 3, possessive=True), t="What is the Faith of faith's men, and hope") == ["faith", "faith", "men"]
     assert one(spark, X.tokens(F.col("t")), t="Élan d'être_x") == ["elan", "d", "etre", "x"]
     long = "word " * 100 + "hidden treasure " + "more " * 50
     s = one(spark, X.snippet(F.col("t"), ["treasure"]), t=long)
@@ -192,9 +196,13 @@ def test_keywords_snippets_and_tokens(spark):
 
 
 def test_lexicon_search_ranks(spark):
-    e = spark.createDataFrame([("H1", "abc", "love"), ("G25", "agapao", "to love"), ("H2", "x", "loveth much"), ("G9", "y", "glove")], "strongs string, lemma string, gloss string")
-    got = S.lexicon_search(e, spark.createDataFrame([(1, "love")], "query int, text string"))
-    assert [r["strongs"] for r in got.orderBy("rank").collect()] == ["H1", "G25"]
+    made = [("H1", "hebrew", "love, x", "", ""), ("G25", "greek", "to love", "", ""), ("H2", "hebrew", "beloved", "love", ""), ("G9", "greek", "a glove", "gloves", "love"), ("H7", "aramaic", "deep love", "x", ""), ("H8", "hebrew", "glove", "", "")]
+    e = spark.createDataFrame(made, "strongs string, language string, gloss string, kjv_renderings string, transliteration string")
+    found = lambda text, **more: [r["strongs"] for r in S.lexicon_search(e, spark.createDataFrame([(1, text)], "query int, text string"), **more).orderBy("rank").collect()]
+    assert found("love") == ["H1", "G25", "H2", "H7", "G9"] and found("Loveth") == ["H1", "G25", "H2", "H7", "G9"]
+    assert found("love", preferred="greek") == ["G25", "G9", "H1", "H2", "H7"]
+    assert found(" g0025 ") == ["G25"] and found("of a") == [] and found("deep love") == ["H7"] and found("one two three four") == []
+    assert S.roots("blessings") == ["blessing", "blesse", "bless"] and S.roots("loveth") == ["love", "lov"] and S.roots("seth") == []
 
 
 # passages
@@ -229,6 +237,8 @@ def test_packing_keeps_all_words():
     assert all(len(p) <= 2000 for p in parts)
     assert "".join("".join(parts).split()) == "".join(text.split())
     assert P.packed("") == [] and P.packed(None) == []
+    assert [len(p) for p in P.packed(" ".join(["y" * 99 + "."] * 30))] == [1110, 1919]
+    assert [len(p) for p in P.packed("z" * 4000 + "\n" + "w" * 1199 + "\n" + "v" * 799 + "\nu")] == [2000, 2000, 2000, 1]
 
 
 # vectors
@@ -294,36 +304,30 @@ def test_resolved_drops_inventions_and_keeps_order(spark):
 
 def test_themes_drop_near_repeats(spark):
     t = spark.createDataFrame([("o", 1, "Faith and Works"), ("o", 2, "Works of Faith"), ("o", 3, "Charity"), ("o", 4, "the hope"), ("o", 5, "Charity Never Faileth")], "owner string, rank int, title string")
-    assert [r["title"] for r in R.themes(t, ["hope"]).orderBy("place").collect()] == ["Faith and Works", "Charity"]
+    assert [r["title"] for r in R.themes(t, "hope").orderBy("place").collect()] == ["Faith and Works", "Charity"]
 
 
-def greedy(titles, stop, most=16):
+def greedy(titles, topic=""):
+    def words(text):
+        return {re.sub("('s|s)$", "", w) for w in re.findall("[a-z']+", text.lower()) if w not in X.THEME_STOPWORDS}
+
     kept = []
     for t in titles:
-        words = {w for w in t.lower().split() if len(w) > 3} - set(stop)
-        if len(kept) < most and words and not any(len(words & k) * 2 >= min(len(words), len(k)) for _, k in kept):
-            kept.append((t, words))
+        own = words(t) - words(topic)
+        if own and not any(len(own & k) * 2 >= min(len(own), len(k)) for _, k in kept):
+            kept.append((t, own))
     return [t for t, _ in kept]
 
 
 @pytest.mark.parametrize("step", [1, 4, 200])
 def test_themes_against_brute_force(spark, step):
     rng = random.Random(8)
-    listed = {o: [" ".join("word" + rng.choice("abcdefghijklmnopqrst"[:n]) for _ in range(rng.randint(1, 4))) for _ in range(90)] for o, n in ((None, 20), ("few", 4), ("x", 12))}
+    listed = {o: [" ".join("word" + rng.choice("abcdefghijklmnopqrstuvw"[:n]) for _ in range(rng.randint(1, 4))) for _ in range(90)] for o, n in ((None, 20), ("few", 4), ("x", 12), ("many", 23))}
+    listed["long"] = [f"{a}{b} {b}{a}x" for a in "abcdefghijklm" for b in "nopqrtuvwy"] * 5  # more than 500 titles, 130 of them accepted
     t = spark.createDataFrame([(o, i, x) for o, l in listed.items() for i, x in enumerate(l)], "owner string, rank int, title string")
-    got = R.themes(t, ["worda"], 5, step).orderBy("place").collect()
-    assert {o: [r["title"] for r in got if r["owner"] == o] for o in listed} == {o: greedy(l, ["worda"], 5) for o, l in listed.items()}
-
-
-def test_themes_query_reads_all_documents_and_whole_titles(spark, tmp_path):
-    from lectern.plans import retrieval
-
-    ends = ["".join(chr(97 + c) for c in (i // 26, i % 26)) for i in range(5)]
-    titles = ["same text again"] * 300 + [f"{'of ' * 30}{e}alpha {e}beta" for e in ends]
-    docs = [(i, f"{t}\nbody", "s", 9000 - i) for i, t in enumerate(titles)]
-    spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = retrieval.themes(spark, str(tmp_path)).orderBy("place").collect()
-    assert [r["title"] for r in got] == greedy(titles, ["this", "that", "with"]) and len(got) == 6
+    got = R.themes(t, "worda", step).orderBy("place").collect()
+    assert {o: [r["title"] for r in got if r["owner"] == o] for o in listed} == {o: greedy(l, "worda") for o, l in listed.items()}
+    assert len(greedy(listed["long"])) == 130
 
 
 def test_balanced_mixes_merges_and_drops_reprints(spark):
@@ -379,6 +383,8 @@ def test_spans_follow_text():
     a, b = L.moved(old, new, 16, 19)
     assert new[a:b] == "fox"
     assert L.moved("abc def", "abc", 4, 7) is None
+    assert L.moved("abcXYZ", "abcQQXYZ", 0, 3) == (0, 5) and L.moved("abc", "abcQQ", 0, 3) == (0, 3)
+    assert L.moved("", "ab", 0, 0) == (0, 2) and L.moved("ab", "ab", 1, 9) == (1, 2) and L.moved("abXcd", "abYYcd", 2, 3) == (2, 4)
 
 
 def test_nearest_text_finds_the_moved_verse(spark):
@@ -398,7 +404,7 @@ def test_candidates_by_words_of_thousands_of_rows(spark):
 @pytest.mark.parametrize("step", [1, 3, 8, 2000])
 def test_candidates_against_brute_force(spark, step):
     rng = random.Random(5)
-    text = lambda: " ".join(f"w{min(int(rng.expovariate(0.08)), 60)}" for _ in range(rng.randint(1, 9)))
+    text = lambda: " ".join("w" + chr(97 + min(int(rng.expovariate(0.08)), 60) // 10) + chr(97 + min(int(rng.expovariate(0.5)), 9)) for _ in range(rng.randint(1, 9)))
     a, b = [(i, text()) for i in range(25)], [(i, text()) for i in range(120)]
     b += [(200 + i, b[i % 3][1]) for i in range(30)]
     words = {i: set(t.split()) for i, t in b}
@@ -411,14 +417,38 @@ def test_candidates_against_brute_force(spark, step):
     assert rows(got, "id_a", "id_b") == sorted(want)
 
 
+def test_candidates_stay_in_their_book(spark):
+    a = spark.createDataFrame([(1, "x", "rare word")], "id_a int, book string, text_a string")
+    b = spark.createDataFrame([(i, "xy"[i % 2], "rare word" if i < 2 else f"other {'abcdefghijkl'[i]}") for i in range(12)], "id_b int, book string, text_b string")
+    assert rows(M.parallels(a, b, book=["book"]), "id_a", "id_b", "ratio") == [(1, 0, 1.0)]
+
+
 def test_word_repairs():
-    known = {"together", "the", "house", "to"}
-    assert L.rejoined(["to", "get", "her"], known) == ["together"]
-    assert L.rejoined(["the", "house"], known) == ["the", "house"]
-    assert L.corrected(["the", "hcuse"], known, ["the", "house"]) == ["the", "house"]
-    assert L.unconfused("tirne", {"time": 9}) == "time" and L.unconfused("time", {"time": 1}) == "time"
+    known = C.Known({w: 30 for w in ("together", "the", "house", "to", "time", "clothes", "king", "of")})
+    assert C.rejoined(["to", "get", "her."], known) == ["together."]
+    assert C.rejoined(["(king-", "of"], known) == ["(king-", "of"]
+    assert C.rejoined(["the", "house"], known) == ["the", "house"]
+    assert C.rejoined(["the", "house"], C.Known(known.counts | {"thehouse": 2}), "a thehouse b") == ["thehouse"]
+    assert C.rejoined(["the", "house"], C.Known(known.counts | {"thehouse": 20})) == ["thehouse"]
+    assert C.rejoined(["the", "house"], C.Known(known.counts | {"thehouse": 20, "the house": 1})) == ["the", "house"]
+    assert C.without_junk("the house ; | , clothe?, J_ ki^ng of,, « xx/".split(), known) == ["the", "house;", "clothes,", "king", "of,", "xx/"]
+    assert C.corrected(["The", "HCUSE,", "0", "time"], known, "the house a time") == ["The", "HOUSE,", "O", "time"]
+    assert C.corrected(["time", "j", "of"], known, "time of") == ["time;", "of"]
+    assert C.unconfused(["tirne", "Tirne,", "time"], known) == ["time", "Time,", "time"]
+    assert C.unconfused(["hoe"], C.Known({"hee": 20, "hoc": 199})) == ["hoe"] and C.unconfused(["hoe"], C.Known({"hee": 20, "hoc": 200})) == ["hoc"]
     assert L.transferred("In the beginning God".split(), [("beginning", ["H7225"]), ("God", ["H430"])]) == {2: ["H7225"], 3: ["H430"]}
-    assert L.clean_verse("tlie house |", {"the": 50, "house": 9}) == "the house"
+    assert C.clean_verse("tbe h ouse | 1", known) == "the house I" and C.unknown("the hxuse of", known) == ["hxuse"]
+
+
+@given(st.lists(st.sampled_from("the ho use tirne house ; | , cl othe?, J^l ki^ng of,, « 0 j wid- get x/y JL".split()), max_size=9), st.sampled_from(["", "the house of time", "O the king"]))
+@settings(max_examples=300, deadline=None)
+def test_lookups_name_all_that_the_rules_ask(tokens, parallel):
+    counts = {w: 30 for w in "the house time clothes king of widget othe jl".split()} | {"the house": 3, "ho use": 1}
+    text = " ".join(tokens)
+    asked = set(C.lookups(text, parallel))
+    few = C.Known({w: n for w, n in counts.items() if w in asked})
+    assert C.clean_verse(text, few, parallel) == C.clean_verse(text, C.Known(counts), parallel)
+    assert C.clean_title(text, few) == C.clean_title(text, C.Known(counts))
 
 
 # expressions

@@ -30,9 +30,11 @@ def test_verse_lines_reject_but_go_on(spark):
 
 
 def test_markup_and_zip(spark, tmp_path):
-    usfm = "\\id TOB\n\\p Prologue text\n\\c 1\n\\s A heading\n\\s2 More\n\\v 1 First \\f + note\\f* verse\n\\q more\n\\v 2 Second"
+    usfm = "\\id TOB\n\\c 1\n\\p Prologue text\n\\p\n\\s1 [A GREEK HEADING]\n\\ms1 First verse\n\\v 1 First \\f + note\\f*verse\n\\add more\\add*\nand on\n\\v 2 “Second”\n\\c 2\n\\p A prayer\n\\v 1 Again"
     got = S.parse_usfm(usfm)
-    assert [(v["chapter"], v["verse"], v["text"], v["heading"]) for v in got] == [(0, 1, "Prologue text", None), (1, 1, "First verse more", "A heading · More"), (1, 2, "Second", None)]
+    assert [(v["chapter"], v["verse"], v["text"], v["title"]) for v in got] == [(0, 1, "Prologue text", "A Greek heading · First verse"), (1, 1, "First verse and on", None), (1, 2, '"Second"', None), (2, 1, "Again", "A prayer")]
+    again = S.parse_usfm("\\c 6\n\\s1 The epistle\n\\s1 Because of the sins which ye have committed before\n\\v 1 Because of the sins which ye have committed before God")
+    assert [(v["chapter"], v["title"]) for v in again] == [(6, "The epistle")]
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("x.usfm", usfm)
         z.writestr("skip.txt", "no")

@@ -62,8 +62,8 @@ def test_answers_and_directions(spark):
     more = spark.createDataFrame([("o", 1, "x", "Alma 5:1"), ("o", 2, "y", "Moroni 7:1")], "owner string, rank int, id string, label string")
     assert [r["label"] for r in K.answered(replies, verses, aliases, more).orderBy("place").collect()] == ["Alma 5:1", "Moroni 7:1"]
     found = spark.createDataFrame([("q", 1, "Faith unto repentance"), ("q", 2, "Charity suffereth long"), ("q", 3, "Faith unto repentance again")], "query string, rank int, title string")
-    assert [r["title"] for r in K.directions(found, [], lambda p: "[2]").collect()] == ["Charity suffereth long"]
-    assert [r["title"] for r in K.directions(found, [], lambda p: "?").orderBy("place").collect()] == ["Faith unto repentance", "Charity suffereth long"]
+    assert [r["title"] for r in K.directions(found, "", lambda p: "[2]").collect()] == ["Charity suffereth long"]
+    assert [r["title"] for r in K.directions(found, "", lambda p: "?").orderBy("place").collect()] == ["Faith unto repentance", "Charity suffereth long"]
 
 
 def test_requests():
