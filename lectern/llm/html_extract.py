@@ -1,8 +1,9 @@
 """Main text of HTML pages: flat text blocks, classified by a decision tree.
 
 A page is cut into text blocks at block-level tags. A block's features are its word count and link density, those of
-the blocks before and after it, and which containers it stands in. A decision tree, grown once from the
-labelled table below, tells article text from the rest.
+the blocks before and after it, where it stands, and whether it is a heading or list item. A decision tree, grown once from
+the labelled table below, tells article text from the rest: where a block stands is one feature among these, so link-dense blocks
+in an article's container go, and long running text outside of it stays.
 """
 
 from __future__ import annotations
@@ -35,43 +36,45 @@ BESIDE_NAMES = frozenset(
 )
 MAIN_NAMES = frozenset("article post entry story content main".split())
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "beside", "inside", "page_has", "heading", "items")
+#: Where a block stands: in something beside the article; outside any container of the article, on a page that has one; on a page without one; in one.
+BESIDE_IT, OUTSIDE, NOWHERE, WITHIN = range(4)
+
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "place", "heading", "items")
 
 #: The labelled table: blocks of invented pages, by features in that order, and whether they are article text.
 TABLE = (
-    # pages with an article element: paragraphs, headings and short lines in it
-    (60, 0.0, 8, 0.0, 45, 0.0, 0, 1, 1, 0, 0, 1), (45, 0.02, 60, 0.0, 30, 0.0, 0, 1, 1, 0, 0, 1), (8, 0.0, 12, 0.0, 60, 0.0, 0, 1, 1, 1, 0, 1),
-    (2, 0.0, 30, 0.0, 25, 0.0, 0, 1, 1, 0, 0, 1), (1, 0.0, 5, 0.0, 3, 0.0, 0, 1, 1, 0, 0, 1), (5, 0.0, 1, 0.0, 2, 0.0, 0, 1, 1, 0, 0, 1),
-    (25, 0.5, 40, 0.0, 20, 0.0, 0, 1, 1, 0, 0, 1), (3, 1.0, 30, 0.0, 50, 0.0, 0, 1, 1, 0, 0, 1), (12, 0.0, 1, 1.0, 1, 0.0, 0, 1, 1, 1, 0, 1),
-    (7, 0.0, 20, 0.0, 9, 0.0, 0, 1, 1, 0, 1, 1), (9, 0.0, 7, 0.0, 40, 0.0, 0, 1, 1, 0, 1, 1), (120, 0.01, 2, 0.0, 12, 0.3, 0, 1, 1, 0, 0, 1),
-    (30, 0.0, 25, 0.0, 14, 0.1, 0, 1, 1, 0, 0, 1), (4, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1, 0, 0, 1), (15, 0.0, 9, 0.0, 0, 0.0, 0, 1, 1, 0, 0, 1),
-    # in it too: short lines before and after links, and lines that are links
-    (3, 0.0, 10, 0.0, 5, 1.0, 0, 1, 1, 0, 0, 1), (1, 0.0, 2, 0.0, 2, 1.0, 0, 1, 1, 0, 0, 1), (10, 0.0, 3, 0.0, 1, 1.0, 0, 1, 1, 0, 0, 1),
-    (14, 0.0, 20, 0.0, 3, 0.9, 0, 1, 1, 0, 0, 1), (2, 1.0, 4, 0.0, 2, 1.0, 0, 1, 1, 0, 1, 1), (5, 1.0, 1, 1.0, 1, 1.0, 0, 1, 1, 0, 1, 1),
-    (40, 0.9, 6, 0.0, 80, 0.0, 0, 1, 1, 0, 0, 1), (6, 0.0, 2, 1.0, 4, 1.0, 0, 1, 1, 1, 0, 1), (1, 1.0, 0, 0.0, 0, 0.0, 0, 1, 1, 0, 0, 1),
-    (22, 0.0, 1, 1.0, 9, 0.8, 0, 1, 1, 0, 0, 1), (70, 0.0, 3, 1.0, 2, 1.0, 0, 1, 1, 0, 0, 1), (4, 0.6, 15, 0.0, 6, 0.7, 0, 1, 1, 0, 0, 1),
-    (9, 0.0, 40, 0.5, 40, 0.5, 0, 1, 1, 0, 0, 1), (55, 0.7, 5, 1.0, 3, 1.0, 0, 1, 1, 0, 0, 1), (3, 0.0, 7, 0.9, 60, 0.0, 0, 1, 1, 1, 0, 1),
-    # beside the article, or marked as beside it inside
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 1, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1, 0, 1, 0), (2, 1.0, 1, 1.0, 14, 0.0, 1, 0, 1, 0, 1, 0),
-    (11, 0.0, 1, 1.0, 9, 0.0, 1, 0, 1, 0, 0, 0), (40, 0.0, 1, 1.0, 9, 0.0, 1, 0, 1, 0, 0, 0), (14, 0.0, 50, 0.0, 0, 0.0, 1, 0, 1, 0, 0, 0),
-    (30, 0.0, 12, 0.0, 45, 0.0, 1, 1, 1, 0, 0, 0), (6, 0.0, 80, 0.0, 20, 0.0, 1, 1, 1, 1, 0, 0), (55, 0.0, 30, 0.0, 60, 0.0, 1, 1, 1, 0, 0, 0),
-    (5, 0.0, 0, 0.0, 3, 1.0, 1, 0, 1, 1, 0, 0), (18, 0.1, 22, 0.0, 0, 0.0, 1, 0, 1, 0, 0, 0), (3, 0.0, 4, 0.0, 2, 0.0, 1, 1, 1, 0, 1, 0),
-    (90, 0.0, 70, 0.0, 60, 0.0, 1, 1, 1, 0, 0, 0), (12, 1.0, 30, 0.0, 5, 0.5, 1, 1, 1, 0, 1, 0), (25, 0.0, 3, 1.0, 2, 1.0, 1, 1, 1, 0, 0, 0),
-    # unmarked blocks outside the article
-    (10, 0.0, 0, 0.0, 50, 0.0, 0, 0, 1, 0, 0, 0), (35, 0.0, 60, 0.0, 8, 0.9, 0, 0, 1, 0, 0, 0), (3, 1.0, 2, 1.0, 70, 0.0, 0, 0, 1, 0, 0, 0),
-    (6, 0.0, 10, 0.0, 50, 0.0, 0, 0, 1, 1, 0, 0), (80, 0.0, 55, 0.0, 9, 0.0, 0, 0, 1, 0, 0, 0),
-    (50, 0.0, 2, 1.0, 3, 1.0, 0, 0, 1, 0, 0, 0), (16, 0.0, 30, 0.0, 30, 0.0, 0, 0, 1, 1, 0, 0), (1, 0.0, 90, 0.0, 0, 0.0, 0, 0, 1, 0, 0, 0),
+    # inside an article, main or content-named container
+    (60, 0.0, 8, 0.0, 45, 0.0, 3, 0, 0, 1), (45, 0.02, 60, 0.0, 30, 0.0, 3, 0, 0, 1), (8, 0.0, 12, 0.0, 60, 0.0, 3, 1, 0, 1), (2, 0.0, 30, 0.0, 25, 0.0, 3, 0, 0, 1),
+    (1, 0.0, 5, 0.0, 3, 0.0, 3, 0, 0, 1), (5, 0.0, 1, 0.0, 2, 0.0, 3, 0, 0, 1), (25, 0.5, 40, 0.0, 20, 0.0, 3, 0, 0, 1), (3, 1.0, 30, 0.0, 50, 0.0, 3, 0, 0, 0),
+    (12, 0.0, 1, 1.0, 1, 0.0, 3, 1, 0, 1), (7, 0.0, 20, 0.0, 9, 0.0, 3, 0, 1, 1), (9, 0.0, 7, 0.0, 40, 0.0, 3, 0, 1, 1), (120, 0.01, 2, 0.0, 12, 0.3, 3, 0, 0, 1),
+    (30, 0.0, 25, 0.0, 14, 0.1, 3, 0, 0, 1), (4, 0.0, 0, 0.0, 0, 0.0, 3, 0, 0, 1), (15, 0.0, 9, 0.0, 0, 0.0, 3, 0, 0, 1), (3, 0.0, 10, 0.0, 5, 1.0, 3, 0, 0, 1),
+    (1, 0.0, 2, 0.0, 2, 1.0, 3, 0, 0, 1), (10, 0.0, 3, 0.0, 1, 1.0, 3, 0, 0, 1), (14, 0.0, 20, 0.0, 3, 0.9, 3, 0, 0, 1), (2, 1.0, 4, 0.0, 2, 1.0, 3, 0, 1, 0),
+    (5, 1.0, 1, 1.0, 1, 1.0, 3, 0, 1, 0), (40, 0.9, 6, 0.0, 80, 0.0, 3, 0, 0, 1), (6, 0.0, 2, 1.0, 4, 1.0, 3, 1, 0, 1), (1, 1.0, 0, 0.0, 0, 0.0, 3, 0, 0, 0),
+    (22, 0.0, 1, 1.0, 9, 0.8, 3, 0, 0, 1), (70, 0.0, 3, 1.0, 2, 1.0, 3, 0, 0, 1), (4, 0.6, 15, 0.0, 6, 0.7, 3, 0, 0, 0), (9, 0.0, 40, 0.5, 40, 0.5, 3, 0, 0, 1),
+    (55, 0.7, 5, 1.0, 3, 1.0, 3, 0, 0, 1), (3, 0.0, 7, 0.9, 60, 0.0, 3, 1, 0, 1), (4, 1.0, 60, 0.0, 55, 0.0, 3, 0, 0, 0), (2, 1.0, 40, 0.0, 12, 0.0, 3, 0, 0, 0),
+    (9, 0.9, 20, 0.0, 70, 0.0, 3, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 3, 0, 1, 0), (12, 0.7, 35, 0.1, 30, 0.0, 3, 0, 0, 0), (16, 0.65, 9, 0.0, 4, 0.0, 3, 0, 0, 0),
+    (6, 1.0, 0, 0.0, 80, 0.0, 3, 0, 0, 0), (3, 0.67, 3, 0.0, 2, 0.0, 3, 0, 1, 0), (30, 0.8, 50, 0.0, 40, 0.0, 3, 0, 0, 1), (20, 0.65, 25, 0.0, 3, 0.0, 3, 0, 0, 1),
+    (6, 0.5, 30, 0.0, 25, 0.0, 3, 0, 0, 1), (14, 0.55, 8, 1.0, 40, 0.0, 3, 0, 0, 1), (7, 1.0, 40, 0.0, 60, 0.0, 3, 1, 0, 1), (3, 1.0, 5, 1.0, 2, 1.0, 3, 1, 0, 1),
+    (2, 0.5, 6, 0.0, 9, 0.0, 3, 0, 1, 1), (10, 0.45, 2, 1.0, 1, 1.0, 3, 0, 0, 1), (19, 1.0, 30, 0.0, 22, 0.0, 3, 0, 0, 1),
+    # marked as beside the article
+    (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 1, 0), (2, 1.0, 1, 1.0, 14, 0.0, 0, 0, 1, 0), (11, 0.0, 1, 1.0, 9, 0.0, 0, 0, 0, 0),
+    (40, 0.0, 1, 1.0, 9, 0.0, 0, 0, 0, 0), (14, 0.0, 50, 0.0, 0, 0.0, 0, 0, 0, 0), (30, 0.0, 12, 0.0, 45, 0.0, 0, 0, 0, 0), (6, 0.0, 80, 0.0, 20, 0.0, 0, 1, 0, 0),
+    (55, 0.0, 30, 0.0, 60, 0.0, 0, 0, 0, 0), (5, 0.0, 0, 0.0, 3, 1.0, 0, 1, 0, 0), (18, 0.1, 22, 0.0, 0, 0.0, 0, 0, 0, 0), (3, 0.0, 4, 0.0, 2, 0.0, 0, 0, 1, 0),
+    (90, 0.0, 70, 0.0, 60, 0.0, 0, 0, 0, 0), (12, 1.0, 30, 0.0, 5, 0.5, 0, 0, 1, 0), (25, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0), (40, 0.0, 60, 0.0, 10, 0.0, 0, 0, 0, 0),
+    (12, 0.0, 0, 0.0, 60, 0.0, 0, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 1, 0),
+    # outside on a page that has such a container
+    (10, 0.0, 0, 0.0, 50, 0.0, 1, 0, 0, 0), (35, 0.0, 60, 0.0, 8, 0.9, 1, 0, 0, 0), (3, 1.0, 2, 1.0, 70, 0.0, 1, 0, 0, 0), (6, 0.0, 10, 0.0, 50, 0.0, 1, 1, 0, 0),
+    (80, 0.0, 55, 0.0, 9, 0.0, 1, 0, 0, 1), (50, 0.0, 2, 1.0, 3, 1.0, 1, 0, 0, 0), (16, 0.0, 30, 0.0, 30, 0.0, 1, 1, 0, 0), (1, 0.0, 90, 0.0, 0, 0.0, 1, 0, 0, 0),
+    (120, 0.0, 1, 0.0, 0, 0.0, 1, 0, 0, 1), (110, 0.02, 9, 0.0, 95, 0.0, 1, 0, 0, 1), (90, 0.05, 100, 0.0, 8, 0.0, 1, 0, 0, 1), (75, 0.0, 3, 1.0, 60, 0.0, 1, 0, 0, 1),
+    (140, 0.1, 2, 1.0, 3, 1.0, 1, 0, 0, 1), (80, 0.6, 4, 1.0, 6, 0.8, 1, 0, 0, 0), (95, 0.5, 40, 0.0, 3, 1.0, 1, 0, 0, 0),
     # pages without one: long text, and what stands between
-    (60, 0.0, 8, 0.0, 45, 0.0, 0, 0, 0, 0, 0, 1), (45, 0.05, 60, 0.0, 30, 0.0, 0, 0, 0, 0, 0, 1), (30, 0.1, 45, 0.0, 25, 0.0, 0, 0, 0, 0, 0, 1),
-    (22, 0.0, 35, 0.0, 12, 0.0, 0, 0, 0, 0, 0, 1), (16, 0.0, 60, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 1), (7, 0.0, 2, 1.0, 60, 0.0, 0, 0, 0, 1, 0, 1),
-    (5, 0.0, 50, 0.0, 48, 0.0, 0, 0, 0, 0, 0, 1), (3, 0.0, 40, 0.0, 30, 0.0, 0, 0, 0, 0, 0, 1), (6, 0.0, 38, 0.0, 44, 0.0, 0, 0, 0, 1, 0, 1),
-    (9, 0.0, 30, 0.0, 10, 0.0, 0, 0, 0, 0, 1, 1), (28, 0.0, 4, 1.0, 5, 1.0, 0, 0, 0, 0, 0, 1), (100, 0.02, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1),
-    (2, 0.0, 1, 1.0, 60, 0.0, 0, 0, 0, 1, 0, 1), (4, 0.0, 0, 0.0, 90, 0.0, 0, 0, 0, 1, 0, 1), (3, 0.0, 1, 1.0, 45, 0.0, 0, 0, 0, 1, 0, 1),
-    (2, 0.0, 2, 1.0, 60, 0.0, 0, 0, 0, 1, 0, 1), (5, 0.0, 6, 1.0, 70, 0.0, 0, 0, 0, 1, 0, 1), (3, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 1, 0, 0), (2, 0.0, 5, 0.0, 3, 1.0, 0, 0, 0, 1, 0, 0),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 1, 0), (2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0, 0), (4, 0.75, 3, 1.0, 50, 0.0, 0, 0, 0, 0, 0, 0),
-    (6, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0, 0), (3, 0.0, 1, 1.0, 4, 0.5, 0, 0, 0, 1, 0, 0), (12, 0.9, 4, 0.0, 12, 0.9, 0, 0, 0, 0, 0, 0),
-    (20, 0.7, 5, 0.5, 18, 0.8, 0, 0, 0, 0, 1, 0), (4, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0), (30, 0.6, 60, 0.0, 25, 0.7, 0, 0, 0, 0, 0, 0),
-    (40, 0.0, 60, 0.0, 10, 0.0, 1, 0, 0, 0, 0, 0), (12, 0.0, 0, 0.0, 60, 0.0, 1, 0, 0, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0, 1, 0),
+    (60, 0.0, 8, 0.0, 45, 0.0, 2, 0, 0, 1), (45, 0.05, 60, 0.0, 30, 0.0, 2, 0, 0, 1), (30, 0.1, 45, 0.0, 25, 0.0, 2, 0, 0, 1), (22, 0.0, 35, 0.0, 12, 0.0, 2, 0, 0, 1),
+    (16, 0.0, 60, 0.0, 3, 1.0, 2, 0, 0, 1), (7, 0.0, 2, 1.0, 60, 0.0, 2, 1, 0, 1), (5, 0.0, 50, 0.0, 48, 0.0, 2, 0, 0, 1), (3, 0.0, 40, 0.0, 30, 0.0, 2, 0, 0, 1),
+    (6, 0.0, 38, 0.0, 44, 0.0, 2, 1, 0, 1), (9, 0.0, 30, 0.0, 10, 0.0, 2, 0, 1, 1), (28, 0.0, 4, 1.0, 5, 1.0, 2, 0, 0, 1), (100, 0.02, 0, 0.0, 0, 0.0, 2, 0, 0, 1),
+    (2, 0.0, 1, 1.0, 60, 0.0, 2, 1, 0, 1), (4, 0.0, 0, 0.0, 90, 0.0, 2, 1, 0, 1), (3, 0.0, 1, 1.0, 45, 0.0, 2, 1, 0, 1), (2, 0.0, 2, 1.0, 60, 0.0, 2, 1, 0, 1),
+    (5, 0.0, 6, 1.0, 70, 0.0, 2, 1, 0, 1), (3, 0.0, 3, 1.0, 2, 1.0, 2, 1, 0, 0), (2, 0.0, 5, 0.0, 3, 1.0, 2, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 2, 0, 1, 0),
+    (2, 1.0, 0, 0.0, 2, 1.0, 2, 0, 0, 0), (4, 0.75, 3, 1.0, 50, 0.0, 2, 0, 0, 0), (6, 0.0, 2, 1.0, 3, 1.0, 2, 0, 0, 0), (3, 0.0, 1, 1.0, 4, 0.5, 2, 1, 0, 0),
+    (12, 0.9, 4, 0.0, 12, 0.9, 2, 0, 0, 0), (20, 0.7, 5, 0.5, 18, 0.8, 2, 0, 1, 0), (4, 0.0, 3, 0.0, 0, 0.0, 2, 0, 0, 0), (30, 0.6, 60, 0.0, 25, 0.7, 2, 0, 0, 0),
 )
 
 
@@ -223,18 +226,19 @@ def blocks(page: str) -> list[_Block]:
     return kept
 
 
+def rows_of(page: str) -> list[tuple[str, tuple[float, ...]]]:
+    """Each block's text and features."""
+    found = blocks(page)
+    other = OUTSIDE if any(b.inside for b in found) else NOWHERE
+    around = [(0, 0.0), *((b.words, min(1.0, b.linked)) for b in found), (0, 0.0)]
+    place = [BESIDE_IT if b.beside else WITHIN if b.inside else other for b in found]
+    return [(b.text, (*around[k + 1], *around[k], *around[k + 2], place[k], int(b.heading), int(b.items))) for k, b in enumerate(found)]
+
+
 def extract(page: str | None, tree=None) -> str:
     """The article's blocks, joined by line breaks; empty for null and for pages without one."""
-    found = blocks(page or "")
     tree = default_tree() if tree is None else tree
-    has = any(b.inside for b in found)
-    around = [(0, 0.0), *((b.words, min(1.0, b.linked)) for b in found), (0, 0.0)]
-    out = []
-    for k, b in enumerate(found):
-        row = (*around[k + 1], *around[k], *around[k + 2], int(b.beside), int(b.inside), int(has), int(b.heading), int(b.items))
-        if decide(tree, row):
-            out.append(b.text)
-    return "\n".join(out)
+    return "\n".join(text for text, row in rows_of(page or "") if decide(tree, row))
 
 
 def main_text(pages: DataFrame, html_col: str = "html", tree=None) -> DataFrame:

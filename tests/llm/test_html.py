@@ -1,5 +1,8 @@
 """Main text of pages written for the test."""
 
+import random
+from html.parser import HTMLParser
+
 import pytest
 
 from lectern.llm import html_extract as H
@@ -34,14 +37,79 @@ def test_tree_fits_its_table():
     assert all(H.decide(tree, r[:-1]) == bool(r[-1]) for r in H.TABLE)
 
 
-def test_containers_decide_where_there_are_any():
-    import random
-
-    rng, tree = random.Random(1), H.default_tree()
-    for _ in range(3000):
-        around = [v for _ in range(3) for v in (rng.randint(0, 120), rng.choice([0.0, 0.1, 0.5, 0.8, 1.0]))]
-        beside, inside, heading, items = (rng.randint(0, 1) for _ in range(4))
-        assert H.decide(tree, (*around, beside, inside, 1, heading, items)) == bool(inside and not beside)
+def test_links_decide_inside_an_article():
+    long = ("word " * 40).strip()
+    page = f"<article><h2><a href=t>Linked title</a></h2><p>{long}</p><p><a href=1>Buy now</a> <a href=2>Click here</a></p><ul><li><a href=3>Home</a></li><li><a href=4>News</a></li></ul><p>{long} <a href=5>a link</a></p><p>Short.</p></article>"
+    assert H.extract(page) == f"Linked title\n{long}\n{long} a link\nShort."
+
+
+def test_long_text_outside_a_container_stays():
+    long = ("word " * 120).strip()
+    page = f"<div class=story>Teaser</div><p>{long}</p><p>Cookies are used here.</p><div class=sidebar><p>{long}</p></div>"
+    assert H.extract(page) == f"Teaser\n{long}"
+
+
+class Plain(HTMLParser):
+    """Blocks of a page of paragraphs, headings, lists and divs by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.blocks, self.open, self.fresh = [], [], True
+
+    def handle_starttag(self, tag, attrs):
+        if tag != "a":
+            self.fresh = True
+        self.open.append((tag, dict(attrs).get("class", "")))
+
+    def handle_endtag(self, tag):
+        if tag != "a":
+            self.fresh = True
+        while self.open.pop()[0] != tag:
+            pass
+
+    def handle_data(self, data):
+        if self.fresh:
+            self.blocks.append(["", "", list(self.open)])
+            self.fresh = False
+        self.blocks[-1][0] += data
+        if any(t == "a" for t, _ in self.open):
+            self.blocks[-1][1] += data + " "
+
+
+def plain_rows(page):
+    parser = Plain()
+    parser.feed(page)
+    found = [(" ".join(t.split()), len(links.split()), stack) for t, links, stack in parser.blocks if t.strip()]
+    inside = [any(t == "article" for t, _ in stack) for _, _, stack in found]
+    own = [(len(t.split()), min(1.0, n / len(t.split()))) for t, n, _ in found]
+    out = []
+    for k, (text, _, stack) in enumerate(found):
+        beside = any(t in ("nav", "footer") or c == "sidebar" for t, c in stack)
+        place = H.BESIDE_IT if beside else H.WITHIN if inside[k] else H.OUTSIDE if any(inside) else H.NOWHERE
+        before, after = own[k - 1] if k else (0, 0.0), own[k + 1] if k + 1 < len(found) else (0, 0.0)
+        out.append((text, (*own[k], *before, *after, place, int(any(t == "h2" for t, _ in stack)), int(any(t == "li" for t, _ in stack)))))
+    return out
+
+
+@pytest.mark.parametrize("with_article", [True, False])
+def test_features_against_a_plain_version(with_article):
+    rng = random.Random(4)
+    link = lambda: f"<a href='x'>{' '.join(['l'] * rng.randint(1, 3))}</a>"
+    text = lambda: " ".join(rng.choice(["w", "w&amp;v", link()]) if rng.random() < 0.2 else "w" for _ in range(rng.randint(1, 60)))
+    part = lambda: rng.choice([lambda: f"<p>{text()}</p>", lambda: f"<h2>{text()}</h2>", lambda: f"<ul><li>{link()}</li><li>{text()}</li></ul>", lambda: f"<div>{text()}</div>"])()
+    kept = 0
+    for _ in range(150):
+        body = "".join(part() for _ in range(rng.randint(1, 9)))
+        body = f"<article>{body}</article>" if with_article else body
+        page = f"<nav>{part()}</nav>{part()}{body}<div class='sidebar'>{part()}</div>{part()}<footer>{text()}</footer>"
+        assert H.rows_of(page) == plain_rows(page)
+        kept += len(H.extract(page).split("\n"))
+    assert kept > 200
+
+
+def test_a_very_long_page():
+    words = "word " * 300_000
+    assert H.extract(f"<article><p>{words}</p></article><p><a href=x>more</a></p>") == words.strip()
 
 
 def test_rows(spark):
