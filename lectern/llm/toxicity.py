@@ -24,10 +24,10 @@ TOXIC_ROWS, CLEAN_ROWS, FIT_BYTES = 3000, 4000, 100_000
 #: A lexicon entry: found in this share of toxic training documents (and in MIN_DOCS), so many times the share of clean ones.
 MIN_SHARE, MIN_DOCS, MIN_LIFT = 0.02, 6, 12.0
 #: The same for beginnings, which other words share by chance.
-MIN_LIFT_BEGINNING = 60.0
+MIN_LIFT_BEGINNING = 20.0
 #: Lengths of beginnings, which are entries like words, marked with a trailing "*". A beginning longer than
 #: another entry's is only listed if that one isn't.
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (5, 6, 7, 8)
 #: Tokens of a training sequence, and at most so many sequences each with and without lexicon words, the first by a hash of
 #: their place, so that all texts of the sample are drawn from.
 SEQUENCE, SEQUENCES = 48, 3000
@@ -132,7 +132,8 @@ def _entries(text: str) -> set[str]:
 
 
 def lexicon(toxic: list[str], clean: list[str]) -> list[str]:
-    """Words and beginnings far more frequent in toxic texts than in clean ones, by document counts."""
+    """Words and beginnings far more frequent in toxic texts than in clean ones, by counts of different texts."""
+    toxic, clean = list(dict.fromkeys(toxic)), list(dict.fromkeys(clean))
     counts: dict[str, int] = {}
     for text in toxic:
         for w in _entries(text):
@@ -206,13 +207,12 @@ def _fit_chain(seen: np.ndarray, labels: np.ndarray, mask: np.ndarray, n_words:
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Penalized logistic regression by Newton's method, both classes weighing the same."""
+    """Penalized logistic regression by Newton's method."""
     w = np.zeros(x.shape[1])
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (share * (y - p)) - 0.1 * w
-        hess = (x * (share * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
+        grad = x.T @ (y - p) - 0.1 * w
+        hess = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
         w = w + np.linalg.solve(hess, grad)
     return tuple(float(v) for v in w)
 
@@ -311,5 +311,6 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that aren't predicted toxic."""
+    """The rows of `docs` that aren't predicted toxic, with all their columns. Null and empty texts are judged as texts without tokens; repeated
+    rows stay or go together; null ids and other columns don't matter; an empty table gives an empty result."""
     return docs.filter(scores(model)(F.col(text_col)) < THRESHOLD)

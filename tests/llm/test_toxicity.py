@@ -76,7 +76,22 @@ def test_pieces_are_drawn_from_all_texts(monkeypatch):
     chain = toxicity._fit_chain
     monkeypatch.setattr(toxicity, "_fit_chain", lambda *a: (seen.append(a), chain(*a))[1])
     monkeypatch.setattr(toxicity, "STEPS", 2)
-    toxicity.fit(["vile words " * 24] * 100 + ["foul words " * 24] * 100 + ["nice words " * 24] * 200, [1] * 200 + [0] * 200)
+    texts = [f"{w} n{i} " + f"{w} words " * 23 for w, n in (("vile", 100), ("foul", 100), ("nice", 200)) for i in range(n)]
+    toxicity.fit(texts, [1] * 200 + [0] * 200)
     rows = seen[0][0]
     marked = [set(r[r > 0].tolist()) for r in rows if r.any()]
     assert len(marked) == 40 and len(set().union(*marked)) >= 2
+
+
+def test_recall_on_held_out_rows_of_the_supplied_table(spark):
+    """Of the held-out toxic rows at this scale one in sixteen has no toxic word at all, so no more than 0.94 can be found by text."""
+    from pathlib import Path
+
+    data = Path("/root/testdata/sf0.1")
+    if not data.is_dir():
+        pytest.skip("no table of this scale")
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    known = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    rows = toxicity.score(known, toxicity.train(docs, labels)).join(labels.select("doc_id", "toxic"), "doc_id").filter("held_out").groupBy("toxic", "predicted").count().collect()
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in rows}
+    assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) >= 0.9 and n.get((0, 1), 0) <= 0.01 * n[1, 1]
