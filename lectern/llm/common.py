@@ -17,21 +17,28 @@ BROADCAST_ROWS = 20_000
 #: Copies of the small side in a salted join, used beyond BROADCAST_ROWS.
 SALTS = 64
 
+#: A key is hot if it has more than one in so many rows.
+HOT = 1000
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder, its lineage cut.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (as in tests)
-    a temporary one is made.
+    The folder is the session's spark.checkpoint.dir; only where that is unset in a local session
+    (as in tests) a temporary one is made.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Only a local session may go without, and gets a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -60,9 +67,26 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, n_
     return wide.join(salted, on, "left").drop(*[f"__k_{k}" for k in keys], "__s_salt", "__b_salt")
 
 
+def counted_join(big: DataFrame, small: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Inner join of `big` with `small`, which has a row per key and, as `n`, how many of the `total` rows of `big` have it. No key is null.
+
+    Keys with a thousandth of the rows or more are fewer than HOT and broadcast, so rows of a hot key stay where they are; all others are shuffled."""
+    named = small.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    hot = F.col(n) * HOT > total
+    on = [big[k] == named[f"__k_{k}"] for k in keys]
+    few = F.broadcast(named.filter(hot))
+    drop = [f"__k_{k}" for k in keys]
+    return big.join(few, on).drop(*drop).unionByName(big.join(few.select(*drop), on, "left_anti").join(named.filter(~hot), on).drop(*drop))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def packed(docs: DataFrame, **own: Column) -> DataFrame:
+    """`docs` as one column, row, beside columns of one's own, so that names can't clash; `row.*` gives `docs` again."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in own.items()])

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from lectern.llm.common import checkpointed
+from lectern.llm.common import BROADCAST_ROWS, checkpointed, counted_join, packed
 from lectern.llm.components import components
 
 SHINGLE = 3
@@ -72,8 +72,15 @@ def _segment(fp: Column, low: int, bits: int) -> Column:
     return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def _sized(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.withColumn("n", F.count("*").over(W.partitionBy(*keys))).filter("n > 1")
+def _split(rows: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows under keys with up to PAIRED rows, and the others, if there are any. Keys are counted before anything else, and rows of crowded ones
+    aren't brought together: while these keys are few they are broadcast."""
+    crowded = checkpointed(rows.groupBy(*keys).agg(F.count("*").alias("n")).filter(f"n > {PAIRED}").select(*keys))
+    n = crowded.count()
+    if not n:
+        return rows, None
+    crowded = F.broadcast(crowded) if n <= BROADCAST_ROWS else crowded
+    return rows.join(crowded, list(keys), "left_anti"), rows.join(crowded, list(keys), "left_semi")
 
 
 def _forest(fp: np.ndarray) -> list[tuple[int, int]]:
@@ -102,7 +109,7 @@ def _links_in(rows: DataFrame, *keys: str) -> DataFrame:
     all holds what the whole segment's bucket holds, and is left to that."""
     members = rows.groupBy(*keys).agg(F.collect_list("fp").alias("m"), F.min("side").alias("low"), F.max("side").alias("high"))
     forest = F.pandas_udf(lambda found: pd.Series([[{"a": a, "b": b} for a, b in _forest(np.asarray(m, np.int64))] for m in found]), "array<struct<a:long,b:long>>")
-    return members.filter("low IS NULL OR low <> high").select(F.explode(forest("m")).alias("p")).select("p.a", "p.b")
+    return members.filter("size(m) > 1 AND (low IS NULL OR low <> high)").select(F.explode(forest("m")).alias("p")).select("p.a", "p.b")
 
 
 def _trees(members: pd.DataFrame) -> pd.DataFrame:
@@ -113,30 +120,33 @@ def links(fps: DataFrame) -> DataFrame:
     """Distinct fingerprints fp -> edges a, b of at most MOST_BITS differing bits, with the same
     components as all such pairs."""
     segments = F.concat(*[_variants(_segment(F.col("fp"), low, 32), 32, F.lit(k).cast("long")) for k, low in enumerate((0, 32))])
-    rows = _sized(fps.select("fp", F.explode(segments).alias("v")).select("v.key", "v.side", "fp"), "key")
-    small = _links_in(rows.filter(f"n <= {PAIRED}"), "key")
-    hot = rows.filter(f"n > {PAIRED}")
-    other = F.when(F.shiftrightunsigned("key", 40) == 0, _segment(F.col("fp"), 32, 32)).otherwise(_segment(F.col("fp"), 0, 32))
-    halves = F.concat(*[_variants(_segment(other, low, 16), 16, F.lit(k).cast("long")) for k, low in enumerate((0, 16))])
-    again = hot.select("key", "fp", F.explode(halves).alias("h")).select("key", F.col("h.key").alias("key2"), "fp", F.lit(None).cast("boolean").alias("side"))
-    again = _sized(again, "key", "key2")
-    trees = again.filter(f"n > {PAIRED}").select("key", "key2", "fp").groupBy("key", "key2").applyInPandas(lambda k: _trees(k), "a long, b long")
-    return small.union(_links_in(again.filter(f"n <= {PAIRED}"), "key", "key2")).union(trees).distinct()
+    rows = fps.select("fp", F.explode(segments).alias("v")).select("v.key", "v.side", "fp")
+    cold, hot = _split(rows, "key")
+    out = _links_in(cold, "key")
+    if hot is not None:
+        other = F.when(F.shiftrightunsigned("key", 40) == 0, _segment(F.col("fp"), 32, 32)).otherwise(_segment(F.col("fp"), 0, 32))
+        halves = F.concat(*[_variants(_segment(other, low, 16), 16, F.lit(k).cast("long")) for k, low in enumerate((0, 16))])
+        again = hot.select("key", "fp", F.explode(halves).alias("h")).select("key", F.col("h.key").alias("key2"), "fp", F.lit(None).cast("boolean").alias("side"))
+        cold, hot = _split(again, "key", "key2")
+        out = out.union(_links_in(cold, "key", "key2"))
+        if hot is not None:
+            out = out.union(hot.select("key", "key2", "fp").groupBy("key", "key2").applyInPandas(lambda k: _trees(k), "a long, b long"))
+    return out.distinct()
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of near_duplicates, and root: a fingerprint that names the component, never null."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), fingerprints(F.col(text_col)).alias("fp"))
     slim = checkpointed(slim)
-    fps = checkpointed(slim.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    fps = checkpointed(slim.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    total = fps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     roots = checkpointed(components(links(fps.select("fp"))))
     linked = roots.join(fps, roots["node"] == fps["fp"]).select("node", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component")).withColumnRenamed("root", "r")
     linked = linked.join(least, linked["root"] == least["r"]).select("node", "root", "component")
     labels = fps.join(linked, fps["fp"] == linked["node"], "left")
-    labels = labels.select(F.col("fp").alias("label_fp"), F.coalesce("component", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    labels = checkpointed(labels)
-    return slim.join(labels, slim["fp"] == labels["label_fp"]).select("doc_id", "text_hash", "fp", "component_id", "root")
+    labels = checkpointed(labels.select("fp", "n", F.coalesce("component", "least").alias("component_id"), F.coalesce("root", "fp").alias("root")))
+    return counted_join(slim, labels, ["fp"], "n", total).select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,8 +162,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of `docs` for each component: that with the smallest id, nulls last (of repeated rows, one). Ids may repeat across components."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k")
-    kept = _labelled(docs, id_col, text_col).groupBy("root").agg(first).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
-    on = [docs[id_col].eqNullSafe(F.col("__id")), F.xxhash64(docs[text_col]) == F.col("__hash")]
-    rows = docs.join(kept, on, "left_semi").withColumn("__hash", F.xxhash64(text_col))
-    rows = rows.withColumn("__row", F.row_number().over(W.partitionBy(id_col, "__hash").orderBy("__hash")))
-    return rows.filter("__row = 1").drop("__row", "__hash")
+    kept = _labelled(docs, id_col, text_col).groupBy("root").agg(first).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash"))
+    rows = packed(docs, own_id=docs[id_col], own_hash=F.xxhash64(docs[text_col]))
+    rows = rows.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash")), "left_semi")
+    rows = rows.withColumn("n", F.row_number().over(W.partitionBy("own_id", "own_hash").orderBy("own_hash")))
+    return rows.filter("n = 1").select("row.*")
