@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import checkpointed, lookup
+from lectern.llm.common import checkpointed, counted_join, lookup
 
 SHARDS = 8
 #: Expected groups in a leaf.
@@ -76,7 +76,7 @@ def _leaf(shards: int, sums: list[int], leaves: int):
         places = differencing([share] + [[b] + [0] * (shards - 1) for b in rows["bytes"].tolist()])
         turned = leaf % shards if max(share) == min(share) else 0
         shard = {place: (k + turned) % shards for k, place in enumerate(places[0])}
-        return rows.assign(shard=np.array([shard[p[0]] for p in places[1:]], np.int32))[["key", "crc", "size", "shard"]]
+        return rows.assign(shard=np.array([shard[p[0]] for p in places[1:]], np.int32))[["key", "crc", "size", "n", "shard"]]
 
     return run
 
@@ -87,8 +87,8 @@ def _keys(text: Column) -> list[Column]:
 
 
 def group_shards(slim: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Rows with key, crc, size -> a row per group: key, crc, size, shard."""
-    groups = slim.groupBy("key", "crc", "size").agg((F.count("*") * F.col("size")).alias("bytes"))
+    """Rows with key, crc, size -> a row per group: key, crc, size, shard, and n, its rows."""
+    groups = slim.groupBy("key", "crc", "size").agg((F.count("*") * F.col("size")).alias("bytes"), F.count("*").alias("n"))
     groups = checkpointed(groups)
     n, total = groups.agg(F.count("*"), F.sum("bytes")).first()
     large = F.col("bytes") * LARGE > F.lit(total)
@@ -97,11 +97,11 @@ def group_shards(slim: DataFrame, shards: int = SHARDS) -> DataFrame:
     sums = [0] * shards
     for r, p in zip(first, places, strict=True):
         sums[p[0]] += r["bytes"]
-    placed = [(r["key"], r["crc"], r["size"], p[0]) for r, p in zip(first, places, strict=True)]
-    placed = groups.sparkSession.createDataFrame(placed, "key long, crc long, size long, shard int")
+    placed = [(r["key"], r["crc"], r["size"], r["n"], p[0]) for r, p in zip(first, places, strict=True)]
+    placed = groups.sparkSession.createDataFrame(placed, "key long, crc long, size long, n long, shard int")
     leaves = max(1, -(-(n - len(first)) // LEAF))
     rest = groups.filter(~large).withColumn("leaf", F.pmod(F.xxhash64("key", "crc"), F.lit(leaves)).cast("long"))
-    return rest.groupBy("leaf").applyInPandas(_leaf(shards, sums, leaves), "key long, crc long, size long, shard int").union(placed)
+    return rest.groupBy("leaf").applyInPandas(_leaf(shards, sums, leaves), "key long, crc long, size long, n long, shard int").union(placed)
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,11 +113,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     """
     slim = checkpointed(docs.select(F.col(id_col).alias("doc_id"), *_keys(F.col(text_col))))
     n = slim.count()
-    found = checkpointed(group_shards(slim, shards)) if n else slim.select("key", "crc", "size", F.lit(0).alias("shard"))
+    found = checkpointed(group_shards(slim, shards)) if n else slim.select("key", "crc", "size", F.lit(1).cast("long").alias("n"), F.lit(0).alias("shard"))
     runs = max(1, -(-n // (shards * RUN)))
-    named = found.select(F.col("key").alias("k"), F.col("crc").alias("c"), F.col("size").alias("s"), "shard")
-    on = [slim["key"] == named["k"], slim["crc"] == named["c"], slim["size"] == named["s"]]
-    rows = slim.join(named, on).select("doc_id", "key", "crc", "size", "shard", F.pmod(F.xxhash64("doc_id", "key"), F.lit(runs)).cast("int").alias("run"))
+    rows = counted_join(slim, found, ["key", "crc", "size"], "n", n)
+    rows = rows.select("doc_id", "key", "crc", "size", "shard", F.pmod(F.xxhash64("doc_id", "key"), F.lit(runs)).cast("int").alias("run"))
     rows = checkpointed(rows)
     starts = rows.groupBy("shard", "run").count()
     before = W.partitionBy("shard").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
