@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import BROADCAST_ROWS, checkpointed, lookup
+from lectern.llm.common import BROADCAST_ROWS, checkpointed, lookup, packed
 
 #: Words are ASCII digits and letters, and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -45,7 +45,7 @@ def windows_of(items: DataFrame, length: int = WINDOW, id_col: str = "item_id",
 
 def anchored(docs: DataFrame, windows: DataFrame, text_col: str = "text") -> DataFrame:
     """Windows of which all terms occur in `docs`, with term, their rarest one, and at, its offset."""
-    terms = windows.select(F.xxhash64("win").alias("id"), F.posexplode("win").alias("at", "term"))
+    terms = windows.select("win", F.posexplode("win").alias("at", "term"))
     wanted = checkpointed(terms.select("term").distinct())
     tokens = docs.select(F.explode(words(F.col(text_col))).alias("token"))
     if wanted.count() <= BROADCAST_ROWS:
@@ -53,23 +53,34 @@ def anchored(docs: DataFrame, windows: DataFrame, text_col: str = "text") -> Dat
     else:
         counts = tokens.groupBy("token").count().join(wanted, F.col("token") == F.col("term")).select("term", "count")
     counts = checkpointed(counts).withColumnRenamed("term", "t")
-    rated = terms.join(counts, terms["term"] == counts["t"], "left").groupBy("id").agg(
+    rated = terms.join(counts, terms["term"] == counts["t"], "left").groupBy("win").agg(
         F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "at", "term")).alias("rarest")
     )
-    rated = rated.filter("rarest.n > 0").select(F.col("id").alias("own"), "rarest.term", "rarest.at")
-    return windows.join(rated, F.xxhash64("win") == F.col("own")).drop("own")
+    rated = rated.filter("rarest.n > 0").select(F.col("win").alias("own"), "rarest.term", "rarest.at")
+    return windows.join(rated, F.col("win") == F.col("own")).drop("own")
 
 
-def postings(docs: DataFrame, terms: list[str], reach: int = WINDOW - 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def reaches(windows: DataFrame) -> DataFrame:
+    """Anchored windows -> term, reach: how many words around it its windows need at most."""
+    return windows.groupBy("term").agg(F.max(F.greatest("at", F.size("win") - 1 - F.col("at"))).alias("reach"))
+
+
+def postings(docs: DataFrame, terms: dict[str, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, text_hash, n_words and found, its postings of the terms: term, pos (from 0), and
-    near, the words up to `reach` around it, the first of which stands at `first`."""
-    quoted = ", ".join(f"'{t}'" for t in terms)
+    near, as many words around it as `terms` says (term -> reach), the first of which stands at `first`."""
+    listed: dict[int, list[str]] = {}
+    for term, reach in terms.items():
+        listed.setdefault(reach, []).append(f"'{term}'")
+    cases = " ".join(f"WHEN x IN ({', '.join(words)}) THEN struct(i AS at, {reach} AS reach)" for reach, words in sorted(listed.items()))
     split = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), words(F.col(text_col)).alias("w"))
-    places = F.expr(f"filter(transform(w, (x, i) -> if(x IN ({quoted}), i, null)), i -> i IS NOT NULL)") if terms else F.expr("cast(array() as array<int>)")
+    known = ", ".join(f"'{t}'" for t in terms)
+    places = F.expr(f"filter(transform(w, (x, i) -> if(x IN ({known}), CASE {cases} END, null)), p -> p IS NOT NULL)") if terms else F.expr("cast(array() as array<struct<at:int,reach:int>>)")
     at = split.select("doc_id", "text_hash", "w", places.alias("places"))
-    one = lambda p: F.struct(
-        F.element_at("w", p + 1).alias("term"), p.alias("pos"), F.greatest(p - reach, F.lit(0)).alias("first"), F.slice("w", F.greatest(p - reach, F.lit(0)) + 1, 2 * reach + 1).alias("near")
-    )
+
+    def one(p: Column) -> Column:
+        first = F.greatest(p["at"] - p["reach"], F.lit(0))
+        return F.struct(F.element_at("w", p["at"] + 1).alias("term"), p["at"].alias("pos"), first.alias("first"), F.slice("w", first + 1, p["at"] - first + p["reach"] + 1).alias("near"))
+
     return at.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), F.transform("places", one).alias("found"))
 
 
@@ -92,7 +103,7 @@ def near_matches(docs: DataFrame, phrases: DataFrame, slop: int) -> DataFrame:
     reach = max(1, (longest - 1) * (slop + 1))
     out = None
     for terms in _blocks(known):
-        found = postings(docs, terms, reach).select("doc_id", F.explode("found").alias("p")).select("doc_id", "p.*")
+        found = postings(docs, dict.fromkeys(terms, reach)).select("doc_id", F.explode("found").alias("p")).select("doc_id", "p.*")
         pairs = lookup(found, known.select("term", "at", "win", "phrase_id"), ["term"], F.col("pos")).filter("win IS NOT NULL")
         own = F.col("pos") - F.col("first")
 
@@ -109,10 +120,13 @@ def near_matches(docs: DataFrame, phrases: DataFrame, slop: int) -> DataFrame:
 
 
 def _blocks(windows: DataFrame):
-    """The anchor terms, ANCHORS at a time."""
-    terms = checkpointed(windows.select("term").distinct().withColumn("rank", F.row_number().over(W.orderBy("term"))))
-    for k in range(-(-terms.count() // ANCHORS)):
-        yield [r["term"] for r in terms.filter((F.col("rank") > k * ANCHORS) & (F.col("rank") <= (k + 1) * ANCHORS)).collect()]
+    """The anchor terms with their reaches, dealt by hash into blocks of about ANCHORS."""
+    terms = checkpointed(reaches(windows))
+    blocks = max(1, -(-terms.count() // ANCHORS))
+    for k in range(blocks):
+        block = {r["term"]: r["reach"] for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k).collect()}
+        if block:
+            yield block
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,8 +139,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """
     windows = checkpointed(anchored(docs, checkpointed(windows_of(items)), text_col))
     n, table, hits = windows.count(), None, None
-    for terms in _blocks(windows) if n else [[]]:
-        found = checkpointed(postings(docs, terms, id_col=id_col, text_col=text_col))
+    for terms in _blocks(windows) if n else [{}]:
+        found = checkpointed(postings(docs, terms, id_col, text_col))
         table = found.drop("found") if table is None else table
         if terms:
             own = matches(found, windows, n)
@@ -151,10 +165,12 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that aren't contaminated."""
-    bad = checkpointed(contamination(docs, items, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    """The rows of `docs` that aren't contaminated, with all their columns. Null and empty texts stay; repeated rows stay or go together; null
+    ids are compared like others; empty tables are no error."""
+    bad = checkpointed(contamination(docs, items, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct())
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return docs.join(bad, [docs[id_col].eqNullSafe(F.col("__id")), F.xxhash64(docs[text_col]) == F.col("__hash")], "left_anti")
+    rows = packed(docs, own_id=docs[id_col], own_hash=F.xxhash64(docs[text_col]))
+    return rows.join(bad, F.col("own_id").eqNullSafe(F.col("bad_id")) & (F.col("own_hash") == F.col("bad_hash")), "left_anti").select("row.*")
 
 
 ORACLE = f"""
