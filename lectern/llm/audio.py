@@ -186,13 +186,15 @@ def media_features(stored: DataFrame) -> DataFrame:
 
 
 def resampled(stored: DataFrame, rate: int = RESAMPLED) -> DataFrame:
-    """doc_id, pcm: each file of `media` decoded, resampled and stored as a 16-bit PCM WAV file. Null media stay null."""
-
-    def one(x: bytes | None) -> bytes | None:
-        if x is None:
-            return None
-        codec, own, data = unwav(bytes(x))
-        return wav("pcm", resample(decode(codec, [data])[0], own, rate).tobytes(), rate)
-
-    pcm = F.pandas_udf(lambda files: files.map(one), "binary")
-    return stored.select("doc_id", pcm("media").alias("pcm"))
+    """doc_id, pcm: each file of `media` decoded, resampled and stored as a 16-bit PCM WAV file; files of a codec are decoded together. Null media
+    stay null; an empty table gives an empty result."""
+
+    def run(files: pd.Series) -> pd.Series:
+        there = [i for i, x in enumerate(files) if x is not None]
+        out: list = [None] * len(files)
+        for block in _blocks([bytes(files.iloc[i]) for i in there]):
+            for (i, _, own, _), samples in zip(block, decode(block[0][1], [x[3] for x in block]), strict=True):
+                out[there[i]] = wav("pcm", resample(samples, own, rate).tobytes(), rate)
+        return pd.Series(out, dtype=object)
+
+    return stored.select("doc_id", F.pandas_udf(run, "binary")("media").alias("pcm"))
