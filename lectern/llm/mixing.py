@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD, checkpointed, lookup
+from lectern.llm.common import WORD, checkpointed, lookup, packed
 
 #: Weights go to the sources by code point of the name, null last, again and again.
 WEIGHTS = (1, 2, 3)
@@ -161,10 +161,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def apply_mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", **kw) -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes it, with the columns of `docs`."""
-    keyed = docs.select("*", size_of(F.col(text_col)).alias("__size"), _hash(F.col(id_col), F.col(text_col)).alias("__u"))
-    slim = checkpointed(keyed.select(F.col(source_col).alias("source"), "__size", "__u"))
-    table, n = plan(slim, **kw)
-    table = table.select(F.col("source").alias("__source"), "__whole", "__cuts", "__pick")
-    taken = lookup(keyed.withColumn("__source", F.col(source_col)), table, ["__source"], F.col("__u"), n)
-    return taken.withColumn("__time", F.explode(F.array_repeat(F.lit(0), _times()))).select(*docs.columns)
+    """The rows of `docs`, each as often as the mix takes it, with the columns of `docs`. Null and empty texts have size 0 and go with the first
+    pass over their source; a null source is a source; null ids are ids like others; repeated rows are taken or left together; an
+    empty table gives an empty result. Extra columns stay."""
+    keyed = packed(docs, source=docs[source_col], __size=size_of(docs[text_col]), __u=_hash(docs[id_col], docs[text_col]))
+    table, n = plan(checkpointed(keyed.select("source", "__size", "__u")), **kw)
+    taken = lookup(keyed, table.select("source", "__whole", "__cuts", "__pick"), ["source"], F.col("__u"), n)
+    return taken.withColumn("time", F.explode(F.array_repeat(F.lit(0), _times()))).select("row.*")
