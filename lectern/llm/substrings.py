@@ -37,6 +37,8 @@ REFINED = 1 << 20
 #: Expected anchors in a bucket, and bytes for one anchor.
 BUCKET = 1 << 17
 DENSITY = 18
+#: Parts or buckets in a task, so that tasks grow in number with the input and not in size.
+TOGETHER = 4
 _WIDE = LENGTH + SPAN - 1
 _MAX = (1 << 63) - 1
 
@@ -212,7 +214,7 @@ def _send(buckets: int):
     def run(key, rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         own = _Part(rows)
         shared = _shared(own, buckets, list(zip(answers["bucket"].tolist(), answers["data"], strict=True)))
-        part = int(key[0])
+        part = int(key[-1])
         out = [(part % buckets, part, 0, np.packbits(shared).tobytes())]
         doc, _, contexts = own.contexts(shared)
         first, number = _distinct(contexts)
@@ -368,12 +370,23 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(_MAX)).alias("oid"), key.alias("row_key"), F.col(id_col).isNotNull().alias("known"), F.pmod(key, F.lit(parts)).alias("part"), text.cast("binary").alias("data")
     )
-    sent = rows.groupBy("part").applyInPandas(_announce(buckets), "bucket long, part long, data binary")
-    answers = sent.groupBy("bucket").applyInPandas(_answer, "part long, bucket long, data binary")
-    contexts = rows.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(_send(buckets), "bucket long, part long, n long, data binary")
-    refined = contexts.groupBy("bucket").applyInPandas(_refine, "part long, bucket long, data binary")
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+
+    def dealt(df: DataFrame, by: str, n: int) -> DataFrame:
+        """Parts or buckets dealt to tasks in turn, the same number to each."""
+        tasks = max(-(-n // TOGETHER), min(n, 3 * cores))
+        return df.withColumn("task", F.pmod(F.col(by), F.lit(tasks)).cast("int")).repartitionById(tasks, "task")
+
+    rows = dealt(rows, "part", parts)
+    own = rows.groupBy("task", "part")
+    answers = dealt(own.applyInPandas(_announce(buckets), "bucket long, part long, data binary"), "bucket", buckets)
+    answers = answers.groupBy("task", "bucket").applyInPandas(_answer, "part long, bucket long, data binary")
+    answers = dealt(answers, "part", parts).groupBy("task", "part")
+    contexts = own.cogroup(answers).applyInPandas(_send(buckets), "bucket long, part long, n long, data binary")
+    refined = dealt(contexts, "bucket", buckets).groupBy("task", "bucket").applyInPandas(_refine, "part long, bucket long, data binary")
+    refined = dealt(refined, "part", parts).groupBy("task", "part")
     more = ", kept binary" if with_text else ""
-    found = rows.groupBy("part").cogroup(refined.groupBy("part")).applyInPandas(
+    found = own.cogroup(refined).applyInPandas(
         _mark(buckets, with_text), f"oid long, row_key long, known boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}"
     )
     return found.select(F.when(F.col("known"), F.col("oid")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text)
