@@ -85,3 +85,12 @@ def test_proximity(spark):
 def test_words_expression(spark):
     got = spark.createDataFrame([("ÉA b-C\x00d_9é ☃x",)], "t string").select(decontam.words(F.col("t")).alias("w")).first()["w"]
     assert got == words("ÉA b-C\x00d_9é ☃x")
+
+
+def test_very_long_text_and_short_items(spark):
+    """One-word, two-word and thirteen-word items share their rarest words, so reaches differ."""
+    long = " ".join(f"w{i % 997}" for i in range(120_000))
+    item = " ".join(f"w{i}" for i in range(5, 30))
+    docs = [(1, long + " solo end", "", ""), (2, "solo", "", ""), (3, "w1 w2 w4", "", ""), (4, "end of w29 solo solo", "", "")]
+    items = [(1, item, ""), (2, "solo", ""), (3, "solo end", ""), (4, "w2 w4", ""), (5, "w2", "")]
+    assert result(spark, docs, items) == plain(docs, items)

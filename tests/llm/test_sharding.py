@@ -68,3 +68,14 @@ def test_few_rows(spark):
     assert sharding.shard(spark.createDataFrame([], SCHEMA)).count() == 0
     got = sharding.shard(spark.createDataFrame([(None, "a", "", ""), (None, "a", "", ""), (1, "a", "", "")], SCHEMA)).collect()
     assert sorted(r["slot"] for r in got) == [0, 1, 2] and len({r["shard"] for r in got}) == 1
+
+
+def test_very_long_text_and_hot_group(spark, monkeypatch):
+    monkeypatch.setattr("lectern.llm.common.HOT", 10)
+    rows = [(0, "x" * 3_000_000, "", "")] + [(1 + i, "copy", "", "") for i in range(60)] + [(100 + i, f"t{i}" * (i % 7), "", "") for i in range(60)]
+    got = sharding.shard(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in rows)
+    assert next(r["size"] for r in got if r["doc_id"] == 0) == 3_000_001
+    assert len({r["shard"] for r in got if 1 <= r["doc_id"] <= 60}) == 1
+    for k in {r["shard"] for r in got}:
+        assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))

@@ -70,6 +70,12 @@ def test_odd_tables(spark):
     assert toxicity.score(docs.limit(0), toxicity.train(docs, only)).count() == 0
 
 
+def test_a_very_long_text(spark):
+    texts = [(1, "calm words here " * 100_000), (2, "calm words here " * 50_000 + "bad vilest bad " + "calm words here " * 50_000)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(texts, "doc_id long, text string"), MODEL).collect()}
+    assert 0 <= got[1] < got[2] <= 1
+
+
 def test_pieces_are_drawn_from_all_texts(monkeypatch):
     seen = []
     monkeypatch.setattr(toxicity, "SEQUENCES", 40)
