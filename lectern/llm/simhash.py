@@ -28,6 +28,8 @@ SEED = 42
 MOST_BITS = 3
 #: Buckets up to this size are linked at once; larger ones are indexed again.
 PAIRED = 64
+#: Fingerprints that a task indexes.
+INDEXED = 8192
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLOCK = 1 << 15
 
@@ -120,7 +122,8 @@ def links(fps: DataFrame) -> DataFrame:
     """Distinct fingerprints fp -> edges a, b of at most MOST_BITS differing bits, with the same
     components as all such pairs."""
     segments = F.concat(*[_variants(_segment(F.col("fp"), low, 32), 32, F.lit(k).cast("long")) for k, low in enumerate((0, 32))])
-    rows = fps.select("fp", F.explode(segments).alias("v")).select("v.key", "v.side", "fp")
+    dealt = fps.select("fp").repartition(max(1, -(-fps.count() // INDEXED)))
+    rows = dealt.select("fp", F.explode(segments).alias("v")).select("v.key", "v.side", "fp")
     cold, hot = _split(rows, "key")
     out = _links_in(cold, "key")
     if hot is not None:
