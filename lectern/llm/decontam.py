@@ -25,13 +25,14 @@ SHARE = 20
 #: Rarest terms that are looked for in one pass.
 ANCHORS = 4000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_BETWEEN = "".join(c for c in map(chr, range(0x80)) if not c.isalnum())
 
 
 def words(text: Column) -> Column:
-    """The words of a text with A to Z lower-cased; none for null."""
-    text = F.coalesce(text, F.lit(""))
-    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
-    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    """The words of a text with A to Z lower-cased; none for null. Other signs of ASCII are turned into spaces, of which texts are cut: many times
+    faster than matching words one by one."""
+    plain = F.translate(F.coalesce(text, F.lit("")), _UPPER + _BETWEEN, _LOWER + " " * len(_BETWEEN))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def windows_of(items: DataFrame, length: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
