@@ -550,3 +550,44 @@ def evaluated_rankings(spark, d):
     events = table(spark, d, "events").filter("event_type = 'purchase' AND event_id % 11 = 0")
     wanted = events.select((F.col("user_id") % 50).alias("query"), F.lit("b").alias("book"), (F.col("event_id") % 7).alias("chapter"), (F.col("event_id") % 40).alias("verse")).distinct()
     return K.evaluated({"all": hits, "late": hits.filter("rank > 3")}, wanted, hits.select("query").distinct())
+
+
+@query(f"WITH {HIERARCHY} SELECT book_name, chapter_number, chapter_id FROM ch WHERE book_name IN ('NATION_1', 'NATION_2')")
+def chapter_for(spark, d):
+    """J-19: a chapter by its book and number; of books of the same name (here a copy in a later volume) that of the earliest volume."""
+    own = chapters(spark, d)
+    later = own.withColumn("chapter_id", -F.col("chapter_id") - 1).withColumn("volume_sort", F.col("volume_sort") + 100)
+    wanted = own.filter("book_name IN ('NATION_1', 'NATION_2')").select("book_name", "chapter_number")
+    both = own.unionByName(later).join(wanted, ["book_name", "chapter_number"])
+    return H.earliest(both, ["book_name", "chapter_number"], "volume_sort", "chapter_id").select("book_name", "chapter_number", "chapter_id")
+
+
+@query("""WITH h AS (SELECT n_regionkey::BIGINT AS query, c_custkey AS doc, c_custkey % 3 AS trust, c_custkey % 4 AS tier, row_number() OVER (PARTITION BY n_regionkey ORDER BY c_acctbal DESC, c_custkey) AS rank, c_nationkey % 2 AS work FROM customer JOIN nation ON c_nationkey = n_nationkey),
+a AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY trust, rank) AS place FROM h WHERE tier = 0 QUALIFY place <= 7), w AS (SELECT * FROM h WHERE tier <> 0 QUALIFY row_number() OVER (PARTITION BY query, work ORDER BY tier, rank) = 1),
+n AS (SELECT query, count(*) AS n FROM a GROUP BY query), b AS (SELECT w.query, doc, coalesce(n, 0) + row_number() OVER (PARTITION BY w.query ORDER BY tier, rank) AS place FROM w LEFT JOIN n ON n.query = w.query)
+SELECT query, doc, place FROM a UNION ALL SELECT query, doc, place FROM b WHERE place <= 12""")
+def balanced_hits(spark, d):
+    """H-09: a share of scripture by trust, then other works by tier, each once (here two works)."""
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    query = F.col("n_regionkey").cast("long")
+    hits = rows.select(
+        query.alias("query"), F.col("c_custkey").alias("doc"), (F.col("c_custkey") % 3).alias("trust"), (F.col("c_custkey") % 4).alias("tier"),
+        F.row_number().over(W.partitionBy(query).orderBy(F.col("c_acctbal").desc(), "c_custkey")).alias("rank"), F.col("c_custkey").alias("chapter"), F.lit(1).alias("first"), F.lit(2).alias("last"),
+        (F.col("c_nationkey") % 2).cast("string").alias("work"),
+    )
+    return R.balanced(hits, 12).select("query", "doc", "place")
+
+
+@query("""SELECT * FROM (VALUES ('a', 8, 'faith | Alma 5 | hope'), ('b', 20, 'faith | hope'), ('c', 12, 'Alma 5 | hope'), ('d', 12, 'hope')) t(name, results, questions)""")
+def prepared_requests(spark, d):
+    """H-18, V-04: how many results a request asks for, and its questions; a service that fails leaves keyword search alone."""
+    def fails(texts):
+        raise TimeoutError
+
+    assert D.query_vector("faith", fails) is None and D.query_vector("faith", lambda texts: [[1.0] for _ in texts]) == [1.0]
+    asked = {
+        "a": K.Request("faith", minutes=5, talk_title="Alma 5", directions=["hope"]), "b": K.Request("faith", minutes=20, directions=["hope"]),
+        "c": K.Request(minutes=7, talk_title="Alma 5", directions=["hope"]), "d": K.Request(lesson=True, minutes=20, reading="hope"),
+    }
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(r.limit()).alias("results"), F.lit(" | ".join(r.questions())).alias("questions")) for n, r in asked.items()])
+    return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
