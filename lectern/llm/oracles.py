@@ -34,4 +34,12 @@ SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed,
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN hx USING (doc_id)
 """
 
-ORACLES = {"op5_chat": CHAT, "op9_substrings": SUBSTRINGS, "op10_decontamination": decontam.ORACLE}
+#: The supplied pages hold their article in an element of that name, in headings and paragraphs, and few kinds of references.
+PAGES = """
+WITH a AS (SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(p|h1|h2|h3|div)>') AS parts FROM pages),
+b AS (SELECT page_id, url, list_transform(parts, lambda p: replace(replace(replace(replace(replace(regexp_replace(replace(p, '<br>', ' '), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) AS parts FROM a),
+c AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g'), ' ')), lambda p: p <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM c
+"""
+
+ORACLES = {"op3_html": PAGES, "op5_chat": CHAT, "op9_substrings": SUBSTRINGS, "op10_decontamination": decontam.ORACLE}
