@@ -500,3 +500,23 @@ def stream_embedding(spark, d):
     stream = spark.readStream.schema(table(spark, d, "documents").schema).parquet(f"{d}/documents*.parquet").filter("text <> ''").select(F.sha2("text", 256).alias("hash"), "text")
     I.upserting(stream, lambda: state["now"], write, merged, f"{path}/state").start().awaitTermination()
     return state["now"].select("hash")
+
+
+@query("""WITH RECURSIVE p AS (SELECT p_brand AS doc, p_partkey AS pos, p_type, CASE WHEN p_size % 2 = 0 THEN 'page' WHEN p_partkey % 3 = 0 THEN 'low' WHEN p_partkey % 7 = 0 THEN 'verse' ELSE 'text' END AS kind FROM part),
+c AS (SELECT *, lead(kind) OVER (PARTITION BY doc ORDER BY pos) AS after FROM p), t AS (SELECT p_type AS title, row_number() OVER (ORDER BY p_type) AS place FROM (SELECT DISTINCT p_type FROM part)),
+h AS (SELECT doc, place, title, pos FROM c JOIN t ON title = p_type WHERE kind = 'page' AND after IN ('page', 'text')),
+f AS (SELECT DISTINCT doc, 0::BIGINT AS place, ''::VARCHAR AS title, -1::BIGINT AS pos, -1::BIGINT AS last FROM p UNION ALL
+ SELECT f.doc, t.place, t.title, (SELECT min(pos) FROM h WHERE h.doc = f.doc AND h.place = t.place AND h.pos > f.last), coalesce((SELECT min(pos) FROM h WHERE h.doc = f.doc AND h.place = t.place AND h.pos > f.last), f.last) FROM f JOIN t ON t.place = f.place + 1)
+SELECT doc, place, title, pos FROM f WHERE place > 0 AND pos IS NOT NULL""")
+def section_starts(spark, d):
+    """S-14: title pages in order; running heads before small letters and verse numbers don't count, one wrong letter does no harm."""
+    from pyspark.sql import Window as W
+
+    part = table(spark, d, "part")
+    name = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("X"), F.expr("substring(p_type, 2)"))).otherwise(F.col("p_type"))
+    text = (
+        F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("THE BOOK, OF "), name, F.lit("."))).when(F.col("p_partkey") % 3 == 0, F.lit("and so on"))
+        .when(F.col("p_partkey") % 7 == 0, F.lit("12 And then")).otherwise("In the beginning.")
+    )
+    titles = part.select(F.col("p_type").alias("title")).distinct().withColumn("place", F.row_number().over(W.orderBy("title")).cast("long"))
+    return S.section_starts(part.select(F.col("p_brand").alias("doc"), F.col("p_partkey").alias("pos"), text.alias("text")), titles)

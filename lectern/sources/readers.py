@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.functions.text import canonical_url, month_year, unescaped
+from lectern.functions.text import canonical_url, is_page_number, month_year, unescaped
 
 VERSE_LINE = r"^(.+?)\s+(\d+):(\d+)\s+(.*\S)\s*$"
 
@@ -86,20 +86,19 @@ def parse_usfm(text: str) -> list[dict]:
     verse, make the chapter's title, joined by " · ", but for those that repeat the beginning of the verse they precede."""
     verses: list[dict] = []
     titles: dict[int, list[str]] = {}
-    chapters, waiting, prologue, open_verse = [], [], [], None
+    chapters, begun, waiting, prologue, open_verse = [], False, [], [], None
     for line in map(str.strip, (text or "").splitlines()):
         m = re.match(r"\\(\w+)\s?(.*)", line)
         tag, rest = m.groups() if m else (None, line)
-        unstarted = bool(chapters) and not any(v["chapter"] == chapters[-1] for v in verses)
         if tag is None:
             if open_verse is not None and rest:
                 open_verse["text"] += " " + rest
         elif tag == "c" and (number := re.match(r"\d+", rest)):
             chapters.append(int(number[0]))
-            open_verse = None
+            begun, open_verse = False, None
         elif tag in ("s1", "ms1") and chapters:
             waiting.append(_heading(rest))
-        elif tag == "p" and rest and unstarted:
+        elif tag == "p" and rest and chapters and not begun:
             (prologue if len(chapters) == 1 else waiting).append(_plain(rest))
         elif tag == "v" and chapters and (number := re.match(r"(\d+)\s*(.*)", rest)):
             if prologue:
@@ -108,7 +107,7 @@ def parse_usfm(text: str) -> list[dict]:
             begins = _plain(number[2])[:40].lower()
             titles.setdefault(chapters[-1], []).extend(h for h in waiting if h[:40].lower() != begins)
             waiting = []
-            open_verse = {"chapter": chapters[-1], "verse": int(number[1]), "text": number[2]}
+            begun, open_verse = True, {"chapter": chapters[-1], "verse": int(number[1]), "text": number[2]}
             verses.append(open_verse)
     return [v | {"text": _plain(v["text"]), "title": " · ".join(titles.get(v["chapter"], ())) or None} for v in verses]
 
@@ -209,12 +208,31 @@ def marked_books(books: DataFrame) -> DataFrame:
 
 
 def section_starts(paragraphs: DataFrame, titles: DataFrame) -> DataFrame:
-    """S-14: doc, pos, text and titles (place, title): for each title the first paragraph that is it but for one in six letters."""
-    short = paragraphs.withColumn("low", F.lower(F.regexp_replace("text", r"[^\p{L} ]", ""))).withColumn("n", F.length("low"))
-    lens = titles.withColumn("t", F.lower("title")).withColumn("slack", F.greatest(F.lit(1), F.floor(F.length("title") / 6)).cast("int"))
-    sized = lens.withColumn("n", F.explode(F.sequence(F.length("t") - F.col("slack"), F.length("t") + F.col("slack"))))
-    hit = short.join(sized, "n").filter(F.levenshtein("low", "t") <= F.col("slack"))
-    return hit.groupBy("doc", "place", "title").agg(F.min("pos").alias("pos"))
+    """S-14: doc, pos, text and titles (place, title) -> doc, place, title, pos: where each title's section starts, in the order of titles; each is looked
+    for behind the last one found, and what isn't found is left out.
+
+    A title page is in capitals, doesn't end with a digit, has a word that is the title's name but for one letter in six, and three words if the
+    title is numbered; an empty paragraph, a page or verse number or a small letter behind it shows that it is a running head. Words are joined by
+    their length; only the order is folded, over a document's few candidates."""
+    after = F.trim(F.lead("text").over(W.partitionBy("doc").orderBy("pos")))
+    real = after.isNotNull() & (after != "") & ~is_page_number(after) & ~after.rlike(r"^\d{1,3}\s") & ~after.rlike(r"^\p{Ll}")
+    pages = paragraphs.withColumn("real", real).withColumn("t", F.trim("text")).filter("real").filter(F.col("t").rlike(r"^[A-Z][A-Z0-9 .,';]{2,100}$") & ~F.col("t").rlike("[0-9]$"))
+    words = F.split(F.replace(F.regexp_replace("t", r"\.+$", ""), F.lit(","), F.lit("")), r"\s+")
+    named = pages.select("doc", "pos", F.size(F.split("t", r"\s+")).alias("words"), F.explode(F.array_distinct(words)).alias("w")).withColumn("n", F.length("w"))
+    core, numbered = F.upper(F.regexp_replace("title", r"^[123]\s+", "")), F.col("title").rlike(r"^[123]\s")
+    sized = titles.select("place", "title", core.alias("core"), F.when(numbered, 3).otherwise(1).alias("least")).withColumn("slack", F.greatest(F.lit(1), F.floor(F.length("core") / 6)).cast("int"))
+    sized = sized.withColumn("n", F.explode(F.sequence(F.length("core") - F.col("slack"), F.length("core") + F.col("slack"))))
+    hit = named.join(sized, "n").filter((F.levenshtein("w", "core") <= F.col("slack")) & (F.col("words") >= F.col("least")))
+    found = hit.groupBy("doc", "place", "title").agg(F.array_sort(F.collect_set(F.col("pos").cast("long"))).alias("at"))
+    listed = found.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("place", "title", "at"))).alias("l"))
+    last = lambda kept: F.coalesce(F.get(kept, F.size(kept) - 1)["pos"], F.lit(-1).cast("long"))
+    none = F.transform(F.slice("l", 1, 0), lambda x: F.struct(x["place"], x["title"], F.lit(0).cast("long").alias("pos")))
+
+    def step(kept, x):
+        start = F.get(F.filter(x["at"], lambda p: p > last(kept)), F.lit(0))
+        return F.when(start.isNull(), kept).otherwise(F.concat(kept, F.array(F.struct(x["place"], x["title"], start.alias("pos")))))
+
+    return listed.select("doc", F.explode(F.aggregate("l", none, step)).alias("s")).select("doc", "s.place", "s.title", "s.pos")
 
 
 def boundaries(candidates: list[int], window: int = 4) -> list[int]:
