@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import audio, chat, decontam, html_extract, mixing, sharding, simhash, substrings, tokens, toxicity
+from lectern.llm import audio, chat, decontam, html_extract, infill, mixing, sharding, simhash, substrings, tokens, toxicity
 from lectern.llm.common import read
 from lectern.llm.oracles import ORACLES  # noqa: F401
 
@@ -59,4 +59,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_html, op4_audio, op5_chat, op6_sharding, op7_tokens, op8_toxicity, op9_substrings, op10_decontamination)}
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.restored(infill.fill_in_middle(read(spark, sf_dir, "documents")))
+    units = F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars")
+    return made.select("doc_id", "n", "form", *units, F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_html, op4_audio, op5_chat, op6_sharding, op7_tokens, op8_toxicity, op9_substrings, op10_decontamination, op12_infill)}
