@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import audio, chat, decontam, html_extract, infill, mixing, sharding, simhash, substrings, tokens, toxicity
+from lectern.llm import audio, chat, decontam, html_extract, infill, lines, mixing, sharding, simhash, substrings, tokens, toxicity
 from lectern.llm.common import read
 from lectern.llm.oracles import ORACLES  # noqa: F401
 
@@ -65,4 +65,9 @@ def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", *units, F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_html, op4_audio, op5_chat, op6_sharding, op7_tokens, op8_toxicity, op9_substrings, op10_decontamination, op12_infill)}
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_common_lines(read(spark, sf_dir, "documents"), least=10, shortest=1)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_html, op4_audio, op5_chat, op6_sharding, op7_tokens, op8_toxicity, op9_substrings, op10_decontamination, op12_infill, op13_lines)}
