@@ -42,6 +42,25 @@ c AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lam
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM c
 """
 
+#: CRC-32 of the decimal digits of conv_id, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+TRIE = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT conv_id, list(sha256(length(role) || ':' || role || text) ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS k,
+  list(octet_length(encode(text)) ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS b FROM t GROUP BY conv_id),
+h AS (SELECT *, {_CRC} % 9 AS h FROM s),
+r AS (SELECT h.conv_id, list_concat(coalesce(base.k[1:h.h], []), h.k[h.h + 1:]) AS k, list_concat(coalesce(base.b[1:h.h], []), h.b[h.h + 1:]) AS b FROM h LEFT JOIN s base ON base.conv_id = h.conv_id - h.conv_id % 5),
+m AS (SELECT conv_id, d, array_to_string(k[1:d], '') AS p, coalesce(b[d], 0) AS size, d = len(k) AS ended FROM r, unnest(range(0, len(k) + 1)) AS u(d)),
+n AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * max(size) AS saved, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended) AS ends FROM m GROUP BY p, d),
+c AS (SELECT substr(p, 1, 64 * (d - 1)) AS p, count(*) AS children FROM n WHERE d > 0 GROUP BY 1),
+e AS (SELECT n.*, coalesce(children, 0) AS children FROM n LEFT JOIN c USING (p)),
+a AS (SELECT substr(p, 1, 64 * k) AS p, sum(saved) AS saved, count(*) FILTER (children = 0) AS leaves FROM e, unnest(range(0, d + 1)) AS u(k) GROUP BY 1)
+SELECT e.conv_id, e.d AS depth, up.conv_id AS parent_conv_id, e.n AS n_convs, e.children AS n_children, a.leaves AS n_leaves, a.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ends, '')) AS ends_sha256
+FROM e JOIN a USING (p) LEFT JOIN n up ON up.p = substr(e.p, 1, 64 * (e.d - 1)) AND up.d = e.d - 1
+"""
+
 INFILL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
 r AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
@@ -65,4 +84,4 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(
 FROM m GROUP BY doc_id
 """
 
-ORACLES = {"op13_lines": LINES, "op12_infill": INFILL, "op3_html": PAGES, "op5_chat": CHAT, "op9_substrings": SUBSTRINGS, "op10_decontamination": decontam.ORACLE}
+ORACLES = {"op11_prefix_trie": TRIE, "op13_lines": LINES, "op12_infill": INFILL, "op3_html": PAGES, "op5_chat": CHAT, "op9_substrings": SUBSTRINGS, "op10_decontamination": decontam.ORACLE}

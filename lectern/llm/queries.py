@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import audio, chat, decontam, html_extract, infill, lines, mixing, sharding, simhash, substrings, tokens, toxicity
-from lectern.llm.common import read
+from lectern.llm import audio, chat, decontam, html_extract, infill, lines, mixing, prefix_trie, sharding, simhash, substrings, tokens, toxicity
+from lectern.llm.common import read, written
 from lectern.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -59,6 +59,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(written(prefix_trie.sequences(read(spark, sf_dir, "conversations")))))
+
+
 def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = infill.restored(infill.fill_in_middle(read(spark, sf_dir, "documents")))
     units = F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars")
@@ -70,4 +74,4 @@ def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_html, op4_audio, op5_chat, op6_sharding, op7_tokens, op8_toxicity, op9_substrings, op10_decontamination, op12_infill, op13_lines)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_html, op4_audio, op5_chat, op6_sharding, op7_tokens, op8_toxicity, op9_substrings, op10_decontamination, op11_prefix_trie, op12_infill, op13_lines)}
