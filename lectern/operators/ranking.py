@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.functions.text import book_key, reference_parts, theme_words
+from lectern.functions.text import book_key, keywords, reference_parts, theme_words
 from lectern.operators.analytics import capped
 from lectern.operators.hierarchy import earliest, located
 
@@ -159,11 +158,15 @@ def related_words(rows: DataFrame, topic: list[str], text: str, only: Column | N
     return rows.filter(F.coalesce(shared, F.lit(False)) | ~(F.lit(True) if only is None else only))
 
 
-def topped_up(chosen: DataFrame, candidates: DataFrame, least: dict[int, int], words: list[str]) -> DataFrame:
-    """H-07: query, doc, tier, rank, title -> the chosen and, for tiers short of their minimum, the best candidates that share enough title words."""
+def topped_up(chosen: DataFrame, candidates: DataFrame, least: dict[int, int], words: list[str] | Column) -> DataFrame:
+    """H-07: query, doc, tier, rank, title -> the chosen and, for tiers short of their minimum, the best candidates whose title has enough of the words (a list, or
+    an array column of the candidates): two, or the only one."""
     have = chosen.groupBy("query", "tier").agg(F.count("*").alias("have"))
-    shared = F.size(F.array_intersect(F.regexp_extract_all(F.lower("title"), F.lit(r"\p{L}+"), F.lit(0)), F.array(*[F.lit(w) for w in words]).cast("array<string>")))
-    rest = candidates.join(chosen.select("query", "doc"), ["query", "doc"], "left_anti").filter(shared >= min(2, len(words)))
+    wanted_words = words if isinstance(words, Column) else F.array(*[F.lit(w) for w in words]).cast("array<string>")
+    own = F.transform(F.regexp_extract_all(F.lower("title"), F.lit("[a-z']+"), F.lit(0)), lambda w: F.regexp_replace(w, "'s$", ""))
+    shared = F.size(F.array_intersect(own, wanted_words))
+    fits = (shared >= F.least(F.lit(2), F.size(F.array_distinct(wanted_words)))) & (shared > 0)
+    rest = candidates.join(chosen.select("query", "doc"), ["query", "doc"], "left_anti").filter(fits)
     wanted = F.coalesce(*[F.when(F.col("tier") == t, F.lit(n)) for t, n in least.items()], F.lit(0))
     rest = rest.join(have, ["query", "tier"], "left").withColumn("need", wanted - F.coalesce("have", F.lit(0)))
     return chosen.unionByName(capped(rest, ["query", "tier"], F.col("need"), F.col("rank")).select(*chosen.columns))
@@ -190,32 +193,64 @@ def originals(results: DataFrame, works: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.when(F.col("kind") == "talk", 0).otherwise(1), "rank")))
 
 
-def balanced(hits: DataFrame, limit: int, share: float = 0.6, most_span: int = 10) -> DataFrame:
-    """H-09: query, doc, trust, tier, rank, chapter, first, last, work -> up to limit rows a query: a share of scripture (tier 0) by trust without overlaps, near
-    passages merged, then other works by tier without reprints. Sequential: a query's candidates are few, so they are one pandas group."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["trust", "rank"], kind="stable")
-        want, kept, works = round(limit * share), [], set()
-        for r in rows[rows["tier"] == 0].itertuples():
-            if len(kept) >= want:
-                break
-            near = next((k for k in kept if k["chapter"] == r.chapter and r.first <= k["last"] + 2 and k["first"] <= r.last + 2), None)
-            if near is None:
-                kept.append(r._asdict())
-            elif max(near["last"], r.last) - min(near["first"], r.first) < most_span:
-                near["first"], near["last"] = min(near["first"], r.first), max(near["last"], r.last)
-        for r in rows[rows["tier"] != 0].sort_values(["tier", "rank"], kind="stable").itertuples():
-            if len(kept) >= limit:
-                break
-            if r.work not in works:
-                works.add(r.work)
-                kept.append(r._asdict())
-        out = pd.DataFrame(kept, columns=["Index", *rows.columns]).drop(columns="Index")
-        return out.assign(place=range(1, len(out) + 1))
-
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in hits.schema.fields)
-    return hits.groupBy("query").applyInPandas(run, f"{types}, place long")
+def _one_by_one(listed: str, target: int, gap: int, most_span: int) -> Column:
+    """The fold of H-09 over an array of passages in the order in which they are offered: one that overlaps a kept one is left out, one within `gap` verses widens
+    the first such unless that gets longer than `most_span`, any other is appended. Trusted ones are offered only as long as `target` isn't reached."""
+    start, end = lambda x: F.coalesce(x["first"], F.lit(0)), lambda x: F.coalesce(x["last"], F.lit(0))
+    overlaps = lambda k, x: (k["chapter"] == x["chapter"]) & (start(k) <= end(x)) & (start(x) <= end(k))
+    joined = lambda k, x: {"first": F.least(k["first"], x["first"]), "last": F.greatest(k["last"], x["last"])}
+
+    def near(k: Column, x: Column) -> Column:
+        close = (k["chapter"] == x["chapter"]) & (x["first"] <= k["last"] + gap + 1) & (k["first"] <= x["last"] + gap + 1)
+        return F.coalesce(close & k["last"].isNotNull() & x["last"].isNotNull() & (joined(k, x)["last"] - joined(k, x)["first"] < most_span), F.lit(False))
+
+    def step(kept: Column, x: Column) -> Column:
+        at = F.array_position(F.transform(kept, lambda k: near(k, x)), True)
+        wider = F.transform(kept, lambda k, i: F.when(i + 1 == at, k.withField("first", joined(k, x)["first"]).withField("last", joined(k, x)["last"])).otherwise(k))
+        out = F.exists(kept, lambda k: F.coalesce(overlaps(k, x), F.lit(False))) | ((x["block"] < CHOSEN) & (F.size(kept) >= target))
+        return F.when(out, kept).when(at > 0, wider).otherwise(F.concat(kept, F.array(x)))
+
+    return F.aggregate(listed, F.slice(listed, 1, 0), step)
+
+
+#: The order in which H-09 is offered passages: key passages of a topic that the question names, favored ones, other key passages, the selector's picks.
+NAMED, FAVORED, KEY, CHOSEN = range(4)
+
+
+def balanced(chosen: DataFrame, candidates: DataFrame, limit: int, questions: DataFrame | None = None, favored: DataFrame | None = None, share: float = 0.6, gap: int = 2, most_span: int = 10, least: dict[int, int] | None = None) -> DataFrame:
+    """H-09: up to `limit` results a query, about `share` of them (one at least) passages: query, place, doc, kind, tier, chapter, first, last, title, speaker.
+
+    chosen (a selector's picks), candidates and favored: query, doc, kind, tier (0: passages), rank, chapter, first, last, title, speaker, topic (of a key passage, else
+    null); questions: query, text. Passages are taken in the order above; a candidate that is neither chosen, favored nor a key passage never is. Other works are the
+    chosen ones and what tiers need to their minimum (`least`), by tier, without articles that reprint a chosen talk or one listed before. Each part leaves what it
+    doesn't need to the other. A query's passages are folded as one array: they are few, five times the limit at most in H-01."""
+    target = max(1, round(limit * share))
+    fields = ["query", "doc", "kind", "tier", "rank", "chapter", "first", "last", "title", "speaker"]
+    asked = questions.select("query", F.lower("text").alias("q"), keywords(F.col("text"), 12, possessive=True).alias("words")) if questions is not None else chosen.select("query").distinct().select("query", F.lit("").alias("q"), F.array().cast("array<string>").alias("words"))
+    known = candidates.join(asked, "query", "left")
+    topic = known.filter("tier = 0 AND topic IS NOT NULL")
+    keys = topic.select(*fields, F.when(F.coalesce(F.contains("q", F.lower("topic")), F.lit(False)), NAMED).otherwise(KEY).alias("block"))
+    offered = keys.unionByName(chosen.filter("tier = 0").select(*fields, F.lit(CHOSEN).alias("block")))
+    if favored is not None:
+        offered = offered.unionByName(favored.filter("tier = 0").select(*fields, F.lit(FAVORED).alias("block")))
+    listed = offered.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("block", "rank", "doc", *[F.col(c).cast("long").alias(c) for c in ("first", "last")], *[c for c in fields[2:] if c not in ("rank", "first", "last")]))).alias("l"))
+    passages = listed.select("query", F.posexplode(_one_by_one("l", target, gap, most_span)).alias("i", "x")).select("query", "i", "x.*").drop("block", "rank").withColumn("part", F.lit(0))
+
+    others = topped_up(chosen.filter("tier <> 0").select(*fields, F.lit(0).alias("later")), known.filter("tier <> 0").select(*fields, F.lit(1).alias("later"), "words"), {1: 2, 2: 1} if least is None else least, F.col("words"))
+    same = W.partitionBy("query", F.lower(F.trim("title")), F.lower(F.trim("speaker")))
+    order = F.struct("later", (F.col("later") * F.col("tier")).alias("added"), "rank", "doc")
+    talk = F.min(F.when(F.col("kind") == "talk", order)).over(same)
+    reprint = (F.col("kind") == "article") & F.coalesce((talk["later"] == 0) | (talk < order), F.lit(False))
+    rest = others.withColumn("reprint", reprint).filter("NOT reprint")
+    rest = rest.withColumn("i", F.row_number().over(W.partitionBy("query").orderBy("tier", "later", "rank", "doc")) - 1)
+    both = passages.unionByName(rest.select("query", "i", "doc", "first", "last", "kind", "tier", "chapter", "title", "speaker", F.lit(1).alias("part")))
+    of = lambda part: F.coalesce(F.count(F.when(F.col("part") == part, 1)).over(W.partitionBy("query")), F.lit(0))
+    counted = both.withColumn("passages", of(0)).withColumn("others", of(1))
+    others_kept = F.least(F.col("others"), limit - F.least(F.col("passages"), F.lit(target)))
+    passages_kept = F.least(F.col("passages"), limit - others_kept)
+    kept = counted.filter(F.when(F.col("part") == 0, F.col("i") < passages_kept).otherwise(F.col("i") < others_kept))
+    place = F.row_number().over(W.partitionBy("query").orderBy("part", "i")).cast("long")
+    return kept.withColumn("place", place).select("query", "place", "doc", "kind", "tier", "chapter", "first", "last", "title", "speaker")
 
 
 def candidate_list(hits: DataFrame, chars: int = 300) -> DataFrame:

@@ -562,20 +562,51 @@ def chapter_for(spark, d):
     return H.earliest(both, ["book_name", "chapter_number"], "volume_sort", "chapter_id").select("book_name", "chapter_number", "chapter_id")
 
 
-@query("""WITH h AS (SELECT n_regionkey::BIGINT AS query, c_custkey AS doc, c_custkey % 3 AS trust, c_custkey % 4 AS tier, row_number() OVER (PARTITION BY n_regionkey ORDER BY c_acctbal DESC, c_custkey) AS rank, c_nationkey % 2 AS work FROM customer JOIN nation ON c_nationkey = n_nationkey),
-a AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY trust, rank) AS place FROM h WHERE tier = 0 QUALIFY place <= 7), w AS (SELECT * FROM h WHERE tier <> 0 QUALIFY row_number() OVER (PARTITION BY query, work ORDER BY tier, rank) = 1),
-n AS (SELECT query, count(*) AS n FROM a GROUP BY query), b AS (SELECT w.query, doc, coalesce(n, 0) + row_number() OVER (PARTITION BY w.query ORDER BY tier, rank) AS place FROM w LEFT JOIN n ON n.query = w.query)
-SELECT query, doc, place FROM a UNION ALL SELECT query, doc, place FROM b WHERE place <= 12""")
+_OFFERED = """li AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_suppkey) AS s, min(l_quantity)::BIGINT AS q, min(l_returnflag) AS flag, min(l_linestatus) AS status FROM lineitem GROUP BY ALL),
+h AS (SELECT o_custkey AS query, l_orderkey * 10 + l_linenumber AS doc, CASE s % 5 WHEN 3 THEN 'talk' WHEN 4 THEN 'article' ELSE CASE p % 9 WHEN 0 THEN 'discourse' ELSE 'scripture' END END AS kind,
+ CASE s % 5 WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE CASE p % 9 WHEN 0 THEN 3 ELSE 0 END END AS tier, row_number() OVER (PARTITION BY o_custkey ORDER BY q DESC, l_orderkey, l_linenumber) AS rank,
+ CASE WHEN p % 11 > 0 THEN p % 3 END AS chapter, l_linenumber * (1 + p % 4) AS first, l_linenumber * (1 + p % 4) + q // 9 AS last, p_name AS title, CASE s % 2 WHEN 0 THEN 'A' ELSE ' a ' END AS speaker, CASE WHEN p % 7 = 0 THEN p_name END AS topic, flag, status
+ FROM li JOIN orders ON l_orderkey = o_orderkey JOIN part ON p = p_partkey),
+qs AS (SELECT c_custkey AS query, 'What is the ' || p_name || '?' AS text, [x FOR x IN string_split(lower(p_name), ' ') IF length(x) > 2] AS words FROM customer JOIN part ON c_custkey = p_partkey)"""
+
+
+@query(f"""WITH RECURSIVE {_OFFERED}, ck AS (SELECT * FROM h WHERE flag = 'N' QUALIFY row_number() OVER (PARTITION BY query ORDER BY rank) <= 12),
+ofr AS (SELECT h.query, CASE WHEN contains(lower(text), lower(topic)) THEN 0 ELSE 2 END AS block, rank, doc, kind, chapter, first, last, title, speaker FROM h LEFT JOIN qs ON qs.query = h.query WHERE tier = 0 AND topic IS NOT NULL
+ UNION ALL SELECT query, 1, rank, doc, kind, chapter, first, last, title, speaker FROM h WHERE tier = 0 AND flag = 'R' AND status = 'F' UNION ALL SELECT query, 3, rank, doc, kind, chapter, first, last, title, speaker FROM ck WHERE tier = 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY block, rank, doc) AS i FROM ofr),
+f AS (SELECT query, i, [{{'doc': doc, 'kind': kind, 'chapter': chapter, 'first': first, 'last': last, 'title': title, 'speaker': speaker}}] AS kept FROM o WHERE i = 1 UNION ALL
+ SELECT o.query, o.i, CASE WHEN (o.block < 3 AND len(f.kept) >= 6) OR len(list_filter(f.kept, lambda k: coalesce(k.chapter = o.chapter AND k.first <= o.last AND o.first <= k.last, false))) > 0 THEN f.kept
+  WHEN p.at > 0 THEN list_transform(f.kept, lambda k, j: CASE WHEN j = p.at THEN {{'doc': k.doc, 'kind': k.kind, 'chapter': k.chapter, 'first': least(k.first, o.first), 'last': greatest(k.last, o.last), 'title': k.title, 'speaker': k.speaker}} ELSE k END)
+  ELSE f.kept || [{{'doc': o.doc, 'kind': o.kind, 'chapter': o.chapter, 'first': o.first, 'last': o.last, 'title': o.title, 'speaker': o.speaker}}] END
+ FROM f JOIN o ON o.query = f.query AND o.i = f.i + 1,
+ LATERAL (SELECT coalesce(list_position(list_transform(f.kept, lambda k: coalesce(k.chapter = o.chapter AND o.first <= k.last + 3 AND k.first <= o.last + 3 AND greatest(k.last, o.last) - least(k.first, o.first) + 1 <= 10, false)), true), 0) AS at) p),
+sc AS (SELECT query, unnest(range(1, len(kept) + 1)) AS i, unnest(kept) AS k FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query ORDER BY i DESC) = 1)),
+hv AS (SELECT query, tier, count(*) AS n FROM ck GROUP BY ALL),
+ad AS (SELECT h.*, len(list_filter(words, lambda w: list_contains(string_split(lower(title), ' '), w))) AS shared, len(words) AS asked, CASE h.tier WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END - coalesce(n, 0) AS need FROM h LEFT JOIN qs ON qs.query = h.query LEFT JOIN hv ON hv.query = h.query AND hv.tier = h.tier
+ WHERE h.tier <> 0 AND h.doc NOT IN (SELECT doc FROM ck) AND shared > 0 AND shared >= least(2, asked) QUALIFY row_number() OVER (PARTITION BY h.query, h.tier ORDER BY h.rank) <= need),
+w AS (SELECT query, doc, kind, tier, rank, chapter, first, last, title, speaker, 0 AS later FROM ck WHERE tier <> 0 UNION ALL SELECT query, doc, kind, tier, rank, chapter, first, last, title, speaker, 1 FROM ad),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY tier, later, rank) AS i FROM w WHERE NOT (kind = 'article' AND EXISTS (SELECT 1 FROM w t WHERE t.query = w.query AND t.kind = 'talk' AND lower(trim(t.title)) = lower(trim(w.title)) AND lower(trim(t.speaker)) = lower(trim(w.speaker))
+ AND (t.later = 0 OR (t.later, t.later * t.tier, t.rank) < (w.later, w.later * w.tier, w.rank))))),
+n AS (SELECT query, coalesce(a.n, 0) AS np, coalesce(b.n, 0) AS nr FROM (SELECT query, count(*) AS n FROM sc GROUP BY query) a FULL JOIN (SELECT query, count(*) AS n FROM r GROUP BY query) b USING (query)),
+m AS (SELECT query, least(nr, 10 - least(np, 6)) AS kr, least(np, 10 - least(nr, 10 - least(np, 6))) AS kp FROM n),
+u AS (SELECT query, i, 0 AS part, k.doc AS doc, k.kind AS kind, k.first AS first, k.last AS last FROM sc JOIN m USING (query) WHERE i <= kp UNION ALL SELECT query, i, 1, doc, kind, first, last FROM r JOIN m USING (query) WHERE i <= kr)
+SELECT query, row_number() OVER (PARTITION BY query ORDER BY part, i) AS place, doc, kind, first::BIGINT AS first, last::BIGINT AS last FROM u""")
 def balanced_hits(spark, d):
-    """H-09: a share of scripture by trust, then other works by tier, each once (here two works)."""
-    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    query = F.col("n_regionkey").cast("long")
+    """H-09: each customer's line items as search results (overlapping, near and distant ones of few chapters, reprints, named and other key passages), balanced to ten."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_quantity").cast("long").alias("q"), F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"))
+    part = table(spark, d, "part").select("p_partkey", "p_name")
+    rows = lines.join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("p") == F.col("p_partkey"))
+    odd, other = F.col("s") % 5, F.col("p") % 9 == 0
+    first = F.col("l_linenumber") * (1 + F.col("p") % 4)
     hits = rows.select(
-        query.alias("query"), F.col("c_custkey").alias("doc"), (F.col("c_custkey") % 3).alias("trust"), (F.col("c_custkey") % 4).alias("tier"),
-        F.row_number().over(W.partitionBy(query).orderBy(F.col("c_acctbal").desc(), "c_custkey")).alias("rank"), F.col("c_custkey").alias("chapter"), F.lit(1).alias("first"), F.lit(2).alias("last"),
-        (F.col("c_nationkey") % 2).cast("string").alias("work"),
+        F.col("o_custkey").alias("query"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc"), F.when(odd == 3, "talk").when(odd == 4, "article").when(other, "discourse").otherwise("scripture").alias("kind"),
+        F.when(odd == 3, 1).when(odd == 4, 2).when(other, 3).otherwise(0).alias("tier"), F.row_number().over(W.partitionBy("o_custkey").orderBy(F.col("q").desc(), "l_orderkey", "l_linenumber")).alias("rank"),
+        F.when(F.col("p") % 11 > 0, F.col("p") % 3).alias("chapter"), first.alias("first"), (first + F.floor(F.col("q") / 9)).alias("last"), F.col("p_name").alias("title"), F.when(F.col("s") % 2 == 0, "A").otherwise(" a ").alias("speaker"),
+        F.when(F.col("p") % 7 == 0, F.col("p_name")).alias("topic"), "flag", "status",
     )
-    return R.balanced(hits, 12).select("query", "doc", "place")
+    questions = table(spark, d, "customer").join(part, F.col("c_custkey") == F.col("p_partkey")).select(F.col("c_custkey").alias("query"), F.concat(F.lit("What is the "), "p_name", F.lit("?")).alias("text"))
+    chosen = A.capped(hits.filter("flag = 'N'"), "query", 12, F.col("rank"))
+    return R.balanced(chosen, hits, 10, questions, hits.filter("flag = 'R' AND status = 'F'")).select("query", "place", "doc", "kind", "first", "last")
 
 
 @query("""SELECT * FROM (VALUES ('a', 8, 'faith | Alma 5 | hope'), ('b', 20, 'faith | hope'), ('c', 12, 'Alma 5 | hope'), ('d', 12, 'hope')) t(name, results, questions)""")

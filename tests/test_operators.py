@@ -330,11 +330,63 @@ def test_themes_against_brute_force(spark, step):
     assert len(greedy(listed["long"])) == 130
 
 
-def test_balanced_mixes_merges_and_drops_reprints(spark):
-    d = [("q", "a", 0, 0, 1, 1.0, 1.0, 2.0, None), ("q", "b", 0, 0, 2, 1.0, 4.0, 5.0, None), ("q", "c", 1, 0, 3, 2.0, 1.0, 1.0, None), ("q", "t1", 2, 1, 4, None, None, None, "w"), ("q", "t2", 2, 1, 5, None, None, None, "w"), ("q", "t3", 2, 2, 6, None, None, None, "v")]
-    rows_ = spark.createDataFrame(d, "query string, doc string, trust int, tier int, rank int, chapter double, first double, last double, work string")
-    got = R.balanced(rows_, 4).orderBy("place").collect()
-    assert [r["doc"] for r in got] == ["a", "c", "t1", "t3"] and (got[0]["first"], got[0]["last"]) == (1, 5)
+HIT = "query string, doc string, kind string, tier int, rank int, chapter long, first long, last long, title string, speaker string, topic string"
+
+
+def hit(doc, chapter=None, first=None, last=None, kind="scripture", title="", speaker="", topic=None):
+    return doc, kind, {"scripture": 0, "talk": 1, "article": 2}.get(kind, 3), chapter, first, last, title, speaker, topic
+
+
+def balance(spark, chosen, candidates=(), favored=(), limit=10, question=""):
+    """The places as doc or, of passages, doc first-last."""
+    frame = lambda hits: spark.createDataFrame([("q", h[0], h[1], h[2], i, *h[3:]) for i, h in enumerate(hits, 1)], HIT)
+    got = R.balanced(frame(chosen), frame(candidates), limit, spark.createDataFrame([("q", question)], "query string, text string"), frame(favored)).orderBy("place").collect()
+    assert [r["place"] for r in got] == list(range(1, len(got) + 1))
+    return [r["doc"] if r["first"] is None else f"{r['doc']} {r['first']}-{r['last']}" for r in got]
+
+
+def test_balance_appends_what_is_too_long_to_merge(spark):
+    assert balance(spark, [hit("a", 1, 1, 8), hit("b", 1, 10, 15)]) == ["a 1-8", "b 10-15"]
+
+
+def test_balance_skips_an_overlap(spark):
+    assert balance(spark, [hit("a", 1, 1, 5), hit("b", 1, 3, 7)]) == ["a 1-5"]
+
+
+def test_balance_fills_up_from_what_was_chosen(spark):
+    ten = [hit(f"s{i}", i, 1, 2) for i in range(10)]
+    assert balance(spark, ten) == [f"s{i} 1-2" for i in range(10)]
+    talks = [hit(f"t{i}", kind="talk", title=f"talk {i}") for i in range(10)]
+    assert balance(spark, talks) == [f"t{i}" for i in range(10)]
+    assert balance(spark, ten + talks) == [f"s{i} 1-2" for i in range(6)] + [f"t{i}" for i in range(4)]
+    assert balance(spark, ten[:2] + talks) == ["s0 1-2", "s1 1-2"] + [f"t{i}" for i in range(8)]
+    assert balance(spark, ten + talks, limit=1) == ["s0 1-2"]
+
+
+def test_balance_merges_near_passages_in_place(spark):
+    near = [hit("a", 1, 1, 1), hit("x", 2, 1, 1), hit("b", 1, 4, 5), hit("c", 1, 8, 10), hit("d", 1, 13, 13), hit("e", None, 1, 2), hit("f", None, 1, 2)]
+    assert balance(spark, near) == ["a 1-10", "x 1-1", "d 13-13", "e 1-2", "f 1-2"]
+    assert balance(spark, [hit("a", 1, 1, 1), hit("b", 1, 5, 5)]) == ["a 1-1", "b 5-5"]
+
+
+def test_balance_order_of_trust(spark):
+    named, other = hit("n", 4, 1, 2, topic="Hope"), hit("k", 3, 1, 2, topic="Charity")
+    loose, reading, pick = hit("l", 9, 1, 1), hit("r", 5, 1, 1), hit("p", 6, 1, 1)
+    assert balance(spark, [pick], [loose, other, named], [reading], question="What of hope?") == ["n 1-2", "r 1-1", "k 1-2", "p 1-1"]
+    assert balance(spark, [pick], [loose, other, named], [reading], limit=3, question="What of hope?") == ["n 1-2", "r 1-1", "p 1-1"]
+
+
+def test_balance_reprints_and_minimums(spark):
+    talk, reprint = hit("t", kind="talk", title="Faith", speaker="A"), hit("r", kind="article", title=" faith ", speaker="a")
+    assert balance(spark, [hit("j", kind="discourse", title="x"), reprint, talk]) == ["t", "j"]
+    assert balance(spark, [hit("r", kind="article", title="F", speaker="A"), hit("s", kind="article", title="F", speaker="A")]) == ["r", "s"]  # no talk is reprinted
+    own = [hit("c", kind="talk", title="Hope's great faith"), hit("d", kind="talk", title="hope alone"), hit("e", kind="article", title="HOPE and faith"), hit("g", kind="article", title="hope faith")]
+    assert balance(spark, [], own, question="faith, hope?") == ["c", "e"]
+    assert balance(spark, [], own, question="the hope") == ["c", "d", "e"]
+    assert balance(spark, [], own, question="the") == []
+    both = [hit("t", kind="talk", title="hope", speaker="A"), hit("e", kind="article", title="Hope", speaker="A")]
+    assert balance(spark, [], both, question="hope") == ["t"]
+    assert balance(spark, [both[1]], both[:1], question="hope") == ["t", "e"]  # the article was there first
 
 
 def test_selector_falls_back_by_tier(spark):
