@@ -15,15 +15,18 @@ from lectern.operators import ranking as R
 from lectern.operators import search as S
 from lectern.operators import vectors as V
 from lectern.operators.analytics import capped, merge_lists
+from lectern.operators.stored import StoredIndex
 
 OVERFETCH = 5
 
 
-def hybrid(pieces: DataFrame, queries: DataFrame, quotas: DataFrame, limit: int, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, windows: DataFrame | None = None) -> DataFrame:
+def hybrid(pieces: DataFrame, queries: DataFrame, quotas: DataFrame, limit: int, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, windows: DataFrame | None = None, index: StoredIndex | None = None) -> DataFrame:
     """H-01: pieces (doc, kind, heading, body) for queries (query, text): keyword and, if there are vectors (id, v; query, q), semantic rankings of five times the
-    limit, fused; with `windows` (doc, book, chapter, first, last) overlapping or touching ones are one result; capped by kind. Without vectors it is keyword search alone."""
+    limit, fused; with `windows` (doc, book, chapter, first, last) overlapping or touching ones are one result; capped by kind. Without vectors it is keyword search alone. `index`
+    is the stored index of heading (weight 0.2) and body; without it one is made. A question of stop words alone has no keyword results."""
     terms = queries.select("query", F.explode(keywords(F.col("text"), 12, possessive=True)).alias("w")).select("query", F.explode(tokens(F.col("w"))).alias("term")).distinct()
-    words = S.ranked(S.search_any(S.indexed(pieces, "doc", {"heading": 0.2, "body": 1.0}), terms), OVERFETCH * limit)
+    index = S.indexed(pieces, "doc", {"heading": 0.2, "body": 1.0}) if index is None else index
+    words = S.ranked(S.search_any(index, terms, OVERFETCH * limit), OVERFETCH * limit)
     if vectors is None:
         both = words.select("query", "doc", F.col("rank").cast("long").alias("rank"), "score")
     else:

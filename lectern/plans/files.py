@@ -17,8 +17,10 @@ from lectern.operators import merge as M
 from lectern.operators import records as D
 from lectern.operators import vectors as V
 from lectern.operators import workflow as K
+from lectern.operators.stored import StoredIndex
 from lectern.plans.corpus import HIERARCHY, verses
 from lectern.plans.registry import query, table, texts
+from lectern.plans.retrieval import TOK
 from lectern.sources import readers as S
 from lectern.sources import sinks
 from lectern.storage import shared_folder
@@ -165,10 +167,10 @@ def tabbed_glosses(spark, d):
     return S.glosses(lines.unionByName(other), "H", 20).select("strongs", F.array_join("glosses", ";").alias("glosses"))
 
 
-@query(f"WITH {HIERARCHY} SELECT book_name AS book, chapter_id::INT AS chapter, verse_number::INT AS verse, lower(text) AS text FROM ve WHERE verse_number <= 99 AND chapter_id > 0")
+@query(f"WITH {HIERARCHY} SELECT book_name AS book, chapter_id::INT AS chapter, verse_number::INT AS verse, lower(text) AS text FROM ve WHERE chapter_id > 0")
 def numbered_plain_text(spark, d):
     """S-12, S-13: headings and verse numbers in plain text."""
-    ve = verses(spark, d).filter("verse_number <= 99 AND chapter_id > 0")
+    ve = verses(spark, d).filter("chapter_id > 0")
     lines = ve.select("book_name", "chapter_id", F.col("verse_number").alias("at"), F.concat(_s("verse_number"), F.lit(". "), F.lower("text")).alias("value"))
     lines = lines.unionByName(ve.select("book_name", "chapter_id", F.lit(0).cast("long").alias("at"), F.concat(F.lit("CHAPTER "), _s("chapter_id"), F.lit(".")).alias("value")).distinct())
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chapter_id", "at", "value"))), lambda x: x["value"]), "\n")
@@ -289,14 +291,14 @@ def log_sessions(spark, d):
     return S.log_sessions(lines, "^=== signup").select(F.col("pos").alias("event_id"), "session")
 
 
-@query("SELECT 'v1.' || p_size || '.' || p_partkey AS tag_name, 'u' || p_partkey AS html_url, p_partkey % 3 = 0 AS prerelease, 1000000 + p_size * 10000 + p_partkey AS version FROM part WHERE p_partkey % 4 <> 0 AND p_partkey < 10000")
+@query("SELECT 'v1.' || p_size || '.' || p_partkey AS tag_name, 'u' || p_partkey AS html_url, p_partkey % 3 = 0 AS prerelease, 1::BIGINT AS major, p_size::BIGINT AS minor, p_partkey::BIGINT AS patch FROM part WHERE p_partkey % 4 <> 0")
 def release_records(spark, d):
     """S-34: versions of release records; drafts are left out, and versions are compared by their numbers."""
     body = F.to_json(F.struct(F.concat(F.lit("v1."), _s("p_size"), F.lit("."), _s("p_partkey")).alias("tag_name"), F.concat(F.lit("u"), _s("p_partkey")).alias("html_url"), (F.col("p_partkey") % 4 == 0).alias("draft"), (F.col("p_partkey") % 3 == 0).alias("prerelease")))
     from lectern.functions.text import version_key
 
-    found = S.releases(table(spark, d, "part").filter("p_partkey < 10000").select(body.alias("b")), "b").withColumn("v", version_key(F.col("tag_name")))
-    return found.select("tag_name", "html_url", "prerelease", (F.get("v", F.lit(0)) * 1000000 + F.get("v", F.lit(1)) * 10000 + F.get("v", F.lit(2))).cast("long").alias("version"))
+    found = S.releases(table(spark, d, "part").select(body.alias("b")), "b").withColumn("v", version_key(F.col("tag_name")))
+    return found.select("tag_name", "html_url", "prerelease", *[F.get("v", F.lit(i)).cast("long").alias(c) for i, c in enumerate(("major", "minor", "patch"))])
 
 
 @query("SELECT 'nomic-Embed-' || p_partkey AS model, true AS special FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'gemma-' || p_partkey, false FROM part WHERE p_partkey % 2 = 1")
@@ -464,7 +466,7 @@ def stream_hourly_counts(spark, d):
 
 @query("SELECT event_type || user_id % 10 AS k, max(event_id) AS v FROM events GROUP BY 1")
 def stream_upserts(spark, d):
-    """Stream: incremental embedding and index following edits: batches merged into a table."""
+    """Stream: batches merged into a table."""
     path = _place(spark)
     empty = spark.createDataFrame([], "k string, v long")
     state = {"now": empty}
@@ -482,6 +484,27 @@ def stream_upserts(spark, d):
     return state["now"]
 
 
+_EDITED = TOK.format("CASE WHEN doc_id % 10 = 0 THEN 'changed words, changed twice' WHEN doc_id % 10 = 5 THEN 'gone and back ' || text ELSE text END")
+
+
+@query(f"""WITH t AS (SELECT doc_id AS doc, unnest(range(0, len(l))) AS pos, unnest(l) AS token, len(l) AS len FROM (SELECT doc_id, {_EDITED} AS l FROM documents WHERE doc_id % 10 <> 1))
+SELECT token, count(*) AS docs, sum(tf)::BIGINT AS tf, sum(first)::BIGINT AS first, sum(len)::BIGINT AS len FROM (SELECT token, doc, len, count(*) AS tf, min(pos) AS first FROM t GROUP BY token, doc, len) GROUP BY token""")
+def stream_index(spark, d):
+    """Stream: index follows edits: nine tenths of the documents are indexed, then come new, changed, deleted and restored ones, in three batches."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    index = StoredIndex.create(docs.filter("doc_id % 10 <> 3"), "doc_id", {"text": 1.0}, parts=8)
+    none = F.lit(None).cast("string")
+    edit = lambda rest, at, text, deleted=False: docs.filter(f"doc_id % 10 = {rest}").select("doc_id", text.alias("text"), F.lit(deleted).alias("deleted"), F.lit(at).alias("at"))
+    batches = [edit(3, 1, F.lit("first form")), edit(0, 1, F.lit("changed once")).unionByName(edit(1, 2, none, True)).unionByName(edit(5, 3, none, True)), edit(3, 5, F.col("text")).unionByName(edit(3, 4, none, True)).unionByName(edit(0, 6, F.lit("changed words, changed twice"))).unionByName(edit(5, 7, F.concat(F.lit("gone and back "), F.col("text"))))]
+    place = _place(spark)
+    for i, rows in enumerate(batches):
+        rows.coalesce(1).write.parquet(f"{place}/edits/{i}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{place}/edits/*")
+        I.index_follows(stream, index, "doc_id", F.col("at"), f"{place}/state").start().awaitTermination()
+    found = index.flat().select("token", "len", F.size("at").alias("tf"), F.array_min(F.transform("at", lambda x: x["pos"])).alias("first"))
+    return found.groupBy("token").agg(F.count("*").alias("docs"), F.sum("tf").cast("long").alias("tf"), F.sum("first").cast("long").alias("first"), F.sum("len").alias("len"))
+
+
 @query("SELECT DISTINCT sha256(text) AS hash FROM documents WHERE text <> ''")
 def stream_embedding(spark, d):
     """Stream: incremental embedding: texts that come in are embedded once."""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.storage import spread
 
+_kept: dict[tuple, object] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -29,3 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     """A table of long texts, dealt to all cores if it is in a few files."""
     return spread(table(spark, sf_dir, name))
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]) -> object:
+    """What several queries read, as an index, is made once for an application and a folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]

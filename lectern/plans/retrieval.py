@@ -13,7 +13,7 @@ from lectern.operators import passages as P
 from lectern.operators import ranking as R
 from lectern.operators import search as S
 from lectern.operators import vectors as V
-from lectern.plans.registry import query, table, texts
+from lectern.plans.registry import once, query, table, texts
 
 TOK = "regexp_extract_all(strip_accents(lower({0})), '[\\p{{L}}\\p{{N}}]+')"
 _STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
@@ -45,8 +45,13 @@ def _terms(spark, d):
     return words.filter(~F.contains("w", F.lit("'"))).select("query", X.folded(F.col("w")).alias("term")).distinct()
 
 
+def passage_index(spark, d):
+    """The stored index of all passages, which the searches below read."""
+    return once(spark, d, "passages", lambda: S.indexed(_passages(spark, d), "doc", {"text": 1.0}))
+
+
 def bm25(spark, d, limit):
-    return S.ranked(S.search_any(S.indexed(_passages(spark, d), "doc", {"text": 1.0}), _terms(spark, d)), limit)
+    return S.ranked(S.search_any(passage_index(spark, d), _terms(spark, d), limit), limit)
 
 
 @query(f"{_OR} SELECT query, doc, score, rank FROM rk WHERE rank <= 10")
@@ -72,7 +77,8 @@ def bm25_weighted(spark, d):
     """X-02, X-06: first lines as headings of weight 0.2, the rest as bodies."""
     lines = F.split("text", "\n")
     docs = texts(spark, d).select("doc_id", F.element_at(lines, 1).alias("heading"), F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "\n").alias("body"))
-    return S.ranked(S.search_any(S.indexed(docs, "doc_id", {"heading": 0.2, "body": 1.0}), _terms(spark, d)), 10)
+    index = once(spark, d, "headed documents", lambda: S.indexed(docs, "doc_id", {"heading": 0.2, "body": 1.0}))
+    return S.ranked(S.search_any(index, _terms(spark, d), 10), 10)
 
 
 @query(f"""WITH {_PASSAGES}, q AS (SELECT item_id AS query, {TOK.format('text')}[1:2] AS w FROM benchmark),
@@ -83,7 +89,7 @@ SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score D
 def phrase_search(spark, d):
     """X-03, X-04: passages with a benchmark item's first two words as a phrase, the best forty."""
     phrases = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.slice(X.tokens(F.col("text")), 1, 2).alias("words")).filter(F.size("words") == 2)
-    return S.ranked(S.search_phrase(S.indexed(_passages(spark, d), "doc", {"text": 1.0}), phrases), 40)
+    return S.ranked(S.search_phrase(passage_index(spark, d), phrases), 40)
 
 
 @query(f"""WITH {_PASSAGES}, {_KEYWORDS}, pre AS (SELECT DISTINCT query, substr(term, 1, 4) AS prefix FROM terms WHERE length(term) >= 4),
@@ -94,7 +100,7 @@ SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score D
 def prefix_or(spark, d):
     """X-12: words that begin like a keyword; a prefix has one document frequency."""
     prefixes = _terms(spark, d).filter(F.length("term") >= 4).select("query", F.substring("term", 1, 4).alias("prefix")).distinct()
-    return S.ranked(S.search_prefixes(S.indexed(_passages(spark, d), "doc", {"text": 1.0}), prefixes, 4), 10)
+    return S.ranked(S.search_prefixes(passage_index(spark, d), prefixes, 4), 10)
 
 
 @query(f"""{_OR}, cut AS (SELECT query, doc, text, score FROM sc JOIN pas USING (doc) QUALIFY score >= 0.35 * max(score) OVER (PARTITION BY query)),
@@ -103,7 +109,7 @@ SELECT query, doc, score FROM one QUALIFY row_number() OVER (PARTITION BY query
 def relative_cutoff(spark, d):
     """T-04: results that score at least 0.35 of the best, each text once, the best twenty."""
     rows = _passages(spark, d)
-    scores = S.search_any(S.indexed(rows, "doc", {"text": 1.0}), _terms(spark, d)).withColumn("score", F.round("score", 6))
+    scores = S.search_any(passage_index(spark, d), _terms(spark, d)).withColumn("score", F.round("score", 6))
     kept = A.relative_cutoff(scores, 0.35).join(rows, "doc")
     order = (F.col("score").desc(), F.col("doc"))
     return A.capped(A.capped(kept, ["query", "text"], 1, *order), "query", 20, *order).select("query", "doc", "score")
