@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.storage import written
+
 #: Groups (kinds, languages) whose figures may be sent to all tasks.
 FEW_GROUPS = 10_000
 
@@ -119,6 +121,35 @@ def bigrams(rows: DataFrame, tokens: Column, least: int) -> DataFrame:
     return found.select(F.split_part("p", F.lit(" "), F.lit(1)).alias("a"), F.split_part("p", F.lit(" "), F.lit(2)).alias("b"), "n")
 
 
+def one_swap(word: Column, confused: tuple[tuple[str, str], ...]) -> Column:
+    """C-06, A-10: every text that one confusion (read, meant) makes of a word, as an array."""
+
+    def swapped(read: str, meant: str) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(len(read))) == read)
+        return F.transform(places, lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.lit(meant), F.substring(word, i + len(read), F.length(word))))
+
+    made = [swapped(read, meant) for read, meant in confused]
+    return F.array_distinct(F.flatten(F.array(*made)))
+
+
+def own_spellings(texts: DataFrame, text: str, clean: DataFrame, confused: tuple[tuple[str, str], ...], dictionary: DataFrame | None = None, least: int = 3, common: int = 20) -> DataFrame:
+    """A-10: words of a corpus that clean texts lack (clean: word, n, in lower case) but that are its own spellings and no misreadings: word, n.
+
+    A word of a dictionary (word) with five letters; one of eight that stands `least` times; one of six that does, unless one confusion makes a common word of it. The texts that
+    one confusion makes of such a word are the keys by which common words are looked up, so no pair of words is compared that isn't one confusion apart."""
+    words = texts.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?<![\p{L}\p{N}_])[A-Za-z]+(?![\p{L}\p{N}_])"), F.lit(0))).alias("w")).groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n"))
+    new = written(words.join(clean.select("word"), "word", "left_anti"))
+    letters = F.length("word")
+    often = new.filter((letters >= 6) & (F.col("n") >= least))
+    keys = often.filter(letters < 8).select("word", F.explode(one_swap(F.col("word"), confused)).alias("key"))
+    misread = keys.join(clean.filter(F.col("n") >= common).select(F.col("word").alias("key")), "key", "left_semi").select("word").distinct()
+    admitted = often.join(misread, "word", "left_anti")
+    if dictionary is not None:
+        listed = new.filter(letters >= 5).join(dictionary.select(F.lower(F.trim("word")).alias("word")).distinct(), "word", "left_semi")
+        admitted = admitted.unionByName(listed).distinct()
+    return admitted.select("word", "n")
+
+
 def proper_names(rows: DataFrame, doc: str, text: str, word: str) -> DataFrame:
     """A-09: capitalized words never seen in lower case: name, count and first document."""
     words = rows.select(F.col(doc).alias("d"), F.explode(F.regexp_extract_all(text, F.lit(word), F.lit(0))).alias("w"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.functions.cleaning import CONFUSED
 from lectern.operators import analytics as A
 from lectern.operators import hierarchy as H
 from lectern.plans.registry import query, table, texts
@@ -202,6 +203,22 @@ def bigrams(spark, d):
     return A.bigrams(texts(spark, d), X.tokens(F.col("text")), 5)
 
 
+_SWAPS = ", ".join(f"""('{a.replace("'", "''")}', '{b}')""" for a, b in CONFUSED)
+
+
+@query(f"""WITH c AS (SELECT lower(w) AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+(?:''[a-z]+)?')) AS w FROM documents WHERE lang = 'en') GROUP BY 1),
+o AS (SELECT lower(w) AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS w FROM documents WHERE lang <> 'en') WHERE regexp_full_match(w, '[A-Za-z]+') AND lower(w) NOT IN (SELECT word FROM c) GROUP BY 1),
+k AS (SELECT word, substr(word, 1, i - 1) || meant || substr(word, i + length(read)) AS key FROM (SELECT o.word, read, meant, unnest(range(1, length(word) + 1)) AS i FROM o, (VALUES {_SWAPS}) s(read, meant) WHERE length(word) BETWEEN 6 AND 7 AND n >= 3) WHERE substr(word, i, length(read)) = read),
+d AS (SELECT DISTINCT lower(unnest(string_split(text, ' '))) AS word FROM benchmark)
+SELECT word, n FROM o WHERE length(word) >= 5 AND word IN (SELECT word FROM d) OR n >= 3 AND (length(word) >= 8 OR length(word) >= 6 AND word NOT IN (SELECT word FROM k WHERE key IN (SELECT word FROM c WHERE n >= 20)))""")
+def own_spellings(spark, d):
+    """A-10: words of the documents in other languages that the English ones lack, without misread common words; the benchmark's words are the dictionary."""
+    docs = texts(spark, d)
+    clean = docs.filter("lang = 'en'").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+(?:'[a-z]+)?"), F.lit(0))).alias("w")).groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n"))
+    listed = table(spark, d, "benchmark").select(F.explode(F.split("text", " ")).alias("word"))
+    return A.own_spellings(docs.filter("lang <> 'en'"), "text", clean, CONFUSED, listed)
+
+
 @query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents WHERE lang = 'en'), seen AS (SELECT DISTINCT w FROM w WHERE w = lower(w))
 SELECT w AS name, count(*) AS n, min(doc_id) AS first_doc FROM w WHERE w <> lower(w) AND lower(w) NOT IN (SELECT w FROM seen) GROUP BY w""")
 def proper_names(spark, d):

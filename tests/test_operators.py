@@ -557,3 +557,28 @@ def test_gates(spark):
 def test_scores(spark):
     r = spark.createDataFrame([(1, 1), (2, 7), (3, None), (4, 20)], "query int, rank int")
     assert tuple(Q.retrieval_scores(r).first()) == (4, 0.25, 0.5, round((1 + 1 / 7) / 4, 6))
+
+
+def test_own_spellings_are_no_misreadings(spark):
+    clean = spark.createDataFrame([("behold", 40), ("faith", 500), ("hebrew", 19), ("known", 1)], "word string, n long")
+    own = ["Bchold"] * 3 + ["bebold"] * 3 + ["Hebrcw"] * 3 + ["Zarahem"] * 3 + ["Liahonas"] * 3 + ["lehite"] * 2 + ["behclds"] * 3 + ["shortt"] + ["known"] * 9 + ["Listed"] + ["four"] * 5 + ["bchoids"] * 3
+    texts = spark.createDataFrame([(" ".join(own[:20]),), (" ".join(own[20:]),), (None,), ("",)], "t string")
+    listed = spark.createDataFrame([(" listed",), ("FOUR",), ("absent",), ("bchold",)], "word string")
+    found = lambda **more: {(r["word"], r["n"]) for r in A.own_spellings(texts, "t", clean, C.CONFUSED, **more).collect()}
+    plain = {("hebrcw", 3), ("zarahem", 3), ("liahonas", 3), ("behclds", 3), ("bchoids", 3)}  # bchold and bebold are one confusion from behold
+    assert found() == plain
+    assert found(dictionary=listed) == plain | {("listed", 1), ("bchold", 3)}
+    assert found(common=19) == plain - {("hebrcw", 3)}
+    swaps = lambda w: one(spark, A.one_swap(F.col("w"), C.CONFUSED), w=w)
+    for w in ("rnin", "Jeff's", "x", "bcel1"):
+        assert sorted(swaps(w)) == sorted(set(C.swaps(w)))
+
+
+def test_corrections_and_signs_by_each_rule(spark):
+    known = C.Known({w: 30 for w in "the house king time of clothes faith".split()})
+    assert C.without_junk("; the ?! , . king; .".split(), known) == ["the?,", "king;"]
+    assert C.without_junk("?! the".split(), known) == ["?!", "the"]
+    assert C.without_junk("king,, J_ : | ho/use /x/ x^y".split(), known) == ["king,:", "house", "/x/", "x^y"]
+    assert C.corrected("tne HCUSE 12 x kimg".split(), known, "the house of a king") == ["the", "HOUSE", "of", "x", "king"]
+    assert C.corrected("time, j b of j".split(), known, "time, of") == ["time,", "of;"]
+    assert C.corrected("a b c".split(), known, "") == ["a", "b", "c"] and C.corrected([], known, "the") == []
