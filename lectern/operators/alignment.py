@@ -1,4 +1,4 @@
-"""Operators that depend on order or on aligned texts: J-15, J-17, S-15, F-16."""
+"""Operators that depend on order or on aligned texts: J-15, J-17, F-16."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.alignment import ratio_of, transferred
-from lectern.functions.numerals import roman_value
 
 WORD = re.compile(r"[A-Za-z]+(?:'[A-Za-z]+)?")
 
@@ -81,70 +80,6 @@ def aligned_titles(candidates: DataFrame, entries: DataFrame, ahead: int = 8) ->
     return candidates.groupBy("volume").cogroup(entries.groupBy("volume")).applyInPandas(run, "volume long, number long, place long")
 
 
-_HEADING = re.compile(r"^\s*(CHAPTER|PSALM)\s+([IVXLCDM]+|\d+)\.?\s*(.*)$")
-
-
-def scanned_verses(paragraphs: list[str]) -> tuple[list[dict], list[str]]:
-    """S-15: a scanned book's paragraphs -> verses (chapter, verse, text) and what had to be worked around.
-
-    A number that follows the last one starts a verse, also inside a paragraph after a sentence's end; a missing one is skipped if the
-    next but one follows; other numbers are text. Headings that are one or two letters off are headings. Text before
-    the first verse of a chapter is verse 1 if it has none."""
-    out: list[dict] = []
-    log: list[str] = []
-    chapter, last = 0, 0
-
-    def add(n: int, text: str) -> None:
-        nonlocal last
-        if n > last + 1:
-            log.append(f"chapter {chapter}: {last + 1} to {n - 1} missing")
-        out.append({"chapter": chapter, "verse": n, "text": text.strip()})
-        last = n
-
-    for raw in paragraphs:
-        line = " ".join((raw or "").split())
-        if not line or re.fullmatch(r"\W*\d{0,4}\W*", line):
-            continue
-        m = _HEADING.match(line)
-        if not m and (n := re.match(r"^(\S{6,9})\s+([IVXLCDM]+|\d+)\.?$", line)) and ratio_of(n[1].upper(), "CHAPTER") >= 0.7:
-            m = _HEADING.match(f"CHAPTER {n[2]}")
-            log.append(f"heading read as {n[1]}")
-        if m:
-            chapter = int(m[2]) if m[2].isdigit() else roman_value(m[2]) or chapter + 1
-            last = 0
-            line = m[3]
-            if not line:
-                continue
-        if not chapter:
-            continue
-        at = 0
-        for found in re.finditer(r"(?:^|(?<=[.;:?!,]\s))(\d{1,3})\s+(?=[A-Z(])", line):
-            n = int(found[1])
-            ahead = re.search(rf"[.;:?!,]\s{n + 1}\s+[A-Z(]", line[found.end() :])
-            if n == last + 1 or last + 1 < n <= last + 15 and (ahead or found.start() == 0):
-                before = line[at : found.start()].strip()
-                if before:
-                    if out and out[-1]["chapter"] == chapter and last:
-                        out[-1]["text"] = f"{out[-1]['text']} {before}".strip()
-                    elif not last and n > 1:
-                        add(1, before)
-                add(n, "")
-                at = found.end()
-        rest = line[at:].strip()
-        if rest:
-            if last:
-                out[-1]["text"] = f"{out[-1]['text']} {rest}".strip()
-            else:
-                add(1, rest)
-    return out, log
-
-
-def scanned_books(books: DataFrame) -> DataFrame:
-    """S-15: book, paragraphs (an ordered array) -> book, chapter, verse, text."""
-    parse = F.pandas_udf(lambda found: pd.Series([scanned_verses(list(p))[0] for p in found]), "array<struct<chapter:int,verse:int,text:string>>")
-    return books.select("book", F.explode(parse("paragraphs")).alias("v")).select("book", "v.*")
-
-
 def link_spans(verses: DataFrame, links: dict[str, tuple[str, str | None]], id_col: str = "id", text_col: str = "text") -> DataFrame:
     """F-16: places of names in texts: id, start, end, target, tip. The longest name wins; a hyphen is part of a word, so parts of hyphenated names aren't names.
     links: spelling -> (name, meaning); a names' table is small, so it goes along as one compiled pattern."""

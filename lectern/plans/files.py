@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern import schemas
-from lectern.operators import alignment as L
 from lectern.operators import merge as M
 from lectern.operators import records as D
+from lectern.operators import scanned as N
 from lectern.operators import vectors as V
 from lectern.operators import workflow as K
 from lectern.operators.stored import StoredIndex
@@ -177,16 +177,36 @@ def numbered_plain_text(spark, d):
     return S.marked_books(lines.groupBy(F.col("book_name").alias("book")).agg(whole.alias("text")))
 
 
-@query(f"WITH {HIERARCHY} SELECT book_name AS book, chapter_id::INT AS chapter, verse_number::INT AS verse, 'The ' || lower(text) || '.' AS text FROM ve WHERE verse_number <= 99 AND verse_number <> 3 AND chapter_id > 0 AND chapter_id IN (SELECT chapter_id FROM ve WHERE verse_number = 5)")
+#: Ten customers are a book, those with orders its chapters; each chapter of twelve verses and more has a damage of its own, by the customer's number.
+_SCANNED = """sv AS (SELECT o_custkey // 10 AS book, (o_custkey % 10 + 1)::INT AS chapter, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS verse, count(*) OVER (PARTITION BY o_custkey) AS n,
+ 'The ' || lower(o_orderpriority) || ' one, of ' || o_orderkey || ' and more.' AS text, (o_custkey // 7) % 8 AS damage, o_custkey IN (SELECT o_custkey + 1 FROM orders) AS follows FROM orders)"""
+
+
+@query(f"""WITH {_SCANNED} SELECT book, chapter, verse, CASE WHEN n >= 12 AND damage = 1 AND verse = 4 THEN text || ' The lost. ' || (SELECT text FROM sv o WHERE o.book = sv.book AND o.chapter = sv.chapter AND o.verse = 5) WHEN n >= 12 AND damage = 6 AND verse = 1 AND follows AND chapter > 1 THEN 'NOW ' || text ELSE text END AS text
+FROM sv WHERE NOT (n >= 12 AND damage = 1 AND verse = 5)""")
 def scanned_books(spark, d):
-    """S-15: a scan's paragraphs; third verses are missing (chapters of five verses and more), page numbers lie between, and verses run on."""
-    ve = verses(spark, d).filter("verse_number <= 99 AND verse_number <> 3 AND chapter_id > 0")
-    ve = ve.join(ve.filter("verse_number = 5").select("chapter_id"), "chapter_id", "left_semi")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("verse_number", "text"))), lambda x: F.concat(x["verse_number"].cast("string"), F.lit(" The "), F.lower(x["text"]), F.lit("."))), " ")
-    rows = ve.groupBy("book_name", "chapter_id").agg(body.alias("body"))
-    parts = F.array(F.concat(F.lit("CHAPTER "), _s("chapter_id")), F.lit("83"), F.col("body"))
-    listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chapter_id", parts.alias("p")))), lambda x: x["p"]))
-    return L.scanned_books(rows.groupBy(F.col("book_name").alias("book")).agg(listed.alias("paragraphs")))
+    """S-15: a scan's paragraphs with page numbers between; in turn with a number that is lost, fused into other paragraphs, misread, in columns out of order, under running heads, without heading, under a misread heading."""
+    from pyspark.sql import Window as W
+
+    own = W.partitionBy("o_custkey")
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
+    ve = orders.withColumn("verse", F.row_number().over(own.orderBy("o_orderkey"))).withColumn("n", F.count("*").over(own))
+    ve = ve.join(orders.select((F.col("o_custkey") + 1).alias("o_custkey"), F.lit(True).alias("follows")).distinct(), "o_custkey", "left")
+    number, many = F.col("o_custkey") % 10 + 1, F.col("n") >= 12
+    damage = F.when(many, F.floor(F.col("o_custkey") / 7) % 8).otherwise(0)
+    words = F.concat(F.lit("The "), F.lower("o_orderpriority"), F.lit(" one, of "), _s("o_orderkey"), F.lit(" and more."))
+    ve = ve.select(F.floor(F.col("o_custkey") / 10).alias("book"), number.alias("chapter"), "verse", "n", damage.alias("damage"), words.alias("t"), ((damage == 6) & F.coalesce("follows", F.lit(False)) & (number > 1)).alias("bare"))
+    v, kind = F.col("verse"), F.col("damage")
+    shown = F.when((kind == 3) & (v > 1), F.translate(v.cast("string"), "10", "lO")).otherwise(v.cast("string"))
+    line = F.when((kind == 1) & (v == 5), F.concat(F.lit("The lost. "), "t")).when(F.col("bare") & (v == 1), F.concat(F.lit("NOW "), "t")).otherwise(F.concat(shown, F.lit(" "), "t"))
+    # Where a paragraph stands: columns of verses 5 to 8 and 9 to 12 change places; fused verses share a place.
+    place = F.when((kind == 4) & v.between(5, 8), v + 4).when((kind == 4) & v.between(9, 12), v - 4).when((kind == 2) & v.between(3, 8), 3).otherwise(v)
+    body = ve.groupBy("book", "chapter", place.alias("pos")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("verse", line.alias("x")))), lambda x: x["x"]), " ").alias("text"))
+    heads = ve.filter("verse = 1 AND NOT bare").select("book", "chapter", F.lit(0).alias("pos"), F.concat(F.when(kind == 7, "CHAFTER ").otherwise("CHAPTER "), _s("chapter"), F.lit(".")).alias("text"))
+    running = ve.filter("verse = 6 AND damage = 5").select("book", "chapter", F.lit(6).alias("pos"), F.concat(F.lit("CHAPTER "), _s("chapter")).alias("text"))
+    pages = ve.filter("verse = 7").select("book", "chapter", F.lit(7).alias("pos"), F.lit("283").alias("text"))
+    lines = body.withColumn("part", F.lit(1)).unionByName(heads.unionByName(running).unionByName(pages).withColumn("part", F.lit(0)))
+    return N.scanned_books(lines.select("book", F.struct("chapter", "pos", "part").alias("pos"), "text"))
 
 
 @query("SELECT p_size::BIGINT AS volume, n * 10::BIGINT AS place FROM (SELECT DISTINCT p_size, p_partkey % 40 AS n FROM part)")

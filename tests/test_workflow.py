@@ -21,14 +21,6 @@ def test_titles_in_step(spark):
     assert [tuple(r) for r in A.aligned_titles(c, e).collect()] == [(1, 3, 10)]
 
 
-def test_scanned_verses(spark):
-    text = ["Title page", "CHAPTER I.", "1 In the beginning. 2 And it was so,", "83", "and more. 4 Four came; 5 Five.", "CHAFTER II", "No number here", "2 Two."]
-    got, log = A.scanned_verses(text)
-    assert [(v["chapter"], v["verse"], v["text"]) for v in got] == [(1, 1, "In the beginning."), (1, 2, "And it was so, and more."), (1, 4, "Four came;"), (1, 5, "Five."), (2, 1, "No number here"), (2, 2, "Two.")]
-    assert any("missing" in x for x in log) and any("CHAFTER" in x for x in log)
-    assert A.scanned_books(spark.createDataFrame([("Genesis", text)], "book string, paragraphs array<string>")).count() == 6
-
-
 def test_link_spans(spark):
     links = {"Nephi": ("Nephi", "good"), "Anti-Nephi-Lehi": ("Anti-Nephi-Lehi", None), "Lehi": ("Lehi", "jaw")}
     v = spark.createDataFrame([(1, "Nephi and Anti-Nephi-Lehi of Lehi-Nephi"), (2, None)], "id int, text string")
