@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.alignment import WORD, seq_ratio
 from lectern.operators.analytics import capped
+from lectern.storage import written
 
 #: Rows up to which a word is joined in the first step of `candidates`, and words of its first side that may be broadcast.
 STEP, BROADCAST_WORDS = 2000, 100_000
@@ -118,14 +119,34 @@ def parallels(a: DataFrame, b: DataFrame, least: float = 0.5, most: int = 5, boo
     return _most_alike(pairs.select("id_a", "id_b", "place", seq_ratio("text_a", "text_b", least, words=True).alias("ratio")), least, F.col("place"))
 
 
-def nearest_text(a: DataFrame, b: DataFrame, least: float = 0.7, most: int = 10, book: list[str] | None = None) -> DataFrame:
-    """J-18, D-14: for each a the b of the same book that is most alike by letters among those that share most words, if alike enough: id_a, id_b, ratio.
-    Words stand between spaces; equal numbers go by id."""
-    words = lambda text: F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
+def most_shared(a: DataFrame, b: DataFrame, most: int = 10, book: list[str] | None = None, ahead: int = 3) -> DataFrame:
+    """For each a (id_a, text_a) the `most` b (id_b, text_b) of the same book that share most different words: id_a, id_b, shared; equal numbers go by id. Words stand between spaces.
+
+    A prefix filter: a text's words are put in order, those that few b have first. Its `ahead` rarest words find some b, and what the last of the best shares, t, is a bound: a b that
+    shares t of its n words (that any b has) must have one of the n - t + 1 rarest, and only these are joined. Words that nearly all have are joined for
+    texts alone that share little with anything."""
     book = book or []
-    words_a, words_b = a.select("id_a", *book, F.explode(words("text_a")).alias("w")), b.select("id_b", *book, F.explode(words("text_b")).alias("w"))
-    shared = words_a.join(words_b, [*book, "w"]).groupBy("id_a", "id_b").agg(F.count("*").alias("shared"))
-    pairs = capped(shared, "id_a", most, F.col("shared").desc(), F.col("id_b")).join(a.select("id_a", "text_a"), "id_a").join(b.select("id_b", "text_b"), "id_b")
+    words = lambda text: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != ""))
+    own_a, own_b = written(a.select("id_a", *book, words("text_a").alias("words_a"))), written(b.select("id_b", *book, words("text_b").alias("words_b")))
+    places = own_b.select("id_b", *book, F.explode("words_b").alias("w"))
+    df = places.groupBy(*book, "w").agg(F.count("*").alias("df"))
+    listed = own_a.select("id_a", *book, F.explode("words_a").alias("w")).join(df, [*book, "w"]).groupBy("id_a", *book).agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("l"))
+    listed = written(listed.select("id_a", *book, F.transform("l", lambda x: x["w"]).alias("l")))
+
+    def best(taken: DataFrame) -> DataFrame:
+        pairs = taken.select("id_a", *book, F.explode("l").alias("w")).join(places, [*book, "w"]).select("id_a", "id_b").distinct()
+        pairs = pairs.join(own_a.select("id_a", "words_a"), "id_a").join(own_b.select("id_b", "words_b"), "id_b")
+        shared = pairs.select("id_a", "id_b", F.size(F.array_intersect("words_a", "words_b")).alias("shared"))
+        return capped(shared, "id_a", most, F.col("shared").desc(), F.col("id_b"))
+
+    first = best(listed.withColumn("l", F.slice("l", 1, ahead))).groupBy("id_a").agg(F.when(F.count("*") == most, F.min("shared")).alias("t"))
+    bound = listed.join(first, "id_a", "left").withColumn("l", F.slice("l", F.lit(1), F.size("l") - F.coalesce("t", F.lit(1)) + 1))
+    return best(bound.drop("t"))
+
+
+def nearest_text(a: DataFrame, b: DataFrame, least: float = 0.7, most: int = 10, book: list[str] | None = None) -> DataFrame:
+    """J-18, D-14: for each a the b of the same book that is most alike by letters among those that share most words, if alike enough: id_a, id_b, ratio."""
+    pairs = most_shared(a, b, most, book).join(a.select("id_a", "text_a"), "id_a").join(b.select("id_b", "text_b"), "id_b")
     return _most_alike(pairs.select("id_a", "id_b", seq_ratio("text_a", "text_b", least).alias("ratio")), least)
 
 

@@ -36,23 +36,31 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(usable, dot(a, b) / (norm(a) * norm(b))).otherwise(F.lit(0.0))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, at_once: int = 4096, digits: int = 6) -> DataFrame:
+#: Vectors of a block of rows and of queries, at most and, of rows, at least; rows and queries that are multiplied at once within.
+BLOCK, LEAST_BLOCK, ROWS_AT_ONCE, QUERIES_AT_ONCE = 1 << 16, 1 << 10, 8192, 1024
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, digits: int = 6) -> DataFrame:
     """V-08: exact cosine top-k. rows: id, v; queries: query, q (ids are whole numbers). Rows equal to the query's own id, and those of another size than the
     query, are left out; a vector of length zero scores 0.
 
-    The stated queries are compared `at_once` at a time, however many there are: this many go to every task, which multiplies its batches of rows with
-    them and keeps each batch's best k a query, with all that tie with the last. Ties go by id."""
-    numbered = queries.select("query", F.col("q").cast("array<double>").alias("q"), F.size("q").alias("n")).filter("n > 0")
-    sizes, out = [(r["n"], r["c"]) for r in numbered.groupBy("n").agg(F.count("*").alias("c")).collect()], None
-    for n, count in sizes:
-        parts = -(-count // at_once)
-        for part in range(parts):
-            some = numbered.filter((F.col("n") == n) & (F.pmod(F.xxhash64("query"), F.lit(parts)) == part)).select("query", "q")
-            fitting = rows.filter(F.size("v") == n).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<float>").alias("v"))
-            best = fitting.mapInPandas(_closest(some.toPandas(), k, digits), "query long, id long, score double")
-            out = best if out is None else out.unionByName(best)
+    A product by blocks: both tables are dealt to blocks by hash, each block of rows meets each block of queries in a task of its own, which gives the best k of each of its
+    queries, and these are merged by query. Both tables stay distributed, and a task holds two blocks, however many rows or queries there are. Ties go by id."""
+    left = rows.select(F.size("v").alias("n"), F.col("id").cast("long").alias("id"), F.col("v").cast("array<float>").alias("v")).filter("n > 0")
+    right = queries.select(F.size("q").alias("n"), F.col("query").cast("long").alias("query"), F.col("q").cast("array<double>").alias("q")).filter("n > 0")
+    asked = {r["n"]: r["c"] for r in right.groupBy("n").agg(F.count("*").alias("c")).collect()}  # a row for each size of vector
+    held = {r["n"]: r["c"] for r in left.groupBy("n").agg(F.count("*").alias("c")).collect() if r["n"] in asked}
+    cores, out = rows.sparkSession.sparkContext.defaultParallelism, None
+    for n, count in held.items():
+        across, down = -(-asked[n] // block), max(-(-count // block), min(cores, -(-count // LEAST_BLOCK)))
+        dealt = lambda key, parts: F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+        each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+        x = left.filter(F.col("n") == n).select("id", "v", dealt("id", down).alias("r"), each(across).alias("c"))
+        y = right.filter(F.col("n") == n).select("query", "q", dealt("query", across).alias("c"), each(down).alias("r"))
+        best = x.groupBy("r", "c").cogroup(y.groupBy("r", "c")).applyInPandas(_closest(k, digits), "query long, id long, score double")
+        out = best if out is None else out.unionByName(best)
     if out is None:
-        out = queries.select(F.col("query").cast("long"), F.col("query").cast("long").alias("id"), F.lit(0.0).alias("score")).filter("false")
+        out = right.select("query", F.col("query").alias("id"), F.lit(0.0).alias("score")).filter("false")
     place = F.row_number().over(W.partitionBy("query").orderBy(F.col("score").desc(), "id"))
     return out.withColumn("rank", place).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
@@ -63,19 +71,29 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
-def _closest(queries: pd.DataFrame, k: int, digits: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    names, units = queries["query"].to_numpy(np.int64), _unit(queries["q"]) if len(queries) else None
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches if units is not None else ():
-            if not len(rows):
-                continue
-            ids = rows["id"].to_numpy(np.int64)
-            scores = np.round(units @ _unit(rows["v"]).T, digits) + 0.0
-            scores[names[:, None] == ids[None, :]] = -np.inf
-            last = np.partition(scores, -k, axis=1)[:, -k] if k < len(ids) else np.full(len(names), -2.0)
-            q, r = np.nonzero((scores >= last[:, None]) & (scores > -2))
-            yield pd.DataFrame({"query": names[q], "id": ids[r], "score": scores[q, r]})
+def _closest(k: int, digits: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The best k rows of each query of two blocks, as (query, id, score)."""
+
+    def best(names: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        last = np.partition(scores, -k, axis=1)[:, -k] if k < scores.shape[1] else np.full(len(names), -2.0)
+        q, r = np.nonzero((scores >= last[:, None]) & (scores > -2))
+        order = np.lexsort((ids[r], -scores[q, r], q))
+        q, r = q[order], r[order]
+        kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return names[q[kept]], ids[r[kept]], scores[q[kept], r[kept]]
+
+    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(rows) and len(queries):
+            ids, names, vectors, units = rows["id"].to_numpy(np.int64), queries["query"].to_numpy(np.int64), _unit(rows["v"]), _unit(queries["q"])
+            for a in range(0, len(names), QUERIES_AT_ONCE):
+                for b in range(0, len(ids), ROWS_AT_ONCE):
+                    own, theirs = names[a : a + QUERIES_AT_ONCE], ids[b : b + ROWS_AT_ONCE]
+                    scores = np.round(units[a : a + QUERIES_AT_ONCE] @ vectors[b : b + ROWS_AT_ONCE].T, digits) + 0.0
+                    scores[own[:, None] == theirs[None, :]] = -np.inf
+                    found.append(best(own, theirs, scores))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pd.DataFrame(dict(zip(("query", "id", "score"), columns, strict=True)))
 
     return run
 

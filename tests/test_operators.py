@@ -582,3 +582,23 @@ def test_corrections_and_signs_by_each_rule(spark):
     assert C.corrected("tne HCUSE 12 x kimg".split(), known, "the house of a king") == ["the", "HOUSE", "of", "x", "king"]
     assert C.corrected("time, j b of j".split(), known, "time, of") == ["time,", "of;"]
     assert C.corrected("a b c".split(), known, "") == ["a", "b", "c"] and C.corrected([], known, "the") == []
+
+
+@pytest.mark.parametrize(("ahead", "most"), [(1, 1), (2, 3), (3, 10), (50, 3)])
+def test_most_shared_words_against_brute_force(spark, ahead, most):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda: " ".join(rng.choice(words[: rng.choice([3, 10, 40])]) for _ in range(rng.randint(0, 12)))
+    a = [(i, "xy"[i % 2], text()) for i in range(60)] + [(60, "x", None), (61, "z", "w1")]
+    b = [(i, "xy"[i % 2], text()) for i in range(80)] + [(80 + i, "x", "w0 w1 w2  w3") for i in range(30)] + [(200, "y", None)]
+    found = M.most_shared(spark.createDataFrame(a, "id_a int, k string, text_a string"), spark.createDataFrame(b, "id_b int, k string, text_b string"), most, ["k"], ahead)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["id_a"], set()).add((r["id_b"], r["shared"]))
+    split = lambda t: set((t or "").split())
+    want = {}
+    for i, k, t in a:
+        shared = sorted((-len(split(t) & split(u)), j) for j, g, u in b if g == k and split(t) & split(u))
+        if shared:
+            want[i] = {(j, -n) for n, j in shared[:most]}
+    assert got == want
