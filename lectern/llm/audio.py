@@ -81,7 +81,7 @@ def wav(codec: str, payload: bytes, rate: int = RATE) -> bytes:
     if codec == "ima":
         units = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
         payload = np.hstack([np.zeros((len(units), 4), np.uint8), units]).tobytes()
-        more = struct.pack("<HH", 2, 2 * UNIT + 1)
+        more = struct.pack("<H", 2 * UNIT + 1)
         form = struct.pack("<HHIIHH", FORMATS[codec], 1, rate, rate * (UNIT + 4) // (2 * UNIT + 1), UNIT + 4, 4)
         samples = len(payload) // (UNIT + 4) * (2 * UNIT + 1)
     else:
@@ -165,36 +165,59 @@ def _blocks(media: list[bytes]) -> Iterator[list[tuple[int, str, int, bytes]]]:
     yield from kept.values()
 
 
-def _features(files: pd.Series) -> pd.DataFrame:
-    media = [bytes(x) for x in files]
-    out: list = [None] * len(media)
+def _pcm(media: list[bytes], rate: int) -> list[bytes]:
+    """Each file decoded, resampled and stored as a 16-bit PCM WAV file; files of a codec are decoded together."""
+    out = [b""] * len(media)
     for block in _blocks(media):
-        for (i, codec, rate, data), samples in zip(block, decode(block[0][1], [x[3] for x in block]), strict=True):
-            payload, wide = payload_of(codec, data), resample(samples, rate, RESAMPLED)
-            level = int(np.sqrt(np.mean(samples.astype(np.float64) ** 2)))
-            turns = int(np.count_nonzero((samples[1:] < 0) != (samples[:-1] < 0)))
-            feature = f"{codec}:{rate}:{len(samples)}:rms{level}:zc{turns}:pcm{RESAMPLED}-{zlib.crc32(wide):08x}"
-            out[i] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media[i]), hashlib.sha256(media[i]).hexdigest(), feature)
-    return pd.DataFrame(out, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        for (i, _, own, _), samples in zip(block, decode(block[0][1], [x[3] for x in block]), strict=True):
+            out[i] = wav("pcm", resample(samples, own, rate).tobytes(), rate)
+    return out
 
 
-def media_features(stored: DataFrame) -> DataFrame:
-    """Rows of store_texts -> digests of the payload read back, of the file, and a feature string:
-    codec, rate, samples, level, zero crossings and a checksum of the PCM resampled to RESAMPLED."""
-    read = F.pandas_udf(_features, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    return stored.select("doc_id", "n_bytes", read("media").alias("f")).select("doc_id", "n_bytes", "f.*")
+def _digest(media: bytes | None, pcm: bytes | None) -> tuple:
+    """What is read back: the payload from the file, the feature from the stored PCM."""
+    if media is None:
+        return None, None, None, None, None, None
+    codec, rate, data = unwav(media)
+    payload = payload_of(codec, data)
+    _, to, body = unwav(pcm)
+    samples = np.frombuffer(body, "<i2")
+    level = int(np.sqrt(np.mean(samples.astype(np.float64) ** 2)))
+    turns = int(np.count_nonzero((samples[1:] < 0) != (samples[:-1] < 0)))
+    feature = f"{codec}:{rate}:pcm{to}:{len(samples)}:rms{level}:zc{turns}:crc{zlib.crc32(body):08x}"
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature
+
+
+def _some(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in pieces of at most AT_ONCE bytes of media, one row at least."""
+    for frame in frames:
+        ends = frame["media"].str.len().fillna(0).cumsum().to_numpy(np.int64)
+        start = 0
+        while start < len(frame):
+            end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + AT_ONCE, "right")))
+            yield frame.iloc[start:end]
+            start = end
+
+
+DIGEST = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def resampled(stored: DataFrame, rate: int = RESAMPLED) -> DataFrame:
-    """doc_id, pcm: each file of `media` decoded, resampled and stored as a 16-bit PCM WAV file; files of a codec are decoded together. Null media
-    stay null; an empty table gives an empty result."""
-
-    def run(files: pd.Series) -> pd.Series:
-        there = [i for i, x in enumerate(files) if x is not None]
-        out: list = [None] * len(files)
-        for block in _blocks([bytes(files.iloc[i]) for i in there]):
-            for (i, _, own, _), samples in zip(block, decode(block[0][1], [x[3] for x in block]), strict=True):
-                out[there[i]] = wav("pcm", resample(samples, own, rate).tobytes(), rate)
-        return pd.Series(out, dtype=object)
-
-    return stored.select("doc_id", F.pandas_udf(run, "binary")("media").alias("pcm"))
+    """Rows of store_texts -> doc_id, n_bytes, what is read back of each, and pcm, its 16-bit PCM WAV file at `rate`:
+
+    payload_bytes, payload_sha256 and tail_crc32 of the payload, media_bytes and media_sha256 of the file, and feature, which is read from the stored PCM: codec, rates, samples,
+    level, zero crossings and a checksum. Of null media all of it is null; an empty table gives an empty result. A task holds AT_ONCE bytes of media at a time, or one file."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _some(frames):
+            media = [None if x is None else bytes(x) for x in frame["media"]]
+            there = [i for i, x in enumerate(media) if x is not None]
+            pcm: list[bytes | None] = [None] * len(media)
+            for i, x in zip(there, _pcm([media[i] for i in there], rate), strict=True):
+                pcm[i] = x
+            found = pd.DataFrame([_digest(m, x) for m, x in zip(media, pcm, strict=True)], columns=list(DIGEST)).astype({c: "Int64" for c in ("payload_bytes", "tail_crc32", "media_bytes")})
+            yield found.assign(doc_id=frame["doc_id"].to_numpy(), n_bytes=frame["n_bytes"].to_numpy(), pcm=pcm)[["doc_id", "n_bytes", *DIGEST, "pcm"]]
+
+    kind = stored.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary"
+    return stored.select("doc_id", "n_bytes", "media").mapInPandas(run, schema)

@@ -56,25 +56,69 @@ def test_resampling():
     assert audio.resample(x, 8000, 8000).tolist() == x.tolist()
 
 
-def test_features(spark):
-    texts = ["", None, "a", "é" * 32, "x" * 64, "y" * 65, "long " * 40000, "a"]
+def plain_media(codec, payload):
+    """A file, byte by byte."""
+    le = lambda n, size: n.to_bytes(size, "little")
+    if codec == "ima":
+        body = b"".join(bytes(4) + payload[i : i + 64] for i in range(0, len(payload), 64))
+        form, samples = le(0x11, 2) + le(1, 2) + le(8000, 4) + le(8000 * 68 // 129, 4) + le(68, 2) + le(4, 2) + le(2, 2) + le(129, 2), len(body) // 68 * 129
+    else:
+        body, samples = payload, len(payload)
+        form = le({"mulaw": 7, "alaw": 6}[codec], 2) + le(1, 2) + le(8000, 4) + le(8000, 4) + le(1, 2) + le(8, 2) + le(0, 2)
+    chunks = b"WAVE" + b"fmt " + le(len(form), 4) + form + b"fact" + le(4, 4) + le(samples, 4) + b"data" + le(len(body), 4) + body
+    return b"RIFF" + le(len(chunks), 4) + chunks
+
+
+def plain_samples(codec, payload):
+    """Telephony samples of a payload, one after another."""
+    if codec == "ima":
+        return [s for i in range(0, len(payload), 64) for s in plain_ima(bytes(4) + payload[i : i + 64])]
+    out = []
+    for code in payload:
+        if codec == "mulaw":
+            u = ~code & 0xFF
+            size = ((((u & 15) * 2 + 33) << (u >> 4 & 7)) - 33) * 4
+            out.append(-size if u & 128 else size)
+        else:
+            a = code ^ 0x55
+            step, low = a >> 4 & 7, a & 15
+            size = (low * 2 + 1 if step == 0 else (low * 2 + 33) << (step - 1)) * 8
+            out.append(size if a & 128 else -size)
+    return out
+
+
+def plain_wide(samples):
+    """Twice the rate: each sample and the mean, rounded down, of it and the next."""
+    return [x for a, b in zip(samples, [*samples[1:], samples[-1]], strict=True) for x in (a, (a + b) // 2)]
+
+
+@pytest.mark.parametrize("at_once", [4 << 20, 200])
+def test_stored_files(spark, monkeypatch, at_once):
+    monkeypatch.setattr(audio, "AT_ONCE", at_once)
+    texts = ["", None, "a", "é" * 32, "x" * 64, "y" * 65, "long " * 3000, "a", "z" * 130, "w" * 200]
     rows = [(None if i == 3 else i, t, "m") for i, t in enumerate(texts)]
-    got = audio.media_features(audio.store_texts(spark.createDataFrame(rows, "doc_id long, text string, media string"))).collect()
+    got = audio.resampled(audio.store_texts(spark.createDataFrame(rows, "doc_id long, text string, media string"))).collect()
     assert len(got) == len(texts)
+    codecs = set()
     for r in got:
         data = (texts[3 if r["doc_id"] is None else r["doc_id"]] or "").encode()
-        p = audio.pad(data)
+        p = data + bytes(-len(data) % 64 or 64 * (not data))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
-        media = audio.wav(audio.codec_for(p), p)
+        codec = ["mulaw", "alaw", "ima"][len(p) // 64 % 3]
+        media, wide = plain_media(codec, p), plain_wide(plain_samples(codec, p))
         assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
-    by = {r["doc_id"]: r for r in got}
-    assert by[2]["feature"] == by[7]["feature"] and by[0]["feature"] == by[1]["feature"]
-
-
-def test_resampled_files(spark):
-    stored = audio.store_texts(spark.createDataFrame([(1, "hello" * 50), (2, "x" * 70)], "doc_id long, text string"))
-    for r in audio.resampled(stored).join(stored, "doc_id").collect():
-        codec, rate, data = audio.unwav(bytes(r["pcm"]))
-        own, old, body = audio.unwav(bytes(r["media"]))
-        assert (codec, rate) == ("pcm", 16000) and np.array_equal(np.frombuffer(data, "<i2"), audio.resample(audio.decode(own, [body])[0], old, 16000))
-    assert audio.store_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+        body = b"".join(s.to_bytes(2, "little", signed=True) for s in wide)
+        assert audio.unwav(bytes(r["pcm"])) == ("pcm", 16000, body) and len(r["pcm"]) == 44 + 12 + len(body)
+        level, turns = int((sum(s * s for s in wide) / len(wide)) ** 0.5), sum((a < 0) != (b < 0) for a, b in zip(wide, wide[1:], strict=False))
+        assert r["feature"] == f"{codec}:8000:pcm16000:{len(wide)}:rms{level}:zc{turns}:crc{zlib.crc32(body):08x}"
+        codecs.add(codec)
+    assert codecs == {"mulaw", "alaw", "ima"}
+
+
+def test_nulls_and_a_very_long_text(spark):
+    stored = audio.store_texts(spark.createDataFrame([(1, "€ten megabytes" * 700_000)], "doc_id long, text string"))
+    rows = audio.resampled(stored.unionByName(spark.createDataFrame([(2, None, None, None)], stored.schema))).drop("pcm").collect()
+    by = {r["doc_id"]: r for r in rows}
+    assert by[1]["payload_bytes"] == -(-by[1]["n_bytes"] // 64) * 64 > 10_000_000 and by[1]["payload_sha256"]
+    assert set(by[2].asDict().values()) == {2, None}
+    assert audio.resampled(audio.store_texts(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
