@@ -261,14 +261,14 @@ def candidate_list(hits: DataFrame, chars: int = 300) -> DataFrame:
 
 
 def selected(hits: DataFrame, select_fn: Callable[[str], str], limit: int = 12) -> DataFrame:
-    """H-24, H-27: asks the selector (a text in, a text out) for each query; without a usable answer the best (4, 2, 1, 1) of the tiers stand in.
-    hits: query, doc, rank (from 1), tier, label, text."""
-    ask = F.udf(select_fn, "string")
+    """H-24, H-27: asks the selector (a text in, a text out) for each query; without a usable answer, or if it picks none, the best (4, 2, 1, 1) of the tiers stand in,
+    and `picked` is false. hits: query, doc, rank (from 1), tier, label, text."""
+    ask = F.pandas_udf(lambda prompts: prompts.map(select_fn), "string")
     replies = candidate_list(hits).select(F.col("query").alias("id"), ask("prompt").alias("content")).join(hits.groupBy(F.col("query").alias("id")).agg(F.count("*").alias("n")), "id")
     picks = parsed_selection(replies, limit)
-    known = hits.join(picks.withColumnRenamed("id", "query"), "query")
-    chosen = known.filter("picks IS NOT NULL").withColumn("place", F.array_position("picks", (F.col("rank") - 1).cast("int"))).filter("place > 0")
+    known = hits.join(picks.withColumnRenamed("id", "query"), "query").withColumn("picked", F.coalesce(F.size("picks") > 0, F.lit(False)))
+    chosen = known.filter("picked").withColumn("place", F.array_position("picks", (F.col("rank") - 1).cast("int"))).filter("place > 0")
     quota = F.element_at(F.array(*[F.lit(x) for x in (4, 2, 1, 1)]), F.least(F.col("tier"), F.lit(3)).cast("int") + 1)
-    rest = capped(known.filter("picks IS NULL"), ["query", "tier"], quota, F.col("rank"))
+    rest = capped(known.filter("NOT picked"), ["query", "tier"], quota, F.col("rank"))
     rest = rest.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy("tier", "rank")).cast("long"))
     return chosen.unionByName(rest).drop("picks")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -130,6 +131,17 @@ class Request:
         return [q for q in [first, *rest] if q]
 
 
+def requests(rows: DataFrame, directions: list[str]) -> DataFrame:
+    """H-18: rows (topic, lesson, minutes, talk_title, reading) with `results`, how many the request asks for, and its `questions`. Nulls are nothing."""
+
+    def asked(topics: pd.Series, lessons: pd.Series, minutes: pd.Series, titles: pd.Series, readings: pd.Series) -> pd.DataFrame:
+        made = [Request(t or "", bool(lesson), None if pd.isna(m) else int(m), r or "", title or "", directions) for t, lesson, m, title, r in zip(topics, lessons, minutes, titles, readings, strict=True)]
+        return pd.DataFrame({"results": [m.limit() for m in made], "questions": [m.questions() for m in made]})
+
+    udf = F.pandas_udf(asked, "results int, questions array<string>")
+    return rows.withColumn("__r", udf("topic", "lesson", "minutes", "talk_title", "reading")).select("*", "__r.*").drop("__r")
+
+
 def directions(found: DataFrame, topic: str, select_fn: Callable[[str], str], picks: int = 4) -> DataFrame:
     """H-25: query, rank, title of a broad search -> different themes of which the selector picks some; else the first ones."""
     shown = R.themes(found.select(F.col("query").alias("owner"), "rank", "title"), topic).withColumnsRenamed({"owner": "query", "place": "rank"})

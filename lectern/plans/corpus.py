@@ -609,16 +609,13 @@ def balanced_hits(spark, d):
     return R.balanced(chosen, hits, 10, questions, hits.filter("flag = 'R' AND status = 'F'")).select("query", "place", "doc", "kind", "first", "last")
 
 
-@query("""SELECT * FROM (VALUES ('a', 8, 'faith | Alma 5 | hope'), ('b', 20, 'faith | hope'), ('c', 12, 'Alma 5 | hope'), ('d', 12, 'hope')) t(name, results, questions)""")
+@query("""WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN ' ' || c_mktsegment ELSE ' ' END AS topic, CASE WHEN c_custkey % 2 = 0 THEN c_name WHEN c_custkey % 5 = 1 THEN c_mktsegment ELSE '' END AS title, c_custkey % 7 AS m FROM customer),
+f AS (SELECT *, CASE WHEN trim(topic) <> '' THEN trim(topic) WHEN title <> '' THEN title ELSE 'reading ' || c_custkey END AS first FROM c)
+SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 12 ELSE CASE m WHEN 1 THEN 8 WHEN 2 THEN 12 WHEN 3 THEN 16 WHEN 4 THEN 20 ELSE 12 END END AS results, array_to_string([x FOR x IN [first, CASE WHEN title = '' OR contains(first, title) THEN NULL ELSE title END, 'hope'] IF x IS NOT NULL], ' | ') AS questions FROM f""")
 def prepared_requests(spark, d):
-    """H-18, V-04: how many results a request asks for, and its questions; a service that fails leaves keyword search alone."""
-    def fails(texts):
-        raise TimeoutError
-
-    assert D.query_vector("faith", fails) is None and D.query_vector("faith", lambda texts: [[1.0] for _ in texts]) == [1.0]
-    asked = {
-        "a": K.Request("faith", minutes=5, talk_title="Alma 5", directions=["hope"]), "b": K.Request("faith", minutes=20, directions=["hope"]),
-        "c": K.Request(minutes=7, talk_title="Alma 5", directions=["hope"]), "d": K.Request(lesson=True, minutes=20, reading="hope"),
-    }
-    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(r.limit()).alias("results"), F.lit(" | ".join(r.questions())).alias("questions")) for n, r in asked.items()])
-    return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
+    """H-18: what each customer prepares, by topic, talk or reading, as a lesson or a talk of some minutes: how many results that asks for, and its questions."""
+    key = F.col("c_custkey")
+    topic = F.when(key % 3 > 0, F.concat(F.lit(" "), "c_mktsegment")).otherwise(" ")
+    title = F.when(key % 2 == 0, F.col("c_name")).when(key % 5 == 1, F.col("c_mktsegment")).otherwise("")
+    rows = table(spark, d, "customer").select(key, topic.alias("topic"), (key % 4 == 0).alias("lesson"), F.when(key % 7 < 6, (key % 7) * 5).alias("minutes"), title.alias("talk_title"), F.concat(F.lit("reading "), key.cast("string")).alias("reading"))
+    return K.requests(rows, ["hope"]).select("c_custkey", "results", F.array_join("questions", " | ").alias("questions"))

@@ -12,6 +12,7 @@ from lectern.operators import analytics as A
 from lectern.operators import passages as P
 from lectern.operators import ranking as R
 from lectern.operators import search as S
+from lectern.operators import study as T
 from lectern.operators import vectors as V
 from lectern.plans.registry import once, query, table, texts
 
@@ -75,10 +76,72 @@ sc AS (SELECT query, doc, round(sum({_BM25}), 6) AS score FROM tf JOIN df USING
 SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM sc QUALIFY rank <= 10""")
 def bm25_weighted(spark, d):
     """X-02, X-06: first lines as headings of weight 0.2, the rest as bodies."""
+    return S.ranked(S.search_any(headed_index(spark, d), _terms(spark, d), 10), 10)
+
+
+def headed_index(spark, d):
     lines = F.split("text", "\n")
     docs = texts(spark, d).select("doc_id", F.element_at(lines, 1).alias("heading"), F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "\n").alias("body"))
-    index = once(spark, d, "headed documents", lambda: S.indexed(docs, "doc_id", {"heading": 0.2, "body": 1.0}))
-    return S.ranked(S.search_any(index, _terms(spark, d), 10), 10)
+    return once(spark, d, "headed documents", lambda: S.indexed(docs, "doc_id", {"heading": 0.2, "body": 1.0}))
+
+
+def _study(spark, d):
+    """Documents as pieces: English ones are passages, French talks, German articles, others topics; the source is the volume."""
+    lang, first = F.col("lang"), F.trim(F.element_at(F.split("text", "\n"), 1))
+    pieces = table(spark, d, "documents").select(
+        F.col("doc_id").alias("doc"), F.when(lang == "en", T.PASSAGE).when(lang == "fr", "talk").when(lang == "de", "article").otherwise("topic").alias("kind"),
+        F.when(lang == "en", 0).when(lang == "fr", 1).when(lang == "de", 2).otherwise(3).alias("tier"), F.col("source").alias("volume"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("label"), first.alias("title"),
+        F.lit("").alias("speaker"), F.when(lang != "en", F.concat(F.lit("u"), F.col("doc_id").cast("string"))).alias("url"), F.substring("text", 1, 300).alias("text"), (F.col("doc_id") % 7).alias("chapter"),
+        (F.col("doc_id") % 40).alias("first"), (F.col("doc_id") % 40 + F.col("n_chars") % 5).alias("last"), F.when(F.col("doc_id") % 11 == 0, F.split_part(first, F.lit(" "), F.lit(1))).alias("topic"),
+    )
+    return T.Study(pieces, headed_index(spark, d))
+
+
+_GROUPS = [T.Group("passages", (T.PASSAGE,), 8), T.Group("talks", ("talk",), 4), T.Group("articles", ("article",), 3), T.Group("topics", ("topic",), 2)]
+_BARE = "regexp_replace({0}, chr(39) || 's$', '')"
+
+
+@query(f"""WITH b AS (SELECT doc_id AS doc, {TOK.format('string_split(text, chr(10))[1]')} AS h, {TOK.format("array_to_string(string_split(text, chr(10))[2:], chr(10))")} AS b FROM documents),
+st AS (SELECT count(*) AS total, avg(len(h) + len(b)) AS avglen FROM b), q AS (SELECT item_id AS query, list_filter(regexp_extract_all(lower(text), '[a-z'']+'), lambda w: length(w) > 2 AND w NOT IN ({_STOP})) AS l FROM benchmark),
+kq AS (SELECT query, list_transform(list_transform(list_filter(range(1, len(l) + 1), lambda i: list_position(l, l[i]) = i), lambda i: l[i])[1:12], lambda w: {_BARE.format('w')}) AS words FROM q),
+terms AS (SELECT DISTINCT query, unnest({TOK.format("w")}) AS term FROM (SELECT query, unnest(words) AS w FROM kq)),
+tk AS (SELECT doc, len(h) + len(b) AS len, 0.2 AS w, unnest(h) AS token FROM b UNION ALL SELECT doc, len(h) + len(b), 1.0, unnest(b) FROM b),
+tf AS (SELECT query, term, doc, len, sum(w)::DOUBLE AS f FROM tk JOIN terms ON token = term GROUP BY query, term, doc, len), df AS (SELECT query, term, count(*) AS n FROM tf GROUP BY query, term),
+sc AS (SELECT query, doc, round(sum({_BM25}), 6) AS score FROM tf JOIN df USING (query, term), st GROUP BY query, doc),
+k AS (SELECT doc_id AS doc, lang, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS tier, list_transform(regexp_extract_all(lower(trim(string_split(text, chr(10))[1])), '[a-z'']+'), lambda w: {_BARE.format('w')}) AS title, doc_id % 40 AS first FROM documents),
+g AS (SELECT query, doc, tier, title, first, row_number() OVER (PARTITION BY query, tier ORDER BY score DESC, doc) AS r FROM sc JOIN k USING (doc) QUALIFY r <= CASE tier WHEN 0 THEN 8 WHEN 1 THEN 4 ELSE 2 END),
+c AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY tier, r) AS rank, count(*) OVER (PARTITION BY query) AS n FROM g),
+p AS (SELECT query, doc, tier, first, CASE rank WHEN 2 THEN 1 WHEN 9 THEN 2 ELSE 3 END AS place FROM c WHERE n >= 9 AND rank IN (1, 2, 9)), hv AS (SELECT query, tier, count(*) AS have FROM p GROUP BY ALL),
+ad AS (SELECT c.query, c.doc, c.tier, c.first, c.rank, CASE c.tier WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END - coalesce(have, 0) AS need FROM c JOIN kq ON kq.query = c.query LEFT JOIN hv ON hv.query = c.query AND hv.tier = c.tier
+ WHERE n >= 9 AND rank NOT IN (1, 2, 9) AND len(list_intersect(c.title, words)) >= least(2, len(list_distinct(words))) AND len(list_intersect(c.title, words)) > 0 QUALIFY row_number() OVER (PARTITION BY c.query, c.tier ORDER BY c.rank) <= need),
+f AS (SELECT query, doc, tier, first, rank FROM c WHERE n < 9 QUALIFY row_number() OVER (PARTITION BY query, tier ORDER BY rank) <= CASE tier WHEN 0 THEN 4 WHEN 1 THEN 2 ELSE 1 END),
+u AS (SELECT query, doc, tier, first, 0 AS later, place, true AS selected FROM p UNION ALL SELECT query, doc, tier, first, 1, rank, true FROM ad UNION ALL SELECT query, doc, tier, first, 0, rank, false FROM f)
+SELECT query, row_number() OVER (PARTITION BY query ORDER BY tier, later, place) AS place, doc, first, selected FROM u""")
+def studied_questions(spark, d):
+    """H-01, H-03, H-24: benchmark items as questions: a search for each group, a selector that picks the second, ninth and first of nine and more, minimums and tiers."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
+    quotas = spark.range(1).select(F.lit("article").alias("kind"), F.lit(2).alias("quota"))
+    return T.studied(_study(spark, d), asked, _GROUPS, quotas, lambda prompt: "[2, 9, 1]" if "\n9. " in prompt else "none of them").select("query", "place", "doc", "first", "selected")
+
+
+@query()
+def searched_talks(spark, d):
+    """H-26: the same items as talks to prepare: balanced results with the passages of the item's own number pinned; tests compare the parts."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
+    quotas, study = spark.range(1).select(F.lit("article").alias("kind"), F.lit(2).alias("quota")), _study(spark, d)
+    number = F.regexp_extract(F.col("query").cast("string"), "[0-9]+", 0).try_cast("long")
+    cited = asked.select("query", number.alias("doc"), F.lit(1).alias("rank")).filter("doc IS NOT NULL")
+    pick = lambda prompt: "[2, 9, 1, 4, 5]" if "\n9. " in prompt else "[1]"
+    works = study.pieces.filter("kind = 'talk'").select("title", "speaker", "url")
+    return T.prepared(study, asked, _GROUPS, quotas, pick, 12, [cited], works, [], {"web": "Web"}).select("query", "place", "doc", "title", "first", "last", "selected")
+
+
+@query()
+def found_directions(spark, d):
+    """H-25: themes of talks, articles and topics that a search for each benchmark item finds; a selector picks four."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
+    quotas = spark.range(1).select(F.lit("article").alias("kind"), F.lit(9).alias("quota"))
+    return T.directed(_study(spark, d), asked, quotas, lambda prompt: "[5, 3, 1, 2]")
 
 
 @query(f"""WITH {_PASSAGES}, q AS (SELECT item_id AS query, {TOK.format('text')}[1:2] AS w FROM benchmark),
