@@ -66,6 +66,8 @@ TABLE = (
     (10, 0.0, 0, 0.0, 50, 0.0, 1, 0, 0, 0), (35, 0.0, 60, 0.0, 8, 0.9, 1, 0, 0, 0), (3, 1.0, 2, 1.0, 70, 0.0, 1, 0, 0, 0), (6, 0.0, 10, 0.0, 50, 0.0, 1, 1, 0, 0),
     (80, 0.0, 55, 0.0, 9, 0.0, 1, 0, 0, 1), (50, 0.0, 2, 1.0, 3, 1.0, 1, 0, 0, 0), (16, 0.0, 30, 0.0, 30, 0.0, 1, 1, 0, 0), (1, 0.0, 90, 0.0, 0, 0.0, 1, 0, 0, 0),
     (120, 0.0, 1, 0.0, 0, 0.0, 1, 0, 0, 1), (110, 0.02, 9, 0.0, 95, 0.0, 1, 0, 0, 1), (90, 0.05, 100, 0.0, 8, 0.0, 1, 0, 0, 1), (75, 0.0, 3, 1.0, 60, 0.0, 1, 0, 0, 1),
+    (20, 0.0, 1, 1.0, 2, 1.0, 1, 0, 0, 0), (28, 0.0, 3, 1.0, 1, 1.0, 1, 0, 0, 0), (15, 0.0, 40, 0.0, 2, 1.0, 1, 0, 0, 0), (32, 0.0, 8, 0.0, 12, 0.9, 1, 0, 0, 0), (24, 0.1, 90, 0.0, 5, 0.7, 1, 0, 0, 0),
+    (55, 0.0, 10, 0.0, 12, 0.0, 1, 0, 0, 0), (60, 0.0, 20, 0.0, 30, 0.0, 1, 0, 0, 0), (48, 0.0, 2, 1.0, 70, 0.0, 1, 0, 0, 0), (62, 0.0, 60, 0.0, 2, 1.0, 1, 0, 0, 0), (18, 0.0, 15, 0.0, 20, 0.0, 1, 0, 0, 0),
     (140, 0.1, 2, 1.0, 3, 1.0, 1, 0, 0, 1), (80, 0.6, 4, 1.0, 6, 0.8, 1, 0, 0, 0), (95, 0.5, 40, 0.0, 3, 1.0, 1, 0, 0, 0),
     # pages without one: long text, and what stands between
     (60, 0.0, 8, 0.0, 45, 0.0, 2, 0, 0, 1), (45, 0.05, 60, 0.0, 30, 0.0, 2, 0, 0, 1), (30, 0.1, 45, 0.0, 25, 0.0, 2, 0, 0, 1), (22, 0.0, 35, 0.0, 12, 0.0, 2, 0, 0, 1),
@@ -74,7 +76,12 @@ TABLE = (
     (2, 0.0, 1, 1.0, 60, 0.0, 2, 1, 0, 1), (4, 0.0, 0, 0.0, 90, 0.0, 2, 1, 0, 1), (3, 0.0, 1, 1.0, 45, 0.0, 2, 1, 0, 1), (2, 0.0, 2, 1.0, 60, 0.0, 2, 1, 0, 1),
     (5, 0.0, 6, 1.0, 70, 0.0, 2, 1, 0, 1), (3, 0.0, 3, 1.0, 2, 1.0, 2, 1, 0, 0), (2, 0.0, 5, 0.0, 3, 1.0, 2, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 2, 0, 1, 0),
     (2, 1.0, 0, 0.0, 2, 1.0, 2, 0, 0, 0), (4, 0.75, 3, 1.0, 50, 0.0, 2, 0, 0, 0), (6, 0.0, 2, 1.0, 3, 1.0, 2, 0, 0, 0), (3, 0.0, 1, 1.0, 4, 0.5, 2, 1, 0, 0),
-    (12, 0.9, 4, 0.0, 12, 0.9, 2, 0, 0, 0), (20, 0.7, 5, 0.5, 18, 0.8, 2, 0, 1, 0), (4, 0.0, 3, 0.0, 0, 0.0, 2, 0, 0, 0), (30, 0.6, 60, 0.0, 25, 0.7, 2, 0, 0, 0),
+    (12, 0.9, 4, 0.0, 12, 0.9, 2, 0, 0, 0), (20, 0.7, 5, 0.5, 18, 0.8, 2, 0, 1, 0), (30, 0.6, 60, 0.0, 25, 0.7, 2, 0, 0, 0),
+    # there, short text has text beside it on both sides; what stands among links or has nothing after them is no article
+    (1, 0.0, 60, 0.0, 1, 0.0, 2, 0, 0, 1), (2, 0.0, 11, 0.0, 2, 0.0, 2, 1, 0, 1), (5, 0.0, 70, 0.0, 4, 0.0, 2, 0, 0, 1), (4, 0.0, 7, 0.0, 4, 0.0, 2, 1, 0, 1), (1, 0.0, 9, 0.0, 1, 0.0, 2, 1, 0, 1),
+    (9, 0.0, 26, 0.0, 2, 0.0, 2, 0, 0, 1), (2, 0.0, 95, 0.0, 3, 0.0, 2, 0, 0, 1), (8, 0.0, 2, 0.0, 4, 0.0, 2, 0, 0, 1), (3, 0.0, 4, 0.0, 9, 0.0, 2, 0, 0, 1), (10, 0.1, 8, 0.0, 3, 0.1, 2, 0, 0, 1),
+    (35, 0.0, 3, 1.0, 0, 0.0, 2, 0, 0, 1), (70, 0.0, 2, 1.0, 0, 0.0, 2, 0, 0, 1), (14, 0.0, 2, 1.0, 0, 0.0, 2, 0, 0, 0), (4, 0.0, 3, 0.9, 0, 0.0, 2, 0, 0, 0), (5, 0.0, 1, 1.0, 1, 1.0, 2, 0, 0, 0), (8, 0.0, 1, 1.0, 2, 1.0, 2, 0, 0, 0), (10, 0.0, 2, 1.0, 1, 1.0, 2, 0, 0, 0), (2, 0.0, 1, 1.0, 1, 1.0, 2, 1, 0, 0),
+    (7, 0.0, 3, 0.8, 2, 0.7, 2, 0, 0, 0), (3, 0.1, 4, 1.0, 2, 1.0, 2, 0, 1, 0), (30, 0.0, 1, 1.0, 2, 1.0, 2, 0, 0, 1), (40, 0.1, 2, 1.0, 40, 0.0, 2, 0, 0, 1), (6, 0.0, 40, 0.0, 2, 1.0, 2, 0, 0, 1),
 )
 
 
@@ -229,6 +236,10 @@ def blocks(page: str) -> list[_Block]:
 def rows_of(page: str) -> list[tuple[str, tuple[float, ...]]]:
     """Each block's text and features."""
     found = blocks(page)
+    # where everything is marked as beside, or nothing else than links isn't, marks tell nothing
+    marked = any(not b.beside and b.linked < 0.5 for b in found)
+    for b in found:
+        b.beside = b.beside and marked
     other = OUTSIDE if any(b.inside for b in found) else NOWHERE
     around = [(0, 0.0), *((b.words, min(1.0, b.linked)) for b in found), (0, 0.0)]
     place = [BESIDE_IT if b.beside else WITHIN if b.inside else other for b in found]

@@ -49,6 +49,45 @@ def test_long_text_outside_a_container_stays():
     assert H.extract(page) == f"Teaser\n{long}"
 
 
+def test_neighbours_decide():
+    text, link = "word " * 40, "<p><a href=x>some link text</a></p>"
+    paragraphs = lambda *parts: "".join(p if p.startswith("<") else f"<p>{p}</p>" for p in parts)
+    # the same short block among text, among links and at the end of links
+    assert H.extract(paragraphs(text, "Six words stand here among text.", text)).count("\n") == 2
+    assert H.extract(paragraphs(text, link, "Six words stand here among links.", link, text)) == f"{text.strip()}\n{text.strip()}"
+    assert H.extract(paragraphs(text, text, link, "Six words stand at the end.")) == f"{text.strip()}\n{text.strip()}"
+    # the same text outside of an article: a notice, unless it is as long as text of its own
+    notice = "notice " * 25
+    assert H.extract(f"<article><p>{text}</p></article><p>{notice}</p>{link}") == text.strip()
+    used = {f for f in _features(H.default_tree())}
+    assert {"words_before", "density_before", "words_after", "density_after"} <= used
+
+
+def _features(tree):
+    if isinstance(tree, tuple):
+        yield H.FEATURES[tree[0]]
+        yield from _features(tree[2])
+        yield from _features(tree[3])
+
+
+def test_marks_that_tell_nothing():
+    text = ("word " * 40).strip()
+    assert H.extract(f"<div class=widget><h1>Head</h1><p>{text}</p><p><a href=x>link</a></p></div>") == f"Head\n{text}"
+    assert H.extract(f"<div class=widget><p>{text}</p></div><p>{text} x</p>") == f"{text} x"
+
+
+def test_supplied_pages_without_article_element(spark):
+    from conftest import DATA
+
+    lost = kept = 0
+    for r in spark.read.parquet(f"{DATA}/pages.parquet").collect():
+        own = H.extract(r["html"]).split("\n")
+        there = H.extract(r["html"].replace("<article", "<div").replace("</article>", "</div>")).split("\n")
+        lost += len(own) - sum(a in there for a in own) + sum(b not in own for b in there)
+        kept += len(own)
+    assert kept > 200 and 1000 * lost <= kept
+
+
 class Plain(HTMLParser):
     """Blocks of a page of paragraphs, headings, lists and divs by the standard library's parser."""
 
