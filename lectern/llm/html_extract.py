@@ -80,6 +80,7 @@ TABLE = (
     # there, short text has text beside it on both sides; what stands among links or has nothing after them is no article
     (1, 0.0, 60, 0.0, 1, 0.0, 2, 0, 0, 1), (2, 0.0, 11, 0.0, 2, 0.0, 2, 1, 0, 1), (5, 0.0, 70, 0.0, 4, 0.0, 2, 0, 0, 1), (4, 0.0, 7, 0.0, 4, 0.0, 2, 1, 0, 1), (1, 0.0, 9, 0.0, 1, 0.0, 2, 1, 0, 1),
     (9, 0.0, 26, 0.0, 2, 0.0, 2, 0, 0, 1), (2, 0.0, 95, 0.0, 3, 0.0, 2, 0, 0, 1), (8, 0.0, 2, 0.0, 4, 0.0, 2, 0, 0, 1), (3, 0.0, 4, 0.0, 9, 0.0, 2, 0, 0, 1), (10, 0.1, 8, 0.0, 3, 0.1, 2, 0, 0, 1),
+    (2, 0.0, 42, 0.05, 0, 0.0, 3, 0, 0, 1), (6, 0.0, 60, 0.0, 0, 0.0, 3, 0, 0, 1), (9, 0.0, 50, 0.0, 0, 0.0, 2, 0, 0, 1), (5, 0.0, 30, 0.0, 0, 0.0, 2, 0, 0, 1), (3, 0.0, 8, 0.0, 0, 0.0, 3, 0, 0, 1),
     (35, 0.0, 3, 1.0, 0, 0.0, 2, 0, 0, 1), (70, 0.0, 2, 1.0, 0, 0.0, 2, 0, 0, 1), (14, 0.0, 2, 1.0, 0, 0.0, 2, 0, 0, 0), (4, 0.0, 3, 0.9, 0, 0.0, 2, 0, 0, 0), (5, 0.0, 1, 1.0, 1, 1.0, 2, 0, 0, 0), (8, 0.0, 1, 1.0, 2, 1.0, 2, 0, 0, 0), (10, 0.0, 2, 1.0, 1, 1.0, 2, 0, 0, 0), (2, 0.0, 1, 1.0, 1, 1.0, 2, 1, 0, 0),
     (7, 0.0, 3, 0.8, 2, 0.7, 2, 0, 0, 0), (3, 0.1, 4, 1.0, 2, 1.0, 2, 0, 1, 0), (30, 0.0, 1, 1.0, 2, 1.0, 2, 0, 0, 1), (40, 0.1, 2, 1.0, 40, 0.0, 2, 0, 0, 1), (6, 0.0, 40, 0.0, 2, 1.0, 2, 0, 0, 1),
 )
