@@ -212,8 +212,8 @@ def section_starts(paragraphs: DataFrame, titles: DataFrame) -> DataFrame:
     for behind the last one found, and what isn't found is left out.
 
     A title page is in capitals, doesn't end with a digit, has a word that is the title's name but for one letter in six, and three words if the
-    title is numbered; an empty paragraph, a page or verse number or a small letter behind it shows that it is a running head. Words are joined by
-    their length; only the order is folded, over a document's few candidates."""
+    title is numbered; an empty paragraph, a page or verse number or a small letter behind it shows that it is a running head. A name that may have k
+    wrong letters is cut into k + 1 pieces, one of which a word must have whole, at most k places aside: these are the keys. Only the order is folded, over a document's few candidates."""
     after = F.trim(F.lead("text").over(W.partitionBy("doc").orderBy("pos")))
     real = after.isNotNull() & (after != "") & ~is_page_number(after) & ~after.rlike(r"^\d{1,3}\s") & ~after.rlike(r"^\p{Ll}")
     pages = paragraphs.withColumn("real", real).withColumn("t", F.trim("text")).filter("real").filter(F.col("t").rlike(r"^[A-Z][A-Z0-9 .,';]{2,100}$") & ~F.col("t").rlike("[0-9]$"))
@@ -221,8 +221,14 @@ def section_starts(paragraphs: DataFrame, titles: DataFrame) -> DataFrame:
     named = pages.select("doc", "pos", F.size(F.split("t", r"\s+")).alias("words"), F.explode(F.array_distinct(words)).alias("w")).withColumn("n", F.length("w"))
     core, numbered = F.upper(F.regexp_replace("title", r"^[123]\s+", "")), F.col("title").rlike(r"^[123]\s")
     sized = titles.select("place", "title", core.alias("core"), F.when(numbered, 3).otherwise(1).alias("least")).withColumn("slack", F.greatest(F.lit(1), F.floor(F.length("core") / 6)).cast("int"))
-    sized = sized.withColumn("n", F.explode(F.sequence(F.length("core") - F.col("slack"), F.length("core") + F.col("slack"))))
-    hit = named.join(sized, "n").filter((F.levenshtein("w", "core") <= F.col("slack")) & (F.col("words") >= F.col("least")))
+    size, k = F.length("core"), F.col("slack")
+    cut = lambda i: F.floor(i * size / (k + 1)).cast("int")
+    pieces = sized.select("*", F.explode(F.sequence(F.lit(0), k)).alias("i")).select("*", cut(F.col("i")).alias("start"), (cut(F.col("i") + 1) - cut(F.col("i"))).alias("long"))
+    pieces = pieces.withColumn("piece", F.substring("core", F.col("start") + 1, F.col("long"))).withColumn("n", F.explode(F.sequence(size - k, size + k))).withColumn("from", F.explode(F.sequence(F.col("start") - k, F.col("start") + k)))
+    pieces = pieces.filter((F.col("from") >= 0) & (F.col("from") + F.col("long") <= F.col("n")))
+    keyed = named.join(pieces.select("n", "from", "long").distinct(), "n").withColumn("piece", F.substring("w", F.col("from") + 1, F.col("long")))
+    hit = keyed.join(pieces.select("n", "from", "long", "piece", "place", "title", "core", "slack", "least"), ["n", "from", "long", "piece"])
+    hit = hit.filter((F.levenshtein("w", "core") <= F.col("slack")) & (F.col("words") >= F.col("least")))
     found = hit.groupBy("doc", "place", "title").agg(F.array_sort(F.collect_set(F.col("pos").cast("long"))).alias("at"))
     listed = found.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("place", "title", "at"))).alias("l"))
     last = lambda kept: F.coalesce(F.get(kept, F.size(kept) - 1)["pos"], F.lit(-1).cast("long"))

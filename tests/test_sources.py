@@ -150,3 +150,33 @@ def test_upserting_stream_is_idempotent(spark, tmp_path):
     stream = spark.readStream.schema("k int, v string").json(str(tmp_path / "in"))
     I.upserting(stream, lambda: spark.read.parquet(f"{table}{version[0]}"), write, merge, str(tmp_path / "cp")).start().awaitTermination(120)
     assert spark.read.parquet(f"{table}{version[0]}").count() == 5
+
+
+def test_section_names_by_pieces(spark):
+    """Every word that is a name but for one letter in six is found, whatever letters are wrong."""
+    import random
+
+    rng = random.Random(3)
+    names = ["JOB", "RUTH", "GENESIS", "LAMENTATIONS", "1 SAMUEL", "THESSALONIANSXYZABC", "A"]
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    words = []
+    for _ in range(400):
+        w = list(rng.choice(names).removeprefix("1 "))
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randint(0, len(w))
+            w[at : at + rng.randint(0, 1)] = rng.choice(["", "X", "E"])
+        words.append("".join(w) or "ZZ")
+    paragraphs = [("d", 2 * i, f"THE BOOK {w}") for i, w in enumerate(words)] + [("d", 2 * i + 1, "In the beginning") for i in range(len(words))]
+    for name in names:
+        core = name.removeprefix("1 ")
+        first = next((2 * i for i, w in enumerate(words) if any(plain(x, core) <= max(1, len(core) // 6) for x in ("THE", "BOOK", w))), None)
+        got = S.section_starts(spark.createDataFrame(paragraphs, "doc string, pos int, text string"), spark.createDataFrame([(1, name)], "place int, title string")).collect()
+        assert [r["pos"] for r in got] == ([] if first is None else [first]), name
