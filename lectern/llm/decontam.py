@@ -1,10 +1,10 @@
 """Benchmark decontamination by a positional inverted index, with DataFrame functions only.
 
-The terms that stand in benchmark windows are counted over all training documents. A window can only occur
-where its rarest term stands, so postings (document, position) are stored for the rarest terms alone, each
-with the terms around it. Windows are looked up by that term, the start is the posting's position less the
-term's offset in the window, and a window is found if all its other terms stand at their offsets.
-Windows with a term that no document has are dropped unread.
+The terms that stand in benchmark windows are counted over all training documents. Of each window the LISTS rarest terms are indexed: their postings
+(document, position) are stored, in one pass over the documents. A window's occurrences are the intersection of its terms' lists, each moved by
+the term's offset in the window: the rarest term's list gives documents and starts, the lists of the next ones, read for these documents alone, must
+have the same. Postings of a rarest term also carry the words that its windows need around it, by which the other terms are compared in the row, so no text is read
+again. Windows with a term that no document has are dropped unread.
 
 Terms are read in blocks of ANCHORS, so a benchmark of any size is searched exactly, in more passes.
 """
@@ -22,6 +22,8 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
 #: A document is contaminated if at least one in so many of its words is hit.
 SHARE = 20
+#: Terms of a window, from the rarest, whose lists are intersected.
+LISTS = 3
 #: Rarest terms that are looked for in one pass.
 ANCHORS = 4000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,8 +46,8 @@ def windows_of(items: DataFrame, length: int = WINDOW, id_col: str = "item_id",
     return split.select("item", F.explode(every).alias("win")).groupBy("win").agg(F.collect_set("item").alias("items"))
 
 
-def anchored(docs: DataFrame, windows: DataFrame, text_col: str = "text") -> DataFrame:
-    """Windows of which all terms occur in `docs`, with term, their rarest one, and at, its offset."""
+def anchored(docs: DataFrame, windows: DataFrame, text_col: str = "text", lists: int = LISTS) -> DataFrame:
+    """Windows of which all terms occur in `docs`, with lists, their `lists` rarest terms (n, at: the offset, term) from the rarest, which is also term, with at."""
     terms = windows.select("win", F.posexplode("win").alias("at", "term"))
     wanted = checkpointed(terms.select("term").distinct())
     tokens = docs.select(F.explode(words(F.col(text_col))).alias("token"))
@@ -55,15 +57,17 @@ def anchored(docs: DataFrame, windows: DataFrame, text_col: str = "text") -> Dat
         counts = tokens.groupBy("token").count().join(wanted, F.col("token") == F.col("term")).select("term", "count")
     counts = checkpointed(counts).withColumnRenamed("term", "t")
     rated = terms.join(counts, terms["term"] == counts["t"], "left").groupBy("win").agg(
-        F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "at", "term")).alias("rarest")
+        F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "at", "term"))), 1, lists).alias("lists")
     )
-    rated = rated.filter("rarest.n > 0").select(F.col("win").alias("own"), "rarest.term", "rarest.at")
+    rated = rated.select(F.col("win").alias("own"), "lists", F.element_at("lists", 1).alias("rarest")).filter("rarest.n > 0").select("own", "lists", "rarest.term", "rarest.at")
     return windows.join(rated, F.col("win") == F.col("own")).drop("own")
 
 
 def reaches(windows: DataFrame) -> DataFrame:
-    """Anchored windows -> term, reach: how many words around it its windows need at most."""
-    return windows.groupBy("term").agg(F.max(F.greatest("at", F.size("win") - 1 - F.col("at"))).alias("reach"))
+    """Anchored windows -> term, reach: the terms that are indexed, and how many words around it the windows of which a term is the rarest need at most."""
+    rarest = windows.select("term", F.greatest("at", F.size("win") - 1 - F.col("at")).alias("reach"))
+    others = windows.select(F.explode("lists").alias("x")).select("x.term", F.lit(0).alias("reach"))
+    return rarest.unionByName(others).groupBy("term").agg(F.max("reach").alias("reach"))
 
 
 def postings(docs: DataFrame, terms: dict[str, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,13 +89,24 @@ def postings(docs: DataFrame, terms: dict[str, int], id_col: str = "doc_id", tex
     return at.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), F.transform("places", one).alias("found"))
 
 
-def matches(found: DataFrame, windows: DataFrame, n_windows: int) -> DataFrame:
-    """Postings and anchored windows -> doc_id, text_hash, start, length, items of each exact occurrence."""
-    rows = found.select("doc_id", "text_hash", F.explode("found").alias("p")).select("doc_id", "text_hash", "p.*")
-    pairs = lookup(rows, windows.select("term", "at", "win", "items"), ["term"], F.col("pos"), n_windows).filter("win IS NOT NULL")
-    start = F.col("pos") - F.col("at")
-    same = (start >= 0) & (F.slice("near", F.greatest(start - F.col("first"), F.lit(0)) + 1, F.size("win")) == F.col("win"))
-    return pairs.filter(same).select("doc_id", "text_hash", start.alias("start"), F.size("win").alias("length"), "items")
+def matches(index: DataFrame, windows: DataFrame, n_windows: int) -> DataFrame:
+    """Postings and anchored windows (with a number, id) -> doc_id, text_hash, start, length, items of each exact occurrence: the lists of a window's rarest terms are
+    intersected by document and start, then its other terms are compared in the words around the rarest."""
+    key = ["doc_id", "text_hash", "id", "start"]
+    rows = index.select("doc_id", "text_hash", F.explode("found").alias("p")).select("doc_id", "text_hash", "p.*")
+    moved = lambda lists, more, own: lookup(lists, own, ["term"], F.col("pos"), n_windows).filter(F.col("id").isNotNull() & (F.col("pos") >= F.col("at"))).select("doc_id", "text_hash", "id", (F.col("pos") - F.col("at")).alias("start"), *more)
+    found = checkpointed(moved(rows, ["win", "items", "first", "near", F.size("lists").alias("n")], windows.select("id", "term", "at", "win", "items", "lists")))
+    docs = found.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct()
+    docs = F.broadcast(docs) if docs.count() <= BROADCAST_ROWS else docs
+    near = index.join(docs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash").eqNullSafe(F.col("h"))), "left_semi")
+    rows = near.select("doc_id", "text_hash", F.explode("found").alias("p")).select("doc_id", "text_hash", "p.term", "p.pos")
+    for k in range(1, LISTS):
+        own = windows.filter(F.size("lists") > k).select("id", F.element_at("lists", k + 1).alias("x")).select("id", "x.term", "x.at")
+        other = moved(rows, [], own).toDF(*[f"o_{c}" for c in key])
+        met = found.filter(F.col("n") > k).join(other, [F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in key], "left_semi")
+        found = met.unionByName(found.filter(F.col("n") <= k))
+    same = F.slice("near", F.greatest(F.col("start") - F.col("first"), F.lit(0)) + 1, F.size("win")) == F.col("win")
+    return found.filter(same).select("doc_id", "text_hash", "start", F.size("win").alias("length"), "items")
 
 
 def near_matches(docs: DataFrame, phrases: DataFrame, slop: int) -> DataFrame:
@@ -99,7 +114,7 @@ def near_matches(docs: DataFrame, phrases: DataFrame, slop: int) -> DataFrame:
     between two of them. Returns doc_id, phrase_id, start of each place where the rarest word allows that (from 0, by that word)."""
     items = phrases.select("phrase_id", words(F.col("text")).alias("win")).filter(F.size("win") > 0)
     longest = items.agg(F.max(F.size("win"))).first()[0] or 0
-    known = anchored(docs, items.select("win").distinct()).join(items.withColumnRenamed("win", "w2"), F.col("win") == F.col("w2")).drop("w2")
+    known = anchored(docs, items.select("win").distinct(), lists=1).join(items.withColumnRenamed("win", "w2"), F.col("win") == F.col("w2")).drop("w2")
     known = checkpointed(known)
     reach = max(1, (longest - 1) * (slop + 1))
     out = None
@@ -121,7 +136,7 @@ def near_matches(docs: DataFrame, phrases: DataFrame, slop: int) -> DataFrame:
 
 
 def _blocks(windows: DataFrame):
-    """The anchor terms with their reaches, dealt by hash into blocks of about ANCHORS."""
+    """The indexed terms with their reaches, dealt by hash into blocks of about ANCHORS."""
     terms = checkpointed(reaches(windows))
     blocks = max(1, -(-terms.count() // ANCHORS))
     for k in range(blocks):
@@ -138,15 +153,16 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     Null texts have no words. Repeated rows get equal results. Empty tables are no error: without items nothing is hit.
     Extra columns aren't read.
     """
-    windows = checkpointed(anchored(docs, checkpointed(windows_of(items)), text_col))
-    n, table, hits = windows.count(), None, None
+    windows = checkpointed(anchored(docs, checkpointed(windows_of(items)), text_col).withColumn("id", F.monotonically_increasing_id()))
+    n, table, index = windows.count(), None, None
     for terms in _blocks(windows) if n else [{}]:
         found = checkpointed(postings(docs, terms, id_col, text_col))
         table = found.drop("found") if table is None else table
-        if terms:
-            own = matches(found, windows, n)
-            hits = own if hits is None else hits.union(own)
-    if hits is None:
+        own = found.drop("n_words").filter(F.size("found") > 0)
+        index = own if index is None else index.unionByName(own)
+    if n:
+        hits = matches(index, windows, n)
+    else:
         hits = table.select("doc_id", "text_hash", F.lit(0).alias("start"), F.lit(0).alias("length"), F.expr("cast(array() as array<string>)").alias("items")).filter("false")
     hits = checkpointed(hits)
     key = ["doc_id", "text_hash"]
