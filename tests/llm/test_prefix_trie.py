@@ -14,6 +14,15 @@ from pyspark.sql import functions as F
 from lectern.llm import prefix_trie
 
 
+@pytest.fixture(autouse=True, scope="module")
+def few_partitions(spark):
+    """Tiny tables need no eight tasks a shuffle."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def plain_version(convs):
     """convs: id -> list of (role, text)."""
     members = defaultdict(list)
@@ -69,7 +78,8 @@ CASES = {
 
 @pytest.mark.parametrize("block", [1, 13, 1 << 16])
 @pytest.mark.parametrize("name", CASES)
-def test_trie(spark, name, block):
+def test_trie(spark, monkeypatch, name, block):
+    monkeypatch.setattr(prefix_trie, "PARTS", 5)  # so that partitions hold several blocks
     if name == "long" and block == 1:
         block = 705
     assert trie(spark, CASES[name], block) == plain_version(CASES[name])
