@@ -21,8 +21,8 @@ RATE = 8000
 RESAMPLED = 16000
 #: Payload bytes of a unit, and of an ADPCM block beside its header of four bytes.
 UNIT = 64
-#: Bytes of payload that are decoded at once.
-AT_ONCE = 4 << 20
+#: Bytes of media that are decoded and resampled at once; their PCM takes up to eight times as many.
+AT_ONCE = 1 << 20
 
 #: WAV format codes.
 FORMATS = {"mulaw": 7, "alaw": 6, "ima": 0x11, "pcm": 1}

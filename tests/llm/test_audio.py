@@ -92,7 +92,7 @@ def plain_wide(samples):
     return [x for a, b in zip(samples, [*samples[1:], samples[-1]], strict=True) for x in (a, (a + b) // 2)]
 
 
-@pytest.mark.parametrize("at_once", [4 << 20, 200])
+@pytest.mark.parametrize("at_once", [1 << 20, 200])
 def test_stored_files(spark, monkeypatch, at_once):
     monkeypatch.setattr(audio, "AT_ONCE", at_once)
     texts = ["", None, "a", "é" * 32, "x" * 64, "y" * 65, "long " * 3000, "a", "z" * 130, "w" * 200]
