@@ -64,42 +64,43 @@ def anchored(docs: DataFrame, windows: DataFrame, text_col: str = "text", lists:
 
 
 def reaches(windows: DataFrame) -> DataFrame:
-    """Anchored windows -> term, reach: the terms that are indexed, and how many words around it the windows of which a term is the rarest need at most."""
+    """Anchored windows -> term, reach: the terms that are indexed, and how many words around it the windows of which a term is the rarest need at most (null for other terms)."""
     rarest = windows.select("term", F.greatest("at", F.size("win") - 1 - F.col("at")).alias("reach"))
-    others = windows.select(F.explode("lists").alias("x")).select("x.term", F.lit(0).alias("reach"))
+    others = windows.select(F.explode("lists").alias("x")).select("x.term", F.lit(None).cast("int").alias("reach"))
     return rarest.unionByName(others).groupBy("term").agg(F.max("reach").alias("reach"))
 
 
-def postings(docs: DataFrame, terms: dict[str, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: doc_id, text_hash, n_words and found, its postings of the terms: term, pos (from 0), and
+def postings(docs: DataFrame, terms: dict[str, int | None], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document: doc_id, text_hash, n_words, places, its postings of the terms: term, pos (from 0), and found, those of terms with a reach: term, pos and
     near, as many words around it as `terms` says (term -> reach), the first of which stands at `first`."""
     listed: dict[int, list[str]] = {}
     for term, reach in terms.items():
-        listed.setdefault(reach, []).append(f"'{term}'")
-    cases = " ".join(f"WHEN x IN ({', '.join(words)}) THEN struct(i AS at, {reach} AS reach)" for reach, words in sorted(listed.items()))
+        if reach is not None:
+            listed.setdefault(reach, []).append(f"'{term}'")
+    cases = " ".join(f"WHEN p.term IN ({', '.join(words)}) THEN {reach}" for reach, words in sorted(listed.items()))
     split = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), words(F.col(text_col)).alias("w"))
     known = ", ".join(f"'{t}'" for t in terms)
-    places = F.expr(f"filter(transform(w, (x, i) -> if(x IN ({known}), CASE {cases} END, null)), p -> p IS NOT NULL)") if terms else F.expr("cast(array() as array<struct<at:int,reach:int>>)")
+    places = F.expr(f"filter(transform(w, (x, i) -> if(x IN ({known}), struct(x AS term, i AS pos), null)), p -> p IS NOT NULL)") if terms else F.expr("cast(array() as array<struct<term:string,pos:int>>)")
+    reached = F.expr(f"filter(transform(places, p -> struct(p.term AS term, p.pos AS pos, CASE {cases} END AS reach)), p -> p.reach IS NOT NULL)") if listed else F.expr("cast(array() as array<struct<term:string,pos:int,reach:int>>)")
     at = split.select("doc_id", "text_hash", "w", places.alias("places"))
 
     def one(p: Column) -> Column:
-        first = F.greatest(p["at"] - p["reach"], F.lit(0))
-        return F.struct(F.element_at("w", p["at"] + 1).alias("term"), p["at"].alias("pos"), first.alias("first"), F.slice("w", first + 1, p["at"] - first + p["reach"] + 1).alias("near"))
+        first = F.greatest(p["pos"] - p["reach"], F.lit(0))
+        return F.struct(p["term"].alias("term"), p["pos"].alias("pos"), first.alias("first"), F.slice("w", first + 1, p["pos"] - first + p["reach"] + 1).alias("near"))
 
-    return at.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), F.transform("places", one).alias("found"))
+    return at.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), "places", F.transform(reached, one).alias("found"))
 
 
 def matches(index: DataFrame, windows: DataFrame, n_windows: int) -> DataFrame:
     """Postings and anchored windows (with a number, id) -> doc_id, text_hash, start, length, items of each exact occurrence: the lists of a window's rarest terms are
     intersected by document and start, then its other terms are compared in the words around the rarest."""
     key = ["doc_id", "text_hash", "id", "start"]
-    rows = index.select("doc_id", "text_hash", F.explode("found").alias("p")).select("doc_id", "text_hash", "p.*")
+    listed = lambda rows, column: rows.select("doc_id", "text_hash", F.explode(column).alias("p")).select("doc_id", "text_hash", "p.*")
     moved = lambda lists, more, own: lookup(lists, own, ["term"], F.col("pos"), n_windows).filter(F.col("id").isNotNull() & (F.col("pos") >= F.col("at"))).select("doc_id", "text_hash", "id", (F.col("pos") - F.col("at")).alias("start"), *more)
-    found = checkpointed(moved(rows, ["win", "items", "first", "near", F.size("lists").alias("n")], windows.select("id", "term", "at", "win", "items", "lists")))
+    found = checkpointed(moved(listed(index, "found"), ["win", "items", "first", "near", F.size("lists").alias("n")], windows.select("id", "term", "at", "win", "items", "lists")))
     docs = found.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct()
     docs = F.broadcast(docs) if docs.count() <= BROADCAST_ROWS else docs
-    near = index.join(docs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash").eqNullSafe(F.col("h"))), "left_semi")
-    rows = near.select("doc_id", "text_hash", F.explode("found").alias("p")).select("doc_id", "text_hash", "p.term", "p.pos")
+    rows = listed(index.join(docs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash").eqNullSafe(F.col("h"))), "left_semi"), "places")
     for k in range(1, LISTS):
         own = windows.filter(F.size("lists") > k).select("id", F.element_at("lists", k + 1).alias("x")).select("id", "x.term", "x.at")
         other = moved(rows, [], own).toDF(*[f"o_{c}" for c in key])
@@ -157,8 +158,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     n, table, index = windows.count(), None, None
     for terms in _blocks(windows) if n else [{}]:
         found = checkpointed(postings(docs, terms, id_col, text_col))
-        table = found.drop("found") if table is None else table
-        own = found.drop("n_words").filter(F.size("found") > 0)
+        table = found.drop("found", "places") if table is None else table
+        own = found.drop("n_words").filter(F.size("places") > 0)
         index = own if index is None else index.unionByName(own)
     if n:
         hits = matches(index, windows, n)
