@@ -202,11 +202,12 @@ def _some(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 DIGEST = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
-def resampled(stored: DataFrame, rate: int = RESAMPLED) -> DataFrame:
+def resampled(stored: DataFrame, rate: int = RESAMPLED, keep: bool = True) -> DataFrame:
     """Rows of store_texts -> doc_id, n_bytes, what is read back of each, and pcm, its 16-bit PCM WAV file at `rate`:
 
     payload_bytes, payload_sha256 and tail_crc32 of the payload, media_bytes and media_sha256 of the file, and feature, which is read from the stored PCM: codec, rates, samples,
-    level, zero crossings and a checksum. Of null media all of it is null; an empty table gives an empty result. A task holds AT_ONCE bytes of media at a time, or one file."""
+    level, zero crossings and a checksum. Of null media all of it is null; an empty table gives an empty result. Without `keep` the PCM files,
+    up to eight times as large as the media, are made and read but don't leave the task. A task holds AT_ONCE bytes of media at a time, or one file."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _some(frames):
@@ -216,8 +217,8 @@ def resampled(stored: DataFrame, rate: int = RESAMPLED) -> DataFrame:
             for i, x in zip(there, _pcm([media[i] for i in there], rate), strict=True):
                 pcm[i] = x
             found = pd.DataFrame([_digest(m, x) for m, x in zip(media, pcm, strict=True)], columns=list(DIGEST)).astype({c: "Int64" for c in ("payload_bytes", "tail_crc32", "media_bytes")})
-            yield found.assign(doc_id=frame["doc_id"].to_numpy(), n_bytes=frame["n_bytes"].to_numpy(), pcm=pcm)[["doc_id", "n_bytes", *DIGEST, "pcm"]]
+            yield found.assign(doc_id=frame["doc_id"].to_numpy(), n_bytes=frame["n_bytes"].to_numpy(), pcm=pcm)[["doc_id", "n_bytes", *DIGEST, *more]]
 
-    kind = stored.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary"
+    kind, more = stored.schema["doc_id"].dataType.simpleString(), ["pcm"] if keep else []
+    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + (", pcm binary" if keep else "")
     return stored.select("doc_id", "n_bytes", "media").mapInPandas(run, schema)

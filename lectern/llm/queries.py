@@ -24,7 +24,7 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.resampled(audio.store_texts(read(spark, sf_dir, "documents"))).drop("pcm")
+    return audio.resampled(audio.store_texts(read(spark, sf_dir, "documents")), keep=False)
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,6 +113,8 @@ def test_stored_files(spark, monkeypatch, at_once):
         assert r["feature"] == f"{codec}:8000:pcm16000:{len(wide)}:rms{level}:zc{turns}:crc{zlib.crc32(body):08x}"
         codecs.add(codec)
     assert codecs == {"mulaw", "alaw", "ima"}
+    slim = audio.resampled(audio.store_texts(spark.createDataFrame(rows, "doc_id long, text string, media string")), keep=False).collect()
+    assert sorted(map(tuple, slim), key=repr) == sorted((tuple(r)[:-1] for r in got), key=repr)
 
 
 def test_nulls_and_a_very_long_text(spark):
