@@ -36,7 +36,7 @@ def duck():
 
 
 def rows_of(frame) -> list[str]:
-    """Rows as sorted texts, columns in order of their names."""
+    """Rows as sorted texts, columns in order of their names. Whole numbers are such, also where nulls beside them have made pandas use floats."""
     frame = frame[sorted(frame.columns)].astype(object)
-    frame = frame.where(frame.notna(), None)
+    frame = frame.where(frame.notna(), None).map(lambda v: int(v) if isinstance(v, float) and v.is_integer() else v)
     return sorted(repr(tuple(r)) for r in frame.itertuples(index=False))
