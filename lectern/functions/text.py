@@ -117,7 +117,7 @@ def date_range_text(first: Column, last: Column) -> Column:
 
 def jittered(day: Column, key: Column, seed: int, least: int = 4, most: int = 14) -> Column:
     """F-08: least to most days later, all as likely; the same for the same key and seed."""
-    return F.date_add(day, (F.lit(least) + F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(most - least + 1))).cast("int"))
+    return F.date_add(day, (F.lit(least) + F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % (most - least + 1)).cast("int"))
 
 
 def due_text(due: Column, today: Column) -> Column:

@@ -134,13 +134,13 @@ def saved_sessions(sessions: DataFrame, states: DataFrame) -> DataFrame:
     return upserted(sessions.select("uid", "title", "data", "updated_at"), new, ["uid"])
 
 
-def rebuilt(rows: DataFrame, problems: DataFrame, path: str) -> int:
-    """D-18, Q-V4: writes a curated table anew if its checks (rule, n) found nothing; else raises with what they found."""
+def rebuilt(rows: DataFrame, problems: DataFrame, path: str) -> DataFrame:
+    """D-18, Q-V4: writes a curated table anew if its checks (rule, n) found nothing, and reads it; else raises with what they found."""
     found = problems.filter("n > 0").orderBy("rule").limit(20).collect()
     if found:
         raise ValueError("; ".join(f"{r['rule']}: {r['n']}" for r in found))
     rows.write.mode("overwrite").parquet(path)
-    return rows.sparkSession.read.parquet(path).count()
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def lexicon_rows(entries: DataFrame, glosses: DataFrame, language: str, most: int = 4) -> DataFrame:

@@ -259,13 +259,11 @@ def device_snapshots(spark, d):
     return S.device_files(spark, _written(spark, whole), schema, "key=*/part-*").select("device_id", F.size("notes").cast("long").alias("notes"))
 
 
-@query("SELECT 1::BIGINT AS n, 1::BIGINT AS known")
+@query("SELECT p_partkey, p_name FROM part WHERE p_size > 10 ORDER BY md5('3:' || p_partkey), p_partkey LIMIT 1")
 def pick_of_the_day(spark, d):
     """S-28: one row of the pool that resolves, the same whenever it is drawn."""
     part = table(spark, d, "part")
-    known = part.filter("p_size > 10").select("p_partkey")
-    first, again = S.pick_of_the_day(part, known, "p_partkey", 3), S.pick_of_the_day(part.repartition(3), known, "p_partkey", 3)
-    return first.select("p_partkey").intersect(again.select("p_partkey")).join(known, "p_partkey", "left").agg(F.count("*").alias("n"), F.count("p_partkey").alias("known"))
+    return S.pick_of_the_day(part.repartition(3), part.filter("p_size > 10"), "p_partkey", 3).select("p_partkey", "p_name")
 
 
 @query("""SELECT o_orderkey AS id, 'Issue & ' || o_orderkey AS title, 'http://x/' || o_orderkey AS link, strftime(o_orderdate, '%Y-%m-%d 10:30:00') AS published FROM orders WHERE o_orderkey % 9 <> 0""")
@@ -421,14 +419,14 @@ def nested_citations(spark, d):
     return spark.read.schema("reference string, works array<string>").json(path).select("reference", F.get("works", F.lit(0)).alias("work"))
 
 
-@query("SELECT count(*) AS n FROM part")
+@query("SELECT p_brand, count(*) AS n, sum(p_size)::BIGINT AS sizes FROM part GROUP BY p_brand")
 def rebuilt_table(spark, d):
     """D-18, Q-V4: a curated table written anew once its checks find nothing."""
     part = table(spark, d, "part")
     from lectern.operators.quality import violations
 
-    n = D.rebuilt(part, violations(("no name", part.filter("p_name IS NULL")), ("size", part.filter("p_size < 0"))), _place(spark))
-    return spark.range(1).select(F.lit(n).cast("long").alias("n"))
+    found = D.rebuilt(part, violations(("no name", part.filter("p_name IS NULL")), ("size", part.filter("p_size < 0"))), _place(spark))
+    return found.groupBy("p_brand").agg(F.count("*").alias("n"), F.sum("p_size").cast("long").alias("sizes"))
 
 
 def _stream(spark, d):

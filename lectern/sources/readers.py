@@ -399,4 +399,4 @@ def newer_copy(copies: DataFrame) -> DataFrame:
 
 def pick_of_the_day(pool: DataFrame, known: DataFrame, key: str, seed: int) -> DataFrame:
     """S-28: one row of the pool that resolves, by a draw that depends on the seed and the row alone."""
-    return pool.join(known.select(key), key, "left_semi").orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(1)
+    return pool.join(known.select(key), key, "left_semi").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(1)
