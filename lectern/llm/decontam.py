@@ -96,7 +96,8 @@ def matches(found: DataFrame, windows: DataFrame, n_windows: int) -> DataFrame:
 
 def near_matches(docs: DataFrame, phrases: DataFrame, slop: int) -> DataFrame:
     """Proximity search: phrases (phrase_id, text) whose words stand in a document, in order, with at most `slop` words
-    between two of them. Returns doc_id, phrase_id, start of each place where the rarest word allows that (from 0, by that word)."""
+    between two of them. Returns doc_id, phrase_id, start of each place where the rarest word allows that (from 0, by that word).
+    Null and empty documents and phrases match nothing; equal matches of repeated rows are one; empty tables give no rows."""
     items = phrases.select("phrase_id", words(F.col("text")).alias("win")).filter(F.size("win") > 0)
     longest = items.agg(F.max(F.size("win"))).first()[0] or 0
     known = anchored(docs, items.select("win").distinct()).join(items.withColumnRenamed("win", "w2"), F.col("win") == F.col("w2")).drop("w2")

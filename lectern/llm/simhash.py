@@ -163,7 +163,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of `docs` for each component: that with the smallest id, nulls last (of repeated rows, one). Ids may repeat across components."""
+    """One row of `docs` for each component: that with the smallest id, nulls last (of repeated rows, one). Ids may repeat across components. Texts without words,
+    null and empty ones among them, are one component. An empty table stays empty; extra columns stay."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k")
     kept = _labelled(docs, id_col, text_col).groupBy("root").agg(first).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash"))
     rows = packed(docs, own_id=docs[id_col], own_hash=F.xxhash64(docs[text_col]))

@@ -180,14 +180,14 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
 
 def prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, counts: the stored table of each text. The tokens of its first i characters are counts[i - 1],
-    so truncation and budgets are answered by a search in it."""
+    so truncation and budgets are answered by a search in it. A null or empty text has an empty table; null ids stay; an empty table of documents gives no rows."""
     found = F.pandas_udf(lambda texts: pd.Series([counter(path).every(x or "") for x in texts]), "array<int>")
     return docs.select(F.col(id_col).alias("doc_id"), found(F.col(text_col)).alias("counts"))
 
 
 def fitting(table: DataFrame, budget: int) -> DataFrame:
     """Rows of prefix_counts -> doc_id, fits, cut, tokens: whether the text fits, and the longest prefix that does. A longer prefix
-    may have fewer tokens, so the last that fits is looked for."""
+    may have fewer tokens, so the last that fits is looked for. Of an empty text nothing is cut: cut and tokens are 0."""
     cut = F.coalesce(F.array_max(F.transform("counts", lambda c, i: F.when(c <= budget, i + 1))), F.lit(0))
     rows = table.withColumn("cut", cut)
     return rows.select("doc_id", (F.col("cut") == F.size("counts")).alias("fits"), "cut", F.when(F.col("cut") > 0, F.get("counts", F.col("cut") - 1)).otherwise(0).alias("tokens"))
