@@ -6,6 +6,7 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -523,6 +524,23 @@ def stream_index(spark, d):
     return found.groupBy("token").agg(F.count("*").alias("docs"), F.sum("tf").cast("long").alias("tf"), F.sum("first").cast("long").alias("first"), F.sum("len").alias("len"))
 
 
+@query("SELECT event_type, CASE WHEN event_id % 3 < 2 THEN 0 ELSE 1 END::BIGINT AS poll, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1, 2")
+def stream_polling(spark, d):
+    """Stream: periodic polling: events in files of which some come later; a poll too early reads nothing, each file is read once."""
+    events, place = table(spark, d, "events"), _place(spark)
+    put = lambda rest: events.filter(F.col("event_id") % 3 == rest).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    first = datetime(2024, 5, 1, 8)
+    put(0), put(1)
+    made = [I.polled(spark, f"{place}/in", events.schema, place, first, most_files=1)]
+    put(2)
+    made += [I.polled(spark, f"{place}/in", events.schema, place, first + timedelta(hours=h), most_files=1) for h in (19, 20, 21)]
+    assert made == [True, False, True, False]
+    polls = I.polls(spark, place).filter(F.size("batches") > 0).select("polled_at", F.explode("batches").alias("batch"))
+    number = F.when(F.col("polled_at") == F.lit(first), 0).otherwise(1).cast("long")
+    rows = spark.read.parquet(f"{place}/rows").join(polls.select("batch", number.alias("poll")), "batch")
+    return rows.groupBy("event_type", "poll").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+
+
 @query("SELECT DISTINCT sha256(text) AS hash FROM documents WHERE text <> ''")
 def stream_embedding(spark, d):
     """Stream: incremental embedding: texts that come in are embedded once."""

@@ -180,3 +180,30 @@ def test_section_names_by_pieces(spark):
         first = next((2 * i for i, w in enumerate(words) if any(plain(x, core) <= max(1, len(core) // 6) for x in ("THE", "BOOK", w))), None)
         got = S.section_starts(spark.createDataFrame(paragraphs, "doc string, pos int, text string"), spark.createDataFrame([(1, name)], "place int, title string")).collect()
         assert [r["pos"] for r in got] == ([] if first is None else [first]), name
+
+
+def test_polling_reads_each_file_once(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    schema, source, place = spark.range(1).schema, f"{tmp_path}/in", f"{tmp_path}/out"
+    put = lambda a, b: spark.range(a, b, 1, 1).write.mode("append").parquet(source)
+    now, broken = datetime(2024, 1, 1), {"fail": True}
+
+    def keep(rows):
+        if broken["fail"] and rows.filter("id = 7").count():
+            raise OSError("broken off")
+        return rows.filter("id <> 3")
+
+    poll = lambda hours: I.polled(spark, source, schema, place, now + timedelta(hours=hours), 20, 1, keep)
+    put(0, 5)
+    assert poll(0) and not poll(19)
+    put(5, 10), put(10, 12)
+    try:
+        poll(20)
+        raise AssertionError
+    except Exception as e:
+        assert "broken off" in str(e)
+    broken["fail"] = False
+    assert poll(21) and not poll(22) and poll(42)
+    assert sorted(r["id"] for r in spark.read.parquet(f"{place}/rows").collect()) == [0, 1, 2, 4, 5, 6, 7, 8, 9, 10, 11]
+    assert sorted(r["rows"] for r in I.polls(spark, place).collect()) in ([0, 4, 7], [0, 2, 4], [0, 4, 5])
