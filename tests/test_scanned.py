@@ -127,6 +127,17 @@ def test_random_damage_keeps_most(seed):
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 2
 
 
+@pytest.mark.parametrize("short", [1, 2, 3])
+def test_short_chapter_before_one_without_heading(short):
+    bare = ["NOW " + text(2, 1), *(f"{v} {text(2, v)}" for v in range(2, 13))]
+    want = [(c, v, "NOW " * ((c, v) == (2, 1)) + t) for c, v, t in whole(short, 12, 4)]
+    assert verses([*chapter(1, short), *bare, *chapter(3, 4)]) == want
+
+
+def test_second_verse_goes_on_without_drop_cap():
+    assert verses([*chapter(1, 1), "More of it.", *(f"{v} {text(1, v)}" for v in range(2, 13))]) == [(1, 1, text(1, 1) + " More of it."), *whole(12)[1:]]
+
+
 def test_books(spark):
     rows = [("a", i, t) for i, t in enumerate(chapter(1, 5))] + [("b", i, t) for i, t in enumerate([*chapter(1, 3), *chapter(2, 30)[21:]])] + [(None, 0, "CHAPTER I."), (None, 1, "1 One."), ("c", 0, None)]
     p = spark.createDataFrame(rows, "book string, pos int, text string")
