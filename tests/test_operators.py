@@ -536,6 +536,7 @@ def test_urls_tags_and_scrubbing(spark):
     assert tags == {3: ["H7225"], 9: ["H853", "H5414"]}
     assert one(spark, X.tagged_text(X.word_tags(F.col("t"))), t="3:H7225 9:H853,H5414") == "3:H7225 9:H853,H5414"
     assert one(spark, X.strongs(F.col("t")), t="h0430 and G25") == ["H430", "G25"]
+    assert one(spark, X.strongs(F.col("t")), t="h0001000001, G000 and H00000000012345678901") == ["H1000001", "G0", "H12345678901"]
     assert one(spark, X.title_words(F.col("t")), t="aßung oﬃce ŉabc straße, ending") == ["UNG", "ABC", "STRA", "ENDING"]
     assert one(spark, X.scrubbed(F.col("t")), t=r"at /home/ann/x and C:\Users\Bob\y") == r"at ~/x and ~\y"
     phrases = one(spark, X.date_phrases(F.col("t")), t="On the tenth day of the first month")
