@@ -15,6 +15,8 @@ from lectern.functions.text import tokens
 from lectern.operators import search as S
 from lectern.operators.analytics import capped
 from lectern.operators.merge import upserted
+from lectern.operators.stored import few
+from lectern.storage import written
 
 
 def bootstrap(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -44,13 +46,16 @@ def unknown_words(texts: DataFrame, text: str, vocabulary: DataFrame) -> DataFra
 def cleaned_verses(verses: DataFrame, words: DataFrame, pairs: DataFrame, title: bool = False) -> DataFrame:
     """C-02 to C-07: verses (id, text, parallel) cleaned by the counts of a clean corpus: words (word, n) and pairs (a, b, n), in lower case.
 
-    Each row is joined with the counts of the words and pairs that its rules can ask for; these are as many as its text is long."""
+    Each row is joined with the counts of the words and pairs that its rules can ask for; these are as many as its text is long. They are many times the verses, though Spark's
+    estimate is that of the verses' file, so they are never broadcast: the counts are, if these are few."""
     names = F.pandas_udf(lambda texts, theirs: pd.Series([cleaning.lookups(t or "", p or "") for t, p in zip(texts, theirs, strict=True)]), "array<string>")
     run = cleaning.with_counts((lambda t, known, _: cleaning.clean_title(t, known)) if title else cleaning.clean_verse)
     known = words.select(F.col("word").alias("key"), "n").unionByName(pairs.select(F.concat_ws(" ", "a", "b").alias("key"), "n"))
-    asked = verses.select("id", F.explode(names("text", "parallel")).alias("key")).join(known, "key")
+    known = written(known)
+    asked = verses.select("id", F.explode(names("text", "parallel")).alias("key"))
+    asked = asked.join(F.broadcast(known), "key") if few(known) else asked.hint("merge").join(known, "key")
     counts = asked.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", F.col("n").cast("long")))).alias("counts"))
-    return verses.join(counts, "id", "left").select("id", F.pandas_udf(run, "string")("text", "parallel", "counts").alias("text"))
+    return verses.hint("merge").join(counts, "id", "left").select("id", F.pandas_udf(run, "string")("text", "parallel", "counts").alias("text"))
 
 
 def word_parts(word: Column) -> Column:

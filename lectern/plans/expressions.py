@@ -186,7 +186,7 @@ def joined_sentences(spark, d):
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 1 THEN p_name || ';' WHEN 3 THEN p_name || ' O' ELSE p_name END AS text FROM part""")
 def cleaned_verses(spark, d):
     """C-02 to C-07: split and misread words, stray signs and digits put right by the counts of clean names."""
-    part = table(spark, d, "part")
+    part = texts(spark, d, "part")
     first, second = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
     copies = part.select(F.concat_ws(" ", F.array_repeat("p_name", 20)).alias("text"))
     words = copies.select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))

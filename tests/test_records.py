@@ -1,6 +1,7 @@
 """Smaller operators on tiny tables."""
 
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from lectern import schemas
@@ -77,3 +78,16 @@ def test_lexicon_rows(spark):
     got = {r["strongs"]: r for r in R.lexicon_rows(e, g, "hebrew").collect()}
     assert got["H1"]["gloss"] == "a; b; c; d" and got["H1"]["language"] == "aramaic" and got["H2"]["language"] == "hebrew" and got["H1"]["definition"] == "father"
     assert spark.range(1).select(R.overlap(F.lit(1), F.lit(3), F.lit(3), F.lit(4)).alias("o"), R.device_file(F.lit("x")).alias("f")).first()[:] == (True, "device-x.json")
+
+
+@pytest.mark.parametrize("many", [True, False])
+def test_what_cleaning_looks_up_is_never_broadcast(spark, monkeypatch, many):
+    from lectern.plans import expressions
+
+    if many:
+        monkeypatch.setattr(R, "few", lambda rows: False)
+    found = expressions.cleaned_verses(spark, DATA)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildLeft" not in plan and ("BroadcastHashJoin" in plan) is not many
+    names = {r["p_partkey"]: r["p_name"] for r in spark.read.parquet(f"{DATA}/part.parquet").collect()}
+    assert {r["p_partkey"]: r["text"] for r in found.collect()} == {k: n + {1: ";", 3: " O"}.get(k % 4, "") for k, n in names.items()}
