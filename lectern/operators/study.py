@@ -1,6 +1,6 @@
 """Compositions from questions to results: H-24 (a study question), H-25 (directions) and H-26 (preparing a talk), each one plan over all questions.
 
-Questions are rows, so a plan answers all of them. Searches read the stored index; what two steps need, the scores of all terms and the candidates, is written once. The selector is a
+Questions are rows, so a plan answers all of them. Searches read the stored index; what two steps need, the best of each group and the candidates, is written once. The selector is a
 function of texts that the caller passes in; where its answer is no use, the best of each tier stand in.
 """
 
@@ -51,11 +51,12 @@ def searched(study: Study, questions: DataFrame, groups: list[Group], quotas: Da
     meaning, capped by kind (kind, quota). A question without words has candidates by meaning, or pinned ones, alone."""
     terms = questions.select("query", F.explode(keywords(F.col("text"), 12, possessive=True)).alias("w")).select("query", F.explode(tokens(F.col("w"))).alias("term")).distinct()
     kinds = study.pieces.select("doc", "kind", "volume")
-    scores = written(S.search_any(study.index, terms).join(kinds, "doc"))
+    of = [F.col("kind").isin(*g.kinds) & (F.col("volume").isin(*g.volumes) if g.volumes is not None else F.lit(True)) for g in groups]
+    members = kinds.select("doc", F.explode(F.array_compact(F.array(*[F.when(own, i) for i, own in enumerate(of)]))).alias("group"))
+    scores = written(S.search_groups(study.index, terms, members, [OVERFETCH * g.count for g in groups]))
     parts = []
-    for g in groups:
-        own = F.col("kind").isin(*g.kinds) & (F.col("volume").isin(*g.volumes) if g.volumes is not None else F.lit(True))
-        found = S.ranked(scores.filter(own).select("query", "doc", "score"), OVERFETCH * g.count)
+    for i, (g, own) in enumerate(zip(groups, of, strict=True)):
+        found = S.ranked(scores.filter(F.col("group") == i).select("query", "doc", "score"), OVERFETCH * g.count)
         if study.vectors is not None and query_vectors is not None:
             near = V.nearest(study.vectors.join(kinds.filter(own).select(F.col("doc").alias("id")), "id", "left_semi"), query_vectors, OVERFETCH * g.count).withColumnRenamed("id", "doc")
             found = R.fused(near, found)
