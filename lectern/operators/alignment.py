@@ -49,7 +49,7 @@ def in_step(candidates: list[tuple[int, set[str], str]], entries: list[tuple[int
     book -> place by number. Each candidate takes, of the next `ahead` entries behind the last one taken, the one with most shared title words
     (two, or all of a shorter title, at least); if there is none, the first whose speaker is named nearby. Entries passed over stay unmatched."""
     matched: dict[int, int] = {}
-    waiting = list(enumerate(entries))
+    behind = 0
 
     def claim(words: set[str], nearby: str, title: set[str], speaker: str) -> tuple[int, int] | None:
         shared = len(words & title)
@@ -58,16 +58,16 @@ def in_step(candidates: list[tuple[int, set[str], str]], entries: list[tuple[int
         return (1, 0) if any(m in nearby.upper() for m in speaker_marks(speaker)) else None
 
     for place, words, nearby in candidates:
-        claims = [(*c, at) for at, (_, title, speaker) in waiting[:ahead] if (c := claim(words, nearby, title, speaker))]
+        claims = [(*c, at) for at, (_, title, speaker) in enumerate(entries[behind : behind + ahead], behind) if (c := claim(words, nearby, title, speaker))]
         if claims:
             at = min(claims)[-1]
             matched[entries[at][0]] = place
-            waiting = list(enumerate(entries))[at + 1 :]
+            behind = at + 1
     return matched
 
 
 def aligned_titles(candidates: DataFrame, entries: DataFrame, ahead: int = 8) -> DataFrame:
-    """J-17: volume, place, words (array), nearby and volume, number, words, speaker -> volume, number, place. A volume's candidates are few hundreds."""
+    """J-17: volume, place, words (array), nearby and volume, number, words, speaker -> volume, number, place. A volume is a group of its own, and takes time in proportion to its candidates."""
 
     def run(c: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         c, e = c.sort_values("place"), e.sort_values("number")

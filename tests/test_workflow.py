@@ -21,6 +21,20 @@ def test_titles_in_step(spark):
     assert [tuple(r) for r in A.aligned_titles(c, e).collect()] == [(1, 3, 10)]
 
 
+def test_titles_in_step_reads_the_list_once():
+    class Entries(list):
+        reads = 0
+
+        def __iter__(self):
+            self.reads += 1
+            return super().__iter__()
+
+    entries = Entries((n, {f"A{n}", f"B{n}"}, "") for n in range(50))
+    candidates = [(10 * n, {f"A{n}", f"B{n}"}, "") for n in range(50) if n % 3]
+    assert A.in_step(candidates, entries) == {n: 10 * n for n in range(50) if n % 3}
+    assert entries.reads <= 1
+
+
 def test_link_spans(spark):
     links = {"Nephi": ("Nephi", "good"), "Anti-Nephi-Lehi": ("Anti-Nephi-Lehi", None), "Lehi": ("Lehi", "jaw")}
     v = spark.createDataFrame([(1, "Nephi and Anti-Nephi-Lehi of Lehi-Nephi"), (2, None)], "id int, text string")
