@@ -1,6 +1,7 @@
 """Readers, writers and streams on small files."""
 
 import json
+import random
 import zipfile
 
 from pyspark.sql import functions as F
@@ -207,3 +208,27 @@ def test_polling_reads_each_file_once(spark, tmp_path):
     assert poll(21) and not poll(22) and poll(42)
     assert sorted(r["id"] for r in spark.read.parquet(f"{place}/rows").collect()) == [0, 1, 2, 4, 5, 6, 7, 8, 9, 10, 11]
     assert sorted(r["rows"] for r in I.polls(spark, place).collect()) in ([0, 4, 7], [0, 2, 4], [0, 4, 5])
+
+
+def test_books_are_read_by_chapters_as_if_whole(spark, tmp_path):
+    rng = random.Random(3)
+    heads = ["CHAPTER 1.", "chapter iv", "CHAPTER iiii", "Chapter 2", "CHAPTER 9"]
+    line = lambda: rng.choice(heads) if rng.random() < 0.2 else f"{rng.choice(['', '1. ', '2 ', '3. '])}words {rng.randrange(99)}{rng.choice(['', ' 2. more', chr(0x2028) + '3. so'])}"
+    texts = {f"b{b}": "\n".join(line() for _ in range(80)) for b in range(4)} | {"long": "\n".join(f"CHAPTER {c}\n1. a\n2. b{c}" for c in range(1, 60)), "none": None}
+    rows = S.marked_books(spark.createDataFrame(list(texts.items()), "book string, text string"))
+    want = sorted((b, v["chapter"], v["verse"], v["text"]) for b, t in texts.items() for v in S.marked_verses(t))
+    assert sorted(map(tuple, rows.collect())) == want and len(want) > 150
+
+    tags = ["\\c 1", "\\c 2", "\\c 7", "\\c x", "\\s1 A heading", "\\ms1 [A GREEK PART]", "\\p Before", "\\p", "more words", "\\v 1 In the beginning", "\\v 2 And", "\\v x", "\\v 3 So\x85\\c 4"]
+    books = {f"u{b}": [rng.choice(tags) for _ in range(60)] for b in range(6)} | {"long": [x for c in range(1, 60) for x in (f"\\c {c}", f"\\s1 About {c}", "\\p A start", "\\v 1 One", "\\v 2 Two", *(["\\s1 The next"] if c % 5 == 0 else []))]}
+    for name, lines in books.items():
+        (tmp_path / f"{name}.usfm").write_text("\n".join(lines), newline="")
+    found = sorted((r["file"][:-5], r["chapter"], r["verse"], r["text"], r["title"] or "") for r in S.usfm_verses(spark, str(tmp_path)).collect())
+    assert found == sorted((b, v["chapter"], v["verse"], v["text"], v["title"] or "") for b, ls in books.items() for v in S.parse_usfm("\n".join(ls)))
+
+
+def test_no_row_holds_a_whole_book(spark):
+    lines = spark.range(0, 400, 1, 4).select(F.lit("b").alias("book"), F.col("id").alias("pos"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("CHAPTER "), (F.col("id") / 4 + 1).cast("int").cast("string"))).otherwise(F.concat((F.col("id") % 4).cast("string"), F.lit(". word"))).alias("value"))
+    marked = lines.select("book", "pos", "value", F.when(F.col("pos") % 4 == 0, F.col("pos")).alias("number"), F.lit(0).alias("unknown"), F.lit(None).cast("boolean").alias("open"))
+    assert S.in_units(marked, "book").agg(F.max(F.size(F.split("text", "\n")))).first()[0] <= 8
+    assert S.marked_lines(lines).count() == 300
