@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.storage import apart
+
 
 def visible(rows: DataFrame, hidden: DataFrame, key: str) -> DataFrame:
     """P-01, P-02, P-03: rows whose key isn't in the hidden set."""
@@ -235,13 +237,15 @@ def located(references: DataFrame, verses: DataFrame, without: tuple[str, ...] =
     """J-22, H-08: rows with a reference -> the same with chapter_id, verse and volume_slug of the earliest volume that has it."""
     known = verses.filter(~F.col("volume_slug").isin(list(without))) if without else verses
     first = known.groupBy("reference").agg(F.min(F.struct("volume_sort", "verse_id", "chapter_id", F.col("verse_number").cast("long").alias("verse"), "volume_slug")).alias("v"))
-    return references.join(first, "reference").select("*", "v.chapter_id", "v.verse", "v.volume_slug").drop("v")
+    return apart(references, "reference").join(first, "reference").select("*", "v.chapter_id", "v.verse", "v.volume_slug").drop("v")
 
 
 def cited_passages(citations: DataFrame, verses: DataFrame, most: int = 8) -> DataFrame:
-    """J-22: work, reference -> the first passages that each work cites, neighbouring verses of a chapter joined: work, place, chapter_id, first, last."""
-    hit = located(citations.select("work", "reference").distinct(), verses).select("work", "chapter_id", "verse").distinct()
-    run = F.col("verse") - F.row_number().over(W.partitionBy("work", "chapter_id").orderBy("verse"))
+    """J-22: work, reference -> the first passages that each work cites, neighbouring verses of a chapter joined: work, place, chapter_id, first, last.
+
+    Citations are dealt twice: by reference, and as numbers by work and chapter."""
+    hit = apart(located(citations.select("work", "reference"), verses).select("work", "chapter_id", "verse"), "work", "chapter_id")
+    run = F.col("verse") - F.dense_rank().over(W.partitionBy("work", "chapter_id").orderBy("verse"))
     spans = hit.withColumn("run", run).groupBy("work", "chapter_id", "run").agg(F.min("verse").alias("first"), F.max("verse").alias("last"))
     place = F.row_number().over(W.partitionBy("work").orderBy("chapter_id", "first")).cast("long")
     return spans.withColumn("place", place).filter(F.col("place") <= most).select("work", "place", "chapter_id", "first", "last")
