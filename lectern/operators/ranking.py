@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lectern.functions.text import book_key, keywords, reference_parts, theme_words
 from lectern.operators.analytics import capped
 from lectern.operators.hierarchy import earliest, located
+from lectern.storage import apart
 
 RRF = 60
 #: Owners whose accepted themes may be broadcast.
@@ -253,18 +254,24 @@ def balanced(chosen: DataFrame, candidates: DataFrame, limit: int, questions: Da
     return kept.withColumn("place", place).select("query", "place", "doc", "kind", "tier", "chapter", "first", "last", "title", "speaker")
 
 
-def candidate_list(hits: DataFrame, chars: int = 300) -> DataFrame:
-    """H-12: the numbered list that an external selector reads. hits: query, rank, label, text."""
+def _listed(hits: DataFrame, chars: int = 300) -> DataFrame:
+    """query, prompt, n: the list of H-12 and the number of its lines."""
     line = F.concat(F.col("rank").cast("string"), F.lit(". "), F.col("label"), F.lit(": "), F.substring("text", 1, chars))
     listed = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
-    return hits.groupBy("query").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("prompt"))
+    return hits.groupBy("query").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("prompt"), F.count("*").alias("n"))
+
+
+def candidate_list(hits: DataFrame, chars: int = 300) -> DataFrame:
+    """H-12: the numbered list that an external selector reads. hits: query, rank, label, text."""
+    return _listed(hits, chars).drop("n")
 
 
 def selected(hits: DataFrame, select_fn: Callable[[str], str], limit: int = 12) -> DataFrame:
     """H-24, H-27: asks the selector (a text in, a text out) for each query; without a usable answer, or if it picks none, the best (4, 2, 1, 1) of the tiers stand in,
     and `picked` is false. hits: query, doc, rank (from 1), tier, label, text."""
     ask = F.pandas_udf(lambda prompts: prompts.map(select_fn), "string")
-    replies = candidate_list(hits).select(F.col("query").alias("id"), ask("prompt").alias("content")).join(hits.groupBy(F.col("query").alias("id")).agg(F.count("*").alias("n")), "id")
+    hits = apart(hits, "query")
+    replies = _listed(hits).select(F.col("query").alias("id"), ask("prompt").alias("content"), "n")
     picks = parsed_selection(replies, limit)
     known = hits.join(picks.withColumnRenamed("id", "query"), "query").withColumn("picked", F.coalesce(F.size("picks") > 0, F.lit(False)))
     chosen = known.filter("picked").withColumn("place", F.array_position("picks", (F.col("rank") - 1).cast("int"))).filter("place > 0")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import hierarchy as H
+from lectern.operators import ranking as R
 
 
 def test_cited_passages_against_brute_force(spark):
@@ -22,6 +23,13 @@ def test_cited_passages_against_brute_force(spark):
     assert sorted(tuple(r) for r in got.collect()) == expected
 
 
+def test_hits_stay_in_all_parts_when_a_selector_is_asked(spark):
+    hits = spark.range(600).selectExpr("id DIV 3 AS query", "id AS doc", "id % 3 + 1 AS rank", "0 AS tier", "'t' AS label", "'' AS text")
+    found = R.selected(hits, lambda prompt: "[3, 1]")
+    assert sorted((r["doc"] % 3 + 1, r["place"]) for r in found.collect()) == [(1, 2)] * 200 + [(3, 1)] * 200
+    assert parts(found) > int(spark.conf.get("spark.sql.shuffle.partitions")) // 2  # Spark made one part of all
+
+
 @pytest.fixture
 def shuffled(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
