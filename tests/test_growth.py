@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lectern.operators import hierarchy as H
 from lectern.operators import ranking as R
+from lectern.plans import catalog
+
+DATA = "/root/testdata/sf0.001"
 
 
 def test_cited_passages_against_brute_force(spark):
@@ -47,3 +50,11 @@ def test_references_stay_in_all_parts_when_they_are_placed(shuffled):
     placed = H.located(verses.selectExpr("verse_id AS work", "reference"), verses)
     assert parts(placed) == int(spark.conf.get("spark.sql.shuffle.partitions"))  # Spark made one part of all, they are so small
     assert placed.count() == 2000
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_balanced_hits_make_their_hits_once(spark):
+    assert plan(catalog.QUERIES["balanced_hits"](spark, DATA)).count("lineitem.parquet") == 0  # each of five branches made them from the line items
