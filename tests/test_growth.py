@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import hierarchy as H
 from lectern.operators import ranking as R
+from lectern.operators import search as S
 from lectern.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -58,3 +59,10 @@ def plan(df) -> str:
 
 def test_balanced_hits_make_their_hits_once(spark):
     assert plan(catalog.QUERIES["balanced_hits"](spark, DATA)).count("lineitem.parquet") == 0  # each of five branches made them from the line items
+
+
+def test_tokens_are_not_dealt_for_postings(spark):
+    docs = spark.createDataFrame([(1, "b a b"), (2, None), (1, "a"), (3, "")], "id int, t string")
+    found = S.postings(docs, "id", "t")
+    assert plan(found).count("Exchange") == 1 and "hashpartitioning(token" not in plan(found)
+    assert sorted((r["token"], r["doc"], r["tf"], r["positions"]) for r in found.collect()) == [("a", 1, 2, [0, 1]), ("b", 1, 2, [0, 2])]
