@@ -10,10 +10,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.storage import apart
+
 BATCH, ATTEMPTS, LONGEST_WAIT = 64, 6, 60.0
 
 
@@ -148,17 +151,17 @@ def embed_batch(texts: list[str], call: Callable[[list[str]], list[list[float]]]
 def embed_pending(pieces: DataFrame, vectors: DataFrame, call: Callable[[list[str]], list[list[float]]]) -> DataFrame:
     """V-01, V-07, S-36: vectors for the hashes that have none, each different text once. pieces: hash, text -> hash, vector.
     Written by the caller; what is written isn't asked for again."""
-    todo = pieces.join(vectors.select("hash"), "hash", "left_anti").groupBy("hash").agg(F.min("text").alias("text"))
+    todo = apart(pieces.select("hash", "text"), "hash").join(vectors.select("hash"), "hash", "left_anti").groupBy("hash").agg(F.min("text").alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for i in range(0, len(rows), BATCH):
-                part = rows.iloc[i : i + BATCH]
-                found = embed_batch(part["text"].tolist(), call)
-                kept = [(h, [x / (math.sqrt(sum(y * y for y in v)) or 1.0) for x in v]) for h, v in zip(part["hash"], found, strict=True) if v is not None]
-                yield pd.DataFrame(kept, columns=["hash", "vector"])
+            for i in range(0, rows.num_rows, BATCH):  # only these texts become Python's
+                part = rows.slice(i, BATCH)
+                found = zip(part["hash"].to_pylist(), embed_batch(part["text"].to_pylist(), call), strict=True)
+                kept = [(h, [x / (math.sqrt(sum(y * y for y in v)) or 1.0) for x in v]) for h, v in found if v is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in kept], pa.string()), pa.array([v for _, v in kept], pa.list_(pa.float32()))], ["hash", "vector"])
 
-    return todo.mapInPandas(run, "hash string, vector array<float>")
+    return todo.mapInArrow(run, "hash string, vector array<float>")
 
 
 def model_print(model: Column, dimensions: Column, template_version: Column) -> Column:

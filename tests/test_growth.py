@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.operators import hierarchy as H
 from lectern.operators import ranking as R
 from lectern.operators import search as S
+from lectern.operators import vectors as V
 from lectern.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -66,3 +67,11 @@ def test_tokens_are_not_dealt_for_postings(spark):
     found = S.postings(docs, "id", "t")
     assert plan(found).count("Exchange") == 1 and "hashpartitioning(token" not in plan(found)
     assert sorted((r["token"], r["doc"], r["tf"], r["positions"]) for r in found.collect()) == [("a", 1, 2, [0, 1]), ("b", 1, 2, [0, 2])]
+
+
+def test_texts_to_embed_stay_in_all_parts(spark):
+    pieces = spark.range(400).selectExpr("sha2(string(id % 300), 256) AS hash", "'text ' || id % 300 AS text")
+    found = V.embed_pending(pieces, pieces.filter("text = 'text 7'").selectExpr("hash", "array(1f) AS vector"), lambda texts: [[3.0, 4.0] for _ in texts])
+    assert parts(found) == int(spark.conf.get("spark.sql.shuffle.partitions"))  # Spark made one part of all
+    rows = found.collect()
+    assert len(rows) == len({r["hash"] for r in rows}) == 299 and all(abs(r["vector"][0] - 0.6) < 1e-6 for r in rows)
