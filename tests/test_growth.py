@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import text as X
+from lectern.operators import analytics as A
 from lectern.operators import hierarchy as H
 from lectern.operators import ranking as R
 from lectern.operators import search as S
@@ -69,6 +71,12 @@ def test_tokens_are_not_dealt_for_postings(spark):
     assert sorted((r["token"], r["doc"], r["tf"], r["positions"]) for r in found.collect()) == [("a", 1, 2, [0, 1]), ("b", 1, 2, [0, 2])]
 
 
+def test_texts_are_dealt_before_their_bigrams_are_counted(spark):
+    found = A.bigrams(spark.createDataFrame([("a b a b",), ("b a b",), ("a",), (None,)], "text string").coalesce(1), X.tokens(F.col("text")), 2)
+    assert "REPARTITION_BY_NUM" in plan(found)  # one task counted all
+    assert sorted(tuple(r) for r in found.collect()) == [("a", "b", 3), ("b", "a", 2)]
+
+
 def test_texts_to_embed_stay_in_all_parts(spark):
     pieces = spark.range(400).selectExpr("sha2(string(id % 300), 256) AS hash", "'text ' || id % 300 AS text")
     found = V.embed_pending(pieces, pieces.filter("text = 'text 7'").selectExpr("hash", "array(1f) AS vector"), lambda texts: [[3.0, 4.0] for _ in texts])
