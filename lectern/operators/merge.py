@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.alignment import WORD, seq_ratio
 from lectern.operators.analytics import capped
-from lectern.storage import written
+from lectern.storage import apart, written
 
 #: Rows up to which a word is joined in the first step of `candidates`, and words of its first side that may be broadcast.
 STEP, BROADCAST_WORDS = 2000, 100_000
@@ -124,24 +124,39 @@ def most_shared(a: DataFrame, b: DataFrame, most: int = 10, book: list[str] | No
 
     A prefix filter: a text's words are put in order, those that few b have first. Its `ahead` rarest words find some b, and what the last of the best shares, t, is a bound: a b that
     shares t of its n words (that any b has) must have one of the n - t + 1 rarest, and only these are joined. Words that nearly all have are joined for
-    texts alone that share little with anything."""
+    texts alone that share little with anything.
+
+    The joined words of a pair are counted, and the words that stand behind them in both texts tell how many more it may share. So pairs are dealt once, and words are compared for those alone
+    that may be among the best and whose number isn't sure yet."""
     book = book or []
     words = lambda text: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != ""))
     own_a, own_b = written(a.select("id_a", *book, words("text_a").alias("words_a"))), written(b.select("id_b", *book, words("text_b").alias("words_b")))
-    places = own_b.select("id_b", *book, F.explode("words_b").alias("w"))
-    df = places.groupBy(*book, "w").agg(F.count("*").alias("df"))
-    listed = own_a.select("id_a", *book, F.explode("words_a").alias("w")).join(df, [*book, "w"]).groupBy("id_a", *book).agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("l"))
-    listed = written(listed.select("id_a", *book, F.transform("l", lambda x: x["w"]).alias("l")))
+    df = own_b.select(*book, F.explode("words_b").alias("w")).groupBy(*book, "w").agg(F.count("*").alias("df"))
+
+    def in_order(own: DataFrame, id_: str, listed: str) -> DataFrame:
+        found = own.select(id_, *book, F.explode(listed).alias("w")).join(df, [*book, "w"]).groupBy(id_, *book).agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("l"))
+        return found.select(id_, *book, F.transform("l", lambda x: x["w"]).alias("l"))
+
+    listed = written(in_order(own_a, "id_a", "words_a"))
+    places = in_order(own_b, "id_b", "words_b").select("id_b", *book, F.size("l").alias("n"), F.posexplode("l").alias("at", "w"))
+    places = written(places.select("id_b", *book, "w", (F.col("n") - F.col("at") - 1).alias("behind_b")))
 
     def best(taken: DataFrame) -> DataFrame:
-        pairs = taken.select("id_a", *book, F.explode("l").alias("w")).join(places, [*book, "w"]).select("id_a", "id_b").distinct()
-        pairs = pairs.join(own_a.select("id_a", "words_a"), "id_a").join(own_b.select("id_b", "words_b"), "id_b")
-        shared = pairs.select("id_a", "id_b", F.size(F.array_intersect("words_a", "words_b")).alias("shared"))
-        return capped(shared, "id_a", most, F.col("shared").desc(), F.col("id_b"))
-
-    first = best(listed.withColumn("l", F.slice("l", 1, ahead))).groupBy("id_a").agg(F.when(F.count("*") == most, F.min("shared")).alias("t"))
-    bound = listed.join(first, "id_a", "left").withColumn("l", F.slice("l", F.lit(1), F.size("l") - F.coalesce("t", F.lit(1)) + 1))
-    return best(bound.drop("t"))
+        met = taken.select("id_a", *book, "behind_a", F.explode("l").alias("w")).join(places, [*book, "w"])
+        met = apart(met.select("id_a", "id_b", F.least("behind_a", "behind_b").alias("behind")), "id_a")
+        pairs = met.groupBy("id_a", "id_b").agg(F.count("*").cast("int").alias("shared"), F.min("behind").alias("more"))
+        order = W.partitionBy("id_a").orderBy(F.col("shared").desc(), "id_b")
+        least = F.nth_value("shared", most).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+        pairs = pairs.withColumn("place", F.row_number().over(order)).withColumn("least", least)
+        near = written(pairs.filter((F.col("place") <= most) | ((F.col("more") > 0) & (F.col("shared") + F.col("more") >= F.col("least")))).select("id_a", "id_b", "shared", "more"))
+        unsure = near.filter("more > 0").join(own_a.select("id_a", "words_a"), "id_a").join(own_b.select("id_b", "words_b"), "id_b")
+        unsure = unsure.select("id_a", "id_b", F.size(F.array_intersect("words_a", "words_b")).alias("shared"))
+        return capped(near.filter("more = 0").select("id_a", "id_b", "shared").unionByName(unsure), "id_a", most, F.col("shared").desc(), F.col("id_b"))
+
+    first = listed.select("id_a", *book, F.slice("l", 1, ahead).alias("l"), F.greatest(F.size("l") - ahead, F.lit(0)).alias("behind_a"))
+    first = best(first).groupBy("id_a").agg(F.when(F.count("*") == most, F.min("shared")).alias("t"))
+    bound = listed.join(first, "id_a", "left").withColumn("t", F.coalesce("t", F.lit(1)))
+    return best(bound.select("id_a", *book, F.slice("l", F.lit(1), F.size("l") - F.col("t") + 1).alias("l"), (F.col("t") - 1).alias("behind_a")))
 
 
 def nearest_text(a: DataFrame, b: DataFrame, least: float = 0.7, most: int = 10, book: list[str] | None = None) -> DataFrame:

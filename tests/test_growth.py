@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.operators import analytics as A
 from lectern.operators import hierarchy as H
+from lectern.operators import merge as M
 from lectern.operators import ranking as R
 from lectern.operators import search as S
 from lectern.operators import vectors as V
@@ -83,3 +84,21 @@ def test_texts_to_embed_stay_in_all_parts(spark):
     assert parts(found) == int(spark.conf.get("spark.sql.shuffle.partitions"))  # Spark made one part of all
     rows = found.collect()
     assert len(rows) == len({r["hash"] for r in rows}) == 299 and all(abs(r["vector"][0] - 0.6) < 1e-6 for r in rows)
+
+
+def dealt(spark, run) -> int:
+    """Rows that were shuffled while `run` did its work."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    stages = lambda: jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), None))
+    old = {s.stageId() for s in stages()}
+    run()
+    return sum(s.shuffleWriteRecords() for s in stages() if s.stageId() not in old)
+
+
+def test_pairs_of_texts_with_a_common_word_are_dealt_once(shuffled):
+    text = F.concat_ws(" ", F.lit("there"), F.concat(F.lit("a"), F.col("id")), F.concat(F.lit("b"), F.col("id")), F.concat(F.lit("c"), F.col("id")))
+    rows = shuffled.range(300).select("id", F.floor(F.col("id") / 100).alias("book"), text.alias("text"))
+    a, b, found = rows.toDF("id_a", "book", "text_a"), rows.toDF("id_b", "book", "text_b"), []
+    assert dealt(shuffled, lambda: found.extend(M.most_shared(a, b, 3, ["book"]).collect())) < 2 * 300 * 100
+    want = {i: [(i, 4), *[(j, 1) for j in range(i // 100 * 100, i // 100 * 100 + 3) if j != i][:2]] for i in range(300)}
+    assert sorted(tuple(r) for r in found) == sorted((i, *w) for i, ws in want.items() for w in ws)
