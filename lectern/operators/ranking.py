@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lectern.functions.text import book_key, keywords, reference_parts, theme_words
 from lectern.operators.analytics import capped
 from lectern.operators.hierarchy import earliest, located
-from lectern.storage import apart
+from lectern.storage import apart, written
 
 RRF = 60
 #: Owners whose accepted themes may be broadcast.
@@ -130,25 +130,43 @@ def resolved(asked: DataFrame, verses: DataFrame, aliases: DataFrame, cap: int =
     return texts.filter(F.col("place") <= cap).select("owner", "place", "label", F.array_join(F.transform("l", lambda x: x["verse"]), " ").alias("text"))
 
 
+def worded(titles: DataFrame, topic: str = "") -> DataFrame:
+    """H-15: titles without spaces and quotation marks around them, and their `words` without the topic's, in order."""
+    bare = titles.withColumn("title", F.trim(F.regexp_replace(F.trim("title"), '^["“”]+|["“”]+$', "")))
+    return bare.withColumn("words", F.array_sort(F.array_except(theme_words(F.col("title")), theme_words(F.lit(topic)))))
+
+
 def themes(titles: DataFrame, topic: str = "", step: int = 200) -> DataFrame:
     """H-15: owner, rank, title -> titles in order, each text once, without those that add no word to the topic's or share half of their words (of the
-    smaller set) with an accepted one. Spaces and quotation marks around a title don't count.
+    smaller set) with an accepted one. Spaces and quotation marks around a title don't count. Titles that many owners have can come with their `words` (`worded`).
 
-    Only the first of titles with the same words can be accepted. An owner's first `step` of these are folded first; of all that follow only those that
-    aren't close to a title accepted there go on. No title is left out."""
-    own = F.array_except(theme_words(F.col("title")), theme_words(F.lit(topic)))
-    bare = titles.withColumn("title", F.trim(F.regexp_replace(F.trim("title"), '^["“”]+|["“”]+$', "")))
-    listed = bare.withColumn("words", F.array_sort(own)).filter(F.size("words") > 0).groupBy("owner", "words").agg(F.min(F.struct("rank", "title")).alias("t"))
-    listed = listed.select("owner", F.struct("t.rank", "t.title", "words").alias("x"))
+    An owner's first `step` titles are folded where they are dealt; that is all for most owners. Of one who has more, only titles that aren't close to one accepted there go on, the first
+    of those with the same words: again the first `step` are folded, and only what isn't close to a title accepted so far goes on. No title is left out."""
+    bare = (titles if "words" in titles.columns else worded(titles, topic)).filter(F.size("words") > 0)
     close = lambda k, x: F.size(F.array_intersect(k["words"], x["words"])) * 2 >= F.least(F.size(k["words"]), F.size(x["words"]))
     fold = lambda l, start: F.aggregate(l, start, lambda kept, x: F.when(F.exists(kept, lambda k: close(k, x)), kept).otherwise(F.concat(kept, F.array(x))))
-    in_order = F.array_sort(F.collect_list("x")).alias("l")
-    first = capped(listed, "owner", step, F.col("x")).groupBy("owner").agg(in_order).select(F.col("owner").alias("o"), fold("l", F.slice("l", 1, 0)).alias("kept"))
-    few = titles.select("owner").distinct().limit(FEW_OWNERS + 1).count() <= FEW_OWNERS
-    later = listed.join(F.broadcast(first) if few else first, F.col("owner").eqNullSafe(F.col("o")))
-    later = later.filter(~F.exists("kept", lambda k: close(k, F.col("x")))).groupBy("owner").agg(in_order)
-    both = first.join(later, F.col("owner").eqNullSafe(F.col("o")), "left").select(F.col("o").alias("owner"), fold(F.coalesce("l", F.slice("kept", 1, 0)), F.col("kept")).alias("kept"))
-    return both.select("owner", F.posexplode("kept").alias("place", "x")).select("owner", (F.col("place") + 1).cast("long").alias("place"), F.col("x.title").alias("title"))
+    order = W.partitionBy("owner").orderBy("rank", "title", "words")
+    dealt = bare.select("owner", "rank", "title", "words").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= step + 1)
+    first = F.array_sort(F.collect_list(F.when(F.col("n") <= step, F.struct("rank", "title", "words")))).alias("l")
+    first = dealt.groupBy("owner").agg(first, (F.max("n") > step).alias("more"))
+    first = written(first.select("owner", fold("l", F.slice("l", 1, 0)).alias("kept"), "more"))
+    long = first.filter("more").select(F.col("owner").alias("o"), "kept")
+    if (owners := long.limit(FEW_OWNERS + 1).count()) > 0:
+        beside = (lambda df: F.broadcast(df)) if owners <= FEW_OWNERS else (lambda df: df)
+        own, in_order = F.col("owner").eqNullSafe(F.col("o")), F.array_sort(F.collect_list("x")).alias("l")
+
+        def others(rows: DataFrame, accepted: DataFrame) -> DataFrame:
+            return rows.join(F.broadcast(accepted) if owners <= FEW_OWNERS else accepted, own).filter(~F.exists("kept", lambda k: close(k, F.col("x")))).select("owner", "x")
+
+        def folded(accepted: DataFrame, rows: DataFrame) -> DataFrame:
+            listed = accepted.join(rows.groupBy("owner").agg(in_order), own, "left")
+            return listed.select("o", fold(F.coalesce("l", F.slice("kept", 1, 0)), F.col("kept")).alias("kept"))
+
+        rest = others(bare.select("owner", F.struct("rank", "title", "words").alias("x")), long)
+        rest = rest.groupBy("owner", F.col("x.words").alias("words")).agg(F.min(F.struct("x.rank", "x.title")).alias("t")).select("owner", F.struct("t.rank", "t.title", "words").alias("x"))
+        next_ = folded(long, capped(rest, "owner", step, F.col("x")))
+        first = first.filter(~F.col("more")).select("owner", "kept").unionByName(folded(next_, others(rest, next_)).withColumnRenamed("o", "owner"))
+    return first.select("owner", F.posexplode("kept").alias("place", "x")).select("owner", (F.col("place") + 1).cast("long").alias("place"), F.col("x.title").alias("title"))
 
 
 def related_words(rows: DataFrame, topic: list[str], text: str, only: Column | None = None) -> DataFrame:

@@ -345,9 +345,9 @@ SELECT owner, unnest(range(1, len(titles) + 1))::BIGINT AS place, unnest(titles)
 def themes(spark, d):
     """H-15: different titles of what each customer bought, in order of purchase."""
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rank"))
-    parts = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("title"))
+    parts = R.worded(table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("title")), "red")
     rows = lines.join(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("owner")), F.col("l_orderkey") == F.col("o_orderkey"))
-    return R.themes(rows.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("owner", "rank", "title"), "red")
+    return R.themes(rows.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("owner", "rank", "title", "words"), "red")
 
 
 @query(f"""{_OR}, rel AS (SELECT query, min(rank) AS rank FROM rk JOIN labels ON labels.doc_id = rk.doc // 100000 AND quality = 1 WHERE rank <= 10 GROUP BY query), q AS (SELECT item_id AS query, rank FROM benchmark LEFT JOIN rel ON query = item_id)

@@ -102,3 +102,18 @@ def test_pairs_of_texts_with_a_common_word_are_dealt_once(shuffled):
     assert dealt(shuffled, lambda: found.extend(M.most_shared(a, b, 3, ["book"]).collect())) < 2 * 300 * 100
     want = {i: [(i, 4), *[(j, 1) for j in range(i // 100 * 100, i // 100 * 100 + 3) if j != i][:2]] for i in range(300)}
     assert sorted(tuple(r) for r in found) == sorted((i, *w) for i, ws in want.items() for w in ws)
+
+
+def test_titles_are_dealt_once(shuffled):
+    title = F.translate((F.col("id") % 20 + 10).cast("string"), "0123456789", "bcdefghijk")
+    many = shuffled.range(4000).select(F.floor(F.col("id") / 20).alias("owner"), "id", F.concat(title, F.lit(" "), title, F.lit("x")).alias("title")).withColumnRenamed("id", "rank")
+    found = []
+    assert dealt(shuffled, lambda: found.extend(R.themes(many).collect())) <= 4000
+    assert len(found) == 4000 and {(r["owner"], r["place"]) for r in found} == {(o, p) for o in range(200) for p in range(1, 21)}
+
+
+def test_titles_of_one_owner_are_cut_before_they_are_dealt(shuffled):
+    same = shuffled.range(5000).selectExpr("1 AS owner", "id AS rank", "IF(id = 4999, 'gamma', 'alpha beta') AS title")
+    found = []
+    assert dealt(shuffled, lambda: found.extend(R.themes(same, step=5).collect())) < 200
+    assert sorted((r["place"], r["title"]) for r in found) == [(1, "alpha beta"), (2, "gamma")]
